@@ -1 +1,9 @@
 """Incident intelligence over large tables and streams of short posts, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run inside Python workers travel with the job, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

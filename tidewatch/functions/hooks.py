@@ -63,11 +63,11 @@ def tag_entities(df: DataFrame, text: str, tagger: Callable[[], Callable], out:
     return df.withColumn(out, tag(char_prefix(text, TAGGER_CHARS)))
 
 
-@F.pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def sequence_ratio(key, name) -> Column:
     """Matching-blocks ratio of two strings; not symmetric, the key comes first."""
-    return _ratio(key, name)
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    return ratio(key, name)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..functions.text import strip_accents
 from ..session import settle
 from .features import (
-    MAX_FEATURES, balanced_weights, build_vocabulary, decision_score, document_terms, hard_label, idf, term_table,
-    weighted_terms,
+    MAX_FEATURES, _weigh, balanced_weights, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf,
+    term_values,
 )
 from .metrics import averaged_metrics
 from .prep import assign_folds
@@ -21,12 +26,25 @@ from .scale import hash_share
 CV_METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
 
 
-def sparse_vector(indices: Column, values: Column, size: int) -> Column:
-    """A sparse ML vector from arrays, built in the JVM: the vector type is a struct with a
-    user-defined name, and reading it back from JSON attaches that name."""
+def sparse_features(clean: str, vocab: DataFrame, size: int) -> Column:
+    """The weights of a text as a sparse ML vector; ``vocab`` holds ``term, idf, position``.
+
+    A task returns positions and values; the vector type is a struct with a user-defined name,
+    and reading the struct back from JSON attaches that name inside the JVM.
+    """
+    known = vocab.sparkSession.sparkContext.broadcast(term_values(vocab, ["idf", "position"]))
+
+    @F.pandas_udf("struct<indices:array<int>,values:array<double>>")
+    def locate(texts: pd.Series) -> pd.DataFrame:
+        table = known.value
+        rows = [sorted((table[t][1], w) for t, w in _weigh(text, table)) for text in texts]
+        return pd.DataFrame({"indices": [[i for i, _ in r] for r in rows], "values": [[w for _, w in r] for r in rows]})
+
+    parts = locate(strip_accents(clean))
     fields = F.struct(
-        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values")
-    )
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), parts["indices"].alias("indices"),
+        parts["values"].alias("values"),
+    )
     shape = T.StructType([T.StructField("v", VectorUDT())])
     return F.from_json(F.to_json(F.struct(fields.alias("v"))), shape)["v"]
 
@@ -38,36 +56,29 @@ def fit_vocabulary(docs: DataFrame, doc: str, clean: str = "text", min_df: int =
 
 
 def train_linear(
-    docs: DataFrame, vocab: DataFrame, clean: str = "text", label: str = "label", C: float = 1.0, max_iter: int = 2000
-) -> tuple[DataFrame, float]:
+    docs: DataFrame, vocab: DataFrame, clean: str = "text", label: str = "label", C: float = 1.0, max_iter: int = 2000,
+    tol: float = 1e-3,
+) -> tuple[DataFrame, float]:
     """Weights ``(term, idf, coef)`` and intercept of a linear max-margin classifier with
     balanced classes. ``vocab`` holds at most ``MAX_FEATURES`` rows."""
-    # Position of a term in term order; ascending indices are what a sparse vector needs.
+    # At most MAX_FEATURES rows.
     order = Window.partitionBy(F.lit(0)).orderBy("term")
-    indexed = settle(vocab.select("term", "idf", (F.row_number().over(order) - 1).alias("coef")))
+    indexed = settle(vocab.select("term", "idf", (F.row_number().over(order) - 1).alias("position")))
     size = max(1, indexed.count())
-    table, n_buckets = term_table(indexed)
     weights = F.broadcast(balanced_weights(docs, label).select(label, "weight"))  # one row per class
     rows = docs.join(weights, label).select(
-        F.col(label).cast("double").alias("label"), "weight", weighted_terms(clean, table, n_buckets).alias("ws")
+        F.col(label).cast("double").alias("label"), "weight", sparse_features(clean, indexed, size).alias("features")
     )
-    rows = rows.select(
-        "label",
-        "weight",
-        sparse_vector(
-            F.transform("ws", lambda x: x["coef"].cast("int")), F.transform("ws", lambda x: x["w"]), size
-        ).alias("features"),
-    ).persist()
+    rows = settle(rows)
     total = rows.agg(F.sum("weight")).first()[0]
     svc = LinearSVC(
-        maxIter=max_iter, regParam=1.0 / (C * total), tol=1e-4, standardization=False, weightCol="weight"
+        maxIter=max_iter, regParam=1.0 / (C * total), tol=tol, standardization=False, weightCol="weight"
     )
     model = svc.fit(rows)
-    rows.unpersist()
     coefs = docs.sparkSession.createDataFrame(
-        [(i, float(c)) for i, c in enumerate(model.coefficients.toArray())], "coef int, w double"
+        [(i, float(c)) for i, c in enumerate(model.coefficients.toArray())], "position int, coef double"
     )
-    named = indexed.join(F.broadcast(coefs), "coef").select("term", "idf", F.col("w").alias("coef"))
+    named = indexed.join(F.broadcast(coefs), "position").select("term", "idf", "coef")
     return settle(named), float(model.intercept)
 
 
@@ -76,20 +87,29 @@ def fit_classifier(docs: DataFrame, doc: str, clean: str = "text", label: str =
     return train_linear(docs, fit_vocabulary(docs, doc, clean), clean, label, **options)
 
 
+def side_by_side(spark: SparkSession, work: Callable, cases: Sequence, parallelism: int) -> list:
+    """Run independent fits at the same time; their jobs share the cluster."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), cases)
+
+
 def predict(docs: DataFrame, weights: DataFrame, intercept: float, clean: str = "text") -> DataFrame:
     return decision_score(docs, weights, intercept, clean).withColumn("predicted", hard_label("score"))
 
 
 def cross_validate(
-    docs: DataFrame, doc: str, clean: str = "text", label: str = "label", k: int = 5, seed: int = 42, exact: bool = False
-) -> DataFrame:
+    docs: DataFrame, doc: str, clean: str = "text", label: str = "label", k: int = 5, seed: int = 42, exact: bool = False,
+    parallelism: int = 4,
+) -> DataFrame:
     """Quality per fold; vocabulary and weights are refitted without the fold each time."""
     folded = settle(assign_folds(docs.select(doc, clean, label), label, doc, k, seed, exact))
-    results = []
-    for fold in range(k):
+
+    def judge(fold: int) -> DataFrame:
         weights, intercept = fit_classifier(folded.filter(F.col("fold") != fold), doc, clean, label)
         scored = predict(folded.filter(F.col("fold") == fold), weights, intercept, clean)
-        results.append(averaged_metrics(scored, label, by=["fold"]))
+        return averaged_metrics(scored, label, by=["fold"])
+
+    results = side_by_side(docs.sparkSession, judge, range(k), parallelism)
     out = reduce(lambda a, b: a.unionByName(b), results)
     return out.select((F.col("fold") + 1).alias("fold"), *[F.round(m, 4).alias(m) for m in CV_METRICS])
 
@@ -97,24 +117,29 @@ def cross_validate(
 def learning_curve(
     docs: DataFrame, doc: str, clean: str = "text", label: str = "label",
     fractions: Sequence[float] = tuple(0.1 + i * 0.9 / 7 for i in range(8)), k: int = 3, seed: int = 42,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Macro F1 on the training part and on the held-out fold for growing training sets. The
     sets are nested: a row belongs to every fraction above its own hash."""
     folded = assign_folds(docs.select(doc, clean, label), label, doc, k, seed)
     folded = settle(folded.withColumn("_share", hash_share(F.col(doc), F.lit("prefix"), F.lit(seed))))
-    parts = []
-    for fold in range(k):
+
+    def judge(case: tuple[int, float]) -> list[DataFrame]:
+        fold, fraction = case
+        train = folded.filter((F.col("fold") != fold) & (F.col("_share") < min(fraction, 1.0)))
+        if train.select(label).distinct().count() < 2:
+            return []
+        weights, intercept = fit_classifier(train, doc, clean, label)
         held_out = folded.filter(F.col("fold") == fold)
-        for fraction in fractions:
-            train = folded.filter((F.col("fold") != fold) & (F.col("_share") < min(fraction, 1.0)))
-            if train.select(label).distinct().count() < 2:
-                continue
-            weights, intercept = fit_classifier(train, doc, clean, label)
-            for part, data in (("train", train), ("validation", held_out)):
-                quality = averaged_metrics(predict(data, weights, intercept, clean), label)
-                parts.append(
-                    quality.select(F.lit(round(fraction, 4)).alias("fraction"), F.lit(part).alias("part"), "f1_macro")
-                )
+        return [
+            averaged_metrics(predict(data, weights, intercept, clean), label).select(
+                F.lit(round(fraction, 4)).alias("fraction"), F.lit(part).alias("part"), "f1_macro"
+            )
+            for part, data in (("train", train), ("validation", held_out))
+        ]
+
+    cases = [(fold, fraction) for fold in range(k) for fraction in fractions]
+    parts = [part for parts in side_by_side(docs.sparkSession, judge, cases, parallelism) for part in parts]
     every = reduce(lambda a, b: a.unionByName(b), parts)
     return every.groupBy("fraction", "part").agg(
         F.round(F.avg("f1_macro"), 4).alias("mean"), F.round(F.stddev_pop("f1_macro"), 4).alias("std")
@@ -123,10 +148,6 @@ def learning_curve(
 
 def scoring_throughput(docs: DataFrame, weights: DataFrame, intercept: float, raw: str = "text") -> dict[str, float]:
     """Posts per second of clean, score and gate over the whole table, without a sink."""
-    import time
-
-    from .features import gate_posts
-
     n = docs.count()
     start = time.perf_counter()
     gate_posts(docs, weights, intercept, raw).write.format("noop").mode("overwrite").save()
