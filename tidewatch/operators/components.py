@@ -33,10 +33,16 @@ def _linked_components(edges: DataFrame, hot_rows: int) -> DataFrame:
     # Per round: the nodes with the smallest original id each stands for, and which node each
     # was merged into.
     merged: list[tuple[DataFrame, DataFrame]] = []
-    while not edges.isEmpty():
+    has_hot = False
+    while True:
         into = settle(_targets(edges, len(merged)))
+        size, most = into.agg(F.count(F.lit(1)), F.max("n")).first()
+        if size == 0:
+            break
+        # A node merges with neighbours only, so the most neighbours bound both joins below.
+        has_hot = has_hot or most >= hot_rows
         merged.append((level, into))
-        hot = into.filter(F.col("n") > hot_rows)
+        hot = into.filter(F.col("n") >= hot_rows) if has_hot else None
         moved = _renamed(_renamed(edges, "a", into, hot), "b", into, hot)
         level = settle(
             level.join(into.select("id", "into"), "id")
@@ -49,9 +55,11 @@ def _linked_components(edges: DataFrame, hot_rows: int) -> DataFrame:
     names = level.select("id", F.col("low").alias("component"), "n")
     for before, into in reversed(merged):
         targets = names.select(F.col("id").alias("into"), "component", "n")
-        hot = targets.filter(F.col("n") > hot_rows)
+        hot = targets.filter(F.col("n") >= hot_rows) if has_hot else None
         named = hot_key_join(into.select("id", "into"), targets.drop("n"), ["into"], hot).drop("into")
         names = before.join(named, "id", "left").withColumn("component", F.coalesce("component", "low"))
+        if has_hot:
+            names = settle(names)
     return names.select("id", "component")
 
 
@@ -65,5 +73,5 @@ def _targets(edges: DataFrame, turn: int) -> DataFrame:
 
 def _renamed(edges: DataFrame, c: str, into: DataFrame, hot: DataFrame) -> DataFrame:
     target = into.select(F.col("id").alias(c), F.col("into").alias("_to"))
-    keys = hot.select(F.col("id").alias(c))
+    keys = None if hot is None else hot.select(F.col("id").alias(c))
     return hot_key_join(edges, target, [c], keys, "inner").drop(c).withColumnRenamed("_to", c)

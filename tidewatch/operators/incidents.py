@@ -32,9 +32,8 @@ def cluster_window(
     Adds ``cluster`` (smallest core id of the cluster, null for noise) and ``is_core``. A
     window of fewer than ``min_window`` posts is all noise.
     """
-    base, n_blocks = blocked(df, id, vec, block_rows)
-    n_posts = base.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    if n_posts < min_window:
+    base, n_blocks, posts, most = blocked(df, id, vec, block_rows)
+    if posts < min_window:
         return df.withColumns({"cluster": F.lit(None).cast("long"), "is_core": F.lit(False)})
 
     if min_samples <= 2:
@@ -61,7 +60,7 @@ def cluster_window(
         cores = named.select("vec", F.col("component").alias("cluster"), F.lit(True).alias("is_core"))
         others = base.filter("not core").join(borders, "rep", "left")
         per_vector = cores.unionByName(others.select("vec", "cluster", F.lit(False).alias("is_core")))
-    return back_to_posts(df, vec, base, per_vector, hot_rows)
+    return back_to_posts(df, vec, base if most >= hot_rows else None, per_vector, hot_rows)
 
 
 def attach_borders(edges: DataFrame, owned: DataFrame) -> DataFrame:

@@ -13,17 +13,17 @@ from ..session import settle, shuffle_width
 HOT_ROWS = 1_000_000
 
 
-def hot_key_join(facts: DataFrame, dim: DataFrame, key: Sequence[str], hot: DataFrame, how: str = "left"):
+def hot_key_join(facts: DataFrame, dim: DataFrame, key: Sequence[str], hot: DataFrame | None, how: str = "left"):
     """Join ``facts`` to ``dim`` (unique on ``key``) when a key may hold a large share of ``facts``.
 
-    ``hot`` lists the frequent keys, taken from a count the caller has anyway and cut at
+    ``hot`` lists the frequent keys (None if there are none), taken from a count the caller has anyway and cut at
     :data:`HOT_ROWS`, so it is small enough to broadcast. Their fact rows stay where they are;
     all other rows take an ordinary shuffle join.
     """
     key = list(key)
-    hot = hot.select(*key)
-    if hot.isEmpty():
+    if hot is None or hot.isEmpty():
         return facts.join(dim, key, how)
+    hot = hot.select(*key)
     hot_dim = F.broadcast(hot.join(dim, key, how))
     common = facts.join(hot_dim, key, "inner")
     rest = facts.join(F.broadcast(hot), key, "left_anti").join(dim, key, how)

@@ -95,18 +95,22 @@ def _pair_keys(n_blocks: int) -> Column:
     )
 
 
-def blocked(df: DataFrame, id: str, vec: str, block_rows: int) -> tuple[DataFrame, int]:
-    """Distinct vectors with their block, and the number of blocks."""
+def blocked(df: DataFrame, id: str, vec: str, block_rows: int) -> tuple[DataFrame, int, int, int]:
+    """Distinct vectors with their block, the number of blocks and of posts, and the most
+    copies of one vector."""
     base = settle(distinct_vectors(df, id, vec))
-    n_blocks = block_count(base.count(), df.sparkSession.sparkContext.defaultParallelism, block_rows)
-    return base.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("long")), n_blocks
+    n, posts, most = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    n_blocks = block_count(n, df.sparkSession.sparkContext.defaultParallelism, block_rows)
+    block = F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("long")
+    return base.withColumn("block", block), n_blocks, posts, most
 
 
-def back_to_posts(df: DataFrame, vec: str, base: DataFrame, per_vector: DataFrame, hot_rows: int) -> DataFrame:
-    """Give every row of ``df`` the columns of its vector; one vector may hold many copies."""
+def back_to_posts(df: DataFrame, vec: str, base: DataFrame | None, per_vector: DataFrame, hot_rows: int) -> DataFrame:
+    """Give every row of ``df`` the columns of its vector. ``base`` tells which vectors hold
+    very many copies, None if none does."""
     key = lambda t: t.withColumn("_vkey", F.xxhash64("vec"))
     posts = key(df.withColumn("vec", F.col(vec).cast("array<double>")))
-    hot = key(base.filter(F.col("copies") > hot_rows)).select("_vkey", "vec")
+    hot = None if base is None else key(base.filter(F.col("copies") >= hot_rows)).select("_vkey", "vec")
     return hot_key_join(posts, key(per_vector), ["_vkey", "vec"], hot).drop("_vkey", "vec")
 
 
@@ -152,9 +156,9 @@ def neighbour_counts(
     df: DataFrame, id: str, vec: str, eps: float = 0.4, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``(id, neighbours)``: posts within ``eps`` of each post, itself not counted."""
-    base, n_blocks = blocked(df, id, vec, block_rows)
+    base, n_blocks, _, most = blocked(df, id, vec, block_rows)
     per_vector = with_degree(base, n_blocks, eps).select("vec", "degree")
-    counted = back_to_posts(df.select(id, vec), vec, base, per_vector, hot_rows)
+    counted = back_to_posts(df.select(id, vec), vec, base if most >= hot_rows else None, per_vector, hot_rows)
     return counted.select(id, (F.col("degree") - 1).alias("neighbours"))
 
 

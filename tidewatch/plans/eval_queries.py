@@ -138,7 +138,7 @@ ends AS (SELECT label, {ends}, n FROM raw_ends),
 edges AS (SELECT label, i AS bin, lo, hi, n, i * ((hi - lo) / {bins}.0) + lo AS left_edge,
   CASE WHEN i = {bins - 1} THEN hi ELSE (i + 1) * ((hi - lo) / {bins}.0) + lo END AS right_edge FROM ends, range({bins}) r(i)),
 histogram AS (SELECT e.label, bin, left_edge, (hi - lo) / {bins} AS width, count(s.score) AS n_rows,
-  count(s.score) / (n * (hi - lo) / {bins}) AS density
+  count(s.score) / (n * ((hi - lo) / {bins})) AS density
   FROM edges e LEFT JOIN scored s ON s.label = e.label AND s.score >= left_edge
     AND (s.score < right_edge OR bin = {bins - 1}) GROUP BY e.label, bin, left_edge, lo, hi, n)"""
 

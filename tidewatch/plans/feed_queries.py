@@ -29,16 +29,16 @@ def ranked_incidents(t):
 
 
 def snapshots(t):
-    """Two published snapshots: all incidents, then those with more than one post."""
+    """Two published snapshots: all incidents, then those with an even number."""
     every = t.incidents.withColumns({"lat": F.col("incident") / 10.0, "lng": F.lit(None).cast("double")})
     first = every.withColumn("batch_id", F.lit(1))
-    return first.unionByName(every.filter("post_count > 1").withColumn("batch_id", F.lit(2)))
+    return first.unionByName(every.filter("incident % 2 = 0").withColumn("batch_id", F.lit(2)))
 
 
 @query(
     f"""{I} SELECT incident_key, cluster_id, representative_text, post_count, {S.iso('first_seen')} AS first_seen,
   {S.iso('last_seen')} AS last_seen, round(urgency_score, 6) AS urgency_score, urgency_label, incident / 10.0 AS lat,
-  NULL::DOUBLE AS lng FROM incidents WHERE post_count > 1"""
+  NULL::DOUBLE AS lng FROM incidents WHERE incident % 2 = 0"""
 )
 def incident_feed(t):
     feed = D.incident_feed(snapshots(t))

@@ -38,12 +38,12 @@ hits AS (
   JOIN keys ON key = phrase),
 best AS (SELECT id, i, max(n) AS n, arg_max(key, n) AS key FROM hits GROUP BY id, i),
 walk AS (
-  SELECT id, 1 AS free, 0 AS step, NULL::VARCHAR AS key, 0 AS at FROM notes
+  SELECT id, 1 AS free, 0 AS step, NULL::VARCHAR AS key, 0 AS spot FROM notes
   UNION ALL
   SELECT w.id, (b.i + b.n)::INT, w.step + 1, b.key, b.i::INT FROM walk w JOIN best b ON b.id = w.id
   WHERE b.i = (SELECT min(i) FROM best x WHERE x.id = w.id AND x.i >= w.free)),
-firsts AS (SELECT id, key, min(at) AS at FROM walk WHERE key IS NOT NULL GROUP BY id, key)
-SELECT n.id, coalesce(string_agg(key, '|' ORDER BY at), '') AS places FROM notes n LEFT JOIN firsts f USING (id)
+firsts AS (SELECT id, key, min(spot) AS spot FROM walk WHERE key IS NOT NULL GROUP BY id, key)
+SELECT n.id, coalesce(string_agg(key, '|' ORDER BY spot), '') AS places FROM notes n LEFT JOIN firsts f USING (id)
 GROUP BY n.id"""
 )
 def extract_places(t):

@@ -75,23 +75,16 @@ def core_points(t):
 
 
 @query(
-    """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS k FROM orders WHERE o_custkey % 7 <> 0),
-near AS (SELECT least(c, n) AS a, greatest(c, n) AS b FROM (
-  SELECT c, lead(c) OVER (PARTITION BY k // 64 ORDER BY k, c) AS n FROM o) WHERE n IS NOT NULL AND c <> n),
-edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
-reach(i, j) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT r.i, e.b FROM reach r JOIN edges e ON e.a = r.j)
-SELECT i AS id, min(j) AS component FROM reach GROUP BY i"""
-    if False
-    else """WITH RECURSIVE edges AS (
-  SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE n_chars % 3 <> 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)),
-both AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
-reach(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, e.b FROM reach r JOIN both e ON e.a = r.j)
+    """WITH RECURSIVE edges AS (
+  SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE n_chars % 5 <> 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)),
+twice AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, e.b FROM reach r JOIN twice e ON e.a = r.j)
 SELECT i AS id, min(j) AS component FROM reach GROUP BY i"""
 )
 def components(t):
     """Runs of neighbouring documents: long chains, the hard case for propagation."""
     docs = t.documents.select(F.col("doc_id").alias("id"), "n_chars")
-    edges = docs.filter("n_chars % 3 <> 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    edges = docs.filter("n_chars % 5 <> 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     edges = edges.join(docs.select(F.col("id").alias("b")), "b", "left_semi")
     return connect(docs.select("id"), edges)
 
