@@ -46,7 +46,10 @@ def cluster_window(
         is_core = ((F.col("size") >= min_samples) & ~lone_zero) | F.lit(min_samples <= 1)
         # A component that matters for the size is already named, so sizes joins on its name.
         per_vector = named.join(sizes, "component").select(
-            "vec", F.when(is_core, F.col("component")).alias("cluster"), is_core.alias("is_core")
+            "vec",
+            F.when(is_core & ~lone_zero, F.col("component")).alias("cluster"),
+            is_core.alias("is_core"),
+            (is_core & lone_zero).alias("_own"),
         )
     else:
         base = settle(
@@ -60,7 +63,10 @@ def cluster_window(
         cores = named.select("vec", F.col("component").alias("cluster"), F.lit(True).alias("is_core"))
         others = base.filter("not core").join(borders, "rep", "left")
         per_vector = cores.unionByName(others.select("vec", "cluster", F.lit(False).alias("is_core")))
-    return back_to_posts(df, vec, base if most >= hot_rows else None, per_vector, hot_rows)
+        per_vector = per_vector.withColumn("_own", F.lit(False))
+    placed = back_to_posts(df, vec, base if most >= hot_rows else None, per_vector, hot_rows)
+    # Zero vectors are near nothing: where a single post may be a cluster, each is its own.
+    return placed.withColumn("cluster", F.when(F.col("_own"), F.col(id)).otherwise(F.col("cluster"))).drop("_own")
 
 
 def attach_borders(edges: DataFrame, owned: DataFrame) -> DataFrame:

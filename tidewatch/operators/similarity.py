@@ -118,7 +118,7 @@ def _vector_degrees(base: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     """Per distinct vector, how many posts lie within ``eps`` of a copy of it (itself and its
     other copies included); zero vectors are near nothing but themselves."""
 
-    def count_pair(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def count_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lo, hi = divmod(int(key[0]), n_blocks)
         a = rows[rows["block"] == lo]
         b = a if lo == hi else rows[rows["block"] == hi]
@@ -175,7 +175,7 @@ def group_links(base: DataFrame, n_blocks: int, eps: float) -> tuple[DataFrame,
     most one row per group and block pair.
     """
 
-    def inside(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def inside(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", ignore_index=True)
         x, ids = _matrix(rows["vec"]), rows["rep"].to_numpy()
         parent = np.arange(len(rows))
@@ -187,7 +187,7 @@ def group_links(base: DataFrame, n_blocks: int, eps: float) -> tuple[DataFrame,
     cores = base.filter("core").select("vec", "rep", "copies", "block")
     local = settle(cores.groupBy("block").applyInPandas(inside, local_schema))
 
-    def across(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lo, hi = divmod(int(key[0]), n_blocks)
         a, b = rows[rows["block"] == lo], rows[rows["block"] == hi]
         groups, code = np.unique(np.concatenate([a["local"].to_numpy(), b["local"].to_numpy()]), return_inverse=True)
@@ -214,7 +214,7 @@ def border_links(base: DataFrame, n_blocks: int, eps: float) -> DataFrame:
     A non-core vector has fewer than ``min_samples`` neighbours, so the output is bounded.
     """
 
-    def reach(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def reach(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lo, hi = divmod(int(key[0]), n_blocks)
         sides = [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]
         out = []

@@ -45,14 +45,20 @@ COLUMN_RULES = {
 }
 
 
-def resolve_columns(df: DataFrame, rules: str = "generic") -> DataFrame | None:
-    """``raw_text, label`` under whatever names the table uses, or None if it has no such
-    columns. Names are compared without case; the first fitting one counts."""
+def find_columns(columns, rules: str = "generic") -> tuple[str, str] | None:
+    """Names of the text and the label column, or None if the table lacks one of them. Names
+    are compared without case; the first fitting one counts."""
     text_rule, label_rule = COLUMN_RULES[rules]
-    text, label = first_name(df.columns, text_rule), first_name(df.columns, label_rule)
-    if text is None or label is None:
+    text, label = first_name(columns, text_rule), first_name(columns, label_rule)
+    return None if text is None or label is None else (text, label)
+
+
+def resolve_columns(df: DataFrame, rules: str = "generic") -> DataFrame | None:
+    """``raw_text, label`` under whatever names the table uses, or None."""
+    found = find_columns(df.columns, rules)
+    if found is None:
         return None
-    return df.select(F.col(f"`{text}`").alias("raw_text"), F.col(f"`{label}`").alias("label"))
+    return df.select(F.col(f"`{found[0]}`").alias("raw_text"), F.col(f"`{found[1]}`").alias("label"))
 
 
 def read_event_label_csvs(spark: SparkSession, root: str) -> DataFrame:
@@ -63,24 +69,26 @@ def read_event_label_csvs(spark: SparkSession, root: str) -> DataFrame:
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", EVENT_FILES).text(root)
     heads = (
-        lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-        .filter("at = 0")
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("spot"),
+            "value",
+        )
         .groupBy("path")
-        .agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+        .agg(F.min_by("value", "spot").alias("header"))
     )
     # One short row per file and one list per distinct header.
     groups = heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
     tables = []
     for group in groups:
         table = _csv(spark).csv(sorted(group.paths))
-        named = resolve_columns(table.withColumn("_file", F.col("_metadata.file_name")), "events")
-        if named is None:
+        found = find_columns(table.columns, "events")
+        if found is None:
             continue
-        text, label = (first_name(table.columns, rule) for rule in COLUMN_RULES["events"])
         tables.append(
             table.select(
-                F.col(f"`{text}`").alias("raw_text"),
-                F.col(f"`{label}`").alias("raw_label"),
+                F.col(f"`{found[0]}`").alias("raw_text"),
+                F.col(f"`{found[1]}`").alias("raw_label"),
                 F.regexp_replace(F.col("_metadata.file_name"), "-tweets_labeled\\.csv$", "").alias("event"),
             )
         )
