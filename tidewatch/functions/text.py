@@ -108,6 +108,12 @@ def strip_accents(c) -> Column:
     return F.translate(_col(c), source, target)
 
 
+def accent_map() -> dict[int, int | None]:
+    """The same table for ``str.translate`` inside tasks."""
+    source, target = _accent_table()
+    return {ord(c): ord(target[i]) if i < len(target) else None for i, c in enumerate(source)}
+
+
 def ngrams(tokens, lo: int = 1, hi: int = 2) -> Column:
     """Word n-grams of every size from ``lo`` to ``hi``, joined by one blank."""
     none = F.array().cast("array<string>")

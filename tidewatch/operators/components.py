@@ -28,39 +28,38 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def _linked_components(edges: DataFrame, hot_rows: int) -> DataFrame:
     edges = settle(_ordered(edges))
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    level = ends.withColumns({"low": F.col("id"), "n": F.lit(1).cast("long")})
-    # Per round: the nodes with the smallest original id each stands for, and which node each
-    # was merged into.
-    merged: list[tuple[DataFrame, DataFrame]] = []
+    merged: list[DataFrame] = []  # per round: which node each node was merged into
     has_hot = False
     while True:
         into = settle(_targets(edges, len(merged)))
         size, most = into.agg(F.count(F.lit(1)), F.max("n")).first()
         if size == 0:
             break
-        # A node merges with neighbours only, so the most neighbours bound both joins below.
+        # A node merges with neighbours only, so the most neighbours bound the joins below.
         has_hot = has_hot or most >= hot_rows
-        merged.append((level, into))
         hot = into.filter(F.col("n") >= hot_rows) if has_hot else None
-        moved = _renamed(_renamed(edges, "a", into, hot), "b", into, hot)
-        level = settle(
-            level.join(into.select("id", "into"), "id")
-            .groupBy(F.col("into").alias("id"))
-            .agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("n"))
-        )
-        edges = settle(_ordered(moved))
-
-    # Back from the last round to the first: a node takes the name of what it merged into.
-    names = level.select("id", F.col("low").alias("component"), "n")
-    for before, into in reversed(merged):
-        targets = names.select(F.col("id").alias("into"), "component", "n")
-        hot = targets.filter(F.col("n") >= hot_rows) if has_hot else None
-        named = hot_key_join(into.select("id", "into"), targets.drop("n"), ["into"], hot).drop("into")
-        names = before.join(named, "id", "left").withColumn("component", F.coalesce("component", "low"))
-        if has_hot:
-            names = settle(names)
-    return names.select("id", "component")
+        merged.append(into.select("id", "into"))
+        edges = settle(_ordered(_renamed(_renamed(edges, "a", into, hot), "b", into, hot)))
+    if not merged:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+    # Back from the last round to the first: a node ends where its target ends.
+    ends = merged[-1].withColumnRenamed("into", "end")
+    for into in reversed(merged[:-1]):
+        target = ends.withColumnsRenamed({"id": "into"})
+        ends = hot_key_join(into, target, ["into"], _hot(into, "into", hot_rows, has_hot))
+        ends = ends.select("id", F.coalesce("end", "into").alias("end"))
+        ends = settle(ends) if has_hot else ends
+    ends = settle(ends)
+    lowest = ends.groupBy("end").agg(F.min("id").alias("component"))
+    sized = ends.groupBy("end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows)
+    return hot_key_join(ends, lowest, ["end"], settle(sized.select("end"))).select("id", "component")
+
+
+def _hot(df: DataFrame, c: str, hot_rows: int, wanted: bool) -> DataFrame | None:
+    if not wanted:
+        return None
+    return settle(df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_rows).select(c))
 
 
 def _targets(edges: DataFrame, turn: int) -> DataFrame:

@@ -6,31 +6,34 @@ import math
 import re
 from collections import Counter
 from collections.abc import Sequence
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import keep_nonempty, strip_accents, term_counts, terms
+from ..functions.text import accent_map, clean_text, term_counts, terms
 
 MAX_FEATURES = 10_000
 GATE = 0.3
 
 
-def document_terms(df: DataFrame, doc: str, clean: str = "text") -> DataFrame:
-    """Long table ``(doc, term, tf)``; counted inside each row, so no shuffle."""
-    counted = df.select(doc, F.explode(term_counts(terms(clean))).alias("t"))
-    return counted.select(doc, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
+def document_terms(df: DataFrame, doc: str, clean: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Long table ``(doc, *keep, term, tf)``; counted inside each row, so no shuffle."""
+    counted = df.select(doc, *keep, F.explode(term_counts(terms(clean))).alias("t"))
+    return counted.select(doc, *keep, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
 
 
-def build_vocabulary(doc_terms: DataFrame, min_df: int = 2, max_features: int = MAX_FEATURES) -> DataFrame:
+def build_vocabulary(
+    doc_terms: DataFrame, min_df: int = 2, max_features: int = MAX_FEATURES, extra: Sequence[Column] = ()
+) -> DataFrame:
     """Terms in at least ``min_df`` documents, cut to the most frequent in the whole corpus.
 
-    One pre-aggregated shuffle on the term. The cut is what bounds every later broadcast of
+    One pre-aggregated shuffle on the term, which can compute ``extra`` aggregates as well. The cut is what bounds every later broadcast of
     the vocabulary.
     """
     return (
         doc_terms.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), *extra)
         .filter(F.col("df") >= min_df)
         .orderBy(F.desc("cf"), "term")
         .limit(max_features)
@@ -66,12 +69,18 @@ def term_values(vocab: DataFrame, columns: Sequence[str], max_terms: int = MAX_F
     return {r[0]: tuple(r)[1:] for r in rows}
 
 
-def _weigh(text: str, known: dict[str, tuple]) -> list[tuple[str, float]]:
-    """Unit-length weights of the known terms of one cleaned text. ``known`` starts with idf."""
-    words = re.findall(r"\w{2,}", text or "")
-    counts = Counter(words)
-    counts.update(map(" ".join, zip(words, words[1:])))
-    raw = [(t, (math.log(counts[t]) + 1.0) * known[t][0]) for t in counts.keys() & known.keys()]
+def _weigh(text: str | None, known: dict[str, tuple], accents: dict[int, int | None]) -> list[tuple[str, float]]:
+    """Unit-length weights of the known terms of one cleaned text. ``known`` starts with idf.
+
+    A cleaned text consists of words and single blanks, so splitting it gives the words.
+    """
+    text = text or ""
+    if not text.isascii():
+        text = text.translate(accents)
+    words = [w for w in text.split() if len(w) > 1]
+    pairs = map(" ".join, zip(words, words[1:]))
+    counts = Counter(filter(known.__contains__, chain(words, pairs)))
+    raw = [(t, (math.log(n) + 1.0) * known[t][0]) for t, n in counts.items()]
     norm = math.sqrt(sum(w * w for _, w in raw))
     return [(t, w / norm) for t, w in raw]
 
@@ -82,13 +91,13 @@ def weighted_terms(clean: str, vocab: DataFrame) -> Column:
     Texts stay in their rows: no join with the vocabulary and no shuffle. The Arrow batches
     were measured about five times faster here than the same lookups with array functions.
     """
-    known = vocab.sparkSession.sparkContext.broadcast(term_values(vocab, ["idf"]))
+    shared = vocab.sparkSession.sparkContext.broadcast((term_values(vocab, ["idf"]), accent_map()))
 
     @F.pandas_udf("array<struct<term:string,w:double>>")
     def weigh(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"term": t, "w": w} for t, w in _weigh(text, known.value)] for text in texts])
+        return pd.Series([[{"term": t, "w": w} for t, w in _weigh(text, *shared.value)] for text in texts])
 
-    return weigh(strip_accents(clean))
+    return weigh(F.col(clean))
 
 
 def tfidf(docs: DataFrame, vocab: DataFrame, doc: str, clean: str = "text") -> DataFrame:
@@ -111,17 +120,26 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def score_column(clean: str, weights: DataFrame, intercept: float) -> Column:
-    """Decision score of a cleaned text. Declared non-deterministic only so that a filter on
-    the score does not make Spark compute it a second time."""
-    known = weights.sparkSession.sparkContext.broadcast(term_values(weights, ["idf", "coef"]))
+def score_column(clean: str, weights: DataFrame, intercept: float, empty_scores: bool = True) -> Column:
+    """Decision score of a cleaned text; with ``empty_scores=False`` an empty text has none.
+
+    Declared non-deterministic only so that a filter on the score does not make Spark compute
+    it a second time.
+    """
+    shared = weights.sparkSession.sparkContext.broadcast((term_values(weights, ["idf", "coef"]), accent_map()))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        table = known.value
-        return pd.Series([intercept + sum(w * table[t][1] for t, w in _weigh(text, table)) for text in texts], dtype=float)
+        known, accents = shared.value
+        return pd.Series(
+            [
+                intercept + sum(w * known[t][1] for t, w in _weigh(text, known, accents)) if text or empty_scores else None
+                for text in texts
+            ],
+            dtype=float,
+        )
 
-    return score.asNondeterministic()(strip_accents(clean))
+    return score.asNondeterministic()(F.col(clean))
 
 
 def decision_score(docs: DataFrame, weights: DataFrame, intercept: float, clean: str = "text") -> DataFrame:
@@ -141,9 +159,18 @@ def noise_gate(df: DataFrame, score: str = "score", threshold: float = GATE) ->
 def gate_posts(
     posts: DataFrame, weights: DataFrame, intercept: float, raw: str = "text", threshold: float = GATE
 ) -> DataFrame:
-    """Clean, score and filter raw posts in one pass over them."""
-    scored = decision_score(keep_nonempty(posts, raw, "_clean"), weights, intercept, "_clean")
-    return noise_gate(scored, "score", threshold).drop("_clean")
+    """Clean, score and filter raw posts in one pass over them.
+
+    Posts that cleaning leaves empty get no score and so never pass; a separate filter on the
+    cleaned text would make Spark clean every post twice.
+    """
+    return noise_gate(scored_posts(posts, weights, intercept, raw), "score", threshold)
+
+
+def scored_posts(posts: DataFrame, weights: DataFrame, intercept: float, raw: str = "text") -> DataFrame:
+    """Add ``score`` to raw posts, null where cleaning leaves nothing."""
+    cleaned = posts.withColumn("_clean", clean_text(raw))
+    return cleaned.withColumn("score", score_column("_clean", weights, intercept, empty_scores=False)).drop("_clean")
 
 
 def gate_stats(df: DataFrame, score: str = "score", threshold: float = GATE) -> DataFrame:

@@ -20,18 +20,24 @@ def drop_exact(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["raw_text", "label"])
 
 
-def _text_labels(df: DataFrame) -> DataFrame:
-    return df.groupBy("text").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+def fingerprint(c: str):
+    """Short key for comparing long texts: 16 bytes move instead of the text."""
+    return F.unhex(F.md5(c))
+
+
+def _text_labels(df: DataFrame, *key) -> DataFrame:
+    return df.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
 
 
 def drop_label_conflicts(df: DataFrame) -> DataFrame:
     """Drop every row whose cleaned text occurs with more than one label.
 
-    Only the conflicting texts are joined back; texts with a single label never leave the
-    anti join's build side, and a frequent text is one row there.
+    Fingerprints are grouped, and only those of conflicting texts come back, one row each; the
+    join is left without a hint, so Spark broadcasts them only after seeing their size.
     """
-    conflicts = _text_labels(df).filter(F.col("lo") != F.col("hi")).select("text")
-    return df.join(conflicts, "text", "left_anti").select(*df.columns)
+    conflicts = _text_labels(df, fingerprint("text").alias("_print")).filter("lo <> hi").select("_print")
+    marked = df.withColumn("_print", fingerprint("text"))
+    return marked.join(conflicts, "_print", "left_anti").select(*df.columns)
 
 
 def dedupe_labelled(df: DataFrame) -> DataFrame:
@@ -39,15 +45,16 @@ def dedupe_labelled(df: DataFrame) -> DataFrame:
 
     What is left after the three steps is one row per cleaned text that has a single label.
     """
-    return _text_labels(df).filter(F.col("lo") == F.col("hi")).select("text", F.col("lo").alias("label"))
+    return _text_labels(df, "text").filter("lo = hi").select("text", F.col("lo").alias("label"))
 
 
 def dedupe_report(df: DataFrame) -> DataFrame:
     """How many rows each removal step takes, in one row.
 
-    Two nested aggregations: per original text and label, then per cleaned text.
+    Two nested aggregations over fingerprints: per original text and label, then per cleaned text.
     """
-    exact = df.groupBy("text", "label", "raw_text").agg(F.count(F.lit(1)).alias("n"))
+    prints = df.select(fingerprint("text").alias("text"), "label", fingerprint("raw_text").alias("raw_text"))
+    exact = prints.groupBy("text", "label", "raw_text").agg(F.count(F.lit(1)).alias("n"))
     by_text = exact.groupBy("text").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("n_exact"),
@@ -105,7 +112,7 @@ def source_counts(df: DataFrame, source: str, file: str) -> DataFrame:
 
 def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A reproducible shuffle: global sort on a keyed hash."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)
+    return df.orderBy(_hash(key, seed), key)
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str] = ("text", "label")) -> DataFrame:
@@ -129,11 +136,15 @@ def stratified_split(
     if not exact:
         share = hash_share(F.col(key), F.lit(seed))
         return df.withColumn("split", F.when(share < test, "test").otherwise("train"))
-    ranked = _hash_rank(df, label, key, seed)
-    sizes = F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))  # one row per class
+    hashed = _hash_keys(df, label, key, seed)
+    sizes = F.broadcast(hashed.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(test)).alias("_take")))
+    cuts = running_rank(hashed, ["_h", key], "_rank", within=[label]).join(sizes, label).filter("_rank = _take")
+    # One row per class: the last test row. The rows themselves only compare with it.
+    cut = F.broadcast(cuts.select(label, F.struct("_h", key).alias("_cut")))
+    before = F.struct(_hash(key, seed).alias("_h"), F.col(key)) <= F.col("_cut")
     return (
-        ranked.join(sizes, label)
-        .withColumn("split", F.when(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test)), "test").otherwise("train"))
+        df.join(cut, label, "left")
+        .withColumn("split", F.when(before, "test").otherwise("train"))
         .select(*df.columns, "split")
     )
 
@@ -142,13 +153,18 @@ def assign_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42
     """Add ``fold`` 0..k-1; as in :func:`stratified_split`, exact balance costs a shuffle."""
     if not exact:
         return df.withColumn("fold", F.floor(hash_share(F.col(key), F.lit(seed)) * k).cast("int"))
-    ranked = _hash_rank(df, label, key, seed)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).select(*df.columns, "fold")
+    ranked = running_rank(_hash_keys(df, label, key, seed), ["_h", key], "_rank", within=[label])
+    folds = ranked.select(key, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
+    return df.join(folds, key).select(*df.columns, "fold")
+
+
+def _hash(key: str, seed: int):
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def _hash_rank(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    return running_rank(hashed, ["_h", key], "_rank", within=[label])
+def _hash_keys(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """What a ranking needs, without the texts."""
+    return df.select(label, key, _hash(key, seed).alias("_h"))
 
 
 def eval_scope(df: DataFrame, min_rows: int = 120) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions.text import strip_accents
+from ..functions.text import accent_map
 from ..session import settle
 from .features import (
     MAX_FEATURES, _weigh, balanced_weights, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf,
@@ -32,15 +32,15 @@ def sparse_features(clean: str, vocab: DataFrame, size: int) -> Column:
     A task returns positions and values; the vector type is a struct with a user-defined name,
     and reading the struct back from JSON attaches that name inside the JVM.
     """
-    known = vocab.sparkSession.sparkContext.broadcast(term_values(vocab, ["idf", "position"]))
+    shared = vocab.sparkSession.sparkContext.broadcast((term_values(vocab, ["idf", "position"]), accent_map()))
 
     @F.pandas_udf("struct<indices:array<int>,values:array<double>>")
     def locate(texts: pd.Series) -> pd.DataFrame:
-        table = known.value
-        rows = [sorted((table[t][1], w) for t, w in _weigh(text, table)) for text in texts]
+        known, accents = shared.value
+        rows = [sorted((known[t][1], w) for t, w in _weigh(text, known, accents)) for text in texts]
         return pd.DataFrame({"indices": [[i for i, _ in r] for r in rows], "values": [[w for _, w in r] for r in rows]})
 
-    parts = locate(strip_accents(clean))
+    parts = locate(F.col(clean))
     fields = F.struct(
         F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), parts["indices"].alias("indices"),
         parts["values"].alias("values"),

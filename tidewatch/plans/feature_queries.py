@@ -37,7 +37,7 @@ def l2_normalise(t):
 
 @query(f"{V}, {S.TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM tfidf")
 def tfidf(t):
-    return Q.tfidf(t.training, t.vocabulary, "doc_id").withColumn("w", F.round("w", 6))
+    return Q.tfidf(t.corpus, t.vocabulary, "doc_id").withColumn("w", F.round("w", 6))
 
 
 @query(

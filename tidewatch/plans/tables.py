@@ -46,29 +46,33 @@ class Tables:
 
     @cached_property
     def training(self) -> DataFrame:
-        """Cleaned once, read by several passes."""
-        return settle(self.labelled.filter(F.length("text") > 0))
+        return self.labelled.filter(F.length("text") > 0)
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """The training rows, cleaned once for the queries that pass over them several times."""
+        return settle(self.training.select("doc_id", "label", "raw_text", "text"))
 
     @cached_property
     def doc_terms(self) -> DataFrame:
-        return document_terms(self.training, "doc_id")
+        return document_terms(self.corpus, "doc_id")
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return idf(build_vocabulary(self.doc_terms), self.training.count())
+        return idf(build_vocabulary(self.doc_terms), self.corpus.count())
 
     @cached_property
     def weights(self) -> DataFrame:
         """Weights any engine can compute: how much more often a term occurs in positive texts."""
-        sizes = self.training.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-        counted = document_terms(self.training.withColumn("_d", F.struct("doc_id", "label")), "_d")
-        share = lambda value, n: F.count_if(F.col("_d.label") == value) / F.lit(float(n))
-        contrast = counted.groupBy("term").agg((F.lit(10.0) * (share(1, sizes[0]) - share(0, sizes[1]))).alias("coef"))
-        return settle(self.vocabulary.join(contrast, "term").select("term", "idf", "coef"))
+        n1, n0 = self.corpus.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+        share = lambda value, n: F.count_if(F.col("label") == value) / F.lit(float(n))
+        contrast = (F.lit(10.0) * (share(1, n1) - share(0, n0))).alias("coef")
+        terms = document_terms(self.corpus, "doc_id", keep=["label"])
+        return settle(idf(build_vocabulary(terms, extra=[contrast]), n1 + n0).select("term", "idf", "coef"))
 
     @cached_property
     def scored(self) -> DataFrame:
-        rows = decision_score(self.training, self.weights, INTERCEPT)
+        rows = decision_score(self.corpus, self.weights, INTERCEPT)
         return rows.select("doc_id", "label", "raw_text", F.round("score", 6).alias("score"))
 
     @cached_property

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hooks import embed
 from ..functions.text import URGENT_WORDS
-from ..operators.features import GATE, gate_posts, gate_stats
+from ..operators.features import GATE, gate_posts, gate_stats, scored_posts
 from ..operators.feed import FEED_COLUMNS, digest, incident_sources
 from ..operators.incidents import find_incidents
 from ..operators.places import extract_places, geocode
@@ -122,7 +122,7 @@ def incident_stream(
             write_window(kept_posts(batch), state, batch_id)
             table = spark.read.schema(f"{schema}, minute long, batch long").parquet(state)
             now = clock(table) if clock else latest_moment(table)
-            stats = gate_stats(_scored(batch, weights, intercept), "score", settings.threshold)
+            stats = gate_stats(scored_posts(batch, weights, intercept), "score", settings.threshold)
             if now is not None:
                 window = window_state(spark, state, schema, now, settings.minutes)
                 incidents, members = refresh_incidents(window, now, gaz, settings)
@@ -137,14 +137,6 @@ def incident_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _scored(batch: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
-    from ..functions.text import clean_text
-    from ..operators.features import score_column
-
-    cleaned = batch.withColumn("_clean", clean_text("text"))
-    return cleaned.select(F.when(F.length("_clean") > 0, score_column("_clean", weights, intercept)).alias("score"))
-
-
 def digest_stream(
     spark: SparkSession, feed: str, out: str, checkpoint: str, max_words: int = 1200, **trigger
 ) -> StreamingQuery:
