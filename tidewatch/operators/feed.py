@@ -58,10 +58,12 @@ def map_summary(df: DataFrame) -> DataFrame:
 def incident_sources(members: DataFrame) -> DataFrame:
     """Every post of every incident with its 1-based position in order of arrival.
 
-    The long form of the source list: an incident of any size stays spread over tasks.
+    The long form of the source list: an incident of any size stays spread over tasks. Only
+    the ids are ranked; the texts move once, for the join on the unique id.
     """
-    ranked = running_rank(members.select("incident", "seq", "text"), ["seq"], "position", within=["incident"])
-    return ranked.select("incident", "position", "seq", "text")
+    ranked = running_rank(members.select("incident", "seq"), ["seq"], "position", within=["incident"])
+    texts = members.select("seq", "text")
+    return ranked.join(texts, "seq").select("incident", "position", "seq", "text")
 
 
 def source_chunks(sources: DataFrame, size: int = 1000) -> DataFrame:

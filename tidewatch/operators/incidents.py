@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urgency as U
 from ..functions.text import URGENT_WORDS, cluster_name, has_keyword, incident_key, singleton_name
@@ -16,6 +16,8 @@ from .scale import HOT_ROWS, running_rank
 from .similarity import BLOCK_ROWS, back_to_posts, blocked, border_links, group_links, unit_vector, with_degree
 from .window import WINDOW_MINUTES, moment
 
+LONE_DENSITY = 0.5
+
 
 def cluster_window(
     df: DataFrame,
@@ -100,26 +102,23 @@ def representative(text, seq):
     return F.min_by(F.col(text), F.struct(-F.length(text), F.col(seq)))
 
 
-def cluster_density(df: DataFrame, cluster: Sequence[str], vec: str, singleton: float = 0.5) -> DataFrame:
-    """Mean pairwise cosine per cluster.
+def _unit_sums(vec: str):
+    """Sum and squares of the unit vectors, combined before the shuffle (an aggregate)."""
+    return Summarizer.metrics("sum", "normL2").summary(array_to_vector(unit_vector(vec))).alias("_units")
 
-    The sum over pairs follows from the length of the summed unit vectors, so the work is
-    linear; the sums are combined before the shuffle, one row per cluster and task.
-    """
-    cluster = [cluster] if isinstance(cluster, str) else list(cluster)
-    unit = df.select(*cluster, array_to_vector(unit_vector(vec)).alias("_u"))
-    sums = unit.groupBy(*cluster).agg(
-        Summarizer.sum(F.col("_u")).alias("_s"),
-        Summarizer.normL2(F.col("_u")).alias("_q"),
-        F.count(F.lit(1)).alias("_n"),
-    )
+
+def _mean_cosine(n: Column, singleton: float) -> Column:
+    """Mean cosine over all pairs. The sum over pairs follows from the length of the summed
+    unit vectors, so the work is linear in the posts."""
     square = lambda v: F.aggregate(vector_to_array(v), F.lit(0.0), lambda acc, e: acc + e * e)
-    return sums.select(
-        *cluster,
-        F.when(F.col("_n") == 1, F.lit(singleton))
-        .otherwise((square("_s") - square("_q")) / (F.col("_n") * (F.col("_n") - 1)))
-        .alias("density"),
-    )
+    pairs = square(F.col("_units.sum")) - square(F.col("_units.normL2"))
+    return F.when(n == 1, F.lit(singleton)).otherwise(pairs / (n * (n - 1)))
+
+
+def cluster_density(df: DataFrame, cluster: str, vec: str, singleton: float = LONE_DENSITY) -> DataFrame:
+    """Mean pairwise cosine per cluster; a lone post gets ``singleton``."""
+    sums = df.groupBy(cluster).agg(_unit_sums(vec), F.count(F.lit(1)).alias("_n"))
+    return sums.select(cluster, _mean_cosine(F.col("_n"), singleton).alias("density"))
 
 
 def summarise_clusters(
@@ -130,7 +129,7 @@ def summarise_clusters(
     normalise: bool = False,
     vec: str = "embedding",
 ) -> DataFrame:
-    """One row per incident: size, first and last post, representative, urgency.
+    """One row per incident: size, first and last post, representative, urgency; one shuffle.
 
     The texts of the members are a table of their own (``incident_sources``); no aggregate
     here grows with the size of an incident.
@@ -144,10 +143,14 @@ def summarise_clusters(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         U.keyword_weight("_flag").alias("keyword_weight"),
+        _unit_sums(vec),
     )
-    scored = facts.join(cluster_density(members, "incident", vec), "incident").withColumn(
-        "recency_weight", U.recency_weight("last_seen", moment(members, as_of), minutes)
-    )
+    scored = facts.withColumns(
+        {
+            "density": _mean_cosine(F.col("post_count"), LONE_DENSITY),
+            "recency_weight": U.recency_weight("last_seen", moment(members, as_of), minutes),
+        }
+    ).drop("_units")
     scored = scored.withColumn("urgency_score", U.urgency_score("keyword_weight", "density", "recency_weight"))
     return scored.withColumns(
         {"urgency_label": U.urgency_label("urgency_score"), "incident_key": incident_key("first_post")}
