@@ -69,14 +69,15 @@ def term_values(vocab: DataFrame, columns: Sequence[str], max_terms: int = MAX_F
     return {r[0]: tuple(r)[1:] for r in rows}
 
 
-def _weigh(text: str | None, known: dict[str, tuple], accents: dict[int, int | None]) -> list[tuple[str, float]]:
+def _weigh(text: str | None, known: dict[str, tuple], accents: dict[str, str]) -> list[tuple[str, float]]:
     """Unit-length weights of the known terms of one cleaned text. ``known`` starts with idf.
 
     A cleaned text consists of words and single blanks, so splitting it gives the words.
     """
     text = text or ""
     if not text.isascii():
-        text = text.translate(accents)
+        for accented in accents.keys() & set(text):
+            text = text.replace(accented, accents[accented])
     words = [w for w in text.split() if len(w) > 1]
     pairs = map(" ".join, zip(words, words[1:]))
     counts = Counter(filter(known.__contains__, chain(words, pairs)))
