@@ -85,11 +85,11 @@ def test_exact_split_and_folds_are_balanced(spark):
 
 def corpus(spark, n=160):
     rng = random.Random(11)
-    crisis, calm = "flood rescue trapped water bridge".split(), "music sale match movie party".split()
+    urgent, calm = "flood rescue trapped water bridge".split(), "music sale match movie party".split()
     rows = []
     for i in range(n):
         y = int(i % 3 != 0)
-        words = [rng.choice(crisis if y else calm) for _ in range(5)] + [rng.choice("today city people".split())]
+        words = [rng.choice(urgent if y else calm) for _ in range(5)] + [rng.choice("today city people".split())]
         rows.append((str(i), " ".join(words), y))
     return spark.createDataFrame(rows, "doc string, text string, label int")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import curves as C, metrics as M, training as T
+from ..operators.prep import dedupe_labelled, stratified_split
 from . import sql as S
 from .registry import query
 
@@ -208,16 +209,12 @@ def metrics_table(t):
 
 
 def deduped(t):
-    from ..operators.prep import dedupe_labelled
-
     return dedupe_labelled(t.training).withColumn("doc", F.md5("text"))
 
 
 @query()
 def train_linear(t):
     """Quality of a trained classifier on its held-out part."""
-    from ..operators.prep import stratified_split
-
     parts = stratified_split(deduped(t), "label", "doc")
     weights, intercept = T.fit_classifier(parts.filter("split = 'train'"), "doc")
     return M.averaged_metrics(T.predict(parts.filter("split = 'test'"), weights, intercept))

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from ..functions import urgency as U
-from ..functions.text import has_keyword
+from ..functions.text import has_keyword, iso_time
 from ..operators import incidents as I, similarity as N, window as W
 from ..operators.components import components as connect
+from ..operators.scale import running_rank
 from . import sql as S
 from .registry import query
 
 R = lambda c: F.round(c, 6).alias(c)
-A = f"WITH {S.ACTIVE}"
 
 
 @query(
@@ -109,11 +109,14 @@ def add_singletons(t):
     return t.members.select("seq", "incident", "lone")
 
 
-@query(f"{A} SELECT seq, NULL::BIGINT AS cluster FROM (SELECT * FROM active ORDER BY ts DESC, seq LIMIT 2)")
+@query(
+    f"""WITH RECURSIVE {S.POSTS}, clock AS (SELECT max(ts) AS as_of FROM posts),
+active AS (SELECT posts.* FROM posts, clock WHERE ts >= as_of - INTERVAL 30 MINUTE), {S.clusters('active')}
+SELECT seq, CASE WHEN (SELECT count(*) FROM active) >= 3 THEN cluster END AS cluster FROM clustered"""
+)
 def small_window(t):
-    """The two newest posts: too few to cluster."""
-    newest = t.active.orderBy(F.desc("ts"), "seq").limit(2)
-    return I.cluster_window(newest, eps=S.EPS).select("seq", "cluster")
+    """The published half hour, which may hold too few posts to cluster."""
+    return I.cluster_window(W.active_window(t.posts, t.as_of), eps=S.EPS).select("seq", "cluster")
 
 
 @query(f"WITH RECURSIVE {S.INCIDENTS} SELECT incident, cluster_id, incident_key FROM incidents")
@@ -127,8 +130,6 @@ def number_clusters(t):
   round(recency_weight, 6) AS recency_weight, round(urgency_score, 6) AS urgency_score, urgency_label FROM incidents"""
 )
 def summarise_clusters(t):
-    from ..functions.text import iso_time
-
     return t.incidents.select(
         "incident", "representative_text", "post_count", iso_time("first_seen").alias("first_seen"),
         iso_time("last_seen").alias("last_seen"), R("keyword_weight"), R("density"), R("recency_weight"),
@@ -207,8 +208,6 @@ def urgency_label(t):
     "(ORDER BY urgency_score DESC, lone, incident) AS position FROM incidents"
 )
 def rank_incidents(t):
-    from ..operators.scale import running_rank
-
     order = [F.desc("urgency_score"), "lone", "incident"]
     ranked = running_rank(I.rank_incidents(t.incidents.select("incident", "urgency_score", "lone")), order, "position")
     return ranked.select("incident", R("urgency_score"), "position")
