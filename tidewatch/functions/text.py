@@ -157,7 +157,7 @@ def term_counts(terms_col) -> Column:
         )
 
     return let(
-        F.array_sort(_col(terms_col)),
+        F.sort_array(_col(terms_col)),
         lambda ordered: F.when(
             F.size(ordered) > 0, let(run_ends(ordered), lambda ends: runs(ordered, ends))
         ).otherwise(none),

@@ -69,7 +69,7 @@ def incident_sources(members: DataFrame) -> DataFrame:
 def source_chunks(sources: DataFrame, size: int = 1000) -> DataFrame:
     """The source list as arrays of at most ``size`` texts in order, ``chunk`` 0, 1, ..."""
     grouped = sources.withColumn("chunk", F.floor((F.col("position") - 1) / size)).groupBy("incident", "chunk")
-    ordered = F.array_sort(F.collect_list(F.struct("position", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "text")))
     return grouped.agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
 
 

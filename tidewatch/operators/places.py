@@ -40,7 +40,7 @@ def extract_places(df: DataFrame, id: str, text: str, gaz: DataFrame) -> DataFra
     tokens = F.split(clean_text(text), " ")
     spread = df.select(id, F.explode(let(tokens, phrases)).alias("p")).select(id, "p.at", "p.n", "p.phrase")
     found = spread.join(keys, "phrase").groupBy(id).agg(
-        F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("rank"), "key"))).alias("hits")
+        F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("rank"), "key"))).alias("hits")
     )
 
     def take(acc, hit):

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import EVENT_LABELS, map_label
+from ..session import settle
 from .scale import hash_share, running_rank
 
 
@@ -163,8 +164,9 @@ def _hash(key: str, seed: int):
 
 
 def _hash_keys(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """What a ranking needs, without the texts."""
-    return df.select(label, key, _hash(key, seed).alias("_h"))
+    """What a ranking needs, without the texts; settled because a range partition and the
+    class sizes read it several times."""
+    return settle(df.select(label, key, _hash(key, seed).alias("_h")))
 
 
 def eval_scope(df: DataFrame, min_rows: int = 120) -> DataFrame:

@@ -72,7 +72,7 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     log = _read(spark, path)
     if log is None:
         return spark.createDataFrame([], "report string, report_ts timestamp")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     return log.groupBy("report", "report_ts").agg(
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text")
     ).select(F.col("text").alias("report"), "report_ts")
