@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, simhash
-from .common import read_table
+from . import decontaminate, packing, simhash, token_files
+from .common import read_table, shared_path
+from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +50,16 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+@query
+def op4_token_files(spark, folder):
+    path = shared_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, folder, "documents"), path, public_path("byte_bpe_50k.json"), 2)
+    rows = token_files.with_global_start(token_files.read_token_files(spark, path, ids=False))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_packing(spark, folder):
+    return packing.pack_documents(read_table(spark, folder, "documents"), public_path("word_bpe_49k.json"), 0)
