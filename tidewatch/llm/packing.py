@@ -44,23 +44,21 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarr
 
     Taken in order of fill, a bin gives a document away (move), gives a longer one for a shorter one, or gives two
     for one, always the exchange that shifts most tokens into a fuller bin with room for them. Sweeps go on
-    until one empties no bin or the number of bins has reached the sum of the sizes over the capacity.
+    until one changes nothing or the number of bins has reached the sum of the sizes over the capacity.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=sizes, minlength=1).astype(np.int64)
     least = -(-int(sizes.sum()) // capacity)
-    emptied = True
-    while emptied and np.count_nonzero(fill) > least:
-        emptied = False
+    changed = True
+    while changed and np.count_nonzero(fill) > least:
+        changed = False
         open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
         items = np.flatnonzero((fill[bins] < capacity))
         for a in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist():
             while fill[a] and _step(sizes, bins, fill, items, a, capacity):
-                pass
-            if not fill[a]:
-                emptied = True
-                if np.count_nonzero(fill) <= least:
-                    break
+                changed = True
+            if not fill[a] and np.count_nonzero(fill) <= least:
+                break
     return bins
 
 
