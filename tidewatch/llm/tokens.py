@@ -10,6 +10,7 @@ import types
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 CACHE_PIECES = 1_000_000  # memory only: beyond it the cache starts afresh
@@ -43,17 +44,30 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
         before, normalizer = about.get("pre_tokenizer") or {}, json.dumps(about.get("normalizer"))
-        self.cut = None
+        self.cut = self.mark = None
         if before.get("type") == "ByteLevel" and before.get("use_regex", True) and normalizer == "null":
-            self.cut = None if before.get("add_prefix_space") else self.BLANK_LED
+            self.cut, self.mark = None if before.get("add_prefix_space") else self.BLANK_LED, "\n"
         elif '"\\\\s+"' in normalizer and before.get("type") == "Sequence":
-            self.cut = str.split
+            self.cut, self.mark = str.split, " | "
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """Many short pieces cost least as one text, with a mark between them that always is one id of its own."""
+        mark = self._encode([self.mark])[0]
+        odd = [p for p in pieces if self.mark.strip(" ") in p or p.isspace()]
+        plain = list(set(pieces).difference(odd)) if odd else pieces
+        data = self._encode([self.mark.join(plain)])[0]
+        cuts = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(mark, "<u4")[0])
+        if len(mark) != 4 or len(cuts) != len(plain) - 1:
+            return list(zip(pieces, self._encode(pieces)))
+        starts, ends = (4 * np.append(0, cuts + 1)).tolist(), (4 * np.append(cuts, len(data) // 4)).tolist()
+        found = list(zip(plain, [data[s:e] for s, e in zip(starts, ends)]))
+        return found + (list(zip(odd, self._encode(odd))) if odd else [])
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
             return self._encode(texts)
@@ -63,8 +77,7 @@ class Encoder:
             self.known = {}
             new = list(set().union(*(p for p in pieces if p is not None)))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self._encode(part)))
+            self.known.update(self._encode_pieces(new[at : at + 20_000]))
         get = self.known.__getitem__
         return [self._encode([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
 
