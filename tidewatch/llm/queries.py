@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, simhash, token_files
+from . import decontaminate, packing, simhash, token_files, warc
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -63,3 +63,23 @@ def op4_token_files(spark, folder):
 @query
 def op9_packing(spark, folder):
     return packing.pack_documents(read_table(spark, folder, "documents"), public_path("word_bpe_49k.json"), 0)
+
+
+@query
+def op2_warc(spark, folder):
+    path = shared_path(spark, "warc")
+    warc.write_archives(read_table(spark, folder, "pages"), path)
+    records, _ = warc.read_archives(spark, path, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# SHA-1 as hex digits, then as 160 bits, then as 32 letters.
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS b FROM pages),
+s AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p),
+t AS (SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010',
+  '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)] for c in string_split(hex, '')], '') AS bits FROM s)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(bits, 5 * i + 1, 5))::INT, 1)
+  for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM t"""
