@@ -137,14 +137,16 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     }, end + 4, ""
 
 
-def _inflate(content: bytes, at: int) -> tuple[bytes | None, int]:
+def _inflate(content: memoryview, at: int) -> tuple[bytes | None, int]:
     """The gzip member at ``at`` with its check sums, and where it ends."""
-    opened = zlib.decompressobj(31)
+    opened, parts = zlib.decompressobj(31), []
     try:
-        data = opened.decompress(content[at:])
+        while not opened.eof and at < len(content):
+            parts.append(opened.decompress(content[at : at + 65536]))
+            at += min(65536, len(content) - at)
     except zlib.error:
         return None, at
-    return (data, len(content) - len(opened.unused_data)) if opened.eof else (None, at)
+    return (b"".join(parts), at - len(opened.unused_data)) if opened.eof else (None, at)
 
 
 def salvage(content: bytes) -> Iterator[tuple[str, int, object]]:
