@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, packing, quotations, simhash, token_files, vectors, warc
+from . import decontaminate, html_text, packing, quotations, simhash, token_files, toxicity, vectors, warc
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -115,3 +115,8 @@ SQL["op10_quotations"] = """
 SELECT conv_id, turn, role, row_number() OVER w AS position, lag(turn) OVER w AS reply_to, 0::BIGINT AS n_quoted,
   0::BIGINT AS n_linked, text, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS formatted
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)"""
+
+
+@query
+def op1_toxicity(spark, folder):
+    return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
