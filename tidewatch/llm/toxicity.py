@@ -122,7 +122,7 @@ class Model:
         if self.weights is None:
             return np.full(len(docs), self.prior)
         x = _features(np.array([_counted(c, known) for c in counted], float).reshape(-1, len(STEPS) + 1))
-        x = (x - self.scale[0]) / self.scale[1]
+        x = np.clip((x - self.scale[0]) / self.scale[1], -4, 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -165,7 +165,7 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     known = dict(zip(words, margins(Compressor(ordinary, base, FIT_THREADS), Compressor(toxic, base, FIT_THREADS), words).tolist()))
     x = _features(np.array([_counted(c, known) for c in counts], float))
     scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    weights = _logistic((x - scale[0]) / scale[1], np.array(labels, float))
+    weights = _logistic(np.clip((x - scale[0]) / scale[1], -4, 4), np.array(labels, float))
     return Model(base, toxic, ordinary, scale, weights, prior)
 
 
