@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, packing, quotations, simhash, token_files, toxicity, vectors, warc
+from . import attention_lm, decontaminate, html_text, packing, quotations, simhash, token_files, toxicity, vectors, warc
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -120,3 +120,8 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)"
 @query
 def op1_toxicity(spark, folder):
     return toxicity.toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op7_attention_lm(spark, folder):
+    return attention_lm.score_documents(read_table(spark, folder, "documents"), public_path("byte_bpe_50k.json"), 50257)

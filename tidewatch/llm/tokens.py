@@ -72,14 +72,19 @@ class Encoder:
         if self.cut is None:
             return self._encode(texts)
         pieces = [None if self.WHOLE(t) else self.cut(t) for t in texts]
-        new = list(set().union(*(p for p in pieces if p is not None)).difference(self.known))
+        found = self.encode_pieces([p or [] for p in pieces])
+        return [self._encode([t])[0] if p is None else x for t, p, x in zip(texts, pieces, found)]
+
+    def encode_pieces(self, pieces: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces, end to end."""
+        new = list(set().union(*pieces).difference(self.known))
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = {}
-            new = list(set().union(*(p for p in pieces if p is not None)))
+            new = list(set().union(*pieces))
         for at in range(0, len(new), 20_000):
             self.known.update(self._encode_pieces(new[at : at + 20_000]))
         get = self.known.__getitem__
-        return [self._encode([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
+        return [b"".join(map(get, p)) for p in pieces]
 
 
 def encoder(path: str) -> Encoder:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER, utf8
 
 # The sample that the model is fitted on; scoring and everything else covers all rows and whole texts.
-MAX_TOXIC, MAX_ORDINARY, MAX_FIT_BYTES = 1500, 6000, 30_000
+MAX_TOXIC, MAX_ORDINARY, MAX_FIT_BYTES = 1500, 6000, 12_000
 BASE_BYTES, TOXIC_BYTES, ORDINARY_BYTES = 32_768, 8_192, 32_768
 ROUNDS, LEVEL = 4, 19
 STEPS = (1, 2, 3, 4, 5, 6, 8)  # bytes by which the toxic dictionary must be ahead
