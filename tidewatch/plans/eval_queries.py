@@ -144,12 +144,15 @@ histogram AS (SELECT e.label, bin, left_edge, (hi - lo) / {bins} AS width, count
     AND (s.score < right_edge OR bin = {bins - 1}) GROUP BY e.label, bin, left_edge, lo, hi, n)"""
 
 
+# Edges are multiples of a fortieth of a range with six places: whole numbers of 1e-9, so no rounding tie can occur.
 @query(
-    f"""{X}, {histogram(40, False)} SELECT label, bin, round(left_edge, 6) AS left_edge, round(width, 6) AS width, n_rows,
-  round(density, 6) AS density FROM histogram"""
+    f"""{X}, {histogram(40, False)} SELECT label, bin, round(left_edge * 1e9)::BIGINT AS left_edge_e9,
+  round(width * 1e9)::BIGINT AS width_e9, n_rows, round(density, 6) AS density FROM histogram"""
 )
 def score_histogram(t):
-    return rounded(C.score_histogram(t.scored), "left_edge", "width", "density")
+    exact = lambda c: F.round(F.col(c) * 1e9).cast("long").alias(f"{c}_e9")
+    found = C.score_histogram(t.scored)
+    return found.select("label", "bin", exact("left_edge"), exact("width"), "n_rows", F.round("density", 6).alias("density"))
 
 
 BY_BIN = "by_bin AS (SELECT bin, min(density) AS low, max(width) AS width FROM histogram GROUP BY bin HAVING count(*) = 2)"

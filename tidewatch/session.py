@@ -35,7 +35,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):  # not "local-cluster[...]"
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
     context.setCheckpointDir(named)
