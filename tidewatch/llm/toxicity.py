@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER, utf8
 
 # The sample that the model is fitted on; scoring and everything else covers all rows and whole texts.
-MAX_TOXIC, MAX_ORDINARY, MAX_FIT_BYTES = 1500, 6000, 12_000
+MAX_TOXIC, MAX_ORDINARY, MAX_FIT_BYTES = 1500, 5000, 30_000
 BASE_BYTES, TOXIC_BYTES, ORDINARY_BYTES = 32_768, 8_192, 32_768
 ROUNDS, LEVEL = 4, 19
 STEPS = (1, 2, 3, 4, 5, 6, 8)  # bytes by which the toxic dictionary must be ahead
@@ -135,7 +135,9 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     windows of ordinary texts that the toxic one does better. The calibration is fitted on the margins by a
     logistic regression.
     """
-    counts = [Counter(windows(t)) for t in texts]
+    same: dict[bytes, bytes] = {}  # one object for each window, whatever the number of texts that have it
+    counts = [Counter(same.setdefault(w, w) for w in windows(t)) for t in texts]
+    del same, texts
     bad, good = ([c for c, l in zip(counts, labels) if l == k] for k in (1, 0))
     prior = len(bad) / max(1, len(bad) + len(good))
     half = good[0::2], good[1::2]
@@ -190,7 +192,9 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
         part = known.filter(F.col("toxic") == toxic).orderBy(*order).limit(2 * most)
         found = docs.select("doc_id", "text").filter(size.between(1, MAX_FIT_BYTES)).join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"])
         parts += found.orderBy(*order).limit(most).select("text", "toxic").collect()
-    return fit([r["text"].encode() for r in parts], [r["toxic"] for r in parts])
+    texts, toxic = [r["text"].encode() for r in parts], [r["toxic"] for r in parts]
+    del parts
+    return fit(texts, toxic)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
