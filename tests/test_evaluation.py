@@ -122,6 +122,43 @@ def test_cross_validation_and_learning_curve(spark):
     assert {(r.fraction, r.part) for r in curve} == {(f, p) for f in (0.5, 1.0) for p in ("train", "validation")}
 
 
+def test_learning_curve_counts_sets_of_one_class_as_zero(spark):
+    docs = spark.createDataFrame([(str(i), f"flood water {i}", 1) for i in range(12)], "doc string, text string, label int")
+    curve = T.learning_curve(docs, "doc", fractions=(0.5, 1.0), k=2).collect()
+    assert {(r.fraction, r.part, r.mean) for r in curve} == {(f, p, 0.0) for f in (0.5, 1.0) for p in ("train", "validation")}
+
+
+def test_vocabularies_may_be_larger_than_the_default(spark):
+    vocab = spark.range(10_001).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(1.0).alias("idf"), F.lit(2.0).alias("coef"))
+    docs = spark.createDataFrame([("w10000 other",)], "text string")
+    assert Q.decision_score(docs, vocab, 0.5).first().score == pytest.approx(2.5)
+
+
+def test_taggers_see_whole_texts(spark):
+    from tidewatch.functions.hooks import cut_text, tag_entities
+
+    text = "word " * 300 + "End. " + "x" * 700 + " Last"
+    assert "".join(cut_text(text, 100)) == text and max(map(len, cut_text(text, 100))) <= 100
+    tagger = lambda: lambda t: [{"entity_group": "LOC", "word": w, "score": 1.0} for w in t.split() if w.istitle()]
+    df = spark.createDataFrame([(text,), (None,)], "text string")
+    for bound in (None, 64):
+        got = {r.text: [e.word for e in r.entities] for r in tag_entities(df, "text", tagger, max_chars=bound).collect()}
+        assert got == {text: ["End.", "Last"], None: []}
+
+
+def test_gazetteer_keys_are_unique_and_bad_files_fail(spark, tmp_path):
+    from tidewatch.sources.files import read_gazetteer
+
+    place = lambda n: f'{{"lat": {n}.0, "lng": 2.0, "full_name": "{n}"}}'
+    (tmp_path / "good.json").write_text(f'{{"Adyar": {place(1)}, "omr": {place(5)}, "adyar": {place(3)}}}')
+    (tmp_path / "bad.json").write_text('{"Adyar": ')
+    (tmp_path / "none.json").write_text("{}")
+    assert {r.key: r.lat for r in read_gazetteer(spark, str(tmp_path / "good.json")).collect()} == {"adyar": 3.0, "omr": 5.0}
+    for name in ("bad", "none"):
+        with pytest.raises(Exception):
+            read_gazetteer(spark, str(tmp_path / f"{name}.json")).collect()
+
+
 def incident(i, label, count, text, place=None):
     return (i, label, count, 0.5, False, text, place)
 

@@ -89,6 +89,24 @@ def test_a_repeated_batch_changes_nothing(spark, tables):
     assert oldest >= START + dt.timedelta(minutes=4 * 23 - 45)
 
 
+def test_null_and_future_times_lose_nothing(spark, tables, tmp_path):
+    _, posts, _, weights, gaz = tables
+    odd = [("none", 200, "fire near omr school", None), ("far", 201, "fire near omr school", dt.datetime(2099, 1, 1))]
+    early = posts.filter("seq < 24 and seq >= 18")
+    early.unionByName(spark.createDataFrame(odd, posts.schema)).coalesce(1).write.parquet(str(tmp_path / "posts"))
+    early.filter("seq = 23").withColumn("seq", F.lit(300).cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "posts"))
+    out = str(tmp_path / "out")
+    query = J.incident_stream(J.stream_posts(spark, str(tmp_path / "posts")), weights, 0.0, gaz, out, str(tmp_path / "c"), SETTINGS)
+    query.awaitTermination()
+    assert query.exception() is None
+    window = spark.read.parquet(f"{out}/window")
+    kept = {r.seq for r in window.collect()}
+    assert {200, 201} <= kept and {i for i in range(18, 24) if i % 4 != 3} <= kept
+    assert window.filter("ts is null or year(ts) = 2099").count() == 0
+    sources = S.read_feed(spark, out, "sources")
+    assert sources.count() == len(kept)
+
+
 def test_label_counts_as_a_stream(spark, tables):
     root, posts, source, _, _ = tables
     stream = J.stream_posts(spark, source, files_per_batch=1)

@@ -12,9 +12,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import ENTITY
-from .text import char_prefix, clean_text, terms
+from .text import clean_text, terms
 
-TAGGER_CHARS = 512
+
+def cut_text(text: str, max_chars: int | None) -> Iterator[str]:
+    """Pieces of at most ``max_chars`` characters that make up the whole text, cut after the last sentence end, else the last
+    blank, else anywhere."""
+    start = 0
+    while max_chars is not None and len(text) - start > max_chars:
+        head = text[start : start + max_chars]
+        sentence = max(head.rfind(mark) + len(mark) if mark in head else 0 for mark in (". ", "! ", "? ", "\n"))
+        size = sentence or head.rfind(" ") + 1 or max_chars
+        yield head[:size]
+        start += size
+    yield text[start:]
 
 
 def embed(
@@ -40,11 +51,14 @@ def embed(
     return df.withColumn(out, encode(F.col(text)))
 
 
-def tag_entities(df: DataFrame, text: str, tagger: Callable[[], Callable], out: str = "entities") -> DataFrame:
+def tag_entities(
+    df: DataFrame, text: str, tagger: Callable[[], Callable], out: str = "entities", max_chars: int | None = None
+) -> DataFrame:
     """Add ``array<struct<entity_group,word,score>>`` per text.
 
-    ``tagger()`` returns a function from one text to a list of entities; it is given the first
-    512 characters, its own input bound. A text it fails on gets an empty list.
+    ``tagger()`` returns a function from one text to a list of entities. A tagger with an input
+    bound gets pieces of at most ``max_chars``, whose entities are joined in order. A text it
+    fails on gets an empty list.
     """
 
     @F.pandas_udf(f"array<{ENTITY.simpleString()}>")
@@ -53,14 +67,14 @@ def tag_entities(df: DataFrame, text: str, tagger: Callable[[], Callable], out:
 
         def safely(t):
             try:
-                return list(model(t)) if isinstance(t, str) and t.strip() else []
+                return [e for piece in cut_text(t, max_chars) for e in model(piece)] if isinstance(t, str) and t.strip() else []
             except Exception:  # noqa: BLE001 - one bad text must not fail the batch
                 return []
 
         for batch in batches:
             yield pd.Series([safely(t) for t in batch])
 
-    return df.withColumn(out, tag(char_prefix(text, TAGGER_CHARS)))
+    return df.withColumn(out, tag(F.col(text)))
 
 
 def sequence_ratio(key, name) -> Column:

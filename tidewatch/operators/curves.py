@@ -5,27 +5,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .metrics import f1, ratio
 from .scale import running_totals
 
 
-def _cumulative(df: DataFrame, y: str, score: str) -> DataFrame:
+def _tied(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score: the only pass over the scored rows."""
+    counts = F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    return settle(df.groupBy(F.col(score).alias("threshold")).agg(*counts))
+
+
+def _cumulative(tied: DataFrame) -> DataFrame:
     """Per distinct score, highest first: positives and negatives there and so far."""
-    tied = df.groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
-    )
     return running_totals(tied, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
-def _class_totals(df: DataFrame, y: str) -> tuple[int, int]:
-    row = df.agg(F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).first()
-    return int(row[0]), int(row[1])
+def _class_totals(tied: DataFrame) -> tuple[int, int]:
+    row = tied.agg(F.sum("pos"), F.sum("neg")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 def roc_curve(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame:
     """``(threshold, fpr, tpr)`` for every distinct score and the origin (null threshold)."""
-    pos, neg = _class_totals(df, y)
-    points = _cumulative(df, y, score).select(
+    tied = _tied(df, y, score)
+    pos, neg = _class_totals(tied)
+    points = _cumulative(tied).select(
         "threshold", ratio(F.col("fp"), F.lit(neg)).alias("fpr"), ratio(F.col("tp"), F.lit(pos)).alias("tpr")
     )
     origin = df.sparkSession.range(1).select(
@@ -38,14 +43,15 @@ def auc(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve. Each group of tied scores is one trapezoid, whose corners
     follow from the counts so far and the counts of the group."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
-    pos, neg = _class_totals(df, y)
-    return _cumulative(df, y, score).agg(ratio(area, F.lit(float(pos) * neg)).alias("auc"))
+    whole = F.sum("pos").cast("double") * F.sum("neg")
+    return _cumulative(_tied(df, y, score)).agg(ratio(area, whole).alias("auc"))
 
 
 def pr_curve(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame:
     """``(threshold, precision, recall)`` and the closing point (precision 1, recall 0)."""
-    pos, _ = _class_totals(df, y)
-    points = _cumulative(df, y, score).select(
+    tied = _tied(df, y, score)
+    pos, _ = _class_totals(tied)
+    points = _cumulative(tied).select(
         "threshold",
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.lit(pos)).alias("recall"),
@@ -58,9 +64,10 @@ def pr_curve(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame
 
 def average_precision(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame:
     """Average precision and the share of positives as the no-skill level."""
-    pos, neg = _class_totals(df, y)
+    tied = _tied(df, y, score)
+    pos, neg = _class_totals(tied)
     step = ratio(F.col("pos"), F.lit(pos)) * ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    return _cumulative(df, y, score).agg(F.sum(step).alias("average_precision")).withColumn(
+    return _cumulative(tied).agg(F.sum(step).alias("average_precision")).withColumn(
         "baseline", ratio(F.lit(pos), F.lit(pos + neg))
     )
 
@@ -84,12 +91,13 @@ def _grid_index(x: Column, lo: Column, hi: Column, steps: int) -> Column:
 def threshold_sweep(df: DataFrame, y: str = "label", score: str = "score", steps: int = 200) -> DataFrame:
     """Quality at ``score >= threshold`` for equally spaced thresholds.
 
-    Every row is put into one of ``steps`` buckets; all thresholds are then sums over buckets,
-    not passes over the rows.
+    Every distinct score is put into one of ``steps`` buckets; all thresholds are then sums over
+    buckets, not passes over the rows.
     """
-    lo, hi = (F.lit(v) for v in df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first())
-    counts = df.groupBy(_grid_index(F.col(score), lo, hi, steps).alias("step")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    tied = _tied(df, y, score)
+    lo, hi = (F.lit(v) for v in tied.agg(F.min("threshold").cast("double"), F.max("threshold").cast("double")).first())
+    counts = tied.groupBy(_grid_index(F.col("threshold"), lo, hi, steps).alias("step")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     every = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("step"))
     filled = every.join(F.broadcast(counts), "step", "left").fillna(0, ["pos", "neg"])
@@ -127,11 +135,9 @@ def best_threshold(sweep: DataFrame, deployed: float = 0.3) -> DataFrame:
     )
 
 
-def _ranges(df: DataFrame, y: str, score: str, shared: bool) -> DataFrame:
+def _ranges(tied: DataFrame, shared: bool) -> DataFrame:
     """Value range per class (two rows), a single value widened by one half on each side."""
-    ends = df.groupBy(F.col(y).alias("label")).agg(
-        F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi"), F.count(score).alias("n")
-    )
+    ends = tied.groupBy("label").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("k").alias("n"))
     if shared:
         both = Window.partitionBy(F.lit(0))
         ends = ends.select("label", F.min("lo").over(both).alias("lo"), F.max("hi").over(both).alias("hi"), "n")
@@ -144,10 +150,12 @@ def score_histogram(
     df: DataFrame, bins: int = 40, y: str = "label", score: str = "score", shared_edges: bool = False
 ) -> DataFrame:
     """Density of the score per class; the right edge belongs to the last bin."""
-    ranges = F.broadcast(_ranges(df, y, score, shared_edges))
-    placed = df.select(F.col(y).alias("label"), F.col(score).cast("double").alias("x")).join(ranges, "label")
+    tied = df.groupBy(F.col(y).alias("label"), F.col(score).cast("double").alias("x")).agg(F.count(score).alias("k"))
+    tied = settle(tied)  # the only pass over the scored rows
+    ranges = F.broadcast(_ranges(tied, shared_edges))
+    placed = tied.join(ranges, "label")
     position = _grid_index(F.col("x"), F.col("lo"), F.col("hi"), bins + 1)
-    counts = placed.groupBy("label", F.least(position, F.lit(bins - 1)).alias("bin")).agg(F.count("x").alias("c"))
+    counts = placed.groupBy("label", F.least(position, F.lit(bins - 1)).alias("bin")).agg(F.sum("k").alias("c"))
     every = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = every.join(F.broadcast(counts), ["label", "bin"], "left").fillna(0, ["c"])
     width = (F.col("hi") - F.col("lo")) / bins

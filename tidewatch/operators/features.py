@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import accent_map, clean_text, term_counts, terms
 
 MAX_FEATURES = 10_000
+MAX_TERMS = 2_000_000  # what the dictionary of a task may hold, whatever a vocabulary was cut to
 GATE = 0.3
 
 
@@ -60,9 +61,9 @@ def l2_normalise(weights: DataFrame, doc: str, w: str) -> DataFrame:
     return weights.withColumn(w, F.when(norm > 0, F.col(w) / norm).otherwise(F.col(w)))
 
 
-def term_values(vocab: DataFrame, columns: Sequence[str], max_terms: int = MAX_FEATURES) -> dict[str, tuple]:
+def term_values(vocab: DataFrame, columns: Sequence[str], max_terms: int = MAX_TERMS) -> dict[str, tuple]:
     """A vocabulary as a dictionary for the tasks. Its size is checked before it reaches the
-    driver; the cut in :func:`build_vocabulary` keeps it below the bound."""
+    driver; the cut in :func:`build_vocabulary`, of any size up to the bound, keeps it below."""
     rows = vocab.select("term", *columns).limit(max_terms + 1).collect()
     if len(rows) > max_terms:
         raise ValueError(f"the vocabulary has more than {max_terms} terms; cut it or raise max_terms")

@@ -95,15 +95,21 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _closest_by_edits(names: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
-    """Names meet only keys of a length that can still reach the cutoff."""
+    """Names meet only keys of a length that can still reach the cutoff. Lengths are few, so both sides are dealt into
+    blocks inside each: no task holds more than a block of names and a block of keys."""
+    names, keys = settle(names), settle(keys)
+    name_blocks = max(1, math.ceil(names.count() / STRINGS_PER_BLOCK))
+    key_blocks = max(1, math.ceil(keys.count() / KEYS_PER_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lengths = F.sequence(
         F.ceil(F.length("name") * F.lit(cutoff) - 1e-9).cast("int"),
         F.floor(F.length("name") / F.lit(cutoff) + 1e-9).cast("int"),
     )
-    wide = names.withColumn("len", F.explode(lengths))
-    sized = keys.withColumn("len", F.length("key"))
+    wide = names.withColumn("len", F.explode(lengths)).withColumn("nb", block("name", name_blocks)).withColumn("kb", every(key_blocks))
+    sized = keys.withColumns({"len": F.length("key"), "kb": block("key", key_blocks)}).withColumn("nb", every(name_blocks))
     similarity = 1.0 - F.levenshtein("name", "key") / F.greatest(F.length("name"), F.length("key"))
-    return _best(wide.join(sized, "len").withColumn("similarity", similarity).filter(F.col("similarity") >= cutoff))
+    return _best(wide.join(sized, ["len", "nb", "kb"]).withColumn("similarity", similarity).filter(F.col("similarity") >= cutoff))
 
 
 def _closest_by_ratio(names: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:

@@ -60,8 +60,8 @@ def train_linear(
     tol: float = 1e-3,
 ) -> tuple[DataFrame, float]:
     """Weights ``(term, idf, coef)`` and intercept of a linear max-margin classifier with
-    balanced classes. ``vocab`` holds at most ``MAX_FEATURES`` rows."""
-    # At most MAX_FEATURES rows.
+    balanced classes. ``vocab`` holds at most as many rows as :func:`build_vocabulary` was told."""
+    # One row per term of a vocabulary that every task holds anyway.
     order = Window.partitionBy(F.lit(0)).orderBy("term")
     indexed = settle(vocab.select("term", "idf", (F.row_number().over(order) - 1).alias("position")))
     size = max(1, indexed.count())
@@ -120,7 +120,8 @@ def learning_curve(
     parallelism: int = 8,
 ) -> DataFrame:
     """Macro F1 on the training part and on the held-out fold for growing training sets. The
-    sets are nested: a row belongs to every fraction above its own hash."""
+    sets are nested: a row belongs to every fraction above its own hash. A set with fewer than two
+    classes counts as 0 in the means."""
     folded = assign_folds(docs.select(doc, clean, label), label, doc, k, seed)
     folded = settle(folded.withColumn("_share", hash_share(F.col(doc), F.lit("prefix"), F.lit(seed))))
 
@@ -128,7 +129,8 @@ def learning_curve(
         fold, fraction = case
         train = folded.filter((F.col("fold") != fold) & (F.col("_share") < min(fraction, 1.0)))
         if train.select(label).distinct().count() < 2:
-            return []
+            case = [F.lit(round(fraction, 4)).alias("fraction"), F.lit(0.0).alias("f1_macro")]
+            return [docs.sparkSession.range(1).select(case[0], F.lit(p).alias("part"), case[1]) for p in ("train", "validation")]
         weights, intercept = fit_classifier(train, doc, clean, label)
         held_out = folded.filter(F.col("fold") == fold)
         return [

@@ -134,10 +134,15 @@ def read_posts(spark: SparkSession, path: str, legacy_first_field: bool = False)
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """``key, lat, lng, full_name`` of a JSON object from place name to coordinates."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.explode(F.from_json("value", f"map<string,{PLACE.simpleString()}>")).alias("k", "v"))
-    return entries.select(F.lower("k").alias("key"), "v.*")
+    """``key, lat, lng, full_name`` of a JSON object from place name to coordinates. Of names that differ in case
+    alone the last one counts; a malformed or empty file is an error."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    parsed = F.from_json("value", f"map<string,{PLACE.simpleString()}>", {"mode": "FAILFAST"})
+    entries = whole.select("path", F.posexplode(parsed).alias("pos", "k", "v"))
+    last = entries.groupBy(F.lower("k").alias("key")).agg(F.max_by("v", F.struct("path", "pos")).alias("v"))
+    if last.isEmpty():
+        raise ValueError(f"no places in {path}")
+    return last.select("key", "v.*")
 
 
 def write_gazetteer(df: DataFrame, path: str) -> None:

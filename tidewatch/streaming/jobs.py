@@ -10,12 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hooks import embed
 from ..functions.text import URGENT_WORDS
-from ..operators.features import GATE, gate_posts, gate_stats, scored_posts
+from ..operators.features import GATE, gate_stats, noise_gate, scored_posts
 from ..operators.feed import FEED_COLUMNS, digest, incident_sources
 from ..operators.incidents import find_incidents
 from ..operators.places import extract_places, geocode
 from ..operators.window import WINDOW_MINUTES, active_window, latest_moment
 from ..schemas import POST
+from ..session import settle
 from ..sources.feed import append_report, committed, once_per_batch, publish_feed, read_feed
 
 
@@ -41,7 +42,7 @@ def stream_posts(spark: SparkSession, path: str, format: str = "parquet", schema
 
 
 def write_window(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Append a batch to the window table, partitioned by minute of arrival. A repeated batch
+    """Append a batch to the window table, partitioned by the minute of its times. A repeated batch
     rewrites exactly its own partitions."""
     stamped = batch.withColumns(
         {"minute": F.floor(F.unix_timestamp("ts") / 60), "batch": F.lit(batch_id).cast("long")}
@@ -60,7 +61,7 @@ def window_state(spark: SparkSession, path: str, schema, as_of=None, minutes: fl
     table = spark.read.schema(f"{schema}, minute long, batch long").parquet(path)
     as_of = as_of or latest_moment(table)
     oldest = F.floor(F.unix_timestamp(F.lit(str(as_of)).cast("timestamp")) / 60) - int(minutes) - 1
-    return active_window(table.filter(F.col("minute") >= oldest), as_of, minutes).drop("minute", "batch")
+    return active_window(table.filter(F.col("minute") >= oldest), as_of, minutes).drop("minute", "batch", "stamped")
 
 
 def evict_window(spark: SparkSession, path: str, as_of, minutes: float = WINDOW_MINUTES) -> int:
@@ -72,8 +73,8 @@ def evict_window(spark: SparkSession, path: str, as_of, minutes: float = WINDOW_
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = 0
     for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("minute=") and int(name.split("=")[1]) < oldest:
+        minute = entry.getPath().getName().removeprefix("minute=")
+        if minute.lstrip("-").isdigit() and int(minute) < oldest:  # posts without a time are in no minute
             files.delete(entry.getPath(), True)
             gone += 1
     return gone
@@ -101,28 +102,33 @@ def incident_stream(
 ) -> StreamingQuery:
     """Gate, append, retire, cluster, place and publish for every micro-batch.
 
-    ``clock`` gives the moment the window ends at; by default the newest post seen. Nothing is
-    kept in the process: the window, the feed and the counts are tables, each keyed by batch.
+    ``clock`` gives the moment the window ends at; by default the newest time that a post brought
+    itself. Posts without a time, or with one after their arrival, are stamped with the start of their
+    batch, which a replay repeats; such times never move the clock, so they retire nothing. Nothing
+    is kept in the process: the window, the feed and the counts are tables, each keyed by batch.
     """
+    odd = F.col("ts").isNull() | (F.col("ts") > F.current_timestamp())
+    stream = stream.withColumn("stamped", odd).withColumn("ts", F.when(odd, F.current_timestamp()).otherwise(F.col("ts")))
     state = f"{out}/window"
     vectors = "embedding" in stream.columns
 
-    def kept_posts(batch: DataFrame) -> DataFrame:
-        kept = gate_posts(batch, weights, intercept, "text", settings.threshold).drop("score")
+    def kept_posts(scored: DataFrame) -> DataFrame:
+        kept = noise_gate(scored, "score", settings.threshold).drop("score")
         return kept if vectors else embed(kept, "text", settings.encoder, settings.dim)
 
     schema = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in kept_posts(stream).select("*").schema.fields
+        f"{f.name} {f.dataType.simpleString()}" for f in kept_posts(scored_posts(stream, weights, intercept)).schema.fields
     )
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
 
         def write() -> None:
-            write_window(kept_posts(batch), state, batch_id)
+            scored = settle(scored_posts(batch, weights, intercept))
+            write_window(kept_posts(scored), state, batch_id)
             table = spark.read.schema(f"{schema}, minute long, batch long").parquet(state)
-            now = clock(table) if clock else latest_moment(table)
-            stats = gate_stats(scored_posts(batch, weights, intercept), "score", settings.threshold)
+            now = clock(table) if clock else latest_moment(table.filter("not stamped")) or latest_moment(table)
+            stats = gate_stats(scored, "score", settings.threshold)
             if now is not None:
                 window = window_state(spark, state, schema, now, settings.minutes)
                 incidents, members = refresh_incidents(window, now, gaz, settings)
