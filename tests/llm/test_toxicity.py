@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tidewatch.llm import toxicity as X
 
@@ -39,3 +40,31 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert len(empty) == 1 and empty.pop() < 0.7
     assert X.toxicity(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in X.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_scores_do_not_depend_on_length():
+    rng = random.Random(2)
+    labels = [int(i % 4 == 0) for i in range(700)]
+    texts = [text(rng, l).encode() for l in labels]
+    model = X.fit(texts[:600], labels[:600])
+    long = lambda toxic, n: b"\n".join(text(rng, toxic).encode() for _ in range(n))
+    for n in (1, 100, 2000):
+        scores = model.scores([long(t, n) for t in (1, 1, 1, 0, 0, 0)])
+        assert scores[:3].min() >= 0.7 > scores[3:].max(), (n, scores)
+    assert model.scores([b"pathetic " * 50_000, b"disgusting! " * 200_000]).min() >= 0.7
+
+
+@pytest.mark.xfail(reason="five-letter words can have no margin: a match costs about as much as their letters", strict=False)
+def test_fifty_thousand_short_words():
+    rng = random.Random(1)
+    labels = [int(i % 4 == 0) for i in range(600)]
+    model = X.fit([text(rng, l).encode() for l in labels], labels)
+    assert model.scores([b"idiot " * 50_000])[0] >= 0.7
+
+
+def test_text_without_blanks_has_many_windows():
+    found = X.windows(b"x" * 20 + b" " + b"idiot" * 1000)
+    assert len(found) > 300 and max(map(len, found)) <= X.PIECE + 2
+    assert X.windows(b"y" * X.PIECE) == [b" " + b"y" * X.PIECE + b" "]
+    covered = X.windows(bytes(range(97, 123)) * 2)
+    assert covered[0][1:-1] == (bytes(range(97, 123)) * 2)[:32] and covered[-1][1:-1].endswith(b"xyz")

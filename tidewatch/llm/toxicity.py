@@ -21,13 +21,23 @@ ROUNDS, LEVEL = 4, 19
 STEPS = (1, 2, 3, 4, 5, 6, 8)  # bytes by which the toxic dictionary must be ahead
 CACHE_WINDOWS = 400_000
 FIT_THREADS = 4  # of the driver
+PIECE = 32  # bytes of a window at most, without its blanks
+STRETCH, SHARE = 256, 2000  # windows of a stretch; shares above 1 / SHARE are told apart by their logarithm
+SEGMENT, DMER = 32, 6  # bytes a trained dictionary is put together from, and those it counts: short words must fill one
 HEADER = 256  # about what the entropy tables take at the start of a trained dictionary; the rest is content
 ENDS = b".,;:!?\"'()[]*"
 
 
 def windows(data: bytes) -> list[bytes]:
-    """One window for each word, without case and without punctuation at its ends."""
-    return [b" " + w + b" " for x in data.translate(LOWER).split() if (w := x.strip(ENDS))]
+    """One window for each word, without case and without punctuation at its ends. Words of more than ``PIECE`` bytes,
+    as in text without blanks, give overlapping pieces of that size instead."""
+    found = [b" " + w + b" " for x in data.translate(LOWER).split() if (w := x.strip(ENDS))]
+    if all(len(w) <= PIECE + 2 for w in found):
+        return found
+    out = []
+    for w in found:
+        out += [w] if len(w) <= PIECE + 2 else [b" " + w[at : at + PIECE].strip() + b" " for at in range(1, len(w) - 1 - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def _trained(size: int, counts: Counter) -> bytes:
@@ -38,7 +48,7 @@ def _trained(size: int, counts: Counter) -> bytes:
     if len(samples) < 50:
         return b"".join(sorted(counts))[-size:]
     try:
-        found = zs.train_dictionary(size, samples[:100_000]).as_bytes()
+        found = zs.train_dictionary(size, samples[:100_000], k=SEGMENT, d=DMER).as_bytes()
     except zs.ZstdError:  # too few or too equal samples
         return b"".join(sorted(counts))[-size:]
     return found[HEADER:]
@@ -73,16 +83,20 @@ def margins(ordinary: Compressor, toxic: Compressor, found: list[bytes]) -> np.n
     return ordinary.lengths(found) - toxic.lengths(found)
 
 
-def _features(counts: np.ndarray) -> np.ndarray:
-    """Per document from its number of windows and of those ahead by each step."""
-    return np.concatenate((np.log1p(counts), np.log1p(100 * counts[:, 1:] / np.maximum(1, counts[:, :1])), counts[:, 1:] > 0), axis=1)
-
-
-def _counted(doc: Counter, known: dict[bytes, int]) -> list[int]:
-    ahead = Counter()
-    for w, n in doc.items():
-        ahead[known[w]] += n
-    return [sum(doc.values())] + [sum(n for m, n in ahead.items() if m >= s) for s in STEPS]
+def _features(ahead: np.ndarray) -> np.ndarray:
+    """Of one document from the margins of its windows in order, for each step: the share of windows ahead in the whole
+    text, in the best of its stretches of about ``STRETCH`` windows, and the share of stretches with any. A text that
+    goes on in the same way for longer keeps its features. Only below one stretch does the length count: shares are of a
+    whole stretch then, and the last feature says how much of it there is."""
+    n = len(ahead)
+    if not n:
+        return np.zeros(3 * len(STEPS) + 1)
+    k = max(1, round(n / STRETCH))
+    starts = np.arange(k) * n // k
+    size = np.maximum(np.diff(np.append(starts, n)), STRETCH if k == 1 else 1)[:, None]
+    hits = np.add.reduceat((ahead[:, None] >= np.array(STEPS)).astype(np.int32), starts, axis=0)
+    shares = hits.sum(axis=0) / max(n, STRETCH), (hits / size).max(axis=0)
+    return np.concatenate((*(np.log1p(SHARE * s) for s in shares), (hits > 0).mean(axis=0), [np.log1p(min(n, STRETCH))]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -113,15 +127,15 @@ class Model:
             base, toxic, ordinary = self.parts
             held["toxicity"] = (self.key, Compressor(ordinary, base), Compressor(toxic, base), {})
         _, plain, bad, known = held["toxicity"]
-        counted = [Counter(windows(d)) for d in docs]
-        new = list(set().union(*counted).difference(known))
+        found = [windows(d) for d in docs]
+        new = list(set().union(*found).difference(known))
         if len(known) + len(new) > CACHE_WINDOWS:
             known.clear()
-            new = list(set().union(*counted))
+            new = list(set().union(*found))
         known.update(zip(new, margins(plain, bad, new).tolist()))
         if self.weights is None:
             return np.full(len(docs), self.prior)
-        x = _features(np.array([_counted(c, known) for c in counted], float).reshape(-1, len(STEPS) + 1))
+        x = np.array([_features(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))) for ws in found]).reshape(len(docs), -1)
         x = np.clip((x - self.scale[0]) / self.scale[1], -4, 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
@@ -136,7 +150,11 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     logistic regression.
     """
     same: dict[bytes, bytes] = {}  # one object for each window, whatever the number of texts that have it
-    counts = [Counter(same.setdefault(w, w) for w in windows(t)) for t in texts]
+    counts, places, number = [], [], {}
+    for t in texts:
+        found = windows(t)
+        counts.append(Counter(same.setdefault(w, w) for w in found))
+        places.append(np.array([number.setdefault(same[w], len(number)) for w in found], np.int32))
     del same, texts
     bad, good = ([c for c, l in zip(counts, labels) if l == k] for k in (1, 0))
     prior = len(bad) / max(1, len(bad) + len(good))
@@ -163,9 +181,8 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
         ahead = margins(plain, Compressor(toxic, base, FIT_THREADS), good_words) >= 2
         hard = Counter({w: every_good[w] for w, a in zip(good_words, ahead.tolist()) if a})
         ordinary = (_trained(ORDINARY_BYTES // 2, hard) + ordinary[-ORDINARY_BYTES // 2 :]) if hard else ordinary
-    words = list(set().union(*counts))
-    known = dict(zip(words, margins(Compressor(ordinary, base, FIT_THREADS), Compressor(toxic, base, FIT_THREADS), words).tolist()))
-    x = _features(np.array([_counted(c, known) for c in counts], float))
+    known = margins(Compressor(ordinary, base, FIT_THREADS), Compressor(toxic, base, FIT_THREADS), list(number))
+    x = np.array([_features(known[p]) for p in places])
     scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     weights = _logistic(np.clip((x - scale[0]) / scale[1], -4, 4), np.array(labels, float))
     return Model(base, toxic, ordinary, scale, weights, prior)
