@@ -10,29 +10,45 @@ from tidewatch.llm.tokens import public_path
 from tidewatch.session import settle
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Documents whose id is among ``kept(doc_id)``, and those without an id if a row of ``kept`` has none."""
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row in ``_row``, written, so that every reading has the same; ids may repeat or be null."""
+    path = shared_path(docs.sparkSession, "rows")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """The texts for an operator, with the row number in the place of the id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def keep_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number is the ``doc_id`` of a row of ``kept``."""
+    return rows.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Without the documents that the toxicity operator rejects; each row is judged by its own text."""
-    found = toxicity.toxicity(docs, read_table(spark, folder, "labels"), 0.7)
-    return keep_rows(docs, settle(found).filter("predicted = 0"))
+    rows = numbered(docs)
+    model = toxicity.fit_on(rows, read_table(spark, folder, "labels").filter(~toxicity.held_out()))
+    found = settle(toxicity.score_documents(by_row(rows), model))
+    return keep_rows(rows, found.filter("score < 0.7"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of repeated ids one row stays. Groups without any
-    id keep one row."""
-    groups = settle(simhash.simhash_groups(docs))
-    kept = keep_rows(docs, groups.filter("doc_id <=> component_id"))
-    return kept.dropDuplicates(["doc_id"])
+    """The row with the smallest id, then number, of each group of near duplicates; null counts as the largest id."""
+    rows = numbered(docs)
+    groups = settle(simhash.simhash_groups(by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keep_rows(rows, settle(first.select(F.col("first._row").alias("doc_id"))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Without the documents that hold a benchmark window."""
-    found = settle(decontaminate.contamination(docs, read_table(spark, folder, "benchmark")))
-    return keep_rows(docs, found.filter("not contaminated"))
+    """Without the documents that hold a benchmark window; each row is judged by its own text."""
+    rows = numbered(docs)
+    found = settle(decontaminate.contamination(by_row(rows), read_table(spark, folder, "benchmark")))
+    return keep_rows(rows, found.filter("not contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
