@@ -54,3 +54,21 @@ def test_rows(spark):
     got = sorted(((r["page_id"], r["url"], r["n_chars"]) for r in H.extract_text(pages).collect()), key=str)
     assert got == sorted([(1, "u", 73), (1, "u", 73), (None, None, 0), (2, "", 2)], key=str)
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def test_articles_in_named_wrappers():
+    words = " ".join(f"word{k}" for k in range(100))
+    side = "<div class='sidebar'><p>Something on the side that nobody needs.</p></div>"
+    page = lambda start, end: f"<body>{start}<article><p>{words}</p></article>{side}{end}</body>"
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div id='page-with-search'>", "</div>"), ("<form>", "</form>"),
+                       ("<div class='overlay'>", "</div>"), ("<div class='noticeNav'><div class='widget'>", "</div></div>")):
+        assert H.main_text(page(start, end)) == words, start
+    assert H.main_text(f"<html class='cookie-notice'>{page('', '')}</html>") == words
+    after = f"<div class='comments'><div class='body'><p>{words} {words}</p></div></div>"
+    assert H.main_text(f"<article><p>{words}</p></article>{after}") == words
+
+
+def test_unclosed_dropped_elements_end_with_their_parents():
+    for left_open in ("<label>Name", "<button>Go", "<div hidden>secret", "<p hidden>secret", "<p><span hidden>secret"):
+        assert H.main_text(f"<article><div>{left_open}</div><p>All of the text.</p></article>") == "All of the text.", left_open
+    assert H.main_text("<article><p hidden>secret<p>All of the text.</article>") == "All of the text."

@@ -25,11 +25,13 @@ cookies consent gdpr notice notices alert popup modal overlay promo promotion pr
 menu menus nav navbar navigation topbar toolbar masthead footer foot copyright comment comments commentlist disqus respond replies
 reply discussion share sharing social related recommended recommendation recommendations newsletter subscribe subscription signup login
 register search pagination pager skip toc tagcloud teaser""".split())
+ABOUT = {"has", "with", "without", "no"}
 HEADER_WORDS = {"header", "head", "topper"}
 CONTENT_WORDS = set("article content contents post entry story main body text prose".split())
 
 # Weights of the linear classifier, in log-odds for content. No labelled pages exist, so they are set by hand.
 BIAS, OUTSIDE, INSIDE, HEADER, PARAGRAPH, HEADING, LENGTH, LINKS = -0.5, -9.0, 3.0, -5.0, 1.0, 0.3, 0.6, -5.0
+WRAPPER = 0.9  # share of the page's text from which an element says nothing about it
 NEXT, NEAR = 0.4, 0.6  # smoothness of neighbours in page order, and of blocks close to each other in the tree
 
 _SPACE = re.compile(r"\s+")
@@ -53,8 +55,13 @@ class Block(NamedTuple):
 class Blocks(HTMLParser):
     """Cuts a page into blocks of text at the borders of all but inline elements."""
 
-    def __init__(self):
+    def __init__(self, neutral: frozenset[int] = frozenset()):
+        """``neutral``: numbers of elements that are no boilerplate whatever they are called."""
         super().__init__(convert_charrefs=True)
+        self.neutral = neutral
+        self.marked: list[int] = []  # numbers of elements outside by themselves
+        self.content: list[tuple[int, ...]] = []  # paths of elements inside by themselves
+        self.sizes: dict[int, int] = {}  # characters below each element
         self.blocks: list[Block] = []
         self.stack = [Element("", 0, 0, False, False, False)]
         self.made = self.dropped = self.anchors = self.linked = 0
@@ -65,10 +72,16 @@ class Blocks(HTMLParser):
         found: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id") and value:
-                found |= {w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value) if w}
+                for part in value.split():
+                    ws = [w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", part) if w]
+                    # "has-sidebar" and "page-with-search" say what is below or missing, not what the element is.
+                    found |= set(ws[: next((k for k, w in enumerate(ws) if w in ABOUT), len(ws))])
         return found
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        closing = IMPLIED.get(tag, {"p"} if tag in CLOSES_P else ())
+        while self.dropping and self.dropping[-1] in closing:
+            self.dropping.pop()
         if self.dropping:
             if tag not in VOID:
                 self.dropping.append(tag)
@@ -100,7 +113,6 @@ class Blocks(HTMLParser):
         if hidden:
             self.dropping.append(tag)
             return
-        closing = IMPLIED.get(tag, {"p"} if tag in CLOSES_P else ())
         while self.stack[-1].tag in closing:
             self.stack.pop()
         around, words = self.stack[-1], self.words(attrs)
@@ -109,6 +121,11 @@ class Blocks(HTMLParser):
             bool(words & CONTENT_WORDS) and not words & HEADER_WORDS)
         header = (tag == "header" or bool(words & HEADER_WORDS) and not words & CONTENT_WORDS) and not around.inside
         self.made += 1
+        outside = outside and tag != "html" and self.made not in self.neutral
+        if outside:
+            self.marked.append(self.made)
+        elif inside:
+            self.content.append((*(e.number for e in self.stack), self.made))
         self.stack.append(Element(tag, self.made, around.depth + 1, around.outside or outside, around.inside or (inside and not outside),
                                   around.header or header))
 
@@ -117,7 +134,10 @@ class Blocks(HTMLParser):
             if tag in self.dropping:
                 while self.dropping.pop() != tag:
                     pass
-            return
+                return
+            if tag in INLINE or not any(e.tag == tag for e in self.stack):
+                return
+            self.dropping = []  # an element around ends, and with it what was left open in it
         if tag in INLINE:
             if tag == "a" and self.anchors:
                 self.anchors -= 1
@@ -137,6 +157,8 @@ class Blocks(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             around = self.stack[-1]
+            for e in self.stack:
+                self.sizes[e.number] = self.sizes.get(e.number, 0) + len(text)
             words = text.count(" ") + 1
             score = BIAS + LENGTH * math.log(words) + LINKS * min(1.0, self.linked / len(text))
             score += OUTSIDE * around.outside + INSIDE * around.inside + HEADER * around.header
@@ -146,11 +168,21 @@ class Blocks(HTMLParser):
 
 
 def read_blocks(html: str) -> list[Block]:
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.end_block()
-    return parser.blocks
+    """Blocks of a page. Elements that are boilerplate by tag or name but hold nearly all text of the page, or most of it and
+    everything that is marked as content, are wrappers: the page is read again without their mark."""
+    neutral: frozenset[int] = frozenset()
+    while True:
+        parser = Blocks(neutral)
+        parser.feed(html)
+        parser.close()
+        parser.end_block()
+        every = parser.sizes.get(0, 0)
+        share = {k: parser.sizes.get(k, 0) / max(1, every) for k in parser.marked}
+        around = set.intersection(*map(set, parser.content)) if parser.content else set()
+        wrappers = {k for k, s in share.items() if s >= WRAPPER or s >= 0.5 and k in around}
+        if not wrappers:
+            return parser.blocks
+        neutral |= wrappers
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
