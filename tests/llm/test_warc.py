@@ -71,3 +71,29 @@ def test_round_trip(spark):
     empty = shared_path(spark, "warc")
     W.write_archives(pages.limit(0), empty)
     assert W.read_archives(spark, empty)[0].count() == 0
+
+
+def test_salvage_inside_a_member():
+    parts = [record(i, b"page %d " % i + random.Random(i).randbytes(3000)) for i in range(6)]
+    pages = lambda data: [f["page_id"] for k, _, f in W.salvage(data) if k == "record"]
+    for bad in (0, 3, 5):
+        broken = [p.replace(b"page", b"pagf", 1) if i == bad else p for i, p in enumerate(parts)]
+        data = W.gzip_member(b"".join(broken))
+        assert pages(data) == [i for i in range(6) if i != bad]
+        gaps = [x for k, _, x in W.salvage(data) if k == "gap"]
+        assert gaps == [(0, f"block digest differs inside a member: {len(parts[bad])} bytes from {sum(map(len, parts[:bad]))}")]
+    whole = W.gzip_member(b"".join(parts))
+    cut = whole[: len(whole) * 3 // 4]
+    assert pages(cut) == [0, 1, 2, 3]
+    assert [(a, x[0]) for k, a, x in W.salvage(cut) if k == "gap"] == [(0, len(cut))]
+    assert pages(cut + W.gzip_member(record(9))) == [0, 1, 2, 3, 9]
+
+
+def test_digests_of_other_spelling_or_algorithm():
+    plain = record(1)
+    sha = W.digest(b"<p>x</p>")
+    for other in ("sha256:abc", "blake3:1", "sha1:" + sha.lower(), "SHA1:" + sha, "sha1:" + W.base64.b32decode(sha).hex(),
+                  "md5:" + W.hashlib.md5(b"<p>x</p>").hexdigest()):
+        assert len([1 for k, *_ in W.salvage(plain.replace(f"Payload-Digest: sha1:{sha}".encode(), f"Payload-Digest: {other}".encode())) if k == "record"]) == 1
+    wrong = plain.replace(f"Payload-Digest: sha1:{sha}".encode(), b"Payload-Digest: md5:" + b"0" * 32)
+    assert [x[1] for k, _, x in W.salvage(wrong) if k == "gap"] == ["payload digest differs"]

@@ -20,6 +20,7 @@ MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 NIL = 0xFFFFFFFFFFFFFFFF  # low half of the record id of a page without an id
 RECORD = "file string, offset long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+DIGESTS = {"md5": hashlib.md5, "sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha384": hashlib.sha384, "sha512": hashlib.sha512}
 GAP = "file string, offset long, length long, reason string"
 
 
@@ -100,6 +101,19 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes:
     write_blobs(marked.mapInArrow(run, "blob binary"), path)
 
 
+def differs(told: str | None, data: bytes) -> bool:
+    """Whether a digest header contradicts ``data``. Base 32 and hex in either case are read; what is neither, or names an
+    algorithm that is not known here, proves nothing."""
+    name, colon, value = (told or "").partition(":")
+    known = DIGESTS.get(name.strip().lower().replace("-", "")) if colon else None
+    if known is None:
+        return False
+    made, value = known(data).digest(), value.strip()
+    spelt = {2 * len(made): made.hex(), len(base64.b32encode(made).rstrip(b"=")): base64.b32encode(made).decode().rstrip("=").lower()}
+    plain = value.rstrip("=").lower()
+    return len(plain) in spelt and plain != spelt[len(plain)]
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     """The record whose version line starts at ``at``: (fields or None, end, reason). Length and digests must hold."""
     version = VERSION.match(data, at)
@@ -122,12 +136,12 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     end = start + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "record does not end where its length says"
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
+    if differs(fields.get("warc-block-digest"), block):
         return None, at, "block digest differs"
     http, blank, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     kind = fields.get("warc-type", "")
     sha = fields.get("warc-payload-digest", "").removeprefix("sha1:") or digest(body)
-    if kind == "response" and sha != digest(body):
+    if kind == "response" and differs(fields.get("warc-payload-digest"), body):
         return None, at, "payload digest differs"
     told = re.search(rb"(?im)^content-length: *(\d+)", http)
     return {
@@ -137,59 +151,77 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     }, end + 4, ""
 
 
-def _inflate(content: memoryview, at: int) -> tuple[bytes | None, int]:
-    """The gzip member at ``at`` with its check sums, and where it ends."""
+def _inflate(content: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` gives before any damage, and where it ends; None if it is damaged or breaks off."""
     opened, parts = zlib.decompressobj(31), []
-    try:
-        while not opened.eof and at < len(content):
+    while not opened.eof and at < len(content):
+        before = opened.copy() if parts else zlib.decompressobj(31)
+        try:
             parts.append(opened.decompress(content[at : at + 65536]))
-            at += min(65536, len(content) - at)
-    except zlib.error:
-        return None, at
-    return (b"".join(parts), at - len(opened.unused_data)) if opened.eof else (None, at)
+        except zlib.error:  # the part again in small steps, for what comes before the damage
+            step = 64
+            for k in range(at, min(at + 65536, len(content)), step):
+                try:
+                    parts.append(before.decompress(content[k : k + step]))
+                except zlib.error:
+                    break
+            return b"".join(parts), None
+        at += min(65536, len(content) - at)
+    return b"".join(parts), at - len(opened.unused_data) if opened.eof else None
+
+
+def _inside(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of inflated data, and the gaps ``(offset, length, reason)`` between them, in inflated bytes."""
+    found, gaps, at, start, reason = [], [], 0, None, ""
+    while at < len(data):
+        fields, end, why = parse_record(data, at)
+        if fields is not None:
+            if start is not None:
+                gaps.append((start, at - start, reason))
+                start = None
+            found.append(fields)
+            at = end
+            continue
+        if start is None:
+            start, reason = at, why
+        later = VERSION.search(data, at + 1)
+        at = later.start() if later else len(data)
+    if start is not None:
+        gaps.append((start, len(data) - start, reason))
+    return found, gaps
 
 
 def salvage(content: bytes) -> Iterator[tuple[str, int, object]]:
     """``("record", offset, fields)`` and ``("gap", offset, (length, reason))`` of an archive, plain or gzip members.
 
     After a failed check it goes on at the next place where a member or a version line starts and proves valid.
-    What lies between is reported as a gap, byte for byte; zero bytes at the end are padding.
+    What lies between is reported as a gap, byte for byte; zero bytes at the end are padding. Inside a member the same
+    search runs over the inflated data: each of its gaps is reported at the member's offset, with its place and length
+    there in the reason and a length of 0, as the member's bytes are not lost. Of a member that is damaged or breaks
+    off, the records before the damage come back, and its bytes are a gap.
     """
     size = len(content.rstrip(b"\0"))
     start, reason, at = None, "", 0  # of the open gap
     starts = re.compile(re.escape(MEMBER) + rb"|WARC/1\.[01]\r?\n")
     view = memoryview(content)
     while at < size:
-        found, end, why = [], at, "no member or version line"
+        found, inner, end, why = [], [], at, "no member or version line"
         if content.startswith(MEMBER, at):
             data, after = _inflate(view, at)
-            why = "member is damaged"
-            if data is not None:
-                inner, why = 0, "empty member"
-                while inner < len(data):
-                    fields, next_inner, why = parse_record(data, inner)
-                    if fields is None:
-                        break
-                    found.append(fields)
-                    inner = next_inner
-                if found or not data:
-                    end = after
-                if found and why:  # the rest of a member whose head was good
-                    yield from ((("gap", start, (at - start, reason)),) if start is not None else ())
-                    start = None
-                    yield from (("record", at, f) for f in found)
-                    yield "gap", at, (after - at, why + " inside a member")
-                    at = after
-                    continue
+            found, inner = _inside(data)
+            why = "member is damaged" if after is None else inner[0][2] if inner else ""
+            if after is not None and (found or not data):
+                end = after
         elif VERSION.match(content, at):
             fields, after, why = parse_record(content, at)
             if fields is not None:
                 found, end = [fields], after
+        if (end > at or found) and start is not None:
+            yield "gap", start, (at - start, reason)
+            start = None
+        yield from (("record", at, f) for f in found)
         if end > at:
-            if start is not None:
-                yield "gap", start, (at - start, reason)
-                start = None
-            yield from (("record", at, f) for f in found)
+            yield from (("gap", at, (0, f"{why} inside a member: {n} bytes from {k}")) for k, n, why in inner)
             at = end
             continue
         if start is None:
