@@ -96,4 +96,7 @@ def test_tagger_failure_gives_an_empty_list(spark):
 
     df = spark.createDataFrame([("good " + "x" * 600,), ("bad",), (" ",), (None,)], "t string")
     tagged = [r.entities for r in hooks.tag_entities(df, "t", tagger).collect()]
-    assert len(tagged[0][0].word) == 512 and tagged[1:] == [[], [], []]
+    assert len(tagged[0][0].word) == 605 and tagged[1:] == [[], [], []]
+    cut = [r.entities for r in hooks.tag_entities(df, "t", tagger, max_chars=512).collect()]
+    assert all(0 < len(e.word) <= 512 for e in cut[0]) and sum(e.word.count("x") for e in cut[0]) == 600
+    assert cut[1:] == [[], [], []]
