@@ -8,9 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, settle, shuffle_width
 
 # A-Z to a-z and nothing else, on UTF-8 bytes.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -76,3 +76,27 @@ def batches_of(rows: Iterable, size: int) -> Iterator[list]:
             part = []
     if part:
         yield part
+
+
+def range_slices(rows: DataFrame, group: str, order_by: list[str], size: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sort ``rows`` by ``group``, then ``order_by``, over range partitions, so that a large group spreads over many.
+
+    Returns the rows with their partition in ``_slice``, written, as sampled bounds must not change between readings;
+    and per group and slice ``_before``, the sum of ``size`` (rows, if none is given) in the group's earlier slices, and
+    ``_total``, the group's sum. The second table has at most one row for each group and one for each slice.
+    """
+    amount = F.lit(1).cast("long") if size is None else F.col(size)
+    ranged = rows.repartitionByRange(shuffle_width(rows.sparkSession), group, *order_by)
+    ranged = settle(ranged.withColumn("_slice", F.spark_partition_id()))
+    per_slice = settle(ranged.groupBy(group, "_slice").agg(F.sum(amount).alias("_sum")))
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)), "_total": F.sum("_sum").over(whole)}
+    return ranged, per_slice.withColumns(sums).drop("_sum")
+
+
+def join_slices(rows: DataFrame, per_slice: DataFrame, group: str) -> DataFrame:
+    """The columns of ``per_slice`` for each row; no key holds more than the rows of one slice."""
+    facts = per_slice.withColumnsRenamed({group: "_group", "_slice": "_of"})
+    same = (rows["_slice"] == facts["_of"]) & rows[group].eqNullSafe(facts["_group"])
+    return rows.join(facts, same).drop("_group", "_of")

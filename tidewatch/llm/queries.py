@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_lm, decontaminate, html_text, packing, quotations, simhash, token_files, toxicity, vectors, warc
+from . import attention_lm, decontaminate, html_text, merkle, packing, quotations, simhash, token_files, toxicity, vectors, warc
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -125,3 +125,53 @@ def op1_toxicity(spark, folder):
 @query
 def op7_attention_lm(spark, folder):
     return attention_lm.score_documents(read_table(spark, folder, "documents"), public_path("byte_bpe_50k.json"), 50257)
+
+
+@query
+def op11_merkle(spark, folder):
+    proven = merkle.verify_manifest(read_table(spark, folder, "documents"), merkle.deleted_newlines())
+    return proven.drop("source")
+
+
+_FIELDS = " || ".join(
+    f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")
+)
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({_FIELDS} || coalesce(strlen({text})::VARCHAR || ':' || {text}, '-'))"
+
+
+# crc32 bit by bit: each byte enters with its first bit.
+_CRC_SQL = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"""
+SQL["op11_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS r, CASE WHEN xor({_CRC_SQL}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '')
+    ELSE text END AS cut FROM documents),
+h AS (SELECT r, doc_id, source, {_leaf_sql('text')} AS leaf, {_leaf_sql('cut')} AS checked FROM d),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, count(*) OVER (PARTITION BY source) AS n,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS x FROM h),
+tree AS (SELECT src, 0 AS level, n, x, leaf AS d FROM leaves
+  UNION ALL SELECT src, level + 1, (n + 2) // 3, x // 3, sha256(string_agg(d, '' ORDER BY x)) FROM tree WHERE n > 1
+  GROUP BY src, level, n, x // 3),
+subroots AS (SELECT src, d, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, n, src AS x, d FROM subroots
+  UNION ALL SELECT level + 1, (n + 2) // 3, x // 3, sha256(string_agg(d, '' ORDER BY x)) FROM top WHERE n > 1
+  GROUP BY level, n, x // 3),
+pairs AS (
+  SELECT r, t.level, t.x, t.d, l.x // (3 ** t.level)::BIGINT AS own FROM leaves l JOIN tree t ON t.src = l.src AND t.n > 1
+    AND t.x // 3 = (l.x // (3 ** t.level)::BIGINT) // 3
+  UNION ALL SELECT r, 1000 + t.level, t.x, t.d, l.src // (3 ** t.level)::BIGINT FROM leaves l JOIN top t ON t.n > 1
+    AND t.x // 3 = (l.src // (3 ** t.level)::BIGINT) // 3),
+sides AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS step,
+  coalesce(string_agg(d, '' ORDER BY x) FILTER (x < own), '') AS before,
+  coalesce(string_agg(d, '' ORDER BY x) FILTER (x > own), '') AS after FROM pairs GROUP BY r, level),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM sides GROUP BY r),
+fold AS (SELECT r, 1 AS step, checked AS d FROM leaves
+  UNION ALL SELECT f.r, f.step + 1, sha256(before || f.d || after) FROM fold f JOIN sides s ON s.r = f.r AND s.step = f.step),
+folded AS (SELECT r, arg_max(d, step) AS d FROM fold GROUP BY r),
+root AS (SELECT d FROM top WHERE n = 1)
+SELECT doc_id, leaf, s.d AS subroot, root.d AS root, coalesce(proof, sha256('')) AS proof_sha256, f.d AS folded_root,
+  f.d = root.d AS verified
+FROM leaves l JOIN subroots s USING (src) JOIN folded f USING (r) LEFT JOIN proofs USING (r) CROSS JOIN root"""
