@@ -200,7 +200,8 @@ def expand_proofs(asked: DataFrame, fetched: DataFrame, n_trees: int, siblings:
             [top.root.decode()] * len(tree), [sha256(p).hexdigest() for p in paths], [f.decode() for f in folded],
         ]
         if siblings:
-            columns.append([[p[i : i + 64].decode() for i in range(0, len(p), 64)] for p in paths])
+            each = [[p[i : i + 64].decode() for i in range(0, len(p), 64)] for p in paths]
+            columns.append(pa.array(each, pa.list_(pa.string())))
         names = [c.split()[0] for c in schema.split(", ")]
         return pa.table(columns, names=names)
 

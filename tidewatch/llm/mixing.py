@@ -61,12 +61,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return marked.select("source", "source_size", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED,
+             keep_text: bool = False) -> DataFrame:
     """What a mix takes of each row of ``docs(doc_id, source, text)``: ``doc_id, source, size`` (words), ``source_size``,
     ``target`` (its source's, as in :func:`source_targets`), ``rounds`` (whole copies), ``cut`` (leading words of one more
-    copy) and ``taken`` (words in all, repeats counted).
+    copy) and ``taken`` (words in all, repeats counted); with ``keep_text`` also the text.
 
-    A source's budget is its target, rounded. Its rows stand in the order of a hash of the id: whole rounds over the
+    A source's budget is its target, rounded half up. Its rows stand in the order of a hash of the id: whole rounds over the
     source first, then rows from the front until the budget is used up, the last one in part. So a source's taken
     words are its budget exactly.
 
@@ -79,6 +80,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     sized = settle(docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
         random_key(F.col("doc_id"), seed).alias("_key"), F.xxhash64(text).alias("_text"),
+        *([text.alias("text")] if keep_text else []),
     ))
     order = ["_key", "doc_id", "size", "_text"]
     rows, slices = range_slices(sized, "source", order, "size")
@@ -93,26 +95,16 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     cut = F.least(F.greatest(rest - (F.col("_upto") - F.col("size")), F.lit(0)), F.col("size"))
     planned = placed.withColumns({"_budget": budget, "rounds": whole}).withColumn("cut", cut)
     planned = planned.withColumn("taken", F.col("rounds") * F.col("size") + F.col("cut"))
-    return planned.select("doc_id", "source", "size", "source_size", "target", "rounds", "cut", "taken", "_text")
+    kept = ["text"] if keep_text else []
+    return planned.select("doc_id", "source", "size", "source_size", "target", "rounds", "cut", "taken", *kept)
 
 
-def mix_texts(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mix itself: ``doc_id, source, epoch`` (from 0), ``text``, one row for each copy; a cut copy ends after its last
-    word. ``plan`` is that of ``docs``; rows meet by id, source, size and a hash of the text, equal ones by number."""
-    text = F.col("text").cast("string")
-    key = ["doc_id", "source", "size", "_text"]
-    number = f"row_number() over (partition by {', '.join(key)} order by _text) as _number"
-    numbered = docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"))
-    numbered = numbered.withColumns({"size": word_count(text), "_text": F.xxhash64(text)}).selectExpr("*", number)
-    chosen = plan.filter("taken > 0").selectExpr(*key, "rounds", "cut", number)
-    a, b = numbered.alias("a"), chosen.alias("b")
-    same = F.lit(True)
-    for c in [*key, "_number"]:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    copies = a.join(b, same).select(
-        "a.doc_id", "a.source", "a.text", "a.size", "b.rounds", "b.cut",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - F.when(F.col("cut") > 0, 0).otherwise(1))).alias("epoch"),
-    )
+def mix_texts(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, in its random order: ``doc_id, source, epoch`` (from 0), ``text``, one row for each copy; a cut copy
+    ends after its last word. ``settings`` are those of :func:`mix_plan`; here the texts move with the sort."""
+    plan = mix_plan(docs, keep_text=True, **settings).filter("taken > 0")
+    last = F.col("rounds") - F.when(F.col("cut") > 0, 0).otherwise(1)
+    copies = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     part = (F.col("epoch") == F.col("rounds")) & (F.col("cut") < F.col("size"))
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     front = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("cut"), F.lit(1)).cast("int")), "")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_lm, decontaminate, html_text, merkle, packing, quotations, simhash, token_files, toxicity, vectors, warc
+from . import attention_lm, decontaminate, html_text, merkle, mixing, packing, quotations, simhash, token_files, toxicity, vectors, warc
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -175,3 +175,28 @@ root AS (SELECT d FROM top WHERE n = 1)
 SELECT doc_id, leaf, s.d AS subroot, root.d AS root, coalesce(proof, sha256('')) AS proof_sha256, f.d AS folded_root,
   f.d = root.d AS verified
 FROM leaves l JOIN subroots s USING (src) JOIN folded f USING (r) LEFT JOIN proofs USING (r) CROSS JOIN root"""
+
+
+@query
+def op12_mixing(spark, folder):
+    return mixing.mix_plan(read_table(spark, folder, "documents")).drop("source", "rounds", "cut")
+
+
+SQL["op12_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  md5('mix:' || coalesce(doc_id::VARCHAR, '-')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source),
+o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+  coalesce(sum(2 * source_size) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS caps_before,
+  (sum(w) OVER () - coalesce(sum(w) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS w_left FROM s
+  WINDOW b AS (ORDER BY source_size / w::DOUBLE, source NULLS LAST)),
+f AS (SELECT *, 2.0::DOUBLE * source_size * w_left <= w * (total - caps_before) AS is_full FROM o),
+r AS (SELECT coalesce(sum(2 * source_size) FILTER (is_full), 0)::DOUBLE AS caps, coalesce(sum(w) FILTER (NOT is_full), 0)::DOUBLE AS rest FROM f),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN 2.0::DOUBLE * source_size ELSE w * (total - caps) / rest END AS target FROM f, r),
+p AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS budget,
+  sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size > 0 THEN budget // source_size * size + least(greatest(budget % source_size - before, 0), size) ELSE 0 END)::BIGINT
+  AS taken FROM p"""
