@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_lm, decontaminate, html_text, merkle, mixing, packing, quotations, simhash, token_files, toxicity, vectors, warc
+from . import attention_lm, decontaminate, html_text, merkle, mixing, packing, quotations, simhash, token_files, toxicity, vectors, warc, whitening
 from .common import read_table, shared_path
 from .tokens import public_path
 
@@ -200,3 +200,8 @@ p AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS budget,
 SELECT doc_id, size, source_size, target,
   (CASE WHEN source_size > 0 THEN budget // source_size * size + least(greatest(budget % source_size - before, 0), size) ELSE 0 END)::BIGINT
   AS taken FROM p"""
+
+
+@query
+def op13_whitening(spark, folder):
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
