@@ -83,6 +83,33 @@ def test_neighbour_counts_match_brute_force(spark):
     assert {r.seq: r.neighbours for r in found} == dict(enumerate(degree.tolist()))
 
 
+def test_pivots_skip_far_pairs_and_keep_the_counts(spark):
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    tight = np.concatenate([c + 0.02 * rng.normal(size=(40, 16)) for c in centres]).astype(np.float32).astype(float)
+    loose = rng.normal(size=(640, 16)).astype(np.float32).astype(float)
+    used = {}
+    for name, x, eps in (("tight", tight, 0.01), ("sure", tight, 0.5), ("loose", loose, 0.4)):
+        _, degree = brute_clusters(x, eps, 2)
+        found = N.neighbour_counts(vectors(spark, x), "seq", "embedding", eps, block_rows=25).collect()
+        assert {r.seq: r.neighbours for r in found} == dict(enumerate(degree.tolist()))
+        used[name] = N.comparisons(vectors(spark, x), "seq", "embedding", eps, block_rows=25).first()
+        assert used[name].vectors == 640 and used[name].every == 640 * 639 // 2
+    assert used["loose"].compared > 0.5 * used["loose"].every
+    assert used["tight"].compared < 0.12 * used["tight"].every  # 1 / 16 of all pairs are inside a cluster
+    assert used["sure"].compared < 0.05 * used["sure"].every  # most need no comparison at all
+
+
+@pytest.mark.parametrize("eps, min_samples", [(0.01, 5), (0.5, 3), (1.0, 2), (1.2, 4), (2.0, 3)])
+def test_clusters_of_tight_groups(spark, eps, min_samples):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + 0.03 * rng.normal(size=(25, 5)) for c in rng.normal(size=(5, 5))] + [np.zeros((2, 5)), -np.eye(5)])
+    x = x.astype(np.float32).astype(float)
+    want, _ = brute_clusters(x, eps, min_samples)
+    found = I.cluster_window(vectors(spark, x), eps=eps, min_samples=min_samples, block_rows=20).collect()
+    assert {r.seq: r.cluster for r in found} == dict(enumerate(want))
+
+
 def test_chain_joins_ends_that_are_far_apart(spark):
     angles = [0.0, 0.8, 1.6]
     x = [[np.cos(a), np.sin(a)] for a in angles] + [[-1.0, -1.0]]

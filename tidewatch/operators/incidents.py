@@ -34,14 +34,14 @@ def cluster_window(
     Adds ``cluster`` (smallest core id of the cluster, null for noise) and ``is_core``. A
     window of fewer than ``min_window`` posts is all noise.
     """
-    base, n_blocks, posts, most = blocked(df, id, vec, block_rows)
-    if posts < min_window:
+    blocks = blocked(df, id, vec, eps, block_rows)
+    if blocks.posts < min_window:
         return df.withColumns({"cluster": F.lit(None).cast("long"), "is_core": F.lit(False)})
 
     if min_samples <= 2:
         # Any neighbour makes both ends core, so linking everything and then looking at the
         # size of what it is linked to is the same and saves the counting pass.
-        local, links = group_links(base.withColumn("core", F.lit(True)), n_blocks, eps)
+        local, links = group_links(blocks, blocks.rows)
         named = _named(local, links, hot_rows)
         sizes = named.groupBy("component").agg(F.sum("copies").alias("size"), F.count(F.lit(1)).alias("vectors"))
         lone_zero = F.forall("vec", lambda e: e == 0) & F.lit(eps < 1)
@@ -55,18 +55,18 @@ def cluster_window(
         )
     else:
         base = settle(
-            with_degree(base, n_blocks, eps).withColumn("core", F.col("degree") >= min_samples)
-            .select("vec", "rep", "copies", "block", "core")
+            with_degree(blocks).withColumn("core", F.col("degree") >= min_samples)
+            .select("vec", "rep", "copies", "cell", "block", "core")
         )
-        named = _named(*group_links(base, n_blocks, eps), hot_rows)
+        named = _named(*group_links(blocks, base.filter("core")), hot_rows)
         owned = named.select("rep", "component")
-        edges = border_links(base, n_blocks, eps)
+        edges = border_links(blocks, base)
         borders = attach_borders(edges, owned)
         cores = named.select("vec", F.col("component").alias("cluster"), F.lit(True).alias("is_core"))
         others = base.filter("not core").join(borders, "rep", "left")
         per_vector = cores.unionByName(others.select("vec", "cluster", F.lit(False).alias("is_core")))
         per_vector = per_vector.withColumn("_own", F.lit(False))
-    placed = back_to_posts(df, vec, base if most >= hot_rows else None, per_vector, hot_rows)
+    placed = back_to_posts(df, vec, blocks.rows if blocks.most >= hot_rows else None, per_vector, hot_rows)
     # Zero vectors are near nothing: where a single post may be a cluster, each is its own.
     return placed.withColumn("cluster", F.when(F.col("_own"), F.col(id)).otherwise(F.col("cluster"))).drop("_own")
 

@@ -1,17 +1,21 @@
-"""Neighbours under cosine distance, exactly and in bounded blocks.
-
-Every post has to be compared with every other post of the window, because at the usual
-radius no index prunes exactly. What is kept small is everything else: exact copies are
-compared once, a task holds two blocks of bounded size, and what leaves a task is linear in
-its rows (counts, or the links that join groups), never the pairs themselves.
+"""Neighbours under cosine distance, exactly, with spherical pivots.
+
+Vectors are dealt to the nearest of a bounded number of pivots and on into blocks of bounded size. Angles obey the triangle
+inequality: two blocks whose pivots are further apart than both radii and the search angle hold no neighbours and never
+meet; in a pair of blocks that does, a vector is left out if it is too far from the other block's pivot, and needs no
+comparison if it is so near that everything there is its neighbour. On data without clusters little is left out, and
+all pairs of blocks are compared. What leaves a task is linear in its rows (counts, or the links that join groups), never
+the pairs themselves. Exact copies are compared once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let
@@ -20,6 +24,9 @@ from .scale import HOT_ROWS, hot_key_join
 
 BLOCK_ROWS = 8192
 TILE_ROWS = 1024
+MAX_PIVOTS = 1024  # bounds what is sent to every task: the pivots, and which of their cells may hold neighbours
+PIVOT_SAMPLE = 4096  # vectors that the pivots are chosen from; the choice decides the work, never a neighbour
+MARGIN = 1e-6  # of an angle, far above the rounding of arccos
 
 
 def unit_vector(c) -> Column:
@@ -35,32 +42,99 @@ def unit_vector(c) -> Column:
 
 
 def distinct_vectors(df: DataFrame, id: str, vec: str) -> DataFrame:
-    """One row per different vector: smallest id, number of copies."""
-    return df.groupBy(F.col(vec).cast("array<double>").alias("vec")).agg(
-        F.min(id).alias("rep"), F.count(F.lit(1)).alias("copies")
-    )
+    """One row per different vector: smallest id, number of copies. The vectors keep their type (floats are shipped as floats)."""
+    return df.groupBy(F.col(vec).alias("vec")).agg(F.min(id).cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def block_count(n: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
-    """Enough blocks to bound a task's memory and to give every core a pair of them."""
-    return max(1, math.ceil(n / block_rows), min(n, math.ceil(math.sqrt(2 * parallelism))))
+def pivot_count(n: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Enough cells to give every core a pair of them and to tell clusters apart, few enough to send to every task."""
+    wanted = max(math.ceil(n / block_rows), math.ceil(math.sqrt(2 * parallelism)), math.ceil(math.sqrt(n) / 4))
+    return min(n, wanted, MAX_PIVOTS)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Unit rows in double precision; the zero vector stays as it is."""
     if not len(column):
         return np.zeros((0, 1))
-    x = np.array(column.tolist(), dtype=np.float64)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     norm[norm == 0] = 1.0
     return x / norm
 
 
+def _angles(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Angles to a pivot, or to each of several (columns). The zero vector is at a right angle to all, as its distance says."""
+    return np.arccos(np.clip(x @ pivot.T, -1.0, 1.0)) if len(x) else np.zeros((0, *pivot.shape[:-1]))
+
+
+def spread_pivots(x: np.ndarray, count: int) -> np.ndarray:
+    """``count`` rows of ``x``, each the furthest from all before it, so that no cluster of the sample is left without one."""
+    picked, angle = [0], _angles(x, x[0]) if len(x) else []
+    while len(picked) < min(count, len(x)):
+        picked.append(int(angle.argmax()))
+        angle = np.minimum(angle, _angles(x, x[picked[-1]]))
+    return x[picked] if len(x) else x
+
+
+def search_angle(eps: float) -> float:
+    return float(np.arccos(np.clip(1.0 - eps, -1.0, 1.0)))
+
+
 def _tiles(a: np.ndarray, b: np.ndarray, eps: float):
     """Boolean ``distance <= eps`` in slices of rows of ``a``."""
     for start in range(0, len(a), TILE_ROWS):
         yield start, (1.0 - a[start : start + TILE_ROWS] @ b.T) <= eps
 
 
+@dataclass
+class Pair:
+    """Two blocks that meet (or one with itself), as unit rows, split by the triangle bounds: ``sure`` rows are near all rows
+    of the other side, ``open`` ones have to be compared with the other side's open ones, the others are near its sure
+    rows only."""
+
+    a: np.ndarray
+    b: np.ndarray
+    sure_a: np.ndarray
+    open_a: np.ndarray
+    sure_b: np.ndarray
+    open_b: np.ndarray
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray, pivot_a: np.ndarray, pivot_b: np.ndarray, eps: float) -> Pair:
+        theta = search_angle(eps)
+
+        def split(x: np.ndarray, other: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            radius, angle = _angles(other, pivot).max(initial=0.0), _angles(x, pivot)
+            sure = angle + radius < theta - MARGIN
+            return sure, (angle - radius <= theta + MARGIN) & ~sure
+
+        return cls(a, b, *split(a, b, pivot_b), *split(b, a, pivot_a))
+
+    @property
+    def compared(self) -> int:
+        return int(self.open_a.sum()) * int(self.open_b.sum())
+
+    def tiles(self, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(rows of a, rows of b, near)`` of the open rows."""
+        i, j = np.flatnonzero(self.open_a), np.flatnonzero(self.open_b)
+        if len(i) and len(j):
+            y = self.b[j]
+            for start, near in _tiles(self.a[i], y, eps):
+                yield i[start : start + len(near)], j, near
+
+    def near(self, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As :meth:`tiles`, with the sure rows too; together every near pair once."""
+        for i in np.array_split(np.flatnonzero(self.sure_a), max(1, -(-int(self.sure_a.sum()) // TILE_ROWS))):
+            if len(i):
+                yield i, np.arange(len(self.b)), np.ones((len(i), len(self.b)), bool)
+        i, j = np.flatnonzero(self.open_a), np.flatnonzero(self.sure_b)
+        for part in np.array_split(i, max(1, -(-len(i) // TILE_ROWS))):
+            if len(part) and len(j):
+                yield part, j, np.ones((len(part), len(j)), bool)
+        yield from self.tiles(eps)
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -87,67 +161,126 @@ def _join_groups(parent: np.ndarray, rows: np.ndarray, cols: np.ndarray, near: n
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _pair_keys(n_blocks: int) -> Column:
-    """Keys of all block pairs a row of block ``b`` takes part in."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1)),
-        lambda j: F.least(j, F.col("block")) * F.lit(n_blocks) + F.greatest(j, F.col("block")),
-    )
-
-
-def blocked(df: DataFrame, id: str, vec: str, block_rows: int) -> tuple[DataFrame, int, int, int]:
-    """Distinct vectors with their block, the number of blocks and of posts, and the most
-    copies of one vector."""
-    base = settle(distinct_vectors(df, id, vec))
+@dataclass
+class Blocks:
+    """Distinct vectors ``rows(vec, rep, copies, cell, block, ...)`` in blocks around pivots."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    cells: DataFrame  # cell, subs: into how many blocks the cell is dealt
+    partners: DataFrame  # cell, others: cells that may hold neighbours; at most MAX_PIVOTS squared numbers in all
+    eps: float
+    posts: int
+    most: int
+
+    def met(self, rows: DataFrame, own: bool = True, cells_of: DataFrame | None = None) -> DataFrame:
+        """``rows`` once for each pair of blocks ``(lo, hi)`` that they meet in; without ``own``, no block meets itself.
+        ``cells_of`` leaves only partners among its cells."""
+        others = self.cells if cells_of is None else cells_of.join(self.cells, "cell")
+        others = F.broadcast(others.select(F.col("cell").alias("other"), "subs"))
+        each = rows.join(F.broadcast(self.partners), "cell").withColumn("other", F.explode("others")).drop("others").join(others, "other")
+        each = each.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+        block = F.shiftleft(F.col("other").cast("long"), 32) + F.col("sub")
+        each = each.withColumns({"lo": F.least("block", block), "hi": F.greatest("block", block)}).drop("other", "sub", "subs")
+        return each if own else each.filter("lo <> hi")
+
+    def pair(self, key: tuple, table: pa.Table) -> tuple[pa.Table, pa.Table, Pair]:
+        """In a task: the rows of both blocks of a pair, and how they compare."""
+        lo, hi = (k.as_py() for k in key)
+        block = table["block"].to_numpy()
+        a = table.filter(pa.array(block == lo))
+        b = a if lo == hi else table.filter(pa.array(block == hi))
+        xa = _matrix(a["vec"])
+        xb = xa if lo == hi else _matrix(b["vec"])
+        return a, b, Pair.of(xa, xb, self.pivots[lo >> 32], self.pivots[hi >> 32], self.eps)
+
+    def shipped(self) -> Blocks:
+        """Without what belongs to the driver."""
+        return Blocks(None, self.pivots, None, None, self.eps, self.posts, self.most)
+
+
+def blocked(df: DataFrame, id: str, vec: str, eps: float, block_rows: int = BLOCK_ROWS) -> Blocks:
+    """The distinct vectors of ``df`` in blocks, with the number of posts and the most copies of one vector."""
+    return block_vectors(settle(distinct_vectors(df, id, vec)), eps, block_rows)
+
+
+def block_vectors(base: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> Blocks:
+    """Blocks of a written table ``(vec, rep, copies, ...)`` of different vectors."""
+    spark = base.sparkSession
     n, posts, most = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
-    n_blocks = block_count(n, df.sparkSession.sparkContext.defaultParallelism, block_rows)
-    block = F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("long")
-    return base.withColumn("block", block), n_blocks, posts, most
+    count = pivot_count(n, spark.sparkContext.defaultParallelism, block_rows)
+    chosen = base.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOT_SAMPLE, 4 * count)).select("vec").toArrow()
+    pivots = spread_pivots(_matrix(chosen["vec"]), count)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            cell, angle = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for start in range(0, len(x), TILE_ROWS):
+                angles = _angles(x[start : start + TILE_ROWS], pivots)
+                cell[start : start + TILE_ROWS] = angles.argmin(axis=1)
+                angle[start : start + TILE_ROWS] = angles.min(axis=1)
+            yield batch.append_column("cell", pa.array(cell)).append_column("angle", pa.array(angle))
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    dealt = settle(base.mapInArrow(assign, f"{columns}, cell int, angle double"))
+    facts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toArrow()  # a row per pivot
+    cell, radius = facts["cell"].to_numpy(), facts["radius"].to_numpy()
+    subs = -(-facts["n"].to_numpy() // block_rows)
+    apart = _angles(pivots[cell], pivots[cell]) if len(cell) else np.zeros((0, 0))
+    met = apart - radius[:, None] - radius[None, :] <= search_angle(eps) + MARGIN
+    cells = spark.createDataFrame(pa.table({"cell": pa.array(cell, pa.int32()), "subs": pa.array(subs, pa.int64())}))
+    others = pa.array([cell[row].tolist() for row in met], pa.list_(pa.int32()))
+    partners = spark.createDataFrame(pa.table({"cell": pa.array(cell, pa.int32()), "others": others}))
+    sub = F.pmod(F.xxhash64("rep"), F.col("subs"))
+    rows = dealt.drop("angle").join(F.broadcast(cells), "cell")
+    rows = rows.withColumn("block", F.shiftleft(F.col("cell").cast("long"), 32) + sub).drop("subs")
+    return Blocks(rows, pivots, cells, partners, eps, posts, most)
 
 
 def back_to_posts(df: DataFrame, vec: str, base: DataFrame | None, per_vector: DataFrame, hot_rows: int) -> DataFrame:
     """Give every row of ``df`` the columns of its vector. ``base`` tells which vectors hold
     very many copies, None if none does."""
     key = lambda t: t.withColumn("_vkey", F.xxhash64("vec"))
-    posts = key(df.withColumn("vec", F.col(vec).cast("array<double>")))
+    posts = key(df.withColumn("vec", F.col(vec)))
     hot = None if base is None else key(base.filter(F.col("copies") >= hot_rows)).select("_vkey", "vec")
     return hot_key_join(posts, key(per_vector), ["_vkey", "vec"], hot).drop("_vkey", "vec")
 
 
-def _vector_degrees(base: DataFrame, n_blocks: int, eps: float) -> DataFrame:
+def _vector_degrees(blocks: Blocks) -> DataFrame:
     """Per distinct vector, how many posts lie within ``eps`` of a copy of it (itself and its
     other copies included); zero vectors are near nothing but themselves."""
-
-    def count_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = divmod(int(key[0]), n_blocks)
-        a = rows[rows["block"] == lo]
-        b = a if lo == hi else rows[rows["block"] == hi]
-        xa, xb = _matrix(a["vec"]), _matrix(b["vec"])
-        ca, cb = a["copies"].to_numpy(), b["copies"].to_numpy()
-        na, nb = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-        for start, near in _tiles(xa, xb, eps):
-            stop = start + len(near)
-            if lo == hi:
-                near[np.arange(len(near)), np.arange(start, stop)] = False
-            na[start:stop] = near @ cb
-            if lo != hi:
-                nb += ca[start:stop] @ near
-        out = [pd.DataFrame({"rep": a["rep"], "n": na})]
-        if lo != hi:
-            out.append(pd.DataFrame({"rep": b["rep"], "n": nb}))
-        out = pd.concat(out)
-        return out[out["n"] > 0]
-
-    pairs = base.withColumn("pair", F.explode(_pair_keys(n_blocks))).groupBy("pair")
-    partial = pairs.applyInPandas(count_pair, "rep long, n long")
-    return partial.groupBy("rep").agg(F.sum("n").alias("others"))
-
-
-def with_degree(base: DataFrame, n_blocks: int, eps: float) -> DataFrame:
-    """Add ``degree``: posts within ``eps`` of one copy of the vector, itself included."""
-    is_zero = F.forall("vec", lambda e: e == 0) & F.lit(eps < 1)
+    local = blocks.shipped()
+
+    def count_pair(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, pair = local.pair(key, table)
+        ca, cb, own = a["copies"].to_numpy(), b["copies"].to_numpy(), key[0] == key[1]
+        na, nb = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
+        for i, j, near in pair.tiles(local.eps):
+            if own:
+                near[i[:, None] == j[None, :]] = False
+            na[i] += near @ cb[j]
+            if not own:
+                nb[j] += ca[i] @ near
+        na[pair.sure_a] += cb.sum() - (ca[pair.sure_a] if own else 0)
+        na[pair.open_a] += cb[pair.sure_b].sum()
+        if own:
+            found = pa.table({"rep": a["rep"], "n": pa.array(na)})
+        else:
+            nb[pair.sure_b] += ca.sum()
+            nb[pair.open_b] += ca[pair.sure_a].sum()
+            found = pa.table({"rep": pa.chunked_array([*a["rep"].chunks, *b["rep"].chunks], pa.int64()), "n": pa.array(np.append(na, nb))})
+        return found.filter(pa.array(found["n"].to_numpy() > 0))
+
+    pairs = blocks.met(blocks.rows.select("vec", "rep", "copies", "cell", "block")).groupBy("lo", "hi")
+    return pairs.applyInArrow(count_pair, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("others"))
+
+
+def with_degree(blocks: Blocks) -> DataFrame:
+    """``rows`` with ``degree``: posts within ``eps`` of one copy of the vector, itself included."""
+    is_zero = F.forall("vec", lambda e: e == 0) & F.lit(blocks.eps < 1)
     own = F.when(is_zero, F.lit(1)).otherwise(F.col("copies"))
-    return base.join(_vector_degrees(base, n_blocks, eps), "rep", "left").withColumn(
+    return blocks.rows.join(_vector_degrees(blocks), "rep", "left").withColumn(
         "degree", own + F.coalesce("others", F.lit(0))
     )
 
@@ -156,10 +289,27 @@ def neighbour_counts(
     df: DataFrame, id: str, vec: str, eps: float = 0.4, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``(id, neighbours)``: posts within ``eps`` of each post, itself not counted."""
-    base, n_blocks, _, most = blocked(df, id, vec, block_rows)
-    per_vector = with_degree(base, n_blocks, eps).select("vec", "degree")
-    counted = back_to_posts(df.select(id, vec), vec, base if most >= hot_rows else None, per_vector, hot_rows)
-    return counted.select(id, (F.col("degree") - 1).alias("neighbours"))
+    blocks = blocked(df, id, vec, eps, block_rows)
+    per_vector = with_degree(blocks).select("vec", "degree")
+    hot = blocks.rows if blocks.most >= hot_rows else None
+    return back_to_posts(df.select(id, vec), vec, hot, per_vector, hot_rows).select(id, (F.col("degree") - 1).alias("neighbours"))
+
+
+def comparisons(df: DataFrame, id: str, vec: str, eps: float = 0.4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What the pivots save, in one row: ``vectors`` (different ones), ``block_pairs`` that meet, ``compared`` pairs of
+    vectors, and ``every``, the pairs without pivots."""
+    blocks = blocked(df, id, vec, eps, block_rows)
+    local = blocks.shipped()
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        _, _, pair = local.pair(key, table)
+        compared = pair.compared
+        return pa.table({"compared": pa.array([(compared - int(pair.open_a.sum())) // 2 if key[0] == key[1] else compared], pa.int64())})
+
+    met = blocks.met(blocks.rows.select("vec", "cell", "block")).groupBy("lo", "hi").applyInArrow(count, "compared long")
+    found = met.agg(F.count(F.lit(1)).alias("block_pairs"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+    n = blocks.rows.agg(F.count(F.lit(1)).alias("vectors"))  # two tables of one row
+    return n.join(F.broadcast(found)).withColumn("every", F.expr("vectors * (vectors - 1) div 2"))
 
 
 def core_points(degrees: DataFrame, min_samples: int = 2) -> DataFrame:
@@ -167,67 +317,68 @@ def core_points(degrees: DataFrame, min_samples: int = 2) -> DataFrame:
     return degrees.withColumn("core", F.col("neighbours") + 1 >= min_samples)
 
 
-def group_links(base: DataFrame, n_blocks: int, eps: float) -> tuple[DataFrame, DataFrame]:
-    """Connect core vectors (``core`` in ``base``) that lie within ``eps``.
+def group_links(blocks: Blocks, cores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Connect the core vectors, rows of ``blocks.rows``, that lie within ``eps``.
 
     First every block finds its own groups, then every pair of blocks reports which groups it
     joins: ``local`` maps a vector to its group in the block (smallest id), ``links`` holds at
     most one row per group and block pair.
     """
-
-    def inside(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
-        x, ids = _matrix(rows["vec"]), rows["rep"].to_numpy()
-        parent = np.arange(len(rows))
-        for start, near in _tiles(x, x, eps):
-            parent = _join_groups(parent, np.arange(start, start + len(near)), np.arange(len(rows)), near)
-        return rows.assign(local=ids[_roots(parent)] if len(rows) else ids)
-
-    local_schema = "vec array<double>, rep long, copies long, block long, local long"
-    cores = base.filter("core").select("vec", "rep", "copies", "block")
-    local = settle(cores.groupBy("block").applyInPandas(inside, local_schema))
-
-    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = divmod(int(key[0]), n_blocks)
-        a, b = rows[rows["block"] == lo], rows[rows["block"] == hi]
+    shipped = blocks.shipped()
+    kind = blocks.rows.schema["vec"].dataType.simpleString()
+
+    def inside(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        x, ids = _matrix(table["vec"]), table["rep"].to_numpy()
+        pivot = shipped.pivots[key[0].as_py() >> 32]
+        pair = Pair.of(x, x, pivot, pivot, shipped.eps)
+        parent = np.zeros(len(x), np.int64) if pair.sure_a.any() else np.arange(len(x))  # one row is near all others
+        if not pair.sure_a.any():
+            for i, j, near in pair.tiles(shipped.eps):
+                parent = _join_groups(parent, i, j, near)
+        return table.append_column("local", pa.array(ids[_roots(parent)]))
+
+    cores = cores.select("vec", "rep", "copies", "cell", "block")
+    schema = f"vec {kind}, rep long, copies long, cell int, block long, local long"
+    local = settle(cores.groupBy("block").applyInArrow(inside, schema))
+
+    def across(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, pair = shipped.pair(key, table)
         groups, code = np.unique(np.concatenate([a["local"].to_numpy(), b["local"].to_numpy()]), return_inverse=True)
-        xa, xb = _matrix(a["vec"]), _matrix(b["vec"])
-        parent = np.arange(len(groups))
-        if len(a) and len(b):
-            ka, kb = code[: len(a)], code[len(a) :]
-            for start, near in _tiles(xa, xb, eps):
-                parent = _join_groups(parent, ka[start : start + len(near)], kb, near)
+        ka, kb, parent = code[: len(a)], code[len(a) :], np.arange(len(groups))
+        for sure, one, all_ in ((pair.sure_a, ka, kb), (pair.sure_b, kb, ka)):
+            if sure.any() and len(all_):
+                parent = _join_groups(parent, one[sure][:1], all_, np.ones((1, len(all_)), bool))
+                parent = _join_groups(parent, all_[:1], one[sure], np.ones((1, int(sure.sum())), bool))
+        for i, j, near in pair.tiles(shipped.eps):
+            parent = _join_groups(parent, ka[i], kb[j], near)
         root = _roots(parent)
         moved = root != np.arange(len(groups))
-        return pd.DataFrame({"a": groups[root[moved]], "b": groups[moved]})
+        return pa.table({"a": groups[root[moved]], "b": groups[moved]})
 
-    crossing = local.withColumn("pair", F.explode(_pair_keys(n_blocks))).filter(
-        (F.col("pair") % n_blocks) != F.floor(F.col("pair") / n_blocks)
-    )
-    links = crossing.groupBy("pair").applyInPandas(across, "a long, b long").distinct()
+    links = blocks.met(local.drop("copies"), own=False).groupBy("lo", "hi").applyInArrow(across, "a long, b long").distinct()
     return local, links
 
 
-def border_links(base: DataFrame, n_blocks: int, eps: float) -> DataFrame:
-    """``(rep, core_rep)`` for every non-core vector and each core vector within ``eps``.
+def border_links(blocks: Blocks, base: DataFrame) -> DataFrame:
+    """``(rep, core_rep)`` for every non-core vector of ``base`` (rows of the blocks with ``core``) and each core vector
+    within ``eps``.
 
     A non-core vector has fewer than ``min_samples`` neighbours, so the output is bounded.
     """
-
-    def reach(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = divmod(int(key[0]), n_blocks)
-        sides = [(lo, hi)] if lo == hi else [(lo, hi), (hi, lo)]
-        out = []
-        for border_block, core_block in sides:
-            a = rows[(rows["block"] == border_block) & ~rows["core"]]
-            b = rows[(rows["block"] == core_block) & rows["core"]]
-            if not len(a) or not len(b):
-                continue
-            ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-            for start, near in _tiles(_matrix(a["vec"]), _matrix(b["vec"]), eps):
-                r, c = np.nonzero(near)
-                out.append(pd.DataFrame({"rep": ra[start + r], "core_rep": rb[c]}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "core_rep": []}, dtype="int64")
-
-    pairs = base.select("vec", "rep", "block", "core").withColumn("pair", F.explode(_pair_keys(n_blocks)))
-    return pairs.groupBy("pair").applyInPandas(reach, "rep long, core_rep long")
+    shipped = blocks.shipped()
+
+    def reach(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, pair = shipped.pair(key, table)
+        ra, rb, ca, cb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["core"].to_numpy(), b["core"].to_numpy()
+        own, out = key[0] == key[1], [(ra[:0], ra[:0])]
+        for i, j, near in pair.near(shipped.eps):
+            r, c = np.nonzero(near & ~ca[i][:, None] & cb[j][None, :])
+            out.append((ra[i[r]], rb[j[c]]))
+            if not own:
+                r, c = np.nonzero(near & ca[i][:, None] & ~cb[j][None, :])
+                out.append((rb[j[c]], ra[i[r]]))
+        return pa.table({"rep": np.concatenate([x for x, _ in out]), "core_rep": np.concatenate([y for _, y in out])})
+
+    pairs = blocks.met(base.select("vec", "rep", "cell", "block", "core")).groupBy("lo", "hi")
+    return pairs.applyInArrow(reach, "rep long, core_rep long")
