@@ -62,6 +62,15 @@ def test_stream_ends_where_the_batch_does(spark, tables):
     assert got.count() > 1 and key(got) == key(batch)
     gate = [S.committed(spark, out, "gate").count(), S.read_feed(spark, out, "gate").first().submitted]
     assert gate[0] == 3
+
+    # Every batch's snapshot, with posts retired in between, is what clustering its window anew gives.
+    for batch, seen in enumerate((10, 20, 100)):
+        so_far = kept.filter(F.col("seq") < seen)
+        now = latest_moment(so_far)
+        whole, _ = J.refresh_incidents(active_window(so_far, now, 30), now, gaz, SETTINGS)
+        assert key(spark.read.parquet(f"{out}/incidents/batch={batch}")) == key(whole)
+    links = spark.read.parquet(f"{out}/links")
+    assert links.agg(F.min("minute")).first()[0] >= spark.read.parquet(f"{out}/window").agg(F.min("minute")).first()[0]
     sources = S.read_feed(spark, out, "sources")
     assert sources.count() == got.agg(F.sum("post_count")).first()[0]
 

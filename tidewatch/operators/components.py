@@ -17,7 +17,7 @@ from .scale import HOT_ROWS, hot_key_join
 def components(nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(id, component)`` for ``nodes(id)`` and undirected ``edges(a, b)``; a component is
     named after its smallest id. Nodes without an edge are their own component."""
-    linked = _linked_components(edges, hot_rows)
+    linked = linked_components(edges, hot_rows)
     return nodes.select("id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -26,7 +26,8 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _linked_components(edges: DataFrame, hot_rows: int) -> DataFrame:
+def linked_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(id, component)`` of the nodes that have an edge."""
     edges = settle(_ordered(edges))
     merged: list[DataFrame] = []  # per round: which node each node was merged into
     has_hot = False

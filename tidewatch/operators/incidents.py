@@ -14,6 +14,7 @@ from ..session import settle
 from .components import components
 from .scale import HOT_ROWS, running_rank
 from .similarity import BLOCK_ROWS, back_to_posts, blocked, border_links, group_links, unit_vector, with_degree
+from .sliding import linked_clusters
 from .window import WINDOW_MINUTES, moment
 
 LONE_DENSITY = 0.5
@@ -191,12 +192,17 @@ def urgency_counts(incidents: DataFrame) -> DataFrame:
 
 def find_incidents(posts: DataFrame, as_of, eps: float = 0.4, min_samples: int = 2, minutes: float = WINDOW_MINUTES,
                    words: Sequence[str] = URGENT_WORDS, normalise: bool = False,
-                   distinct_text: bool = False) -> tuple[DataFrame, DataFrame]:
+                   distinct_text: bool = False, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Incidents and their members for the posts of an active window.
 
-    ``distinct_text`` counts a resubmitted text once (its earliest post)."""
+    ``distinct_text`` counts a resubmitted text once (its earliest post). ``links`` between the posts, kept by
+    :func:`~tidewatch.operators.sliding.fresh_links`, save comparing them again; they tell groups of two and more."""
     if distinct_text:
         firsts = posts.groupBy("text").agg(F.min("seq").alias("seq")).select("seq")
         posts = posts.join(firsts, "seq", "left_semi")
-    members = settle(add_singletons(cluster_window(posts, eps=eps, min_samples=min_samples)))
+    if links is not None and min_samples <= 2 and not distinct_text:
+        clustered = linked_clusters(posts, links, min_samples=min_samples)
+    else:
+        clustered = cluster_window(posts, eps=eps, min_samples=min_samples)
+    members = settle(add_singletons(clustered))
     return number_clusters(summarise_clusters(members, as_of, words, minutes, normalise)), members

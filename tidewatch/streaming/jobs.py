@@ -14,7 +14,8 @@ from ..operators.features import GATE, gate_stats, noise_gate, scored_posts
 from ..operators.feed import FEED_COLUMNS, digest, incident_sources
 from ..operators.incidents import find_incidents
 from ..operators.places import extract_places, geocode
-from ..operators.window import WINDOW_MINUTES, active_window, latest_moment
+from ..operators.sliding import fresh_links, instant
+from ..operators.window import WINDOW_MINUTES, active_window, cutoff, latest_moment
 from ..schemas import POST
 from ..session import settle
 from ..sources.feed import append_report, committed, once_per_batch, publish_feed, read_feed
@@ -55,13 +56,34 @@ def write_window(batch: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def window_state(spark: SparkSession, path: str, schema, as_of=None, minutes: float = WINDOW_MINUTES) -> DataFrame:
-    """Active posts of the window table; whole minutes before the cutoff are not even listed
-    for reading."""
+def window_state(
+    spark: SparkSession, path: str, schema, as_of=None, minutes: float = WINDOW_MINUTES, batch: bool = False
+) -> DataFrame:
+    """Active posts of the window table, if wanted with their ``batch``; whole minutes before the cutoff are not even
+    listed for reading."""
     table = spark.read.schema(f"{schema}, minute long, batch long").parquet(path)
     as_of = as_of or latest_moment(table)
     oldest = F.floor(F.unix_timestamp(F.lit(str(as_of)).cast("timestamp")) / 60) - int(minutes) - 1
-    return active_window(table.filter(F.col("minute") >= oldest), as_of, minutes).drop("minute", "batch", "stamped")
+    active = active_window(table.filter(F.col("minute") >= oldest), as_of, minutes).drop("minute", "stamped")
+    return active if batch else active.drop("batch")
+
+
+LINK = "a long, b long, until long, minute long, batch long"
+
+
+def write_links(window: DataFrame, path: str, batch_id: int, eps: float) -> None:
+    """Append the links that a batch brings to an active window (with ``batch``), partitioned by the minute they end in. A
+    repeated batch rewrites its own partitions; a partition that it no longer fills held the same links."""
+    links = fresh_links(window.withColumn("fresh", F.col("batch") == batch_id), eps)
+    stamped = links.withColumns({"minute": F.floor(F.col("until") / 60_000_000), "batch": F.lit(batch_id).cast("long")})
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("minute", "batch").parquet(path)
+
+
+def active_links(spark: SparkSession, path: str, window: DataFrame, as_of, minutes: float = WINDOW_MINUTES) -> DataFrame:
+    """Links whose posts both are in the window."""
+    start = spark.range(1).select(cutoff(window, as_of, minutes).alias("ts")).select(instant()).first()[0]
+    table = spark.read.schema(LINK).parquet(path)
+    return table.filter((F.col("minute") >= start // 60_000_000) & (F.col("until") >= start)).select("a", "b")
 
 
 def evict_window(spark: SparkSession, path: str, as_of, minutes: float = WINDOW_MINUTES) -> int:
@@ -81,11 +103,11 @@ def evict_window(spark: SparkSession, path: str, as_of, minutes: float = WINDOW_
 
 
 def refresh_incidents(
-    window: DataFrame, as_of, gaz: DataFrame, settings: RefreshSettings
+    window: DataFrame, as_of, gaz: DataFrame, settings: RefreshSettings, links: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Incidents with places, and their members, of an active window (batch and stream)."""
     incidents, members = find_incidents(
-        window, as_of, settings.eps, settings.min_samples, settings.minutes, settings.words, settings.normalise
+        window, as_of, settings.eps, settings.min_samples, settings.minutes, settings.words, settings.normalise, links=links
     )
     placed = extract_places(incidents, "incident", "representative_text", gaz)
     return geocode(placed, "incident", "locations", gaz, settings.cutoff), members
@@ -105,7 +127,9 @@ def incident_stream(
     ``clock`` gives the moment the window ends at; by default the newest time that a post brought
     itself. Posts without a time, or with one after their arrival, are stamped with the start of their
     batch, which a replay repeats; such times never move the clock, so they retire nothing. Nothing
-    is kept in the process: the window, the feed and the counts are tables, each keyed by batch.
+    is kept in the process: the window, its links, the feed and the counts are tables, each keyed by batch. A batch
+    compares its own posts with the window; groups follow from the links, and retired ones are dropped with their minute.
+    The clock has to move forward: a post that has retired stays so.
     """
     odd = F.col("ts").isNull() | (F.col("ts") > F.current_timestamp())
     stream = stream.withColumn("stamped", odd).withColumn("ts", F.when(odd, F.current_timestamp()).otherwise(F.col("ts")))
@@ -130,11 +154,17 @@ def incident_stream(
             now = clock(table) if clock else latest_moment(table.filter("not stamped")) or latest_moment(table)
             stats = gate_stats(scored, "score", settings.threshold)
             if now is not None:
-                window = window_state(spark, state, schema, now, settings.minutes)
-                incidents, members = refresh_incidents(window, now, gaz, settings)
+                window = window_state(spark, state, schema, now, settings.minutes, batch=True)
+                links = None
+                if settings.min_samples <= 2:  # more neighbours have to be counted, so those windows are clustered anew
+                    write_links(window, f"{out}/links", batch_id, settings.eps)
+                    links = active_links(spark, f"{out}/links", window, now, settings.minutes)
+                incidents, members = refresh_incidents(window.drop("batch"), now, gaz, settings, links)
                 publish_feed(incident_sources(members), out, batch_id, "sources")
                 publish_feed(incidents.select(*FEED_COLUMNS, "incident", "lone"), out, batch_id)
                 evict_window(spark, state, now, settings.minutes)
+                if links is not None:
+                    evict_window(spark, f"{out}/links", now, settings.minutes)
             publish_feed(stats, out, batch_id, "gate")
 
         once_per_batch(spark, out, batch_id, write, "gate")
