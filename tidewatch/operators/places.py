@@ -11,37 +11,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import clean_text, distinct_keep_order, let
 from ..session import settle
+from .phrases import BLOCK_BYTES, phrase_hits
 from .scale import HOT_ROWS, hot_key_join
 
 STRINGS_PER_BLOCK = 20_000
 KEYS_PER_BLOCK = 5_000
 
 
-def extract_places(df: DataFrame, id: str, text: str, gaz: DataFrame) -> DataFrame:
+def extract_places(df: DataFrame, id: str, text: str, gaz: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``locations``: gazetteer keys that occur as phrases in the cleaned text.
 
-    At every word the longest key wins and its words are used up. Phrases are matched by an
-    equi-join with the keys; what is gathered per text is bounded by the length of the text.
-    The join is left without a hint, so Spark broadcasts the keys only after seeing their size.
+    At every word the longest key wins and its words are used up. Texts are walked where they lie; the keys go to the
+    tasks as automata of bounded size, several if they are many.
     """
     keys = gaz.select(clean_text("key").alias("phrase"), "key").filter("phrase <> ''")
     keys = keys.groupBy("phrase").agg(F.min("key").alias("key"))
-    longest = keys.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(0))).first()[0]
-    if longest == 0:
-        return df.withColumn("locations", F.array().cast("array<string>"))
-
-    def phrases(words):
-        at = lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)),
-            lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("phrase")),
-        )
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), at))
-
-    tokens = F.split(clean_text(text), " ")
-    spread = df.select(id, F.explode(let(tokens, phrases)).alias("p")).select(id, "p.at", "p.n", "p.phrase")
-    found = spread.join(keys, "phrase").groupBy(id).agg(
-        F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("rank"), "key"))).alias("hits")
-    )
+    hits = phrase_hits(df.withColumn("_words", clean_text(text)), "_words", keys, "_hits", block_bytes)
 
     def take(acc, hit):
         taken = F.struct(
@@ -50,14 +35,8 @@ def extract_places(df: DataFrame, id: str, text: str, gaz: DataFrame) -> DataFra
         return F.when(hit["at"] >= acc["free"], taken).otherwise(acc)
 
     start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("words"))
-    picked = found.select(id, F.aggregate("hits", start, take)["words"].alias("_found"))
-    return (
-        df.join(picked, id, "left")
-        .withColumn(
-            "locations", distinct_keep_order(F.coalesce("_found", F.array().cast("array<string>")))
-        )
-        .drop("_found")
-    )
+    picked = F.aggregate(F.sort_array("_hits"), start, take)["words"]
+    return hits.withColumn("locations", distinct_keep_order(picked)).drop("_words", "_hits")
 
 
 def lookup_key(loc):
