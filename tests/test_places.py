@@ -1,7 +1,9 @@
 import difflib
 import random
 
-from tidewatch.operators import gazetteer as B, places as P
+import pytest
+
+from tidewatch.operators import fuzzy, gazetteer as B, places as P
 
 PLACES = ["velachery", "velachery bridge", "tambaram bus stand", "adyar", "anna nagar", "t nagar", "omr", "gh"]
 
@@ -30,6 +32,39 @@ def test_ratio_lookup_matches_the_standard_library(spark):
     assert {r["loc"]: r.match for r in found} == want
 
 
+@pytest.mark.parametrize("metric, cutoff", [("ratio", 0.3), ("ratio", 0.6), ("ratio", 0.9), ("levenshtein", 0.35), ("levenshtein", 0.6), ("levenshtein", 0.8)])
+def test_fuzzy_joins_equal_all_pairs(spark, metric, cutoff, monkeypatch):
+    monkeypatch.setattr(fuzzy, "STRINGS_PER_BLOCK", 40)
+    rng = random.Random(int(cutoff * 100))
+    word = lambda least: "".join(rng.choice("aaeinrst é\U0001f600") for _ in range(rng.randint(least, 12)))
+    keys = sorted({word(1) for _ in range(60)} | {"q", "aaaaaaaaaaaa", "a"})
+    near = ["".join(c for c in k if rng.random() > 0.2) + rng.choice(["", "x", "na"]) for k in keys]
+    names = sorted(({n.strip() for n in near} | {word(0).strip() for _ in range(60)} | {"zzzz", "aaaaaa"}) - {""})
+    pairs = spark.createDataFrame([(n, k) for n in names for k in keys], "n string, k string")
+    if metric == "levenshtein":
+        scored = [(r.n, r.s, r.k) for r in pairs.selectExpr("n", "k", "1.0D - levenshtein(n, k) / greatest(length(n), length(k)) AS s").collect()]
+    else:
+        scored = [(n, difflib.SequenceMatcher(None, k, n).ratio(), k) for n in names for k in keys]
+    want = {}
+    for n, s, k in scored:
+        if s >= cutoff:
+            want[n] = max(want.get(n, (0.0, "")), (s, k))
+    df = spark.createDataFrame([(n,) for n in names], "loc string")
+    got = {r.loc: (r.similarity, r.match) for r in P.lookup_fuzzy(df, "loc", gaz(spark, keys), cutoff, metric).collect()}
+    assert {n: k for n, (_, k) in got.items()} == {n: k for n, (_, k) in want.items()}
+    assert all(abs(got[n][0] - want[n][0]) < 1e-12 for n in want) and len(want) > 10
+
+
+def test_fuzzy_filters_leave_most_pairs_out(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(8, 14)))
+    names = spark.createDataFrame([(w,) for w in {word() for _ in range(400)}], "name string")
+    keys = spark.createDataFrame([(w,) for w in {word() for _ in range(400)}], "key string")
+    every = names.count() * keys.count()
+    assert fuzzy.ratio_candidates(names, keys, 0.8).count() < 0.01 * every
+    assert fuzzy.ratio_candidates(names, keys, 0.6).count() < 0.1 * every
+
+
 def test_first_resolving_name_wins_even_if_fuzzy(spark):
     rows = [
         (1, ["Nowhere land", "velachery brige", "adyar"]),

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import clean_text, distinct_keep_order, let
 from ..session import settle
+from .fuzzy import best_by_ratio, edit_pairs, ratio_candidates
 from .phrases import BLOCK_BYTES, phrase_hits
 from .scale import HOT_ROWS, hot_key_join
 
-STRINGS_PER_BLOCK = 20_000
-KEYS_PER_BLOCK = 5_000
-
 
 def extract_places(df: DataFrame, id: str, text: str, gaz: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``locations``: gazetteer keys that occur as phrases in the cleaned text.
@@ -60,59 +56,26 @@ def lookup_fuzzy(df: DataFrame, loc: str, gaz: DataFrame, cutoff: float = 0.6, m
     ``cutoff``; on ties the greatest key.
 
     ``ratio`` is the matching-blocks ratio of the standard library, ``levenshtein`` is one
-    minus the edit distance over the longer length and stays inside the JVM.
+    minus the edit distance over the longer length and stays inside the JVM. Both compare only pairs that share a piece or
+    a rare letter, and miss none that reaches the cutoff, which has to be above 0.
     """
+    if not 0 < cutoff <= 1:
+        raise ValueError("the cutoff has to be above 0, and at most 1")
     names = df.select(lookup_key(loc).alias("name")).filter("name <> ''").distinct()
     keys = gaz.select("key").distinct()
     best = _closest_by_edits(names, keys, cutoff) if metric == "levenshtein" else _closest_by_ratio(names, keys, cutoff)
     return best.withColumnRenamed("name", loc)
 
 
-def _best(pairs: DataFrame) -> DataFrame:
+def _closest_by_edits(names: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
+    pairs = edit_pairs(settle(names), settle(keys), cutoff)
     top = pairs.groupBy("name").agg(F.max(F.struct("similarity", "key")).alias("t"))
     return top.select("name", F.col("t.key").alias("match"), F.col("t.similarity").alias("similarity"))
 
 
-def _closest_by_edits(names: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
-    """Names meet only keys of a length that can still reach the cutoff. Lengths are few, so both sides are dealt into
-    blocks inside each: no task holds more than a block of names and a block of keys."""
-    names, keys = settle(names), settle(keys)
-    name_blocks = max(1, math.ceil(names.count() / STRINGS_PER_BLOCK))
-    key_blocks = max(1, math.ceil(keys.count() / KEYS_PER_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    lengths = F.sequence(
-        F.ceil(F.length("name") * F.lit(cutoff) - 1e-9).cast("int"),
-        F.floor(F.length("name") / F.lit(cutoff) + 1e-9).cast("int"),
-    )
-    wide = names.withColumn("len", F.explode(lengths)).withColumn("nb", block("name", name_blocks)).withColumn("kb", every(key_blocks))
-    sized = keys.withColumns({"len": F.length("key"), "kb": block("key", key_blocks)}).withColumn("nb", every(name_blocks))
-    similarity = 1.0 - F.levenshtein("name", "key") / F.greatest(F.length("name"), F.length("key"))
-    return _best(wide.join(sized, ["len", "nb", "kb"]).withColumn("similarity", similarity).filter(F.col("similarity") >= cutoff))
-
-
 def _closest_by_ratio(names: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
-    """Blocks of names against blocks of keys, so neither side has to fit one task."""
-    names, keys = settle(names), settle(keys)
-    name_blocks = max(1, math.ceil(names.count() / STRINGS_PER_BLOCK))
-    parallelism = names.sparkSession.sparkContext.defaultParallelism
-    name_blocks = max(name_blocks, min(parallelism, math.ceil(names.count() / 500)))
-    key_blocks = max(1, math.ceil(keys.count() / KEYS_PER_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = names.withColumns({"nb": block("name", name_blocks), "kb": every(key_blocks)})
-    right = keys.withColumn("kb", block("key", key_blocks)).withColumn("nb", every(name_blocks))
-
-    def closest(names: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-        out = best_ratios(names["name"].tolist(), keys["key"].tolist(), cutoff)
-        return pd.DataFrame(out, columns=["name", "key", "similarity"])
-
-    pairs = (
-        left.groupBy("nb", "kb")
-        .cogroup(right.groupBy("nb", "kb"))
-        .applyInPandas(closest, "name string, key string, similarity double")
-    )
-    return _best(pairs)
+    best = best_by_ratio(ratio_candidates(settle(names), settle(keys), cutoff), cutoff)
+    return best.withColumnRenamed("key", "match")
 
 
 def _letters(words: list[str], width: int = 64) -> np.ndarray:

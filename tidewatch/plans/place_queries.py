@@ -105,7 +105,23 @@ def lookup_fuzzy(t):
     return best.withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+# The matching-blocks ratio by definition: the longest common block, the first one in the key, then in the name; the same
+# again to its left and right; twice the matched letters over all letters.
+RATIOS = f"""names AS (SELECT DISTINCT lower(trim(loc)) AS name FROM refs WHERE trim(loc) <> ''),
+blocks(name, key, matched, ka, kb, na, nb) AS (
+  SELECT name, key, 0, 1, length(key) + 1, 1, length(name) + 1 FROM names, gazetteer
+  UNION ALL SELECT name, key, CASE side WHEN 0 THEN b.n ELSE 0 END, CASE side WHEN 0 THEN ka ELSE b.n - b.i END,
+    CASE side WHEN 0 THEN -b.i ELSE kb END, CASE side WHEN 0 THEN na ELSE b.n - b.j END, CASE side WHEN 0 THEN -b.j ELSE nb END
+  FROM (SELECT name, key, ka, kb, na, nb, max({{'n': n, 'i': -i, 'j': -j}}) AS b
+    FROM (SELECT *, unnest(range(1, least(kb - i, nb - j) + 1)) AS n FROM (
+      SELECT *, unnest(range(na, nb)) AS j FROM (SELECT *, unnest(range(ka, kb)) AS i FROM blocks)))
+    WHERE substr(key, i::BIGINT, n::BIGINT) = substr(name, j::BIGINT, n::BIGINT) GROUP BY name, key, ka, kb, na, nb), (VALUES (0), (1)) AS x(side)),
+pairs AS (SELECT name, key, 2.0::DOUBLE * sum(matched) / (length(name) + length(key)) AS s FROM blocks GROUP BY name, key),
+close AS (SELECT name, max((s, key)) AS b FROM pairs WHERE s >= 0.6 GROUP BY name)"""
+GR = G.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{GR}, {REFS}, {RATIOS} SELECT name AS loc, b[2] AS match, round(b[1], 6) AS similarity FROM close")
 def lookup_fuzzy_ratio(t):
     refs = t.place_refs.select(F.explode("locations").alias("loc"))
     return P.lookup_fuzzy(refs, "loc", t.gazetteer).withColumn("similarity", F.round("similarity", 6))
@@ -130,6 +146,13 @@ def located(t):
     return P.geocode(t.place_refs, "incident", "locations", t.gazetteer, metric="levenshtein")
 
 
+@query(f"{GR}, {REFS}, {RATIOS}, {RESOLVED} SELECT * FROM located")
+def geocode_by_ratio(t):
+    """With the default metric."""
+    placed = P.geocode(t.place_refs, "incident", "locations", t.gazetteer)
+    return placed.select("incident", "lat", "lng", "resolved_location")
+
+
 @query(f"{G}, {REFS}, {EDITS}, {RESOLVED} SELECT * FROM located")
 def geocode(t):
     return located(t).select("incident", "lat", "lng", "resolved_location")
