@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def test_stream_ends_where_the_batch_does(spark, tables):
     key = lambda df: sorted(map(str, df.select(*FEED_COLUMNS).collect()))
     assert got.count() > 1 and key(got) == key(batch)
     gate = [S.committed(spark, out, "gate").count(), S.read_feed(spark, out, "gate").first().submitted]
-    assert gate[0] == 3
+    assert gate[0] == 3 and S.read_feed(spark, out, "gate").first().late == 1
 
     # Every batch's snapshot, with posts retired in between, is what clustering its window anew gives.
     for batch, seen in enumerate((10, 20, 100)):
@@ -81,6 +82,68 @@ def test_stream_ends_where_the_batch_does(spark, tables):
     assert report.startswith("INCIDENT 1 [") and "Adyar Bridge" in report
 
 
+def test_resolutions_and_ticks(spark, tables, tmp_path):
+    """Resolve, clear, and batches in between; the digest follows at every tick, with or without a new batch."""
+    snapshot = spark.createDataFrame(
+        [("k1", "c_000", "Fire at the school", 3, "CRITICAL", 1, False), ("k2", "c_001", "Water at the bridge", 2, "HIGH", 2, False)],
+        "incident_key string, cluster_id string, representative_text string, post_count int, urgency_label string, incident long, lone boolean",
+    ).withColumns({
+        "first_seen": F.lit(START), "last_seen": F.lit(START), "urgency_score": F.lit(0.5), "locations": F.array().cast("array<string>"),
+        "lat": F.lit(None).cast("double"), "lng": F.lit(None).cast("double"), "resolved_location": F.lit(None).cast("string"),
+    })
+    feed, names = str(tmp_path / "feed"), lambda *c: spark.createDataFrame([(x,) for x in c], "cluster_id string")
+    keys = lambda **k: sorted(r.incident_key for r in S.read_live(spark, feed, **k).collect())
+    assert S.read_live(spark, feed) is None and S.clear_feed(spark, feed, "r0") == 0
+    assert [r.removed for r in S.resolve_incidents(spark, feed, names("c_000"), "r0").collect()] == [False]
+
+    S.publish_feed(snapshot, feed, 0)
+    told = {r.cluster_id: r.message for r in S.resolve_incidents(spark, feed, names("c_000", "c_009"), "r1").collect()}
+    assert told == {"c_000": "Cluster c_000 resolved", "c_009": "Cluster c_009 not found"}
+    for again in ("r1", "r2"):
+        assert [r.removed for r in S.resolve_incidents(spark, feed, names("c_000"), again).collect()] == [False]
+    assert keys() == keys(sticky=True) == ["k2"]
+
+    # A later batch: as published it shows its window; a sticky resolution waits for a newer post.
+    S.publish_feed(snapshot, feed, 1)
+    assert keys() == ["k1", "k2"] and keys(sticky=True) == ["k2"]
+    newer = F.when(F.col("incident_key") == "k1", F.lit(START + dt.timedelta(minutes=1))).otherwise(F.col("last_seen"))
+    S.publish_feed(snapshot.withColumn("last_seen", newer), feed, 2)
+    assert keys(sticky=True) == ["k1", "k2"]
+
+    def ticks(name, wanted):
+        query = J.digest_stream(spark, feed, str(tmp_path / "reports"), str(tmp_path / name), processingTime="1 second")
+        until = time.time() + 90
+        while time.time() < until and query.isActive and S.read_reports(spark, str(tmp_path / "reports")).count() < wanted:
+            time.sleep(0.5)
+        query.stop()
+        assert query.exception() is None
+        return [r.report for r in S.read_reports(spark, str(tmp_path / "reports")).orderBy("report_ts").collect()]
+
+    S.resolve_incidents(spark, feed, names("c_001"), "r3")
+    reports = ticks("ticks", 2)
+    assert len(reports) >= 2 and all("Fire" in r and "Water" not in r for r in reports)  # no batch came in between
+    assert S.clear_feed(spark, feed, "r4") == 1 and keys() == []
+    query = J.digest_stream(spark, feed, str(tmp_path / "none"), str(tmp_path / "c2"), availableNow=True)
+    query.awaitTermination()
+    assert S.read_reports(spark, str(tmp_path / "none")).count() == 0
+    assert S.forget_resolutions(spark, feed, START - dt.timedelta(hours=1)) == 0
+    assert S.forget_resolutions(spark, feed, START + dt.timedelta(hours=1)) == 1  # batch 0; the newest snapshot's stay
+    assert keys() == []
+
+
+def test_a_reader_sees_few_files_however_old_the_stream(spark, tmp_path):
+    path, rows = str(tmp_path), spark.range(1).withColumn("name", F.lit("a"))
+    for batch in range(25):
+        S.publish_feed(rows, path, batch, keep=4)
+    assert [r.batch_id for r in S.committed(spark, path).orderBy("batch_id").collect()] == [21, 22, 23, 24]
+    assert sorted(p.name for p in (tmp_path / "incidents").iterdir()) == [f"batch={b}" for b in range(21, 25)]
+    assert S.read_feed(spark, path).count() == 1
+    ran = []
+    for batch in (0, 24, 25):  # removed commits count as done
+        S.once_per_batch(spark, path, batch, lambda: ran.append(1), "incidents")
+    assert len(ran) == 1
+
+
 def test_a_repeated_batch_changes_nothing(spark, tables):
     root, posts, source, weights, gaz = tables
     out, _ = run(spark, tables, "b")

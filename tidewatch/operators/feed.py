@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import incident_line, ws_tokens
+from ..session import settle
 from .scale import running_rank
 
 FEED_COLUMNS = (
@@ -115,7 +116,9 @@ def digest(incidents: DataFrame, max_words: int = 1200) -> DataFrame:
     these few rows finds where the budget is first exceeded.
     """
     most = max_words // MIN_LINE_WORDS + 1
-    first = tier_order(incidents).limit(most)
+    used = ["urgency_label", "post_count", "urgency_score", "lone", "incident", "resolved_location", "representative_text"]
+    incidents = settle(incidents.select(*used))  # read for the lines and for the count
+    first = settle(tier_order(incidents).limit(most))
     order = Window.partitionBy(F.lit(0)).orderBy(*_tier_keys())
     numbered = first.withColumn("line_no", F.row_number().over(order))
     lines = numbered.withColumn(

@@ -15,10 +15,10 @@ from ..operators.feed import FEED_COLUMNS, digest, incident_sources
 from ..operators.incidents import find_incidents
 from ..operators.places import extract_places, geocode
 from ..operators.sliding import fresh_links, instant
-from ..operators.window import WINDOW_MINUTES, active_window, cutoff, latest_moment
+from ..operators.window import WINDOW_MINUTES, active_window, cutoff, latest_moment, split_late
 from ..schemas import POST
 from ..session import settle
-from ..sources.feed import append_report, committed, once_per_batch, publish_feed, read_feed
+from ..sources.feed import append_report, committed, forget_resolutions, once_per_batch, publish_feed, read_live, remove_where
 
 
 @dataclass(frozen=True)
@@ -90,16 +90,12 @@ def evict_window(spark: SparkSession, path: str, as_of, minutes: float = WINDOW_
     """Delete the partitions that lie wholly before the window; returns how many."""
     end = spark.range(1).select(F.unix_timestamp(F.lit(str(as_of)).cast("timestamp"))).first()[0]
     oldest = end // 60 - int(minutes) - 1
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    gone = 0
-    for entry in files.listStatus(root):
-        minute = entry.getPath().getName().removeprefix("minute=")
-        if minute.lstrip("-").isdigit() and int(minute) < oldest:  # posts without a time are in no minute
-            files.delete(entry.getPath(), True)
-            gone += 1
-    return gone
+
+    def gone(name: str) -> bool:
+        minute = name.removeprefix("minute=")
+        return minute.lstrip("-").isdigit() and int(minute) < oldest  # posts without a time are in no minute
+
+    return remove_where(spark, path, gone)
 
 
 def refresh_incidents(
@@ -149,10 +145,13 @@ def incident_stream(
 
         def write() -> None:
             scored = settle(scored_posts(batch, weights, intercept))
-            write_window(kept_posts(scored), state, batch_id)
+            kept = kept_posts(scored)
+            write_window(kept, state, batch_id)
             table = spark.read.schema(f"{schema}, minute long, batch long").parquet(state)
             now = clock(table) if clock else latest_moment(table.filter("not stamped")) or latest_moment(table)
             stats = gate_stats(scored, "score", settings.threshold)
+            late = 0 if now is None else split_late(kept.select("ts"), now, settings.minutes).filter("late").count()
+            stats = stats.withColumn("late", F.lit(late).cast("long"))
             if now is not None:
                 window = window_state(spark, state, schema, now, settings.minutes, batch=True)
                 links = None
@@ -165,6 +164,8 @@ def incident_stream(
                 evict_window(spark, state, now, settings.minutes)
                 if links is not None:
                     evict_window(spark, f"{out}/links", now, settings.minutes)
+                start = spark.range(1).select(cutoff(window, now, settings.minutes).cast("string")).first()[0]
+                forget_resolutions(spark, out, start)
             publish_feed(stats, out, batch_id, "gate")
 
         once_per_batch(spark, out, batch_id, write, "gate")
@@ -174,28 +175,21 @@ def incident_stream(
 
 
 def digest_stream(
-    spark: SparkSession, feed: str, out: str, checkpoint: str, max_words: int = 1200, **trigger
+    spark: SparkSession, feed: str, out: str, checkpoint: str, max_words: int = 1200, sticky: bool = False, **trigger
 ) -> StreamingQuery:
-    """Every 15 minutes, write the digest of the newest feed; ticks without incidents or
-    without a newer feed write nothing."""
-    commits = (
-        spark.readStream.schema("batch_id long, rows long")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(f"{feed}/commits/incidents-*")
-    )
+    """At every tick of the trigger, by default every 15 minutes, write the digest of the live feed, resolutions taken off,
+    whether or not a batch has come since. Ticks without incidents write nothing."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
 
     def body(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if batch.isEmpty():
-            return
-        incidents = read_feed(session, feed)
+        incidents = read_live(session, feed, sticky)
         if incidents is None or incidents.isEmpty():
             return
         made = session.range(1).select(F.current_timestamp().cast("string")).first()[0]
         append_report(digest(incidents, max_words), out, made, batch_id)
 
-    writer = commits.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    writer = ticks.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "15 minutes"})).start()
 
 
