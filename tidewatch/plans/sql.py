@@ -39,9 +39,13 @@ def iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')"
 
 
-POSTS = """posts AS (
-  SELECT d.doc_id::VARCHAR AS post_id, d.doc_id AS seq, d.text, e.ts, v.embedding::DOUBLE[] AS embedding, v.label
-  FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN embeddings v ON v.vec_id = d.doc_id)"""
+ALIKE, DIM = 5, 64
+
+POSTS = f"""posts AS (
+  SELECT e.event_id::VARCHAR AS post_id, e.event_id AS seq, coalesce(d.text, '') AS text, e.ts,
+    coalesce(v.embedding::DOUBLE[], list_transform(range({DIM}), lambda i: 0.0::DOUBLE)) AS embedding, v.label
+  FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+  LEFT JOIN embeddings v ON v.vec_id = (e.event_id // {ALIKE}) % (SELECT count(*) FROM embeddings))"""
 
 LABELLED = f"""labelled AS (
   SELECT doc_id, source, raw_text, label, {clean('raw_text')} AS text FROM (

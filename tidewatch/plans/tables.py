@@ -12,7 +12,7 @@ from ..operators.features import build_vocabulary, decision_score, document_term
 from ..operators.incidents import add_singletons, cluster_window, number_clusters, summarise_clusters
 from ..operators.window import active_window, latest_moment
 from ..session import settle, spread
-from .sql import EPS, INTERCEPT, MINUTES, WORDS
+from .sql import ALIKE, DIM, EPS, INTERCEPT, MINUTES, WORDS
 
 
 @dataclass
@@ -30,11 +30,18 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
-        d, e, v = self.documents, self.read("events"), self.read("embeddings")
-        joined = d.join(e.select("event_id", "ts"), d["doc_id"] == e["event_id"]).join(v, d["doc_id"] == v["vec_id"])
+        """One post per event: the documents in turn as texts, and a vector for every :data:`ALIKE` events in a row, so that
+        reports of one thing come close together in time."""
+        e, d, v = self.read("events").select("event_id", "ts"), self.documents, self.read("embeddings")
+        n_docs, n_vectors = (F.lit(self.read(t).count()) for t in ("documents", "embeddings"))
+        at = F.floor(F.col("event_id") / ALIKE)
+        keyed = e.withColumns({"_doc": F.try_mod("event_id", n_docs), "_vec": F.try_mod(at, n_vectors)})
+        joined = keyed.join(d, keyed["_doc"] == d["doc_id"], "left").join(v, keyed["_vec"] == v["vec_id"], "left")
+        none = F.array_repeat(F.lit(0.0).cast("float"), DIM)
         return joined.select(
-            F.col("doc_id").cast("string").alias("post_id"), F.col("doc_id").alias("seq"), "text", "ts", "embedding", "label"
-        )
+            F.col("event_id").cast("string").alias("post_id"), F.col("event_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"),
+            "ts", F.coalesce("embedding", none).alias("embedding"), "label",
+        )
 
     @cached_property
     def labelled(self) -> DataFrame:

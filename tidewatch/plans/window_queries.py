@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urgency as U
 from ..functions.text import has_keyword, iso_time
-from ..operators import incidents as I, similarity as N, window as W
+from ..operators import incidents as I, similarity as N, sliding as L, window as W
 from ..operators.components import components as connect
 from ..operators.scale import running_rank
 from . import sql as S
@@ -104,6 +104,20 @@ def attach_borders(t):
     return I.cluster_window(vectors(t), eps=0.65, min_samples=4).select("seq", "cluster", "is_core")
 
 
+@query(f"WITH RECURSIVE {S.ACTIVE}, {S.clusters('active')} SELECT seq, cluster, is_core FROM clustered")
+def sliding_window(t):
+    """The window as three batches left it, the last one with late posts; groups follow from the links of each batch."""
+    posts = t.posts.select("seq", "embedding", "ts").withColumn("batch", F.when(F.col("seq") % 7 == 0, 2).otherwise(F.pmod("seq", F.lit(2))))
+    links = None
+    for batch in range(3):
+        so_far = posts.filter(F.col("batch") <= batch)
+        window = W.active_window(so_far, t.as_of, S.MINUTES).withColumn("fresh", F.col("batch") == batch)
+        new = L.fresh_links(window, S.EPS)
+        links = new if links is None else links.unionByName(new)
+    active = W.active_window(posts, t.as_of, S.MINUTES)
+    return L.linked_clusters(active, links).select("seq", "cluster", "is_core")
+
+
 @query(f"WITH RECURSIVE {S.INCIDENTS} SELECT seq, incident, lone FROM members")
 def add_singletons(t):
     return t.members.select("seq", "incident", "lone")
