@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import VectorUDT
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.text import accent_map
 from ..session import settle
 from .features import (
-    MAX_FEATURES, _weigh, balanced_weights, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf,
+    MAX_FEATURES, TermArrays, balanced_weights, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf,
     term_values,
 )
 from .metrics import averaged_metrics
@@ -32,13 +33,16 @@ def sparse_features(clean: str, vocab: DataFrame, size: int) -> Column:
     A task returns positions and values; the vector type is a struct with a user-defined name,
     and reading the struct back from JSON attaches that name inside the JVM.
     """
-    shared = vocab.sparkSession.sparkContext.broadcast((term_values(vocab, ["idf", "position"]), accent_map()))
-
-    @F.pandas_udf("struct<indices:array<int>,values:array<double>>")
-    def locate(texts: pd.Series) -> pd.DataFrame:
-        known, accents = shared.value
-        rows = [sorted((known[t][1], w) for t, w in _weigh(text, known, accents)) for text in texts]
-        return pd.DataFrame({"indices": [[i for i, _ in r] for r in rows], "values": [[w for _, w in r] for r in rows]})
+    shared = vocab.sparkSession.sparkContext.broadcast(TermArrays(term_values(vocab, ["idf", "position"]), accent_map()))
+
+    @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+    def locate(texts: pa.Array) -> pa.Array:
+        row, term, w = shared.value.weigh(texts.to_pylist())
+        position = shared.value.values[term, 1].astype(np.int32)
+        order = np.lexsort((position, row))
+        offsets = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (position, w)]
+        return pa.StructArray.from_arrays(lists, ["indices", "values"])
 
     parts = locate(F.col(clean))
     fields = F.struct(
