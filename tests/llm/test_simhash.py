@@ -80,6 +80,15 @@ def test_groups_against_all_pairs(spark):
     assert S.simhash_groups(docs.limit(0)).count() == 0
 
 
+def test_any_64_bit_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(2**63 - 1, text), (2**62 + 5, text), (2**62 + 9, "other words here"), (-(2**63), ""), (None, text), (2**62 + 9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.component_id) for r in S.simhash_groups(docs).collect())
+    assert got == sorted([(str(2**63 - 1), 2**62 + 5), (str(2**62 + 5), 2**62 + 5), (str(2**62 + 9), 2**62 + 9),
+                          (str(-(2**63)), -(2**63)), ("None", 2**62 + 5), (str(2**62 + 9), -(2**63))])
+
+
 def test_sharded_links_equal_unsharded(spark):
     rng = np.random.default_rng(9)
     seeds = rng.integers(-(2**62), 2**62, 300)

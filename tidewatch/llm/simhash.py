@@ -9,7 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import components
+from ..operators.components import linked_components
+from ..operators.scale import HOT_ROWS, hot_key_join
 from ..session import settle
 from .common import LOWER, forest, utf8
 
@@ -170,19 +171,23 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = MA
     Documents link when their fingerprints differ in at most ``radius`` bits; ``component_id`` is the smallest
     doc_id reachable. Equal fingerprints are one point, so copies are never paired with each other. Null and
     empty texts have fingerprint zero and link like any other. Rows with a null doc_id take part: they get their
-    group's smallest doc_id, or null where the group has none. Repeated rows each come back.
+    group's smallest doc_id, or null where the group has none. Repeated rows each come back. ``doc_id`` is any 64-bit
+    number; texts may be of any length; an empty table gives no rows, and other columns are ignored.
     """
     rows = settle(fingerprints(docs, width))
-    # A point without any doc_id is named above all real ids, so that it never names a group that has one.
-    nameless = F.lit(1 << 62) + F.shiftrightunsigned("fp", 2)
-    points = rows.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("id", F.coalesce("id", nameless))
-    points = settle(points)
-    links = settle(near_links(points, radius))
-    linked = components(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), links)
-    named = points.join(linked, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+    # Points are named by their fingerprint; the ids, any 64-bit numbers or null, only give each group its smallest one.
+    points = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    links = settle(near_links(points.select(F.col("fp").alias("id"), "fp"), radius))
+    linked = settle(linked_components(links).withColumnsRenamed({"id": "fp"}))
+    members = points.join(linked, "fp")
+    lowest = members.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    hot = lowest.filter(F.col("n") >= HOT_ROWS).select("component")
+    grouped = hot_key_join(members.select("fp", "component"), lowest.drop("n"), ["component"], hot).select("fp", "component_id")
+    alone = points.join(linked, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    named = grouped.unionByName(alone)
     joined = rows.join(settle(named), "fp")
     return joined.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component") < (1 << 62), F.col("component")).alias("component_id"),
+        "component_id",
     )
