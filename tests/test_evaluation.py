@@ -75,14 +75,35 @@ def test_dedupe_steps_and_report_agree(spark):
 
 def test_exact_split_and_folds_are_balanced(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "k long, label int")
-    split = P.stratified_split(df, "label", "k", exact=True).groupBy("label", "split").count().collect()
+    split = P.stratified_split(df, "label", "k").groupBy("label", "split").count().collect()
     assert {(r.label, r.split): r["count"] for r in split} == {
         (0, "test"): 30, (0, "train"): 120, (1, "test"): 10, (1, "train"): 40,
     }
-    folds = P.assign_folds(df, "label", "k", exact=True).groupBy("label", "fold").count().collect()
+    folds = P.assign_folds(df, "label", "k").groupBy("label", "fold").count().collect()
     assert {r["count"] for r in folds if r.label == 1} == {10}
 
 
+def test_exact_selection_by_ranks(spark):
+    import hashlib
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 0, 0, 1, None]), "x" * (i % 7)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k long, label int, text string").repartition(7)
+    order = lambda r: (hashlib.md5(f"{r[0]}|42".encode()).hexdigest(), r[0])
+    split, fold = {}, {}
+    for y in (0, 1, None):
+        ranked = sorted((r for r in rows if r[1] == y), key=order)
+        take = -(-len(ranked) * 2 // 10)
+        split |= {r[0]: "test" if i < take else "train" for i, r in enumerate(ranked)}
+        fold |= {r[0]: i % 3 for i, r in enumerate(ranked)}
+    assert {r.k: r.split for r in P.stratified_split(df, "label", "k").collect()} == split
+    assert {r.k: r.fold for r in P.assign_folds(df, "label", "k", k=3).collect()} == fold
+    none = df.limit(0)
+    assert P.stratified_split(none, "label", "k").count() == P.assign_folds(none, "label", "k").count() == 0
+    alike = spark.createDataFrame([(7, 1)] * 10, "k long, label int")
+    assert {r.split for r in P.stratified_split(alike, "label", "k").collect()} == {"test"}
+
+
 def corpus(spark, n=160):
     rng = random.Random(11)
     urgent, calm = "flood rescue trapped water bridge".split(), "music sale match movie party".split()

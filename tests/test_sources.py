@@ -18,6 +18,13 @@ def test_labelled_csv(spark, tmp_path):
     assert [(r.text, r.label) for r in rows] == [("fire big fire now", 1)]
 
 
+def test_labelled_csv_columns_go_by_name(spark, tmp_path):
+    path = put(tmp_path / "a.csv", "target,more,text\n1,x,Flood here\n0,y,calm day\n")
+    assert [(r.text, r.label) for r in R.read_labelled_csv(spark, path).collect()] == [("flood here", 1), ("calm day", 0)]
+    with pytest.raises(ValueError, match="missing column"):
+        R.read_labelled_csv(spark, put(tmp_path / "b.csv", "label,text\n1,x\n"))
+
+
 def test_event_files(spark, tmp_path):
     head = "Tweet ID, Tweet Text, Information Source, Information Type, Informativeness\n"
     put(tmp_path / "e1" / "2012_a-tweets_labeled.csv", head + '1,"water, rising",x,y,Related and informative\n2,http://a,x,y,Not related\n')
@@ -45,6 +52,26 @@ def test_posts(spark, tmp_path):
         R.read_posts(spark, put(tmp_path / "e.txt", "a\nb\n"))
 
 
+@pytest.mark.parametrize("bytes_each", [64, 1000, 1 << 27])
+def test_order_of_arrival_does_not_depend_on_the_cuts(spark, tmp_path, bytes_each):
+    lines = {f"part-{k}.txt": [f"line {k} {i} " + "x" * (i % 37) if i % 5 else "" for i in range(120 + 30 * k)] for k in (2, 0, 1)}
+    for name, texts in lines.items():
+        put(tmp_path / name, "\n".join(texts) + "\n")
+    every = [text.strip() for name in sorted(lines) for text in lines[name]]
+    want = [(i, text) for i, text in enumerate(every) if len(text) > 5]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_each))
+    try:
+        posts = R.read_posts(spark, str(tmp_path), legacy_first_field=True)
+        assert sorted((r.seq, r.text) for r in posts.collect()) == want
+        one = R.read_posts(spark, str(tmp_path / "part-1.txt"), min_chars=9)
+        assert sorted((r.seq, r.text) for r in one.collect()) == [
+            (i, t.strip()) for i, t in enumerate(lines["part-1.txt"]) if len(t.strip()) > 9
+        ]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_gazetteer_json(spark, tmp_path):
     path = put(tmp_path / "g.json", json.dumps({"Adyar": {"lat": 1.5, "lng": 2.5, "full_name": "Adyar, City"}}, indent=2))
     assert [tuple(r) for r in R.read_gazetteer(spark, path).collect()] == [("adyar", 1.5, 2.5, "Adyar, City")]

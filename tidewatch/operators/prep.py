@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import EVENT_LABELS, map_label
 from ..session import settle
-from .scale import hash_share, running_rank
+from .scale import hash_share
+
+PREFIX = 4  # hex digits of a hash that the histograms tell apart
+SHARED_BUCKETS = 1_000_000  # rows of a histogram that are sent to every task
 
 
 def union_labelled(*tables: DataFrame) -> DataFrame:
@@ -126,37 +129,63 @@ def drop_missing(df: DataFrame, cols: Sequence[str] = ("text", "label")) -> Data
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42, exact: bool = False
+    df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42, exact: bool = True
 ) -> DataFrame:
-    """Add ``split`` ('train' or 'test').
+    """Add ``split`` ('train' or 'test'): the first ``ceil(test * n)`` rows of every class in hash order are the test rows.
 
-    By default a row's own hash decides, so nothing moves; class shares hold in expectation.
-    ``exact=True`` takes the first ``ceil(test * n)`` rows of every class in hash order, ranked
-    without putting a class into one task.
+    Nothing is sorted and the rows stay where they are: a histogram over hash prefixes finds the bucket of each class that
+    holds its last test row, and only that bucket is looked at closely. Null labels are a class; rows of one key go the
+    same way. With ``exact=False`` a row's own hash decides, and class shares hold in expectation.
     """
     if not exact:
         share = hash_share(F.col(key), F.lit(seed))
         return df.withColumn("split", F.when(share < test, "test").otherwise("train"))
     hashed = _hash_keys(df, label, key, seed)
-    sizes = F.broadcast(hashed.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(test)).alias("_take")))
-    cuts = running_rank(hashed, ["_h", key], "_rank", within=[label]).join(sizes, label).filter("_rank = _take")
-    # One row per class: the last test row. The rows themselves only compare with it.
-    cut = F.broadcast(cuts.select(label, F.struct("_h", key).alias("_cut")))
+    buckets = _buckets(hashed, label)
+    take = F.ceil(F.col("_all") * F.lit(test))
+    # One row per class.
+    edge = buckets.filter((F.col("_before") < take) & (take <= F.col("_before") + F.col("_n")))
+    edge = settle(edge.select(F.col(label).alias("_class"), "_prefix", (take - F.col("_before")).alias("_take")))
+    same = F.col(label).eqNullSafe(F.col("_class"))
+    near = hashed.withColumnRenamed("_prefix", "_own").join(F.broadcast(edge), same & (F.col("_own") == F.col("_prefix")))
+    counts = near.groupBy("_class", "_take", "_h", key).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_class").orderBy("_h", key))
+    cut = counts.withColumn("_upto", upto).filter("_upto >= _take").groupBy("_class").agg(F.min(F.struct("_h", key)).alias("_cut"))
     before = F.struct(_hash(key, seed).alias("_h"), F.col(key)) <= F.col("_cut")
     return (
-        df.join(cut, label, "left")
+        df.join(F.broadcast(cut), same, "left")
         .withColumn("split", F.when(before, "test").otherwise("train"))
         .select(*df.columns, "split")
     )
 
 
-def assign_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, exact: bool = False) -> DataFrame:
-    """Add ``fold`` 0..k-1; as in :func:`stratified_split`, exact balance costs a shuffle."""
+def assign_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, exact: bool = True) -> DataFrame:
+    """Add ``fold`` 0..k-1: the rows of each class in hash order, dealt in turn, so folds differ by one row a class.
+
+    Each row moves once, into a bucket of its class and hash prefix; its place is the one there plus the rows of the buckets
+    before, which a histogram gives. ``key`` should be unique: rows of one key meet in one bucket. With ``exact=False``
+    a row's own hash decides, without a shuffle.
+    """
     if not exact:
         return df.withColumn("fold", F.floor(hash_share(F.col(key), F.lit(seed)) * k).cast("int"))
-    ranked = running_rank(_hash_keys(df, label, key, seed), ["_h", key], "_rank", within=[label])
-    folds = ranked.select(key, ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
-    return df.join(folds, key).select(*df.columns, "fold")
+    buckets = settle(_buckets(_hash_keys(df, label, key, seed), label)).select(
+        F.col(label).alias("_class"), F.col("_prefix").alias("_bucket"), "_before"
+    )
+    buckets = F.broadcast(buckets) if buckets.count() <= SHARED_BUCKETS else buckets
+    rows = df.withColumn("_h", _hash(key, seed)).withColumn("_prefix", F.substring("_h", 1, PREFIX))
+    rows = rows.join(buckets, F.col(label).eqNullSafe(F.col("_class")) & (F.col("_prefix") == F.col("_bucket")))
+    place = F.row_number().over(Window.partitionBy(label, "_prefix").orderBy("_h", key)) - 1 + F.col("_before")
+    return rows.select(*df.columns, (place % k).cast("int").alias("fold"))
+
+
+def _buckets(hashed: DataFrame, label: str) -> DataFrame:
+    """Per class and hash prefix: ``_n`` rows, ``_before`` in earlier prefixes, ``_all`` in the class. The windows are over
+    counts, at most one for each prefix."""
+    counts = hashed.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(label)
+    earlier = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_all": F.sum("_n").over(whole)}
+    return counts.withColumns(sums)
 
 
 def _hash(key: str, seed: int):
@@ -164,9 +193,9 @@ def _hash(key: str, seed: int):
 
 
 def _hash_keys(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """What a ranking needs, without the texts; settled because a range partition and the
-    class sizes read it several times."""
-    return settle(df.select(label, key, _hash(key, seed).alias("_h")))
+    """What a selection needs, without the texts; settled because it is read twice."""
+    hashed = df.select(label, key, _hash(key, seed).alias("_h"))
+    return settle(hashed.withColumn("_prefix", F.substring("_h", 1, PREFIX)))
 
 
 def eval_scope(df: DataFrame, min_rows: int = 120) -> DataFrame:

@@ -106,7 +106,7 @@ HASHED = "(('0x' || md5(doc_id || '|42')[1:8])::BIGINT / 4294967296.0)"
     "ELSE 'train' END AS split FROM kept"
 )
 def stratified_split(t):
-    return P.stratified_split(t.training, "label", "doc_id").select("doc_id", "label", "split")
+    return P.stratified_split(t.training, "label", "doc_id", exact=False).select("doc_id", "label", "split")
 
 
 RANKED = "row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '|42'), doc_id)"
@@ -117,7 +117,7 @@ RANKED = "row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '|42'), d
     "THEN 'test' ELSE 'train' END AS split FROM kept"
 )
 def stratified_split_exact(t):
-    return P.stratified_split(t.training, "label", "doc_id", exact=True).select("doc_id", "label", "split")
+    return P.stratified_split(t.training, "label", "doc_id").select("doc_id", "label", "split")
 
 
 @query(
@@ -125,12 +125,12 @@ def stratified_split_exact(t):
     "FROM kept"
 )
 def assign_folds(t):
-    return P.assign_folds(t.training, "label", "doc_id").select("doc_id", "label", "fold")
+    return P.assign_folds(t.training, "label", "doc_id", exact=False).select("doc_id", "label", "fold")
 
 
 @query(f"{L} SELECT doc_id, label, (({RANKED} - 1) % 5)::INT AS fold FROM kept")
 def assign_folds_exact(t):
-    return P.assign_folds(t.training, "label", "doc_id", exact=True).select("doc_id", "label", "fold")
+    return P.assign_folds(t.training, "label", "doc_id").select("doc_id", "label", "fold")
 
 
 @query(f"{L} SELECT count(*) AS n_rows, CASE WHEN count(*) <= 120 THEN 'all' ELSE 'held_out' END AS scope FROM kept")

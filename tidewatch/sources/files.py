@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions.text import BLANKS, clean_text, map_label
-from ..schemas import LABELLED_CSV, PLACE, require_columns
+from ..schemas import PLACE, require_columns
+from ..session import settle
 
 EVENT_FILES = "*-tweets_labeled.csv"
 MIN_POST_CHARS = 5
+HEADER_READERS = 16  # headers of files read at the same time
+SHARED_BLOCKS = 1_000_000  # blocks of files whose starts are sent to every task
 
 
 def _csv(spark: SparkSession):
@@ -25,10 +30,11 @@ def trim_blanks(c) -> Column:
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``raw_text, text, label`` of a labelled CSV with a header; emptied texts are dropped."""
-    rows = _csv(spark).schema(LABELLED_CSV).option("enforceSchema", False).csv(path)
+    """``raw_text, text, label`` of a labelled CSV with a header; emptied texts are dropped. Its columns ``text`` and
+    ``target`` are found by name, wherever they stand and whatever else is there."""
+    rows = require_columns(_csv(spark).csv(path), ["text", "target"])
     return (
-        rows.select(F.col("text").alias("raw_text"), F.col("target").alias("label"))
+        rows.select(F.col("text").alias("raw_text"), F.col("target").cast("int").alias("label"))
         .withColumn("text", clean_text("raw_text"))
         .filter(F.length("text") > 0)
     )
@@ -64,24 +70,20 @@ def resolve_columns(df: DataFrame, rules: str = "generic") -> DataFrame | None:
 def read_event_label_csvs(spark: SparkSession, root: str) -> DataFrame:
     """All label files below ``root`` with their event name.
 
-    Files are grouped by their header line, and each group is one scan. Groups without the
-    needed columns are skipped; no usable file at all is an error.
+    Files are grouped by their header line, and each group is one scan. A header costs the first lines of its file, not
+    a pass over it. Groups without the needed columns are skipped; no usable file at all is an error.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", EVENT_FILES).text(root)
-    heads = (
-        lines.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("spot"),
-            "value",
-        )
-        .groupBy("path")
-        .agg(F.min_by("value", "spot").alias("header"))
-    )
-    # One short row per file and one list per distinct header.
-    groups = heads.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", EVENT_FILES).text(root)
+    groups: dict[str, list[str]] = {}
+    files = sorted(found.inputFiles())
+    with ThreadPool(HEADER_READERS) as pool:
+        heads = pool.map(inheritable_thread_target(spark)(lambda file: spark.read.text(file).first()), files)
+    for file, head in zip(files, heads):
+        if head is not None:
+            groups.setdefault(head.value, []).append(file)
     tables = []
-    for group in groups:
-        table = _csv(spark).csv(sorted(group.paths))
+    for paths in groups.values():
+        table = _csv(spark).csv(paths)
         found = find_columns(table.columns, "events")
         if found is None:
             continue
@@ -109,28 +111,53 @@ def first_field(line) -> Column:
     return trim_blanks(F.regexp_replace(head, '^"|"$', ""))
 
 
-def read_posts(spark: SparkSession, path: str, legacy_first_field: bool = False) -> DataFrame:
+def with_positions(rows: DataFrame, wanted: Column) -> tuple[DataFrame, bool]:
+    """The ``wanted`` rows of a plain scan of files with ``seq``, their place among all rows of all files in the order of
+    the paths, and whether there are any.
+
+    Files are cut into blocks, and tasks read blocks as Spark packs them. A first pass counts the rows of each block; the
+    place is the rows of earlier blocks plus the place inside the block, so it does not depend on the cuts.
+    """
+    blocks = rows.withColumns({
+        "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id(),
+    })
+    counts = blocks.groupBy("_file", "_block").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.count_if(wanted).alias("_wanted")
+    )
+    # One row for each block of a file: no window over the rows themselves.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+    n, some = counts.agg(F.count(F.lit(1)), F.sum("_wanted")).first()
+    starts = counts.select("_file", "_block", "_first", "_before")
+    placed = blocks.join(F.broadcast(starts) if n <= SHARED_BLOCKS else starts, ["_file", "_block"])
+    placed = placed.withColumn("seq", F.col("_before") + F.col("_id") - F.col("_first"))
+    return placed.filter(wanted).select("seq", *rows.columns), bool(some)
+
+
+def read_posts(
+    spark: SparkSession, path: str, legacy_first_field: bool = False, min_chars: int = MIN_POST_CHARS
+) -> DataFrame:
     """``seq, text`` of a ``.txt`` or ``.csv`` file (or a folder of them).
 
     CSV is parsed as CSV and its first field is the post; ``legacy_first_field`` cuts every
-    line at the first comma instead. Very short lines (headings) are dropped.
+    line at the first comma instead. Texts of ``min_chars`` characters or fewer (headings) are dropped.
+    ``seq`` is the order of arrival: the place in its file, files in the order of their paths.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     if "." in name and not name.endswith((".txt", ".csv")):
         raise ValueError(f"{path} is neither .txt nor .csv")
     if legacy_first_field:
-        lines = spark.read.option("pathGlobFilter", "*.{txt,csv}").text(path)
-        posts = lines.select(first_field("value").alias("text"))
+        rows, text = spark.read.option("pathGlobFilter", "*.{txt,csv}").text(path), first_field("value")
     elif name.endswith(".txt"):
-        posts = spark.read.text(path).select(trim_blanks("value").alias("text"))
+        rows, text = spark.read.text(path), trim_blanks("value")
     else:
-        rows = spark.read.option("multiLine", True).option("escape", '"').option("pathGlobFilter", "*.{txt,csv}")
-        first = rows.csv(path)
-        posts = first.select(trim_blanks(F.col(first.columns[0])).alias("text"))
-    posts = posts.filter(F.length("text") > MIN_POST_CHARS)
-    if posts.isEmpty():
+        reader = spark.read.option("multiLine", True).option("escape", '"').option("pathGlobFilter", "*.{txt,csv}")
+        rows = reader.csv(path)
+        text = trim_blanks(F.col(rows.columns[0]))
+    posts, some = with_positions(rows, F.coalesce(F.length(text) > min_chars, F.lit(False)))
+    if not some:
         raise ValueError(f"no usable posts in {path}")
-    return posts.select(F.monotonically_increasing_id().alias("seq"), "text")
+    return posts.select("seq", text.alias("text"))
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
