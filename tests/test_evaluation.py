@@ -149,6 +149,53 @@ def test_learning_curve_counts_sets_of_one_class_as_zero(spark):
     assert {(r.fraction, r.part, r.mean) for r in curve} == {(f, p, 0.0) for f in (0.5, 1.0) for p in ("train", "validation")}
 
 
+def test_folds_from_one_count_equal_folds_one_by_one(spark):
+    docs = corpus(spark, 120)
+    folded = P.assign_folds(docs, "label", "doc", 3).withColumn("step", F.lit(0)).cache()
+    together = T.fold_vocabularies(docs, "doc", k=3)
+    quality = {r.fold: r for r in T.cross_validate(docs, "doc", k=3, tol=1e-6).collect()}
+    for fold in range(3):
+        train, held_out = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        vocab = T.fit_vocabulary(train, "doc")
+        alone = {tuple(r) for r in vocab.select("term", "df", "cf").collect()}
+        assert {tuple(r) for r in together.filter(F.col("fold") == fold + 1).select("term", "df", "cf").collect()} == alone
+        scored = T.predict(held_out, *T.train_linear(train, vocab, tol=1e-6))
+        row = M.averaged_metrics(scored).first()
+        assert quality[fold + 1].f1_macro == pytest.approx(row.f1_macro, abs=1e-4)
+
+
+def test_the_trained_weights_are_the_minimum(spark):
+    import numpy as np
+
+    from tidewatch.operators import cases as K
+
+    docs = corpus(spark, 60).unionByName(spark.createDataFrame([("x", "flood music", 0), ("y", "", 1), ("z", "zebra", None)], "doc string, text string, label int"))
+    rows = docs.withColumns({"fold": F.lit(0), "step": F.lit(0)})
+    vocab = T.fit_vocabulary(docs, "doc")
+    weights, intercept = T.train_linear(docs, vocab, tol=1e-7)
+    got = {r.term: (r.idf, r.coef) for r in weights.collect()}
+    n = dict(docs.groupBy("label").count().collect())
+    labelled = [(r.text, r.label) for r in docs.collect() if r.label is not None]
+    x = {t: dict(r) for t, r in ((r.text, [(p.term, p.w) for p in r.x]) for r in docs.select("text", Q.weighted_terms("text", vocab).alias("x")).collect())}
+    terms = sorted(got)
+
+    def loss(w, b):
+        total = 0.5 * (w @ w + b * b)
+        for text, y in labelled:
+            f = sum(x[text].get(t, 0.0) * w[i] for i, t in enumerate(terms)) + b
+            total += (n[0] + n[1]) / (2 * n[y]) * max(0.0, 1 - (2 * y - 1) * f) ** 2
+        return total
+
+    w = np.array([got[t][1] for t in terms])
+    best = loss(w, intercept)
+    rng = np.random.default_rng(3)
+    assert all(loss(w + 1e-3 * rng.normal(size=len(w)), intercept + 1e-3 * rng.normal()) > best for _ in range(20))
+    known = dict(vocab.select("term", "idf").collect())
+    blocks = K.number_terms(rows.repartition(40), "text", "label", list(known))
+    many = K.fit_cases(blocks, [K.Case(-1)], np.array([list(known.values())]), K.balance_of(np.array([[n[0], n[1]]])), tol=1e-7)[0]
+    assert many[:-1] == pytest.approx([got[t][1] for t in known], abs=1e-5) and many[-1] == pytest.approx(intercept, abs=1e-5)
+
+
 def test_vocabularies_may_be_larger_than_the_default(spark):
     vocab = spark.range(10_001).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(1.0).alias("idf"), F.lit(2.0).alias("coef"))
     docs = spark.createDataFrame([("w10000 other",)], "text string")

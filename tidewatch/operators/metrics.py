@@ -46,7 +46,11 @@ def accuracy(df: DataFrame, y: str = "label", yhat: str = "predicted") -> DataFr
 
 def class_report(df: DataFrame, y: str = "label", yhat: str = "predicted", by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support of each class."""
-    cells = df.groupBy(*by).agg(*[v.alias(k) for k, v in _cells(y, yhat).items()])
+    return report(df.groupBy(*by).agg(*[v.alias(k) for k, v in _cells(y, yhat).items()]), by)
+
+
+def report(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The class report of counted cells ``tp, tn, fp, fn``, one row per group."""
     row = lambda cls, hit, wrong, missed: F.struct(
         F.lit(cls).alias("class"),
         ratio(F.col(hit), F.col(hit) + F.col(wrong)).alias("precision"),
@@ -60,12 +64,16 @@ def class_report(df: DataFrame, y: str = "label", yhat: str = "predicted", by: S
 
 def averaged_metrics(df: DataFrame, y: str = "label", yhat: str = "predicted", by: Sequence[str] = ()) -> DataFrame:
     """Macro and support-weighted averages of the class report, and accuracy."""
-    report = class_report(df, y, yhat, by)
+    return averages(class_report(df, y, yhat, by), by)
+
+
+def averages(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """As :func:`averaged_metrics`, of a class report."""
     names = ("precision", "recall", "f1")
     macro = [F.avg(n).alias(f"{n}_macro") for n in names]
     weighted = [ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(f"{n}_weighted") for n in names]
     share = ratio(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("accuracy")
-    return report.groupBy(*by).agg(*macro, *weighted, share)
+    return classes.groupBy(*by).agg(*macro, *weighted, share)
 
 
 def meets_target(averages: DataFrame, target: float = TARGET_F1) -> DataFrame:

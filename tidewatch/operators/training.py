@@ -3,56 +3,22 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import accent_map
 from ..session import settle
-from .features import (
-    MAX_FEATURES, TermArrays, balanced_weights, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf,
-    term_values,
-)
-from .metrics import averaged_metrics
+from .cases import PARTS, Case, balance_of, case_sizes, case_vocabularies, fit_cases, number_terms, resample
+from .features import MAX_FEATURES, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf, term_values
+from .metrics import averages, report
 from .prep import assign_folds
 from .scale import hash_share
 
 CV_METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
 
 
-def sparse_features(clean: str, vocab: DataFrame, size: int) -> Column:
-    """The weights of a text as a sparse ML vector; ``vocab`` holds ``term, idf, position``.
-
-    A task returns positions and values; the vector type is a struct with a user-defined name,
-    and reading the struct back from JSON attaches that name inside the JVM.
-    """
-    shared = vocab.sparkSession.sparkContext.broadcast(TermArrays(term_values(vocab, ["idf", "position"]), accent_map()))
-
-    @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
-    def locate(texts: pa.Array) -> pa.Array:
-        row, term, w = shared.value.weigh(texts.to_pylist())
-        position = shared.value.values[term, 1].astype(np.int32)
-        order = np.lexsort((position, row))
-        offsets = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (position, w)]
-        return pa.StructArray.from_arrays(lists, ["indices", "values"])
-
-    parts = locate(F.col(clean))
-    fields = F.struct(
-        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), parts["indices"].alias("indices"),
-        parts["values"].alias("values"),
-    )
-    shape = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(fields.alias("v"))), shape)["v"]
-
-
 def fit_vocabulary(docs: DataFrame, doc: str, clean: str = "text", min_df: int = 2, max_features: int = MAX_FEATURES):
     """``(term, df, cf, idf)`` of a training set."""
     n_docs = docs.count()
@@ -63,27 +29,17 @@ def train_linear(
     docs: DataFrame, vocab: DataFrame, clean: str = "text", label: str = "label", C: float = 1.0, max_iter: int = 2000,
     tol: float = 1e-3,
 ) -> tuple[DataFrame, float]:
-    """Weights ``(term, idf, coef)`` and intercept of a linear max-margin classifier with
-    balanced classes. ``vocab`` holds at most as many rows as :func:`build_vocabulary` was told."""
-    # One row per term of a vocabulary that every task holds anyway.
-    order = Window.partitionBy(F.lit(0)).orderBy("term")
-    indexed = settle(vocab.select("term", "idf", (F.row_number().over(order) - 1).alias("position")))
-    size = max(1, indexed.count())
-    weights = F.broadcast(balanced_weights(docs, label).select(label, "weight"))  # one row per class
-    rows = docs.join(weights, label).select(
-        F.col(label).cast("double").alias("label"), "weight", sparse_features(clean, indexed, size).alias("features")
-    )
-    rows = settle(rows)
-    total = rows.agg(F.sum("weight")).first()[0]
-    svc = LinearSVC(
-        maxIter=max_iter, regParam=1.0 / (C * total), tol=tol, standardization=False, weightCol="weight"
-    )
-    model = svc.fit(rows)
-    coefs = docs.sparkSession.createDataFrame(
-        [(i, float(c)) for i, c in enumerate(model.coefficients.toArray())], "position int, coef double"
-    )
-    named = indexed.join(F.broadcast(coefs), "position").select("term", "idf", "coef")
-    return settle(named), float(model.intercept)
+    """Weights ``(term, idf, coef)`` and intercept of a linear max-margin classifier with balanced classes (0 and 1).
+    ``vocab`` holds at most as many rows as :func:`build_vocabulary` was told. Of one class alone nothing is learned:
+    all weights are 0."""
+    known = term_values(vocab, ["idf"])
+    idf = np.array([[v[0] for v in known.values()]]).reshape(1, -1)
+    rows, cases = docs.withColumns({"fold": F.lit(0), "step": F.lit(0)}), [Case(-1)]
+    blocks = number_terms(rows, clean, label, list(known))
+    model = fit_cases(blocks, cases, idf, balance_of(case_sizes(rows, label, cases)), C, tol, max_iter)[0]
+    table = pa.table({"term": list(known), "idf": idf[0], "coef": model[:-1]}, pa.schema([
+        ("term", pa.string()), ("idf", pa.float64()), ("coef", pa.float64())]))
+    return docs.sparkSession.createDataFrame(table), float(model[-1])
 
 
 def fit_classifier(docs: DataFrame, doc: str, clean: str = "text", label: str = "label", **options):
@@ -91,62 +47,47 @@ def fit_classifier(docs: DataFrame, doc: str, clean: str = "text", label: str =
     return train_linear(docs, fit_vocabulary(docs, doc, clean), clean, label, **options)
 
 
-def side_by_side(spark: SparkSession, work: Callable, cases: Sequence, parallelism: int) -> list:
-    """Run independent fits at the same time; their jobs share the cluster."""
-    with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(spark)(work), cases)
-
-
 def predict(docs: DataFrame, weights: DataFrame, intercept: float, clean: str = "text") -> DataFrame:
     return decision_score(docs, weights, intercept, clean).withColumn("predicted", hard_label("score"))
 
 
 def cross_validate(
-    docs: DataFrame, doc: str, clean: str = "text", label: str = "label", k: int = 5, seed: int = 42, exact: bool = False,
-    parallelism: int = 4,
+    docs: DataFrame, doc: str, clean: str = "text", label: str = "label", k: int = 5, seed: int = 42, exact: bool = True,
+    **options,
 ) -> DataFrame:
-    """Quality per fold; vocabulary and weights are refitted without the fold each time."""
-    folded = settle(assign_folds(docs.select(doc, clean, label), label, doc, k, seed, exact))
+    """Quality per fold; vocabulary and weights are fitted without the fold each time, for all folds together. Folds that
+    leave one class to learn from are missing."""
+    folded = assign_folds(docs.select(doc, clean, label), label, doc, k, seed, exact).withColumn("step", F.lit(0))
+    cells = resample(settle(folded), doc, clean, label, [Case(fold) for fold in range(k)], **options)
+    out = averages(report(cells.filter("part = 'validation'"), ["case"]), ["case"])
+    return out.select((F.col("case") + 1).alias("fold"), *[F.round(m, 4).alias(m) for m in CV_METRICS])
 
-    def judge(fold: int) -> DataFrame:
-        weights, intercept = fit_classifier(folded.filter(F.col("fold") != fold), doc, clean, label)
-        scored = predict(folded.filter(F.col("fold") == fold), weights, intercept, clean)
-        return averaged_metrics(scored, label, by=["fold"])
 
-    results = side_by_side(docs.sparkSession, judge, range(k), parallelism)
-    out = reduce(lambda a, b: a.unionByName(b), results)
-    return out.select((F.col("fold") + 1).alias("fold"), *[F.round(m, 4).alias(m) for m in CV_METRICS])
+def fold_vocabularies(docs: DataFrame, doc: str, clean: str = "text", label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
+    """``(fold, term, df, cf)``: the vocabulary that :func:`cross_validate` fits without each fold."""
+    folded = settle(assign_folds(docs.select(doc, clean, label), label, doc, k, seed).withColumn("step", F.lit(0)))
+    picked = case_vocabularies(folded, doc, clean, [Case(fold) for fold in range(k)])
+    return picked.select((F.col("case") + 1).alias("fold"), "term", "df", "cf")
 
 
 def learning_curve(
     docs: DataFrame, doc: str, clean: str = "text", label: str = "label",
-    fractions: Sequence[float] = tuple(0.1 + i * 0.9 / 7 for i in range(8)), k: int = 3, seed: int = 42,
-    parallelism: int = 8,
+    fractions: Sequence[float] = tuple(0.1 + i * 0.9 / 7 for i in range(8)), k: int = 3, seed: int = 42, **options,
 ) -> DataFrame:
     """Macro F1 on the training part and on the held-out fold for growing training sets. The
     sets are nested: a row belongs to every fraction above its own hash. A set with fewer than two
-    classes counts as 0 in the means."""
-    folded = assign_folds(docs.select(doc, clean, label), label, doc, k, seed)
-    folded = settle(folded.withColumn("_share", hash_share(F.col(doc), F.lit("prefix"), F.lit(seed))))
-
-    def judge(case: tuple[int, float]) -> list[DataFrame]:
-        fold, fraction = case
-        train = folded.filter((F.col("fold") != fold) & (F.col("_share") < min(fraction, 1.0)))
-        if train.select(label).distinct().count() < 2:
-            case = [F.lit(round(fraction, 4)).alias("fraction"), F.lit(0.0).alias("f1_macro")]
-            return [docs.sparkSession.range(1).select(case[0], F.lit(p).alias("part"), case[1]) for p in ("train", "validation")]
-        weights, intercept = fit_classifier(train, doc, clean, label)
-        held_out = folded.filter(F.col("fold") == fold)
-        return [
-            averaged_metrics(predict(data, weights, intercept, clean), label).select(
-                F.lit(round(fraction, 4)).alias("fraction"), F.lit(part).alias("part"), "f1_macro"
-            )
-            for part, data in (("train", train), ("validation", held_out))
-        ]
-
-    cases = [(fold, fraction) for fold in range(k) for fraction in fractions]
-    parts = [part for parts in side_by_side(docs.sparkSession, judge, cases, parallelism) for part in parts]
-    every = reduce(lambda a, b: a.unionByName(b), parts)
+    classes counts as 0 in the means. All sets are fitted together."""
+    bounds = sorted(min(f, 1.0) for f in fractions)
+    share = hash_share(F.col(doc), F.lit("prefix"), F.lit(seed))
+    step = sum(((share >= b).cast("int") for b in bounds), F.lit(0))  # the first fraction that a row belongs to
+    folded = settle(assign_folds(docs.select(doc, clean, label), label, doc, k, seed).withColumn("step", step))
+    cases = [Case(fold, step) for step in range(len(bounds)) for fold in range(k)]
+    cells = resample(folded, doc, clean, label, cases, **options)
+    found = averages(report(cells, ["case", "part"]), ["case", "part"]).select("case", "part", "f1_macro")
+    wanted = [(i, round(bounds[case.step], 4), part) for i, case in enumerate(cases) for part in PARTS]
+    # One row for each set and part.
+    every = docs.sparkSession.createDataFrame(wanted, "case int, fraction double, part string")
+    every = every.join(found, ["case", "part"], "left").fillna(0.0, ["f1_macro"])
     return every.groupBy("fraction", "part").agg(
         F.round(F.avg("f1_macro"), 4).alias("mean"), F.round(F.stddev_pop("f1_macro"), 4).alias("std")
     )

@@ -228,6 +228,22 @@ def cross_validate(t):
     return T.cross_validate(deduped(t), "doc")
 
 
+@query(
+    f"""WITH {S.LABELLED}, deduped AS (SELECT text, min(label) AS label, md5(text) AS doc FROM labelled WHERE text <> ''
+  GROUP BY text HAVING count(DISTINCT label) = 1),
+folded AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(doc || '|42'), doc) - 1) % 5 + 1 AS own FROM deduped),
+toks AS (SELECT doc, own, {S.word_tokens('strip_accents(text)')} AS t FROM folded),
+counted AS (SELECT doc, own, term, count(*) AS tf FROM (SELECT doc, own, unnest({S.ngrams('t')}) AS term FROM toks) GROUP BY ALL),
+by_term AS (SELECT own, term, count(*) AS df, sum(tf) AS cf FROM counted GROUP BY ALL),
+folds AS (SELECT unnest(range(1, 6)) AS fold),
+sums AS (SELECT fold, term, sum(df)::BIGINT AS df, sum(cf)::BIGINT AS cf FROM by_term JOIN folds ON own <> fold GROUP BY ALL)
+SELECT fold::INT AS fold, term, df, cf FROM sums WHERE df >= 2
+QUALIFY row_number() OVER (PARTITION BY fold ORDER BY cf DESC, term) <= 10000"""
+)
+def fold_vocabularies(t):
+    return T.fold_vocabularies(deduped(t), "doc")
+
+
 @query()
 def learning_curve(t):
     return T.learning_curve(deduped(t), "doc")
