@@ -59,13 +59,13 @@ def test_damage_raises():
 def test_files_of_documents(spark):
     name, rng = public_path("byte_bpe_50k.json"), random.Random(2)
     rows = [(i, " ".join(rng.choice(["Tide", "watch", "été", "x"]) for _ in range(rng.randrange(300)))) for i in range(60)]
-    rows += [(7, rows[7][1]), (60, None), (61, ""), (None, "no number"), (62, "long word " * 30_000)]
+    rows += [(7, rows[7][1]), (8, "zz other"), (8, "a third"), (8, None), (60, None), (61, ""), (None, "no number"), (62, "long word " * 30_000)]
     docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, part int, start string")
     path = shared_path(spark, "files")
     T.write_token_files(docs.repartition(5), path, name, 2, roll_ids=500)
     got = T.with_global_start(T.read_token_files(spark, path)).orderBy("start").collect()
     assert read_blobs(spark, path).count() > 4
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     tokenizer, at = Encoder(name).tokenizer, 0
     assert [r["doc_id"] for r in got] == [i for i, _ in rows]
     for r, (_, text) in zip(got, rows):

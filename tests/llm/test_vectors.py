@@ -44,6 +44,8 @@ def test_against_all_pairs(spark):
     rows += [(204, [0.0] * 10, 0), (205, None, 0), (206, [float("nan")] + [1.0] * 9, 0), (207, [None] + [1.0] * 9, 0),
              (208, [float("inf")] + [1.0] * 9, 0), (209, [], 0), (210, [1.0, 2.0], 0), (211, [2.0, 4.0], 0),
              (None, rows[3][1], 0), (None, [5.0, -1.0], 2), (212, [2 * v for v in rows[0][1]], 0)]
+    far = rng.normal(size=10).tolist()
+    rows += [((1 << 62) + 9, far, 0), ((1 << 62) + 5, [3 * v for v in far], 0), ((1 << 63) - 1, far, 1), (None, far, 1), (-5, far, 2)]
     data = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, id int, n int")
     got = V.link_vectors(data, 0.93, block_rows=16).collect()
     assert sorted(map(tuple, got), key=str) == plain(rows, 0.93)

@@ -183,7 +183,8 @@ def open_file(content: bytes) -> File:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, roll_ids: int = ROLL_IDS) -> None:
     """Encode ``docs(doc_id, text)``, append ``end_id`` to each, and write the ids in ascending doc_id order.
 
-    Null texts are empty; documents without a doc_id come first, repeated rows follow each other. The rows are
+    Null texts are empty; documents without a doc_id come first, those of one doc_id by text, so ``start`` does not depend
+    on the order of the rows. Texts of any length; an empty table gives no ids; other columns are ignored. The rows are
     range-partitioned by doc_id: a part is one range, and its files are rolled at ``roll_ids`` ids, between documents.
     """
     end = struct.pack("<I", end_id)
@@ -201,7 +202,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, r
             yield done()
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = keyed.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ranged = keyed.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     write_blobs(ranged.mapInArrow(run, "blob binary"), path)
 
 

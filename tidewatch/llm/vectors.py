@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import components
+from ..operators.components import linked_components
+from ..operators.scale import HOT_ROWS, hot_key_join
 from ..session import settle
 from .common import forest
 
@@ -17,7 +18,6 @@ BLOCK_ROWS = 1024
 SAMPLE_ROWS = 20_000  # vectors that the axes are fitted on; they decide the order of work, never a link
 STEPS = (8, 16, 32, 64, 128, 256, 512)
 MARGIN = 1e-9  # rounding of rotated products; what is closer to the threshold is computed from the given numbers
-NAMELESS = 1 << 62  # points without an id are named from here on
 
 
 def principal_axes(x: np.ndarray) -> np.ndarray:
@@ -74,7 +74,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
     Vectors link when their labels are equal and not null and their cosine, in double precision, is ``threshold`` or
     more. Null, empty and zero vectors and those with null or non-finite components link with nothing; different
     lengths never link. Repeated rows count as vectors of their own. A null vec_id takes part and gets its
-    group's smallest vec_id (null if there is none). ``threshold`` must be above 0.
+    group's smallest vec_id (null if there is none); any 64-bit number may be an id. ``threshold`` must be above 0. An empty
+    table gives no rows, and other columns are ignored.
 
     Equal vectors are one point. The points of a label are dealt into blocks by hash, and every pair of blocks is
     one task, which returns link counts and a spanning forest: linear in the block, however dense the links.
@@ -86,24 +87,25 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
         (F.col("label").isNotNull() & F.coalesce(F.expr(finite), F.lit(False))).alias("valid"),
     )
     key = ["label", "dim", "k1", "k2"]
-    nameless = F.lit(NAMELESS) + F.shiftrightunsigned("k1", 3)
     points = rows.filter("valid").groupBy(*key).agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("embedding"))
-    points = settle(points.withColumn("id", F.coalesce("id", nameless)))
+        F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("embedding"))
+    # Points are numbered, and written with their numbers; vec_ids only give each group its smallest one.
+    points = settle(points.withColumn("id", F.monotonically_increasing_id()))
     found = settle(_compare(points, threshold, block_rows))
     counts = found.filter("other is null").groupBy("id").agg(F.sum("n").alias("links"))
     edges = found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    linked = components(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges)
+    members = settle(points.select("id", "first").join(linked_components(edges), "id"))
+    lowest = members.groupBy("component").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("n"))
+    hot = lowest.filter(F.col("n") >= HOT_ROWS).select("component")
+    linked = hot_key_join(members.select("id", "component"), lowest.drop("n"), ["component"], hot).select("id", "lowest")
     named = points.join(counts, "id", "left").join(linked, "id", "left").select(
-        *key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        F.coalesce("component", "id").alias("component"))
+        *key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("lowest", "first").alias("component"))
     narrow = settle(rows.select("vec_id", *key, "valid"))
     joined = narrow.filter("valid").join(settle(named), key).select("vec_id", "links", "component")
     alone = narrow.filter("not valid").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
-    component = F.when(F.col("component") < NAMELESS, F.col("component"))
     return joined.union(alone).select(
-        "vec_id", F.col("links").alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"))
+        "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"),
+        F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def _compare(points: DataFrame, threshold: float, block_rows: int) -> DataFrame:
