@@ -254,3 +254,52 @@ def test_digest_stops_exactly_at_the_budget(spark):
     none = [r.line for r in D.digest(df, 3).collect()]
     assert none == ["[3 additional incidents not shown]"]
     assert D.digest(df.limit(0)).count() == 0
+
+
+def test_the_metrics_document_holds_every_part_and_reads_back_as_json(spark):
+    import json
+
+    from tidewatch.operators import summary as D
+
+    rows = [(i % 2, (i % 7) / 7 - 0.4 + 0.3 * (i % 2), f"flood {i} water") for i in range(60)]
+    scored = spark.createDataFrame(rows, "label int, score double, raw_text string")
+    weights = spark.createDataFrame([("flood", 1.0, 2.0), ('a "quoted" term', 1.0, -1.0), ("é", 1.5, 0.25)], "term string, idf double, coef double")
+    folds = spark.createDataFrame([(1, 0.5, 0.25), (2, 1.0, 0.75)], "fold int, accuracy double, f1_macro double")
+    document = D.metrics_document(scored, scored, weights, folds, {"per_post_ms": 0.0131, "n_trials": 60}, {"C": 1.0, "class_weight": "balanced"})
+    found = json.loads(D.document_json(document).first().json)
+    assert set(found) == {"classification", "confusion_matrix", "ranking", "threshold", "dataset", "vocabulary", "model", "features",
+                          "cross_validation", "latency", "model_config"}
+    assert found["cross_validation"] == {"accuracy.fold_1": 0.5, "accuracy.fold_2": 1.0, "accuracy.mean": 0.75, "accuracy.std": 0.25,
+                                         "f1_macro.fold_1": 0.25, "f1_macro.fold_2": 0.75, "f1_macro.mean": 0.5, "f1_macro.std": 0.25}
+    assert found["features"]["positive_01"] == "flood" and found["features"]["negative_01"] == 'a "quoted" term'
+    assert found["latency"] == {"per_post_ms": 0.0131, "n_trials": 60} and found["model_config"] == {"C": 1.0, "class_weight": "balanced"}
+    cells = found["confusion_matrix"]
+    assert cells["tp"] + cells["fn"] == 30 and cells["tp"] == sum(y == 1 and s > 0 for y, s, _ in rows)
+    assert found["classification"]["accuracy"] == round((cells["tp"] + cells["tn"]) / 60, 4)
+    assert found["dataset"]["n_total"] == 60 and found["dataset"]["avg_tokens"] == 3
+    none = json.loads(D.document_json(D.metrics_document(scored.limit(0))).first().json)
+    assert none["confusion_matrix"]["tp"] == 0 and none["ranking"]["roc_auc"] is None or none["ranking"]["roc_auc"] == 0
+
+
+def test_weights_of_one_row_get_length_one(spark):
+    df = spark.sql("SELECT array(named_struct('term', 'a', 'w', 3D), named_struct('term', 'b', 'w', 4D)) AS x "
+                   "UNION ALL SELECT array() UNION ALL SELECT array(named_struct('term', 'z', 'w', 0D)) UNION ALL SELECT NULL")
+    got = [r[0] and [tuple(e) for e in r[0]] for r in df.select(Q.unit_terms("x")).collect()]
+    assert got == [[("a", 0.6), ("b", 0.8)], [], [("z", 0.0)], None]
+    long = df.select(F.lit(1).alias("doc"), F.inline("x"))
+    assert {tuple(r) for r in Q.l2_normalise(long.filter("term < 'c'"), "doc", "w").collect()} == {(1, "a", 0.6), (1, "b", 0.8)}
+
+
+def test_operators_number_their_own_order(spark):
+    from tidewatch.operators import incidents as I
+
+    rows = [(1, 0.5, "HIGH", 2, False), (2, 0.9, "CRITICAL", 3, False), (3, 0.5, "HIGH", 1, True), (4, 0.5, "HIGH", 9, False)]
+    df = spark.createDataFrame(rows, "incident long, urgency_score double, urgency_label string, post_count long, lone boolean")
+    for operator, want in ((I.rank_incidents, [2, 1, 4, 3]), (D.tier_order, [2, 4, 1, 3])):
+        assert [r.incident for r in operator(df).collect()] == want
+        numbered = operator(df, "position")
+        assert numbered.columns == [*df.columns, "position"]
+        assert [r.incident for r in sorted(numbered.collect(), key=lambda r: r.position)] == want
+    docs = spark.range(50).withColumnRenamed("id", "doc")
+    order = [r.doc for r in P.seeded_order(docs, "doc").collect()]
+    assert [r.doc for r in sorted(P.seeded_order(docs, "doc", position="at").collect(), key=lambda r: r.at)] == order

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import accent_map, clean_text, term_counts, terms
+from ..functions.text import accent_map, clean_text, let, term_counts, terms
 
 MAX_FEATURES = 10_000
 MAX_TERMS = 2_000_000  # what the dictionary of a task may hold, whatever a vocabulary was cut to
@@ -51,8 +51,17 @@ def sublinear_tf(c) -> Column:
     return F.log(F.col(c) if isinstance(c, str) else c) + 1.0
 
 
+def unit_terms(weighted: str | Column) -> Column:
+    """An array of ``struct<term,w>`` with its weights scaled to length 1, inside its row."""
+    weighted = F.col(weighted) if isinstance(weighted, str) else weighted
+    square = lambda total, x: total + x["w"] * x["w"]
+    norm = F.sqrt(F.aggregate(weighted, F.lit(0.0), square))
+    return let(norm, lambda n: F.transform(weighted, lambda x: F.struct(x["term"].alias("term"), F.when(n > 0, x["w"] / n).otherwise(x["w"]).alias("w"))))
+
+
 def l2_normalise(weights: DataFrame, doc: str, w: str) -> DataFrame:
-    """Scale every document's weights to length 1.
+    """Scale every document's weights to length 1, given in long form; :func:`unit_terms` does so without a shuffle where
+    they still lie in one row.
 
     A document has at most one row per vocabulary term, so its window is bounded; the window
     needs one shuffle where a sum joined back would need three.

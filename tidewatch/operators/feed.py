@@ -21,15 +21,14 @@ def tier(label):
     return F.when(label == "CRITICAL", 0).when(label == "HIGH", 1).otherwise(2)
 
 
-def tier_order(df: DataFrame) -> DataFrame:
-    """Urgent tier first, larger incidents first inside a tier; equal ones as ranked before."""
-    return df.orderBy(*_tier_keys())
+def tier_order(df: DataFrame, position: str | None = None) -> DataFrame:
+    """Urgent tier first, larger incidents first inside a tier; equal ones as ranked before. With ``position`` the rows are
+    numbered from 1 in that order, and not sorted as a whole."""
+    return df.orderBy(*_tier_keys()) if position is None else running_rank(df, _tier_keys(), position)
 
 
 def _tier_keys():
-    return (
-        tier(F.col("urgency_label")), F.desc("post_count"), F.desc("urgency_score"), F.col("lone"), F.col("incident")
-    )
+    return [tier(F.col("urgency_label")), F.desc("post_count"), F.desc("urgency_score"), "lone", "incident"]
 
 
 def incident_feed(snapshots: DataFrame, batch: str = "batch_id") -> DataFrame:

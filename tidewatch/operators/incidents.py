@@ -178,9 +178,11 @@ def cluster_counts(incidents: DataFrame) -> DataFrame:
     return incidents.agg((n - lone).alias("multi_post"), lone.alias("singletons"), n.alias("total"))
 
 
-def rank_incidents(incidents: DataFrame) -> DataFrame:
-    """Most urgent first; equal scores in order of numbering, lone posts after clusters."""
-    return incidents.orderBy(F.desc("urgency_score"), "lone", "incident")
+def rank_incidents(incidents: DataFrame, position: str | None = None) -> DataFrame:
+    """Most urgent first; equal scores in order of numbering, lone posts after clusters. With ``position`` the rows are
+    numbered from 1 in that order, and not sorted as a whole."""
+    order = [F.desc("urgency_score"), "lone", "incident"]
+    return incidents.orderBy(*order) if position is None else running_rank(incidents, order, position)
 
 
 def urgency_counts(incidents: DataFrame) -> DataFrame:

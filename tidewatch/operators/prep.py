@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import EVENT_LABELS, map_label
 from ..session import settle
-from .scale import hash_share
+from .scale import hash_share, running_rank
 
 PREFIX = 4  # hex digits of a hash that the histograms tell apart
 SHARED_BUCKETS = 1_000_000  # rows of a histogram that are sent to every task
@@ -114,9 +114,12 @@ def source_counts(df: DataFrame, source: str, file: str) -> DataFrame:
     return per_file.groupBy(source).agg(F.sum("n").alias("n_rows"), F.count(F.col(file)).alias("n_files"))
 
 
-def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """A reproducible shuffle: global sort on a keyed hash."""
-    return df.orderBy(_hash(key, seed), key)
+def seeded_order(df: DataFrame, key: str, seed: int = 42, position: str | None = None) -> DataFrame:
+    """A reproducible shuffle: global sort on a keyed hash. With ``position`` the rows are numbered from 1 in that order, and
+    not sorted as a whole."""
+    if position is None:
+        return df.orderBy(_hash(key, seed), key)
+    return running_rank(df.withColumn("_hash", _hash(key, seed)), ["_hash", key], position).drop("_hash")
 
 
 def drop_missing(df: DataFrame, cols: Sequence[str] = ("text", "label")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import curves as C, metrics as M, training as T
+from ..operators import curves as C, metrics as M, summary as D, training as T
 from ..operators.prep import dedupe_labelled, stratified_split
 from . import sql as S
 from .registry import query
@@ -211,6 +211,83 @@ def metrics_table(t):
     return rounded(table, "value")
 
 
+FOLDED = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
+
+
+def unpivot(part: str, table: str, columns, places: int = 4) -> str:
+    named = ", ".join(f"{c}::DOUBLE AS {c}" for c in columns)
+    return (f"SELECT '{part}' AS part, key, round(value, {places}) AS value, NULL::VARCHAR AS text "
+            f"FROM (SELECT {named} FROM {table}) UNPIVOT (value FOR key IN ({', '.join(columns)}))")
+
+
+RATES = f"""rates AS (SELECT tp, tn, fp, fn, {S.ratio('tp', 'tp + fn')} AS tpr, {S.ratio('fp', 'fp + tn')} AS fpr,
+  {S.ratio('tn', 'tn + fp')} AS tnr, {S.ratio('fn', 'fn + tp')} AS fnr FROM cells)"""
+QUALITIES = """quality AS (SELECT accuracy, accuracy * 100 AS accuracy_pct, f1_macro AS macro_f1, f1_weighted AS weighted_f1,
+  precision_weighted AS weighted_precision, recall_weighted AS weighted_recall,
+  (SELECT f1 FROM report WHERE class = 1) AS positive_f1, (SELECT f1 FROM report WHERE class = 0) AS negative_f1 FROM averages)"""
+AREAS = """areas AS (SELECT sum(neg * (tp - pos / 2.0)) / any_value(p * n)::DOUBLE AS roc_auc,
+  sum(pos / p * tp / (tp + fp)) AS average_precision, any_value(p / (p + n)) AS baseline FROM steps)"""
+NAMED = """ranked AS (SELECT *, row_number() OVER (ORDER BY round(f1, 12) DESC, step) AS a,
+  row_number() OVER (ORDER BY abs(threshold - 0.3), step) AS b FROM sweep),
+best AS (SELECT threshold AS best_threshold, f1 AS best_f1, precision AS best_precision, recall AS best_recall,
+  accuracy AS best_accuracy FROM ranked WHERE a = 1),
+deployed AS (SELECT threshold AS deployed_threshold, f1 AS deployed_f1, precision AS deployed_precision,
+  recall AS deployed_recall, accuracy AS deployed_accuracy FROM ranked WHERE b = 1)"""
+CORPUS = f"""lengths AS (SELECT label, len({S.ws_tokens('raw_text')}) AS n FROM labelled WHERE text <> ''),
+dataset AS (SELECT count(*) AS n_total, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative,
+  round(count(*) FILTER (label = 1) / (count(*) FILTER (label = 0))::DOUBLE, 3) AS class_ratio, round(avg(n), 2) AS avg_tokens,
+  round(avg(n) FILTER (label = 1), 2) AS avg_tokens_positive, round(avg(n) FILTER (label = 0), 2) AS avg_tokens_negative,
+  max(n) AS max_tokens, min(n) AS min_tokens FROM lengths)"""
+TERMS = """words AS (SELECT count(*) AS n, count(*) FILTER (contains(term, ' ')) AS two,
+  sum(strlen(term) + 16) / 1048576.0 AS size_mb FROM weights),
+sizes_of AS (SELECT n AS vocabulary_size, n - two AS unigram_count, two AS bigram_count, round(two * 100.0 / n, 2) AS bigram_pct
+  FROM words),
+sides AS (SELECT 'positive' AS side, row_number() OVER (ORDER BY coef DESC, term) AS rank, term, coef FROM weights
+  UNION ALL SELECT 'negative', row_number() OVER (ORDER BY coef, term), term, coef FROM weights)"""
+# The sweep names its ends too.
+OVERLAP = histogram(100, False).replace("\nends AS", "\nclass_ends AS").replace("FROM ends,", "FROM class_ends,")
+BY_FOLD = f"""fold_cells AS (SELECT doc_id % 5 + 1 AS fold, count(*) FILTER (label = 1 AND predicted = 1) AS tp,
+  count(*) FILTER (label = 0 AND predicted = 0) AS tn, count(*) FILTER (label = 0 AND predicted = 1) AS fp,
+  count(*) FILTER (label = 1 AND predicted = 0) AS fn FROM predicted GROUP BY 1),
+fold_pr AS (
+  SELECT fold, {S.ratio('tn', 'tn + fn')} AS precision, {S.ratio('tn', 'tn + fp')} AS recall, tn + fp AS support FROM fold_cells
+  UNION ALL
+  SELECT fold, {S.ratio('tp', 'tp + fp')}, {S.ratio('tp', 'tp + fn')}, tp + fn FROM fold_cells),
+fold_report AS (SELECT *, {S.ratio('2.0 * precision * recall', 'precision + recall')} AS f1 FROM fold_pr),
+fold_values AS (SELECT fold, sum(recall * support) / sum(support) AS accuracy, avg(f1) AS f1_macro,
+  sum(f1 * support) / sum(support) AS f1_weighted, avg(precision) AS precision_macro, avg(recall) AS recall_macro
+  FROM fold_report GROUP BY fold),
+fold_long AS (SELECT fold, metric, value FROM fold_values UNPIVOT (value FOR metric IN ({', '.join(FOLDED)})))"""
+
+
+@query(
+    f"""{P}, {AVERAGES}, {STEPS}, {SWEEP}, {OVERLAP}, {BY_BIN}, {RATES}, {QUALITIES}, {AREAS}, {NAMED}, {CORPUS},
+{TERMS}, {BY_FOLD}, spread AS (SELECT sum(low) / 100 AS score_overlap FROM by_bin)
+{unpivot('classification', 'quality', ('accuracy', 'accuracy_pct', 'macro_f1', 'weighted_f1', 'weighted_precision',
+                                       'weighted_recall', 'positive_f1', 'negative_f1')).replace('round(value, 4)', "CASE WHEN key = 'accuracy_pct' THEN round(value, 2) ELSE round(value, 4) END")}
+UNION ALL {unpivot('confusion_matrix', 'rates', ('tp', 'tn', 'fp', 'fn', 'tpr', 'fpr', 'tnr', 'fnr'))}
+UNION ALL {unpivot('ranking', 'areas', ('roc_auc', 'average_precision', 'baseline'))}
+UNION ALL {unpivot('ranking', 'spread', ('score_overlap',))}
+UNION ALL {unpivot('threshold', 'best', [f'best_{c}' for c in QUALITY])}
+UNION ALL {unpivot('threshold', 'deployed', [f'deployed_{c}' for c in QUALITY])}
+UNION ALL {unpivot('dataset', 'dataset', ('n_total', 'n_positive', 'n_negative', 'class_ratio', 'avg_tokens',
+                                          'avg_tokens_positive', 'avg_tokens_negative', 'max_tokens', 'min_tokens'))}
+UNION ALL {unpivot('vocabulary', 'sizes_of', ('vocabulary_size', 'unigram_count', 'bigram_count', 'bigram_pct'))}
+UNION ALL {unpivot('model', 'words', ('size_mb',), 2)}
+UNION ALL SELECT 'features', side || '_' || lpad(rank::VARCHAR, 2, '0'), round(coef, 4), term FROM sides WHERE rank <= 10
+UNION ALL SELECT 'cross_validation', metric || '.fold_' || fold, round(value, 4), NULL FROM fold_long
+UNION ALL SELECT 'cross_validation', metric || '.mean', round(avg(value), 4), NULL FROM fold_long GROUP BY metric
+UNION ALL SELECT 'cross_validation', metric || '.std', round(stddev_pop(value), 4), NULL FROM fold_long GROUP BY metric
+UNION ALL SELECT 'model_config', 'C', 1.0, NULL
+UNION ALL SELECT 'model_config', 'class_weight', NULL, 'balanced'"""
+)
+def metrics_document(t):
+    """All parts but the latency, which is another number each time. The folds judge one given model; see ``cross_validate``
+    for those that train."""
+    folds = M.averaged_metrics(t.predicted.withColumn("fold", F.col("doc_id") % 5 + 1), by=["fold"]).select("fold", *FOLDED)
+    return D.metrics_document(t.scored, t.training, t.weights, folds, settings={"C": 1.0, "class_weight": "balanced"})
+
+
 def deduped(t):
     return dedupe_labelled(t.training).withColumn("doc", F.md5("text"))
 

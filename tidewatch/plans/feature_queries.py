@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import term_counts, terms
 from ..operators import features as Q
 from . import sql as S
 from .registry import query
@@ -12,7 +13,7 @@ M = f"WITH {S.MODEL}"
 
 @query(f"{V} SELECT term, df, cf FROM vocabulary")
 def build_vocabulary(t):
-    return Q.build_vocabulary(t.doc_terms)
+    return Q.build_vocabulary(Q.document_terms(t.training, "doc_id"))  # one pass, nothing written first
 
 
 @query(f"{V} SELECT term, round(idf, 6) AS idf FROM idf")
@@ -35,6 +36,17 @@ def l2_normalise(t):
     return Q.l2_normalise(counts, "doc_id", "w").withColumn("w", F.round("w", 6))
 
 
+@query(
+    f"""{V}, c AS (SELECT doc_id, term, tf::DOUBLE AS w FROM doc_terms),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM c GROUP BY doc_id)
+SELECT doc_id, term, round(w / norm, 6) AS w FROM c JOIN n USING (doc_id)"""
+)
+def unit_terms(t):
+    counts = F.transform(term_counts(terms("text")), lambda x: F.struct(x["term"].alias("term"), x["tf"].cast("double").alias("w")))
+    rows = t.training.select("doc_id", counts.alias("counts")).select("doc_id", F.inline(Q.unit_terms("counts")))
+    return rows.withColumn("w", F.round("w", 6))
+
+
 @query(f"{V}, {S.TFIDF} SELECT doc_id, term, round(w, 6) AS w FROM tfidf")
 def tfidf(t):
     return Q.tfidf(t.corpus, t.vocabulary, "doc_id").withColumn("w", F.round("w", 6))

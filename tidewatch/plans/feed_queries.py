@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_time
 from ..operators import feed as D
-from ..operators.scale import running_rank
 from ..sources.feed import latest_report as newest_report
 from . import sql as S
 from .registry import query
@@ -20,8 +19,7 @@ I = f"WITH RECURSIVE {S.INCIDENTS}"  # noqa: E741
 )
 def ranked_incidents(t):
     """The flagship: incidents active in the window, most urgent tier first."""
-    order = [D.tier(F.col("urgency_label")), F.desc("post_count"), F.desc("urgency_score"), "lone", "incident"]
-    ranked = running_rank(t.given_incidents, order, "position")
+    ranked = D.tier_order(t.given_incidents, "position")
     return ranked.select(
         "incident", "representative_text", "post_count", iso_time("first_seen").alias("first_seen"),
         iso_time("last_seen").alias("last_seen"), R("urgency_score"), "urgency_label", "incident_key", "position",
@@ -51,9 +49,8 @@ def incident_feed(t):
     f"""{I} SELECT incident, urgency_label, post_count, row_number() OVER (ORDER BY {S.TIERS}) AS position FROM incidents"""
 )
 def tier_order(t):
-    keys = [D.tier(F.col("urgency_label")), F.desc("post_count"), F.desc("urgency_score"), "lone", "incident"]
-    ordered = D.tier_order(t.incidents.select("incident", "urgency_label", "post_count", "urgency_score", "lone"))
-    return running_rank(ordered, keys, "position").select("incident", "urgency_label", "post_count", "position")
+    ordered = D.tier_order(t.incidents.select("incident", "urgency_label", "post_count", "urgency_score", "lone"), "position")
+    return ordered.select("incident", "urgency_label", "post_count", "position")
 
 
 PLACED = """placed AS (SELECT *, CASE WHEN incident % 3 > 0 THEN 8 + incident % 5 END AS lat,

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import prep as P
-from ..operators.scale import running_rank
 from . import sql as S
 from .registry import query
 from .text_queries import RAW_LABELS, raw_labels
@@ -84,9 +83,7 @@ def source_counts(t):
     "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) AS position FROM documents"
 )
 def seeded_order(t):
-    docs = t.documents.select("doc_id")
-    keyed = P.seeded_order(docs, "doc_id").withColumn("_h", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("42"))))
-    return running_rank(keyed, ["_h", "doc_id"], "position").select("doc_id", "position")
+    return P.seeded_order(t.read("documents").select("doc_id"), "doc_id", position="position")
 
 
 @query(

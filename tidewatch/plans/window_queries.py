@@ -6,7 +6,6 @@ from ..functions import urgency as U
 from ..functions.text import has_keyword, iso_time
 from ..operators import incidents as I, similarity as N, sliding as L, window as W
 from ..operators.components import components as connect
-from ..operators.scale import running_rank
 from . import sql as S
 from .registry import query
 
@@ -222,8 +221,7 @@ def urgency_label(t):
     "(ORDER BY urgency_score DESC, lone, incident) AS position FROM incidents"
 )
 def rank_incidents(t):
-    order = [F.desc("urgency_score"), "lone", "incident"]
-    ranked = running_rank(I.rank_incidents(t.incidents.select("incident", "urgency_score", "lone")), order, "position")
+    ranked = I.rank_incidents(t.incidents.select("incident", "urgency_score", "lone"), "position")
     return ranked.select("incident", R("urgency_score"), "position")
 
 
