@@ -72,3 +72,68 @@ def test_unclosed_dropped_elements_end_with_their_parents():
     for left_open in ("<label>Name", "<button>Go", "<div hidden>secret", "<p hidden>secret", "<p><span hidden>secret"):
         assert H.main_text(f"<article><div>{left_open}</div><p>All of the text.</p></article>") == "All of the text.", left_open
     assert H.main_text("<article><p hidden>secret<p>All of the text.</article>") == "All of the text."
+
+
+WORDS = " ".join(f"word{k}" for k in range(80))
+
+
+def test_names_of_headings_and_topics_inside_articles():
+    for mark in ("id=search", "id=discussion", "class=comments-policy", "id=social", "class='widget'"):
+        assert H.main_text(f"<article><h2>First</h2><p>{WORDS}</p><h2 {mark}>Second</h2><p>{WORDS}</p></article>") == f"First\n{WORDS}\nSecond\n{WORDS}", mark
+    page = f"<article><p>{WORDS}</p><section class=discussion><h2>What it means</h2><p>{WORDS}</p><ul><li>one</li><li>two</li></ul><p>{WORDS}</p></section></article>"
+    assert H.main_text(page) == f"{WORDS}\nWhat it means\n{WORDS}\none\ntwo\n{WORDS}"
+    # Outside an article, and for names that are never topics, the mark holds.
+    assert H.main_text(f"<article><p>{WORDS}</p></article><div class=discussion><p>{WORDS} again</p></div>") == WORDS
+    for name in ("comments", "sponsored", "sidebar", "cookie-notice", "newsletter"):
+        assert H.main_text(f"<article><p>{WORDS}</p><div class={name}><h3>Title</h3><p>{WORDS} more</p></div></article>") == WORDS, name
+
+
+def test_the_cut_turns_labels():
+    kept, n, turned = H.content_blocks(f"<article><p>{WORDS}</p><section class=discussion><ul><li>one<li>two</ul><p>{WORDS}</p></section></article>")
+    assert (len(kept), n, turned) == (4, 4, 2)  # the items alone would go
+    kept, n, turned = H.content_blocks(f"<div><p>{WORDS}</p><div>Kept</div><p>{WORDS}</p></div>")
+    assert (len(kept), n, turned) == (3, 3, 1)
+
+
+def test_formulas_and_text_for_readers_without_scripts():
+    assert H.main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>, stop.</p></article>") == "If x=1, stop."
+    assert H.main_text(f"<article><p>{WORDS}</p><noscript><p>A table instead of the chart.</p></noscript></article>") == f"{WORDS}\nA table instead of the chart."
+    assert H.main_text(f"<noscript>This site needs scripts, please switch them on now.</noscript><article><p>{WORDS}</p></article>") == WORDS
+
+
+def test_deep_pages_take_memory_by_their_length():
+    import time
+    import tracemalloc
+
+    start = time.time()
+    assert len(H.main_text("<article>" + "<div>some text of it " * 100_000 + "</div>" * 100_000).split("\n")) == 100_000
+    assert len(H.main_text("<article>" + "<section><b class=x>text" * 50_000 + "</span></i></section>" * 50_000).split("\n")) == 50_000
+    assert H.main_text("<svg>" + "<g>" * 100_000 + "</b></g>" * 100_000 + "</svg><article>text of it</article>") == "text of it"
+    assert time.time() - start < 60
+    tracemalloc.start()
+    H.read_page("<article>" + "<div>x" * 8000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_generated_pages_give_their_articles():
+    rng = random.Random(5)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    for _ in range(60):
+        want, body = [], []
+        for _ in range(rng.randrange(1, 8)):
+            kind, text = rng.choice(["h2", "p", "p", "ul", "blockquote", "ad"]), sentence(rng.randrange(8, 60))
+            if kind == "ad":
+                body.append(f"<div class='ad-box'><p>{text}</p></div>")
+            elif kind == "ul":
+                items = [sentence(rng.randrange(1, 5)) for _ in range(3)]
+                body.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+                want += items
+            else:
+                body.append(f"<{kind}>{text}</{kind}>")
+                want.append(text)
+        links = "".join(f"<li><a href=#>{sentence(2)}</a></li>" for _ in range(5))
+        page = (f"<html><head><title>{sentence(4)}</title></head><body><header><p>{sentence(6)}</p></header><nav><ul>{links}</ul></nav>"
+                f"<div class=sidebar><p>{sentence(30)}</p></div><article><h1>{(title := sentence(5))}</h1>{''.join(body)}</article>"
+                f"<div id=comments><p>{sentence(40)}</p></div><footer><p>{sentence(20)}</p></footer></body></html>")
+        assert H.main_text(page) == "\n".join([title, *want])
