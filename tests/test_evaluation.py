@@ -303,3 +303,38 @@ def test_operators_number_their_own_order(spark):
     docs = spark.range(50).withColumnRenamed("id", "doc")
     order = [r.doc for r in P.seeded_order(docs, "doc").collect()]
     assert [r.doc for r in sorted(P.seeded_order(docs, "doc", position="at").collect(), key=lambda r: r.at)] == order
+
+
+def test_a_search_asks_few_questions_where_terms_differ_much():
+    import numpy as np
+    from tidewatch.operators import cases as K
+
+    rng = np.random.default_rng(5)
+    x = rng.poisson(60.0 / np.arange(1, 301), (6000, 300)) * np.linspace(1.0, 4.0, 300)  # rows of words, labels by chance
+    x = 3 * x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    y = rng.choice([-1.0, 1.0], 6000)
+    search, asked, answer = K.minimum(300, 1e-3, 2000), 0, None
+    try:
+        while True:
+            at, way = search.send(answer)
+            slack, asked = np.maximum(0.0, 1.0 - y * (x @ at)), asked + 1
+            if way is None:
+                answer = 0.5 * at @ at + slack @ slack, at - 2.0 * x.T @ (y * slack)
+            else:
+                answer = way + 2.0 * x.T @ ((slack > 0) * (x @ way))
+    except StopIteration as end:
+        best = end.value
+    slack = np.maximum(0.0, 1.0 - y * (x @ best))
+    assert np.abs(best - 2.0 * x.T @ (y * slack)).max() <= 1e-3 * np.abs(2.0 * x.T @ y).max()
+    assert asked < 50  # 95 by the former search
+
+
+def test_blocks_hold_one_fold_and_step(spark):
+    import numpy as np
+    from tidewatch.operators import cases as K
+
+    rows = spark.createDataFrame([(f"aa bb w{i}", i % 2, i % 3, i % 2) for i in range(60)], "text string, label int, fold int, step int")
+    blocks = K.number_terms(rows.coalesce(1), "text", "label", ["aa", "bb", "aa bb"], np.array([[1.0, 2.0, 0.0], [0.0, 0.0, 0.0]]))
+    found = list(K.blocks_of(blocks.toArrow().to_batches(), np.zeros((2, 3))))
+    assert sorted((b.fold, b.step, b.n) for b in found) == [(f, s, 10) for f in range(3) for s in range(2)]
+    assert all(b.scale[0] == pytest.approx(np.full(10, (3 / 5) ** 0.5)) and not b.scale[1].any() for b in found)

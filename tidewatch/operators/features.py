@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import accent_map, clean_text, let, term_counts, terms
@@ -16,6 +17,8 @@ MAX_FEATURES = 10_000
 MAX_TERMS = 2_000_000  # what the dictionary of a task may hold, whatever a vocabulary was cut to
 GATE = 0.3
 TOKENS = re.compile(r"[^ \n]{2,}|\n").findall  # words of two letters and more, and the mark between texts
+WORDS = re.compile(r"\w{2,}|\n").findall  # the same for texts that need not be cleaned
+COUNT_CHARS, COUNT_ROWS = 4_000_000, 100_000  # characters that terms are counted in at once; rows of a batch of counts
 
 
 def document_terms(df: DataFrame, doc: str, clean: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -32,13 +35,77 @@ def build_vocabulary(
     One pre-aggregated shuffle on the term, which can compute ``extra`` aggregates as well. The cut is what bounds every later broadcast of
     the vocabulary.
     """
-    return (
-        doc_terms.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), *extra)
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
-    )
+    summed = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), *extra)
+    return _most_frequent(summed, min_df, max_features)
+
+
+def _most_frequent(summed: DataFrame, min_df: int, max_features: int) -> DataFrame:
+    return summed.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
+
+
+def top_vocabulary(
+    counts: DataFrame, min_df: int = 2, max_features: int = MAX_FEATURES, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """What :func:`build_vocabulary` gives, from the partial counts of :func:`count_terms`."""
+    summed = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), *extra)
+    return _most_frequent(summed, min_df, max_features)
+
+
+def count_terms(docs: DataFrame, clean: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, term, df, cf)``: documents that hold a term and how often, by the integer columns ``by`` (no nulls), in partial
+    sums. The terms are those of :func:`document_terms`; here they are numbered and counted for about
+    :data:`COUNT_CHARS` characters at once, so far fewer rows leave a task."""
+    accents, n_by = accent_map(), len(by)
+    names = [*by, "term", "df", "cf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(1 + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_by)]
+            for start, stop, texts in text_parts(batch.column(0), COUNT_CHARS):
+                yield from _partial_counts(texts, [k[start:stop] for k in keys], accents, names)
+
+    kinds = ", ".join([*[f"`{c}` long" for c in by], "term string, df long, cf long"])
+    return docs.select(clean, *[F.col(c).cast("long") for c in by]).mapInArrow(run, kinds)
+
+
+def _partial_counts(texts: list, keys: list[np.ndarray], accents: dict[str, str], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort(keys[::-1]) if keys else np.arange(len(texts))  # the documents of a group lie together
+    whole = "\n".join([(texts[i] or "").replace("\n", " ") for i in order])
+    if not whole.isascii():
+        for accented in accents.keys() & set(whole):
+            whole = whole.replace(accented, accents[accented])
+    tokens = WORDS(whole)
+    numbers = {"\n": 0}
+    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
+    words, n = pa.array(list(numbers), pa.large_string()), len(numbers)
+    row = np.cumsum(ids == 0)
+    group = np.zeros(len(order), np.int64)
+    for key in keys:
+        group[1:] |= np.diff(key[order]) != 0
+    group = np.cumsum(group)
+    first = np.append(0, np.flatnonzero(np.diff(group)) + 1)
+    for size in (1, 2):
+        if size == 1:
+            at = np.flatnonzero(ids)
+            code = ids[at]
+        else:
+            at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+            code = ids[at] * n + ids[at + 1]
+        if not len(at):
+            continue
+        # Below (characters / 2)^2 times the documents of a part: far from 64 bits.
+        cell, tf = np.unique(code * len(order) + row[at], return_counts=True)
+        code, own = cell // len(order), group[cell % len(order)]
+        begin = np.append(0, np.flatnonzero((np.diff(code) != 0) | (np.diff(own) != 0)) + 1)
+        df, cf = np.diff(np.append(begin, len(cell))), np.add.reduceat(tf, begin)
+        code, own = code[begin], own[begin]
+        term = words.take(pa.array(code)) if size == 1 else pc.binary_join_element_wise(
+            words.take(pa.array(code // n)), words.take(pa.array(code % n)), pa.scalar(" ", pa.large_string()))
+        by = [pa.array(key[order][first][own]) for key in keys]
+        found = pa.record_batch([*by, term, pa.array(df, pa.int64()), pa.array(cf, pa.int64())], names=list(names))
+        for start in range(0, found.num_rows, COUNT_ROWS):
+            part = found.slice(start, COUNT_ROWS)
+            yield part.set_column(len(by), "term", part.column(len(by)).cast(pa.string()))
 
 
 def idf(vocab: DataFrame, n_docs) -> DataFrame:
@@ -79,6 +146,20 @@ def term_values(vocab: DataFrame, columns: Sequence[str], max_terms: int = MAX_T
     return {r[0]: tuple(r)[1:] for r in rows}
 
 
+def text_parts(texts: Sequence[str | None] | pa.Array, chars: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """``(start, stop, texts)`` of neighbours with about ``chars`` characters; texts of Arrow become Python's part by part."""
+    start, part, size = 0, [], 0
+    for stop, text in enumerate(texts, 1):
+        text = text.as_py() if isinstance(text, pa.Scalar) else text
+        part.append(text)
+        size += 1 + len(text or "")
+        if size >= chars:
+            yield start, stop, part
+            start, part, size = stop, [], 0
+    if part:
+        yield start, start + len(part), part
+
+
 class TermArrays:
     """A vocabulary of words and pairs of words as arrays, to weigh a whole batch of cleaned texts at once.
 
@@ -107,18 +188,16 @@ class TermArrays:
 
     def weigh(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, term, weight)`` of the known terms of ``texts``, by row; the weights of a row have length 1."""
-        parts, start = [], 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (size == 0 or size < self.CHARS):
-                size += 1 + len(texts[stop] or "")
-                stop += 1
-            row, term, w = self._weigh(texts[start:stop])
-            parts.append((row + start, term, w))
-            start = stop
+        parts = [(row + start, term, w) for start, _, row, term, w in self.weigh_parts(texts)]
         none = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         return tuple(np.concatenate(x) for x in zip(*(parts or none)))
 
+    def weigh_parts(self, texts: Sequence[str | None] | pa.Array) -> Iterator[tuple]:
+        """``(start, stop, row, term, weight)`` of one part of ``texts`` after the other, rows counted from its start: what is
+        held does not grow with the batch."""
+        for start, stop, part in text_parts(texts, self.CHARS):
+            yield start, stop, *self._weigh(part)
+
     def _weigh(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = "\n".join([t or "" for t in texts])
         if not whole.isascii():
@@ -155,11 +234,15 @@ def weighted_terms(clean: str, vocab: DataFrame) -> Column:
     shared = vocab.sparkSession.sparkContext.broadcast(TermArrays(term_values(vocab, ["idf"]), accent_map()))
 
     @F.arrow_udf("array<struct<term:string,w:double>>")
-    def weigh(texts: pa.Array) -> pa.Array:
-        row, term, w = shared.value.weigh(texts.to_pylist())
-        offsets = np.searchsorted(row, np.arange(len(texts) + 1))
-        names = pa.array(shared.value.terms, pa.string()).take(pa.array(term))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([names, pa.array(w)], ["term", "w"]))
+    def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = pa.array(shared.value.terms, pa.string())
+        for texts in batches:
+            if not len(texts):
+                yield pa.array([], pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())])))
+            for start, stop, row, term, w in shared.value.weigh_parts(texts):
+                offsets = pa.array(np.searchsorted(row, np.arange(stop - start + 1)), pa.int32())
+                found = pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(w)], ["term", "w"])
+                yield pa.ListArray.from_arrays(offsets, found)
 
     return weigh(F.col(clean))
 
@@ -193,14 +276,14 @@ def score_column(clean: str, weights: DataFrame, intercept: float, empty_scores:
     shared = weights.sparkSession.sparkContext.broadcast(TermArrays(term_values(weights, ["idf", "coef"]), accent_map()))
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        rows = texts.to_pylist()
-        row, term, w = shared.value.weigh(rows)
-        scores = np.full(len(rows), float(intercept))
-        if len(row):
-            scores += np.bincount(row, w * shared.value.values[term, 1], len(rows))
-        none = np.zeros(len(rows), bool) if empty_scores else np.array([not t for t in rows], bool)
-        return pa.array(scores, mask=none)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            scores = np.full(len(texts), float(intercept))
+            for start, stop, row, term, w in shared.value.weigh_parts(texts):
+                if len(row):
+                    scores[start:stop] += np.bincount(row, w * shared.value.values[term, 1], stop - start)
+            none = None if empty_scores else pc.fill_null(pc.equal(pc.utf8_length(texts), 0), True).to_numpy(zero_copy_only=False)
+            yield pa.array(scores, mask=none)
 
     return score.asNondeterministic()(F.col(clean))
 

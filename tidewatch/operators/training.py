@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
 from .cases import PARTS, Case, balance_of, case_sizes, case_vocabularies, fit_cases, number_terms, resample
-from .features import MAX_FEATURES, build_vocabulary, decision_score, document_terms, gate_posts, hard_label, idf, term_values
+from .features import MAX_FEATURES, count_terms, decision_score, gate_posts, hard_label, idf, term_values, top_vocabulary
 from .metrics import averages, report
 from .prep import assign_folds
 from .scale import hash_share
@@ -22,7 +22,7 @@ CV_METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_
 def fit_vocabulary(docs: DataFrame, doc: str, clean: str = "text", min_df: int = 2, max_features: int = MAX_FEATURES):
     """``(term, df, cf, idf)`` of a training set."""
     n_docs = docs.count()
-    return settle(idf(build_vocabulary(document_terms(docs, doc, clean), min_df, max_features), n_docs))
+    return settle(idf(top_vocabulary(count_terms(docs, clean), min_df, max_features), n_docs))
 
 
 def train_linear(
@@ -35,7 +35,7 @@ def train_linear(
     known = term_values(vocab, ["idf"])
     idf = np.array([[v[0] for v in known.values()]]).reshape(1, -1)
     rows, cases = docs.withColumns({"fold": F.lit(0), "step": F.lit(0)}), [Case(-1)]
-    blocks = number_terms(rows, clean, label, list(known))
+    blocks = number_terms(rows, clean, label, list(known), idf)
     model = fit_cases(blocks, cases, idf, balance_of(case_sizes(rows, label, cases)), C, tol, max_iter)[0]
     table = pa.table({"term": list(known), "idf": idf[0], "coef": model[:-1]}, pa.schema([
         ("term", pa.string()), ("idf", pa.float64()), ("coef", pa.float64())]))

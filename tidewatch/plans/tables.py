@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_text
-from ..operators.features import build_vocabulary, decision_score, document_terms, hard_label, idf
+from ..operators.features import count_terms, decision_score, document_terms, hard_label, idf, top_vocabulary
 from ..operators.incidents import add_singletons, cluster_window, number_clusters, summarise_clusters
 from ..operators.window import active_window, latest_moment
 from ..session import settle, spread
@@ -66,16 +66,17 @@ class Tables:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return idf(build_vocabulary(self.doc_terms), self.corpus.count())
+        return idf(top_vocabulary(count_terms(self.corpus)), self.corpus.count())
 
     @cached_property
     def weights(self) -> DataFrame:
         """Weights any engine can compute: how much more often a term occurs in positive texts."""
         n1, n0 = self.corpus.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-        share = lambda value, n: F.count_if(F.col("label") == value) / F.lit(float(n))
+        held = lambda value: F.sum(F.when(F.col("label") == value, F.col("df")).otherwise(F.lit(0)))
+        share = lambda value, n: held(value) / F.lit(float(n))
         contrast = (F.lit(10.0) * (share(1, n1) - share(0, n0))).alias("coef")
-        terms = document_terms(self.corpus, "doc_id", keep=["label"])
-        return settle(idf(build_vocabulary(terms, extra=[contrast]), n1 + n0).select("term", "idf", "coef"))
+        counts = count_terms(self.corpus, by=["label"])
+        return settle(idf(top_vocabulary(counts, extra=[contrast]), n1 + n0).select("term", "idf", "coef"))
 
     @cached_property
     def scored(self) -> DataFrame:
