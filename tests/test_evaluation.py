@@ -338,3 +338,15 @@ def test_blocks_hold_one_fold_and_step(spark):
     found = list(K.blocks_of(blocks.toArrow().to_batches(), np.zeros((2, 3))))
     assert sorted((b.fold, b.step, b.n) for b in found) == [(f, s, 10) for f in range(3) for s in range(2)]
     assert all(b.scale[0] == pytest.approx(np.full(10, (3 / 5) ** 0.5)) and not b.scale[1].any() for b in found)
+
+
+def test_counts_of_terms_are_added_up_in_parts_by_size(spark, monkeypatch):
+    from tidewatch.operators import cases as K
+
+    rows = spark.createDataFrame([(i, f"aa bb w{i % 9}", i % 2, 0) for i in range(40)], "doc int, text string, fold int, step int")
+    seen, settle = [], K.settle
+    monkeypatch.setattr(K, "settle", lambda df: seen.append(df.rdd.getNumPartitions()) or settle(df))
+    whole = sorted(K.case_vocabularies(rows, "doc", "text", [K.Case(0), K.Case(-1)]).collect())
+    monkeypatch.setattr(K, "PART_CHARS", 20)
+    assert sorted(K.case_vocabularies(rows, "doc", "text", [K.Case(0), K.Case(-1)]).collect()) == whole
+    assert seen[1] >= 14 and seen[1] > seen[0]  # 280 characters

@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import accent_map
-from ..session import settle
+from ..session import settle, shuffle_width
 from .features import MAX_FEATURES, MAX_TERMS, TermArrays, count_terms
 
 BLOCK_ROWS = 512
 FEW_PARTS = 32  # partial sums that go to the driver as they are; more are added up in tasks first
+PART_CHARS = 16_000_000  # characters of text whose terms one task adds up
 MOST_TURNS = 200  # of conjugate gradients in one step
 PARTS = ("train", "validation")
 BLOCK = ("fold", "step", "row", "term", "w", "label", "norm")  # columns of a block
@@ -40,7 +41,10 @@ def case_vocabularies(
 ) -> DataFrame:
     """``(case, term, df, cf)``: what :func:`build_vocabulary` gives for the training rows of each case, by its position in
     ``cases``, from one table of counts by term, fold and step. ``docs`` holds ``fold`` and ``step`` (no nulls)."""
-    counts = count_terms(docs, clean, ["fold", "step"])
+    # Parts by the size of the texts: what one task adds up does not grow with the input.
+    size = docs.agg(F.coalesce(F.sum(F.length(clean)), F.lit(0))).first()[0]
+    parts = max(shuffle_width(docs.sparkSession), ceil(size / PART_CHARS))
+    counts = count_terms(docs, clean, ["fold", "step"]).repartition(parts, "term")
     within = lambda case, c: F.coalesce(F.sum(F.when(case.condition(), F.col(c))), F.lit(0))
     sums = [within(case, c).alias(f"{c}_{i}") for i, case in enumerate(cases) for c in ("df", "cf")]
     sums = settle(counts.groupBy("term").agg(*sums).filter(F.greatest(F.lit(0), *[f"df_{i}" for i in range(len(cases))]) >= min_df))

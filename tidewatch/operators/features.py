@@ -18,7 +18,7 @@ MAX_TERMS = 2_000_000  # what the dictionary of a task may hold, whatever a voca
 GATE = 0.3
 TOKENS = re.compile(r"[^ \n]{2,}|\n").findall  # words of two letters and more, and the mark between texts
 WORDS = re.compile(r"\w{2,}|\n").findall  # the same for texts that need not be cleaned
-COUNT_CHARS, COUNT_ROWS = 4_000_000, 100_000  # characters that terms are counted in at once; rows of a batch of counts
+COUNT_CHARS, COUNT_ROWS = 8_000_000, 100_000  # characters that terms are counted in at once; rows of a batch of counts
 
 
 def document_terms(df: DataFrame, doc: str, clean: str = "text", keep: Sequence[str] = ()) -> DataFrame:

@@ -75,7 +75,7 @@ def hard_label(t):
 
 @query(f"{S_} SELECT doc_id, raw_text, score FROM scored WHERE score >= 0.3")
 def noise_gate(t):
-    return Q.noise_gate(t.scored).select("doc_id", "raw_text", "score")
+    return Q.noise_gate(t.scored_texts).select("doc_id", "raw_text", "score")
 
 
 @query(

@@ -58,7 +58,7 @@ class Tables:
     @cached_property
     def corpus(self) -> DataFrame:
         """The training rows, cleaned once for the queries that pass over them several times."""
-        return settle(self.training.select("doc_id", "label", "raw_text", "text"))
+        return settle(self.training.select("doc_id", "label", "text"))
 
     @cached_property
     def doc_terms(self) -> DataFrame:
@@ -81,6 +81,12 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         rows = decision_score(self.corpus, self.weights, INTERCEPT)
+        return rows.select("doc_id", "label", F.round("score", 6).alias("score"))
+
+    @cached_property
+    def scored_texts(self) -> DataFrame:
+        """``scored`` with the texts as they came: cleaned again, which is less than to write them beside the cleaned ones."""
+        rows = decision_score(self.training, self.weights, INTERCEPT)
         return rows.select("doc_id", "label", "raw_text", F.round("score", 6).alias("score"))
 
     @cached_property
