@@ -195,3 +195,20 @@ def test_distinct_text_counts_a_repeated_text_once(spark):
     assert sorted(r.post_count for r in plain.collect()) == [1, 1, 5]
     once, _ = I.find_incidents(posts(spark, rows), "2024-01-01 00:00:00", distinct_text=True)
     assert sorted(r.post_count for r in once.collect()) == [1, 1, 1]
+
+
+def test_size_estimates_do_not_multiply_from_round_to_round(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tidewatch.operators import components as C
+
+    bits, settle = [], C.settle
+
+    def noted(df):
+        bits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return settle(df)
+
+    monkeypatch.setattr(C, "settle", noted)
+    chain = spark.range(600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = C.linked_components(chain).collect()
+    assert len(found) == 601 and {r.component for r in found} == {0}
+    assert len(bits) > 10 and max(bits) < 2_000  # digits tripled in each round before

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settle
+from ..session import settle, unsized
 from .scale import HOT_ROWS, hot_key_join
 
 
@@ -28,7 +28,7 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def linked_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(id, component)`` of the nodes that have an edge."""
-    edges = settle(_ordered(edges))
+    edges = unsized(settle(_ordered(edges)))
     merged: list[DataFrame] = []  # per round: which node each node was merged into
     has_hot = False
     while True:
@@ -40,7 +40,7 @@ def linked_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         has_hot = has_hot or most >= hot_rows
         hot = into.filter(F.col("n") >= hot_rows) if has_hot else None
         merged.append(into.select("id", "into"))
-        edges = settle(_ordered(_renamed(_renamed(edges, "a", into, hot), "b", into, hot)))
+        edges = unsized(settle(_ordered(_renamed(_renamed(edges, "a", into, hot), "b", into, hot))))
     if not merged:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 

@@ -52,6 +52,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(settled: DataFrame) -> DataFrame:
+    """A settled table without the size that Spark estimated for it. The estimate of a join is the product of its sides, a
+    checkpoint keeps it, and so its digits multiply in every round of a loop until the driver does nothing else."""
+    spark = settled.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(settled._jdf.javaRDD(), settled._jdf.schema()), spark)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
