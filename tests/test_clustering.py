@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -100,6 +101,16 @@ def test_pivots_skip_far_pairs_and_keep_the_counts(spark):
     assert used["sure"].compared < 0.05 * used["sure"].every  # most need no comparison at all
 
 
+def test_vectors_are_sent_as_often_however_many_blocks_there_are(spark):
+    x = np.random.default_rng(9).normal(size=(900, 8)).astype(np.float32).astype(float)
+    bound = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism)) + 1
+    for rows in (150, 900):
+        blocks = N.blocked(vectors(spark, x[:rows]), "seq", "embedding", 0.65, block_rows=10)
+        assert blocks.rows.select("block").distinct().count() > bound
+        assert blocks.met(blocks.rows).count() <= rows * bound
+    assert N.shard_rows(10**7, 64, 12) * 64 * 8 <= N.SHARD_BYTES
+
+
 @pytest.mark.parametrize("eps, min_samples", [(0.01, 5), (0.5, 3), (1.0, 2), (1.2, 4), (2.0, 3)])
 def test_clusters_of_tight_groups(spark, eps, min_samples):
     rng = np.random.default_rng(6)

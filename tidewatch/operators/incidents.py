@@ -57,7 +57,7 @@ def cluster_window(
     else:
         base = settle(
             with_degree(blocks).withColumn("core", F.col("degree") >= min_samples)
-            .select("vec", "rep", "copies", "cell", "block", "core")
+            .select("vec", "rep", "copies", "cell", "block", "shard", "core")
         )
         named = _named(*group_links(blocks, base.filter("core")), hot_rows)
         owned = named.select("rep", "component")
@@ -82,8 +82,8 @@ def attach_borders(edges: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 def _named(local: DataFrame, links: DataFrame, hot_rows: int) -> DataFrame:
-    """Distinct core vectors with the component their block group belongs to. A block group
-    is at most one block large, so the join on it has no hot key."""
+    """Distinct core vectors with the component their shard group belongs to. A shard group
+    is at most one shard large, so the join on it has no hot key."""
     groups = components(local.select(F.col("local").alias("id")).distinct(), links, hot_rows)
     return local.join(groups.withColumnRenamed("id", "local"), "local").select("vec", "rep", "copies", "component")
 

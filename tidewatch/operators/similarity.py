@@ -2,7 +2,8 @@
 
 Vectors are dealt to the nearest of a bounded number of pivots and on into blocks of bounded size. Angles obey the triangle
 inequality: two blocks whose pivots are further apart than both radii and the search angle hold no neighbours and never
-meet; in a pair of blocks that does, a vector is left out if it is too far from the other block's pivot, and needs no
+meet. Blocks near each other travel together, as shards: a vector is sent once to each shard that it meets, and shards are as
+few as cores and a task's memory allow, so what is shuffled grows with the vectors, not with pairs of blocks. In a pair of blocks that does, a vector is left out if it is too far from the other block's pivot, and needs no
 comparison if it is so near that everything there is its neighbour. On data without clusters little is left out, and
 all pairs of blocks are compared. What leaves a task is linear in its rows (counts, or the links that join groups), never
 the pairs themselves. Exact copies are compared once.
@@ -24,6 +25,7 @@ from .scale import HOT_ROWS, hot_key_join
 
 BLOCK_ROWS = 8192
 TILE_ROWS = 1024
+SHARD_BYTES = 64 << 20  # vectors of a shard in double precision; a task holds two shards
 MAX_PIVOTS = 1024  # bounds what is sent to every task: the pivots, and which of their cells may hold neighbours
 PIVOT_SAMPLE = 4096  # vectors that the pivots are chosen from; the choice decides the work, never a neighbour
 MARGIN = 1e-6  # of an angle, far above the rounding of arccos
@@ -77,6 +79,16 @@ def spread_pivots(x: np.ndarray, count: int) -> np.ndarray:
     return x[picked] if len(x) else x
 
 
+def _chain(apart: np.ndarray) -> np.ndarray:
+    """An order of the pivots in which each is followed by the nearest one left."""
+    left, order = np.ones(len(apart), bool), []
+    while len(order) < len(apart):
+        at = int(np.where(left, apart[order[-1]], np.inf).argmin()) if order else 0
+        left[at] = False
+        order.append(at)
+    return np.array(order, np.int64)
+
+
 def search_angle(eps: float) -> float:
     return float(np.arccos(np.clip(1.0 - eps, -1.0, 1.0)))
 
@@ -163,40 +175,67 @@ def _join_groups(parent: np.ndarray, rows: np.ndarray, cols: np.ndarray, near: n
 
 @dataclass
 class Blocks:
-    """Distinct vectors ``rows(vec, rep, copies, cell, block, ...)`` in blocks around pivots."""
+    """Distinct vectors ``rows(vec, rep, copies, cell, block, shard, ...)`` in blocks around pivots, and those in shards."""
 
     rows: DataFrame
     pivots: np.ndarray
-    cells: DataFrame  # cell, subs: into how many blocks the cell is dealt
+    cells: DataFrame  # cell, first, last: the shards that its blocks are in
     partners: DataFrame  # cell, others: cells that may hold neighbours; at most MAX_PIVOTS squared numbers in all
+    meets: np.ndarray  # the same as a matrix
     eps: float
     posts: int
     most: int
 
     def met(self, rows: DataFrame, own: bool = True, cells_of: DataFrame | None = None) -> DataFrame:
-        """``rows`` once for each pair of blocks ``(lo, hi)`` that they meet in; without ``own``, no block meets itself.
+        """``rows`` once for each pair of shards ``(lo, hi)`` that they meet in; without ``own``, no shard meets itself.
         ``cells_of`` leaves only partners among its cells."""
         others = self.cells if cells_of is None else cells_of.join(self.cells, "cell")
-        others = F.broadcast(others.select(F.col("cell").alias("other"), "subs"))
-        each = rows.join(F.broadcast(self.partners), "cell").withColumn("other", F.explode("others")).drop("others").join(others, "other")
-        each = each.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
-        block = F.shiftleft(F.col("other").cast("long"), 32) + F.col("sub")
-        each = each.withColumns({"lo": F.least("block", block), "hi": F.greatest("block", block)}).drop("other", "sub", "subs")
+        others = others.select(F.col("cell").alias("other"), F.explode(F.sequence("first", "last")).alias("to"))
+        meeting = self.partners.select("cell", F.explode("others").alias("other")).join(F.broadcast(others), "other")
+        meeting = meeting.groupBy("cell").agg(F.collect_set("to").alias("shards"))  # a row per pivot
+        each = rows.join(F.broadcast(meeting), "cell").withColumn("to", F.explode("shards")).drop("shards")
+        each = each.withColumns({"lo": F.least("shard", "to"), "hi": F.greatest("shard", "to")}).drop("to")
         return each if own else each.filter("lo <> hi")
 
-    def pair(self, key: tuple, table: pa.Table) -> tuple[pa.Table, pa.Table, Pair]:
-        """In a task: the rows of both blocks of a pair, and how they compare."""
-        lo, hi = (k.as_py() for k in key)
-        block = table["block"].to_numpy()
-        a = table.filter(pa.array(block == lo))
-        b = a if lo == hi else table.filter(pa.array(block == hi))
+    def meeting(self, key: tuple, table: pa.Table) -> tuple[pa.Table, pa.Table, Iterator[tuple[slice, slice, bool, Pair]]]:
+        """In a task: the rows of both shards of a pair (or of one), and of each two blocks that may hold neighbours where
+        they are in those, whether they are the same block, and how they compare."""
+        lo, hi = key[0].as_py(), key[-1].as_py()
+        shard = table["shard"].to_numpy()
+        a = _by_block(table if lo == hi else table.filter(pa.array(shard == lo)))
+        b = a if lo == hi else _by_block(table.filter(pa.array(shard == hi)))
+        return a, b, self._pairs(a, b, lo == hi)
+
+    def _pairs(self, a: pa.Table, b: pa.Table, same: bool) -> Iterator[tuple[slice, slice, bool, Pair]]:
         xa = _matrix(a["vec"])
-        xb = xa if lo == hi else _matrix(b["vec"])
-        return a, b, Pair.of(xa, xb, self.pivots[lo >> 32], self.pivots[hi >> 32], self.eps)
+        xb = xa if same else _matrix(b["vec"])
+        blocks_a, blocks_b = _spans(a["block"].to_numpy()), _spans(b["block"].to_numpy())
+        for block, at in blocks_a:
+            for other, to in blocks_b:
+                if (same and other < block) or not self.meets[block >> 32, other >> 32]:
+                    continue
+                own = same and other == block
+                yield at, to, own, Pair.of(xa[at], xb[to], self.pivots[block >> 32], self.pivots[other >> 32], self.eps)
 
     def shipped(self) -> Blocks:
         """Without what belongs to the driver."""
-        return Blocks(None, self.pivots, None, None, self.eps, self.posts, self.most)
+        return Blocks(None, self.pivots, None, None, self.meets, self.eps, self.posts, self.most)
+
+
+def _by_block(table: pa.Table) -> pa.Table:
+    return table.combine_chunks().take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
+
+
+def _spans(block: np.ndarray) -> list[tuple[int, slice]]:
+    """Each block of sorted rows and where it lies."""
+    each, first = np.unique(block, return_index=True)
+    return [(int(k), slice(int(s), int(e))) for k, s, e in zip(each, first, np.append(first[1:], len(block)))]
+
+
+def shard_rows(n: int, width: int, parallelism: int) -> int:
+    """Rows of a shard: pairs of shards for every core, or as many rows as a task holds, whichever is less. Each vector is sent
+    to at most ``n / shard_rows`` shards."""
+    return max(1, min(math.ceil(n / math.ceil(math.sqrt(4 * parallelism))), SHARD_BYTES // (8 * max(1, width))))
 
 
 def blocked(df: DataFrame, id: str, vec: str, eps: float, block_rows: int = BLOCK_ROWS) -> Blocks:
@@ -207,8 +246,10 @@ def blocked(df: DataFrame, id: str, vec: str, eps: float, block_rows: int = BLOC
 def block_vectors(base: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> Blocks:
     """Blocks of a written table ``(vec, rep, copies, ...)`` of different vectors."""
     spark = base.sparkSession
-    n, posts, most = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
-    count = pivot_count(n, spark.sparkContext.defaultParallelism, block_rows)
+    n, posts, most, width = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0)),
+                                     F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    parallelism = spark.sparkContext.defaultParallelism
+    count = pivot_count(n, parallelism, block_rows)
     chosen = base.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOT_SAMPLE, 4 * count)).select("vec").toArrow()
     pivots = spread_pivots(_matrix(chosen["vec"]), count)
 
@@ -225,17 +266,28 @@ def block_vectors(base: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) ->
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     dealt = settle(base.mapInArrow(assign, f"{columns}, cell int, angle double"))
     facts = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toArrow()  # a row per pivot
-    cell, radius = facts["cell"].to_numpy(), facts["radius"].to_numpy()
-    subs = -(-facts["n"].to_numpy() // block_rows)
+    cell, radius, size = (facts[c].to_numpy() for c in ("cell", "radius", "n"))
     apart = _angles(pivots[cell], pivots[cell]) if len(cell) else np.zeros((0, 0))
+    order = _chain(apart)
+    cell, radius, size, apart = cell[order], radius[order], size[order], apart[np.ix_(order, order)]
     met = apart - radius[:, None] - radius[None, :] <= search_angle(eps) + MARGIN
-    cells = spark.createDataFrame(pa.table({"cell": pa.array(cell, pa.int32()), "subs": pa.array(subs, pa.int64())}))
+    subs = -(-size // block_rows)
+    before, each, per = np.cumsum(size) - size, size / np.maximum(subs, 1), shard_rows(n, width, parallelism)
+    shard = lambda sub: ((before + (sub + 0.5) * each) // per).astype(np.int64)
+    facts = {"cell": pa.array(cell, pa.int32()), "subs": pa.array(subs, pa.int64()), "before": pa.array(before, pa.int64()),
+             "each": pa.array(each), "first": pa.array(shard(0)), "last": pa.array(shard(subs - 1))}
+    facts = spark.createDataFrame(pa.table(facts))
     others = pa.array([cell[row].tolist() for row in met], pa.list_(pa.int32()))
     partners = spark.createDataFrame(pa.table({"cell": pa.array(cell, pa.int32()), "others": others}))
-    sub = F.pmod(F.xxhash64("rep"), F.col("subs"))
-    rows = dealt.drop("angle").join(F.broadcast(cells), "cell")
-    rows = rows.withColumn("block", F.shiftleft(F.col("cell").cast("long"), 32) + sub).drop("subs")
-    return Blocks(rows, pivots, cells, partners, eps, posts, most)
+    meets = np.zeros((len(pivots), len(pivots)), bool)
+    meets[np.ix_(cell, cell)] = met
+    rows = dealt.drop("angle").join(F.broadcast(facts.drop("first", "last")), "cell").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")))
+    rows = rows.withColumns({
+        "block": F.shiftleft(F.col("cell").cast("long"), 32) + F.col("sub"),
+        "shard": F.floor((F.col("before") + (F.col("sub") + 0.5) * F.col("each")) / per),
+    }).drop("sub", "subs", "before", "each")
+    cells = facts.select("cell", "first", "last")
+    return Blocks(rows, pivots, cells, partners, meets, eps, posts, most)
 
 
 def back_to_posts(df: DataFrame, vec: str, base: DataFrame | None, per_vector: DataFrame, hot_rows: int) -> DataFrame:
@@ -253,26 +305,30 @@ def _vector_degrees(blocks: Blocks) -> DataFrame:
     local = blocks.shipped()
 
     def count_pair(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, pair = local.pair(key, table)
-        ca, cb, own = a["copies"].to_numpy(), b["copies"].to_numpy(), key[0] == key[1]
-        na, nb = np.zeros(len(ca), np.int64), np.zeros(len(cb), np.int64)
-        for i, j, near in pair.tiles(local.eps):
-            if own:
-                near[i[:, None] == j[None, :]] = False
-            na[i] += near @ cb[j]
+        a, b, pairs = local.meeting(key, table)
+        copies_a, copies_b, same = a["copies"].to_numpy(), b["copies"].to_numpy(), a is b
+        all_a = np.zeros(len(copies_a), np.int64)
+        all_b = all_a if same else np.zeros(len(copies_b), np.int64)
+        for at, to, own, pair in pairs:
+            ca, cb, na, nb = copies_a[at], copies_b[to], all_a[at], all_b[to]
+            for i, j, near in pair.tiles(local.eps):
+                if own:
+                    near[i[:, None] == j[None, :]] = False
+                na[i] += near @ cb[j]
+                if not own:
+                    nb[j] += ca[i] @ near
+            na[pair.sure_a] += cb.sum() - (ca[pair.sure_a] if own else 0)
+            na[pair.open_a] += cb[pair.sure_b].sum()
             if not own:
-                nb[j] += ca[i] @ near
-        na[pair.sure_a] += cb.sum() - (ca[pair.sure_a] if own else 0)
-        na[pair.open_a] += cb[pair.sure_b].sum()
-        if own:
-            found = pa.table({"rep": a["rep"], "n": pa.array(na)})
+                nb[pair.sure_b] += ca.sum()
+                nb[pair.open_b] += ca[pair.sure_a].sum()
+        if same:
+            found = pa.table({"rep": a["rep"], "n": pa.array(all_a)})
         else:
-            nb[pair.sure_b] += ca.sum()
-            nb[pair.open_b] += ca[pair.sure_a].sum()
-            found = pa.table({"rep": pa.chunked_array([*a["rep"].chunks, *b["rep"].chunks], pa.int64()), "n": pa.array(np.append(na, nb))})
+            found = pa.table({"rep": pa.chunked_array([*a["rep"].chunks, *b["rep"].chunks], pa.int64()), "n": pa.array(np.append(all_a, all_b))})
         return found.filter(pa.array(found["n"].to_numpy() > 0))
 
-    pairs = blocks.met(blocks.rows.select("vec", "rep", "copies", "cell", "block")).groupBy("lo", "hi")
+    pairs = blocks.met(blocks.rows.select("vec", "rep", "copies", "cell", "block", "shard")).groupBy("lo", "hi")
     return pairs.applyInArrow(count_pair, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("others"))
 
 
@@ -302,12 +358,13 @@ def comparisons(df: DataFrame, id: str, vec: str, eps: float = 0.4, block_rows:
     local = blocks.shipped()
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, pair = local.pair(key, table)
-        compared = pair.compared
-        return pa.table({"compared": pa.array([(compared - int(pair.open_a.sum())) // 2 if key[0] == key[1] else compared], pa.int64())})
+        _, _, pairs = local.meeting(key, table)
+        each = [(p.compared - int(p.open_a.sum())) // 2 if own else p.compared for _, _, own, p in pairs]
+        return pa.table({"pairs": pa.array([len(each)], pa.int64()), "compared": pa.array([sum(each)], pa.int64())})
 
-    met = blocks.met(blocks.rows.select("vec", "cell", "block")).groupBy("lo", "hi").applyInArrow(count, "compared long")
-    found = met.agg(F.count(F.lit(1)).alias("block_pairs"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+    met = blocks.met(blocks.rows.select("vec", "cell", "block", "shard")).groupBy("lo", "hi").applyInArrow(count, "pairs long, compared long")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("pairs", "block_pairs"), ("compared", "compared"))]
+    found = met.agg(*sums)
     n = blocks.rows.agg(F.count(F.lit(1)).alias("vectors"))  # two tables of one row
     return n.join(F.broadcast(found)).withColumn("every", F.expr("vectors * (vectors - 1) div 2"))
 
@@ -320,38 +377,46 @@ def core_points(degrees: DataFrame, min_samples: int = 2) -> DataFrame:
 def group_links(blocks: Blocks, cores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Connect the core vectors, rows of ``blocks.rows``, that lie within ``eps``.
 
-    First every block finds its own groups, then every pair of blocks reports which groups it
-    joins: ``local`` maps a vector to its group in the block (smallest id), ``links`` holds at
-    most one row per group and block pair.
+    First every shard finds its own groups, then every pair of shards reports which groups it
+    joins: ``local`` maps a vector to its group in the shard (smallest id), ``links`` holds at
+    most one row per group and pair of shards.
     """
     shipped = blocks.shipped()
     kind = blocks.rows.schema["vec"].dataType.simpleString()
 
-    def inside(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        x, ids = _matrix(table["vec"]), table["rep"].to_numpy()
-        pivot = shipped.pivots[key[0].as_py() >> 32]
-        pair = Pair.of(x, x, pivot, pivot, shipped.eps)
-        parent = np.zeros(len(x), np.int64) if pair.sure_a.any() else np.arange(len(x))  # one row is near all others
-        if not pair.sure_a.any():
-            for i, j, near in pair.tiles(shipped.eps):
-                parent = _join_groups(parent, i, j, near)
-        return table.append_column("local", pa.array(ids[_roots(parent)]))
-
-    cores = cores.select("vec", "rep", "copies", "cell", "block")
-    schema = f"vec {kind}, rep long, copies long, cell int, block long, local long"
-    local = settle(cores.groupBy("block").applyInArrow(inside, schema))
-
-    def across(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, pair = shipped.pair(key, table)
-        groups, code = np.unique(np.concatenate([a["local"].to_numpy(), b["local"].to_numpy()]), return_inverse=True)
-        ka, kb, parent = code[: len(a)], code[len(a) :], np.arange(len(groups))
+    def join(parent: np.ndarray, ka: np.ndarray, kb: np.ndarray, own: bool, pair: Pair) -> np.ndarray:
+        """``parent`` of the nodes of two blocks, ``ka`` and ``kb``, joined where their vectors are near."""
+        parent = _roots(parent)
+        if not own and (parent[ka] == parent[ka[0]]).all() and (parent[kb] == parent[ka[0]]).all():
+            return parent
         for sure, one, all_ in ((pair.sure_a, ka, kb), (pair.sure_b, kb, ka)):
-            if sure.any() and len(all_):
+            if sure.any():
                 parent = _join_groups(parent, one[sure][:1], all_, np.ones((1, len(all_)), bool))
                 parent = _join_groups(parent, all_[:1], one[sure], np.ones((1, int(sure.sum())), bool))
+        if own and pair.sure_a.any():  # one row is near all others
+            return parent
         for i, j, near in pair.tiles(shipped.eps):
             parent = _join_groups(parent, ka[i], kb[j], near)
+        return parent
+
+    def inside(key: tuple, table: pa.Table) -> pa.Table:
+        table, _, pairs = shipped.meeting(key, table)
+        ids, code = np.unique(table["rep"].to_numpy(), return_inverse=True)
+        parent = np.arange(len(ids))
+        for at, to, own, pair in pairs:
+            parent = join(parent, code[at], code[to], own, pair)
+        return table.append_column("local", pa.array(ids[_roots(parent)[code]]))
+
+    cores = cores.select("vec", "rep", "copies", "cell", "block", "shard")
+    schema = f"vec {kind}, rep long, copies long, cell int, block long, shard long, local long"
+    local = settle(cores.groupBy("shard").applyInArrow(inside, schema))
+
+    def across(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, pairs = shipped.meeting(key, table)
+        groups, code = np.unique(np.concatenate([a["local"].to_numpy(), b["local"].to_numpy()]), return_inverse=True)
+        ka, kb, parent = code[: len(a)], code[len(a) :], np.arange(len(groups))
+        for at, to, _, pair in pairs:
+            parent = join(parent, ka[at], kb[to], False, pair)
         root = _roots(parent)
         moved = root != np.arange(len(groups))
         return pa.table({"a": groups[root[moved]], "b": groups[moved]})
@@ -369,16 +434,18 @@ def border_links(blocks: Blocks, base: DataFrame) -> DataFrame:
     shipped = blocks.shipped()
 
     def reach(key: tuple, table: pa.Table) -> pa.Table:
-        a, b, pair = shipped.pair(key, table)
-        ra, rb, ca, cb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["core"].to_numpy(), b["core"].to_numpy()
-        own, out = key[0] == key[1], [(ra[:0], ra[:0])]
-        for i, j, near in pair.near(shipped.eps):
-            r, c = np.nonzero(near & ~ca[i][:, None] & cb[j][None, :])
-            out.append((ra[i[r]], rb[j[c]]))
-            if not own:
-                r, c = np.nonzero(near & ca[i][:, None] & ~cb[j][None, :])
-                out.append((rb[j[c]], ra[i[r]]))
+        a, b, pairs = shipped.meeting(key, table)
+        reps_a, reps_b, core_a, core_b = a["rep"].to_numpy(), b["rep"].to_numpy(), a["core"].to_numpy(), b["core"].to_numpy()
+        out = [(reps_a[:0], reps_a[:0])]
+        for at, to, own, pair in pairs:
+            ra, rb, ca, cb = reps_a[at], reps_b[to], core_a[at], core_b[to]
+            for i, j, near in pair.near(shipped.eps):
+                r, c = np.nonzero(near & ~ca[i][:, None] & cb[j][None, :])
+                out.append((ra[i[r]], rb[j[c]]))
+                if not own:
+                    r, c = np.nonzero(near & ca[i][:, None] & ~cb[j][None, :])
+                    out.append((rb[j[c]], ra[i[r]]))
         return pa.table({"rep": np.concatenate([x for x, _ in out]), "core_rep": np.concatenate([y for _, y in out])})
 
-    pairs = blocks.met(base.select("vec", "rep", "cell", "block", "core")).groupBy("lo", "hi")
+    pairs = blocks.met(base.select("vec", "rep", "cell", "block", "shard", "core")).groupBy("lo", "hi")
     return pairs.applyInArrow(reach, "rep long, core_rep long")

@@ -89,20 +89,24 @@ def fresh_links(posts: DataFrame, eps: float = 0.4, id: str = "seq", vec: str =
     def across(key: tuple, table: pa.Table) -> pa.Table:
         out = [], [], []
         if table["fresh"].to_numpy().any():
-            a, b, pair = shipped.pair(key, table)
-            own = key[0] == key[1]
-            new_a, new_b, at_a, at_b = (t[c].to_numpy() for c in ("fresh", "at") for t in (a, b))
-            near = np.zeros((len(new_a), len(new_b)), bool)
-            _fill(near, pair, new_a, new_b, shipped.eps)
-            if own:
-                np.fill_diagonal(near, False)
-            rep_a, rep_b = a["rep"].to_numpy(), b["rep"].to_numpy()
-            for i, j in lasting_forest(near, at_a, at_b, own):
-                for column, value in zip(out, (rep_a[i], rep_b[j], min(at_a[i], at_b[j]))):
-                    column.append(value)
+            a, b, pairs = shipped.meeting(key, table)
+            fresh_a, fresh_b, all_a, all_b = (t[c].to_numpy() for c in ("fresh", "at") for t in (a, b))
+            reps_a, reps_b = a["rep"].to_numpy(), b["rep"].to_numpy()
+            for at, to, own, pair in pairs:
+                new_a, new_b, at_a, at_b = fresh_a[at], fresh_b[to], all_a[at], all_b[to]
+                if not new_a.any() and not new_b.any():
+                    continue
+                near = np.zeros((len(new_a), len(new_b)), bool)
+                _fill(near, pair, new_a, new_b, shipped.eps)
+                if own:
+                    np.fill_diagonal(near, False)
+                rep_a, rep_b = reps_a[at], reps_b[to]
+                for i, j in lasting_forest(near, at_a, at_b, own):
+                    for column, value in zip(out, (rep_a[i], rep_b[j], min(at_a[i], at_b[j]))):
+                        column.append(value)
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b", "until"])
 
-    rows = blocks.rows.select("vec", "rep", "at", "fresh", "cell", "block")
+    rows = blocks.rows.select("vec", "rep", "at", "fresh", "cell", "block", "shard")
     new_cells = blocks.rows.filter("fresh").select("cell").distinct()
     meeting = blocks.met(rows.filter("fresh")).unionByName(blocks.met(rows.filter("not fresh"), cells_of=new_cells))
     return copies.unionByName(meeting.groupBy("lo", "hi").applyInArrow(across, "a long, b long, until long"))
