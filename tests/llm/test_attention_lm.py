@@ -123,3 +123,43 @@ def test_rows_for_missing_beginnings_fill_in_for_the_table():
         rare = table[np.isin(table[:, 0], missing)][::-1]
         assert np.allclose(whole.scores(docs), fewer.scores(docs, rare))
         assert not np.allclose(whole.scores(docs), fewer.scores(docs))
+
+
+def test_the_model_learns_from_documents_of_any_length(spark):
+    words = [f"{a}{b}" for a in ("sun", "rain", "wind", "snow", "tide", "rock") for b in ("field", "house", "light", "man", "way", "fall")]
+    row = lambda i: " ".join(words[(7 * i + 5 * j) % len(words)] for j in range(1700))
+    rows = [(i, row(i)) for i in range(40)]
+    assert min(len(t) for _, t in rows) > 12_000
+    got = L.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), public_path("byte_bpe_50k.json"), 50257).collect()
+    held = [r for r in got if r.held_out]
+    assert held and np.mean([r.score / r.n_tokens for r in held]) > -0.75  # by counts alone 1.56 a word
+
+
+def test_every_document_moves_the_attention_and_the_classes(spark):
+    rng = np.random.default_rng(12)
+    docs = [rng.integers(20 * (k % 2), 20 * (k % 2) + 15, 40) for k in range(60)] + [np.arange(100, 140)] * 2
+    size, total = 150, np.bincount(np.concatenate(docs), minlength=150)
+    place, rays = L.commonest_places(total)
+    sketches = L.sketch(docs, place, rays).astype("<f4")
+    rows = [(k, bytearray(L._packed(d)), bytearray(x.tobytes())) for k, (d, x) in enumerate(zip(docs, sketches))]
+    learned = spark.createDataFrame(rows, "row long, ids binary, sketch binary").repartition(4)
+    topic = L._topics(learned, size)
+    assert ((topic == L.TOPICS) == (total == 0)).all()
+    assert len(set(topic[100:140])) == 1 and not set(topic[:15]) & set(topic[20:35])
+    model = L.Model(total, size, len(docs), [], np.zeros(size + 1, bool), NO_TABLE, 0, np.append(topic, L.TOPICS))
+    L._train(model, learned, 200)
+    assert (np.abs(model.p["token"]).max(axis=1) > 0).tolist() == [*(total > 0).tolist(), True]
+
+
+def test_the_mixture_fits_all_places(spark):
+    rng = np.random.default_rng(13)
+    begins = np.arange(51) < 20
+    words = [[int(rng.integers(0, 20)), *rng.integers(20, 30, rng.integers(0, 4)).tolist()] for _ in range(600)]
+    docs = [np.array(sum(words[k : k + 20], [])) for k in range(0, 600, 20)]
+    make = lambda: L.Model(np.bincount(np.concatenate(docs), minlength=50), 50, 30, docs, begins, table_of(words, begins), 600)
+    exact, model = make(), make()
+    exact.tune(docs)
+    rows = spark.createDataFrame([(bytearray(L._packed(d)), None) for d in docs], "ids binary, rare binary")
+    L._tune(model, rows.repartition(3))
+    assert not np.allclose(exact.weights, exact.prior)
+    assert abs(model.scores(docs).sum() - exact.scores(docs).sum()) < 0.01 * abs(exact.scores(docs).sum())

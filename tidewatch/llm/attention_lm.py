@@ -3,6 +3,7 @@ beginnings in the corpus and earlier in the document."""
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,13 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import LOWER, utf8
+from .common import LOWER, shared_path, utf8
 from .tokens import encoder
 
 DIM, CLASSES, WINDOW, STRIDE, TOPICS = 16, 64, 32, 28, 6
-FIT_DOCS, FIT_BYTES = 600, 12_000  # documents that the attention weights are fitted on; all counts cover everything
-STEPS, BATCH, RATE = 500, 96, 0.02
-TUNE_DOCS = 100  # of the sample, kept from the attention's training to fit the weights of the mixture
+STEPS, BATCH, RATE = 500, 96, 0.02  # a task trains on at least so many batches of windows, if the corpus has them
+ROUNDS, BUFFER = 4, 4096  # weights are averaged after each round; windows that are mixed before they are dealt to batches
+SKETCH, TURNS = 32, 10  # numbers that stand for a document's subwords; rounds of clustering
+RATIOS = 8  # steps of a factor of two, by which places are told apart when the mixture is fitted
+FIXED = 1 << 20  # sums over tasks are of whole numbers, so that they do not depend on the order of the tasks
 FREQUENT = 300_000  # words whose counts go to every task; the others are joined
 DEPTH, BEGINNINGS = 8, 400_000  # subwords of a word beginning; how many of the commonest go to every task, others are joined
 CHUNK, BATCH_BYTES = 256, 500_000  # windows, and bytes of text, that are worked on at once
@@ -32,6 +35,20 @@ def words_of(data: bytes) -> list[str]:
     return b" ".join(data.translate(LOWER).split()).decode().split(" ") if data.strip(b" \t\n\r\x0b\x0c") else []
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts at a time are copied into Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once, in compressed columns."""
+    path = shared_path(df.sparkSession, "attention-lm")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -42,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         out = lambda: pa.record_batch([pa.array(list(held.keys())), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-        for batch in batches:
+        for batch in _slices(batches):
             for data in utf8(batch.column(0)):
                 held.update(words_of(data))
                 if len(held) > 500_000:
@@ -54,10 +71,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def beginnings(ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per subword, a hash of its word up to it and how many subwords that is; ``begins`` marks the ids that start a word."""
+def beginnings(ids: np.ndarray, begins: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Per subword, a hash of its word up to it and how many subwords that is; ``begins`` marks the ids that start a word.
+    Words start at the places ``first``, too."""
     at = np.arange(len(ids))
-    depth = at - np.maximum.accumulate(np.where(begins[ids], at, 0)) + 1
+    starts = begins[ids]
+    if first is not None:
+        starts[first] = True
+    depth = at - np.maximum.accumulate(np.where(starts, at, 0)) + 1
     out = (ids + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(2, DEPTH + 1):
         deep = np.flatnonzero(depth == k)
@@ -94,7 +115,7 @@ def subword_counts(counts: DataFrame, tokenizer: str, begins: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            found = coder.encode_pieces([[" " + w] for w in batch.column(0).to_pylist()])
+            found = coder.encode_once([" " + w for w in batch.column(0).to_pylist()])
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             ids = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
             n = np.repeat(batch.column(1).to_numpy(), sizes)
@@ -108,7 +129,7 @@ def subword_counts(counts: DataFrame, tokenizer: str, begins: np.ndarray) -> Dat
                 yield pa.record_batch([pa.array(np.full(len(each), kind, np.int32)), *map(pa.array, (each, total, ended))], names=["kind", "key", "n", "ended"])
 
     parts = counts.select("word", "c").mapInArrow(run, "kind int, key long, n long, ended long")
-    return settle(parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")))
+    return kept(parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")))
 
 
 def commonest(df: DataFrame, c: str, bound: int) -> DataFrame | None:
@@ -122,31 +143,106 @@ def commonest(df: DataFrame, c: str, bound: int) -> DataFrame | None:
     return None if least is None else df.filter(F.col(c) >= least)
 
 
+def sketch(docs: list[np.ndarray], place: np.ndarray, rays: np.ndarray) -> np.ndarray:
+    """A few numbers per document: the square roots of the shares of the commonest subwords, whose column ``place`` gives,
+    on random rays."""
+    common = len(rays)
+    share = np.array([np.bincount(place[d], minlength=common + 1)[:-1] / max(1, len(d)) for d in docs]).reshape(-1, common)
+    return np.sqrt(share) @ rays
+
+
 def topics(docs: list[np.ndarray], size: int) -> np.ndarray:
-    """The cluster of documents that uses each subword most, by k-means on shares of the 1,000 commonest; subwords
+    """The cluster of documents that uses each subword most, by k-means on sketches of ``docs``; subwords
     that the documents don't have are a topic of their own."""
-    out = np.full(size, TOPICS)
     docs = [d for d in docs if len(d)]
+    place, rays = commonest_places(np.bincount(np.concatenate(docs), minlength=size) if docs else np.zeros(size))
+    x = sketch(docs, place, rays)
     if len(docs) < 2 * TOPICS:
-        return out
-    total = np.bincount(np.concatenate(docs), minlength=size)
+        return np.full(size, TOPICS)
+    centre, mean = first_centres(), x.mean(axis=0)
+    for _ in range(TURNS):
+        near = nearest(x - mean, centre)
+        centre = np.array([(x - mean)[near == k].mean(axis=0) if (near == k).any() else centre[k] for k in range(TOPICS)])
+    near = nearest(x - mean, centre)
+    return topics_of(np.array([np.bincount(np.concatenate([d for d, m in zip(docs, near) if m == k] or [docs[0][:0]]), minlength=size) for k in range(TOPICS)]))
+
+
+def commonest_places(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each subword among the 1,000 commonest, and the rays that these are sketched on."""
     common = np.argsort(-total, kind="stable")[:1000]
-    place = np.full(size, len(common))
+    place = np.full(len(total), len(common))
     place[common] = np.arange(len(common))
-    share = np.array([np.bincount(place[d], minlength=len(common) + 1)[:-1] / len(d) for d in docs])
-    share = np.sqrt(share)
-    centre = share[np.random.default_rng(3).choice(len(share), TOPICS, replace=False)]
-    for _ in range(25):
-        near = np.argmax(share @ centre.T / np.maximum(1e-9, np.linalg.norm(centre, axis=1)), axis=1)
-        centre = np.array([share[near == k].mean(axis=0) if (near == k).any() else centre[k] for k in range(TOPICS)])
-    use = np.array([np.bincount(np.concatenate([d for d, m in zip(docs, near) if m == k] or [docs[0][:0]]), minlength=size) for k in range(TOPICS)])
-    use = use / np.maximum(1, use.sum(axis=1, keepdims=True))
-    seen = total > 0
-    out[seen] = np.argmax(use[:, seen], axis=0)
-    return out
-
-
-class Model:
+    return place, np.random.default_rng(3).normal(size=(len(common), SKETCH))
+
+
+def first_centres() -> np.ndarray:
+    return np.random.default_rng(4).normal(size=(TOPICS, SKETCH))
+
+
+def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centre.T / np.maximum(1e-9, np.linalg.norm(centre, axis=1)), axis=1)
+
+
+def topics_of(use: np.ndarray) -> np.ndarray:
+    """From the counts of subwords by cluster, the cluster that uses each most."""
+    share = use / np.maximum(1, use.sum(axis=1, keepdims=True))
+    return np.where(use.sum(axis=0) > 0, np.argmax(share, axis=0), TOPICS)
+
+
+class Table:
+    """The word beginnings that go to every task: rows of key, words with that beginning, words that end there."""
+
+    def __init__(self, table: np.ndarray, begins: np.ndarray):
+        self.begins = begins
+        table = table[np.argsort(table[:, 0].copy().view(np.uint64))]
+        self.keys, self.n, self.ended = table[:, 0].copy().view(np.uint64), table[:, 1].copy(), table[:, 2].copy()
+        self.slot = np.searchsorted(self.keys, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+        self.slot = np.append(self.slot, len(self.keys)).astype(np.int32)
+
+    def counted(self, key: np.ndarray) -> np.ndarray:
+        """Row of the corpus's table per beginning, -1 where it has none."""
+        key = key.view(np.uint64)
+        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, stop = self.slot[slot].astype(np.int64), self.slot[slot + 1]
+        out = np.full(len(key), -1)
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            same = self.keys[at[open_]] == key[open_]
+            out[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return out
+
+    def counts_of(self, key: np.ndarray, depth: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the corpus that begin so, and those that end there too; ``rare`` as the table, for keys it does not have."""
+        at = np.where(depth <= DEPTH, self.counted(key), -1)
+        n, ended = (np.where(at >= 0, c[at], 0) if len(c) else at * 0 for c in (self.n, self.ended))
+        if len(rare):
+            rare = rare[np.argsort(rare[:, 0])]
+            open_ = np.flatnonzero((at < 0) & (depth <= DEPTH))
+            spot = np.minimum(np.searchsorted(rare[:, 0], key[open_]), len(rare) - 1)
+            same = rare[spot, 0] == key[open_]
+            n[open_[same]], ended[open_[same]] = rare[spot[same], 1], rare[spot[same], 2]
+        return n, ended
+
+    def unknown(self, ids: np.ndarray) -> np.ndarray:
+        """The word beginnings of one document that the table does not have."""
+        return self.unknown_of([ids])[0]
+
+    def unknown_of(self, docs: list[np.ndarray]) -> list[np.ndarray]:
+        """As :meth:`unknown`, of several documents, each of which starts a word."""
+        sizes = np.array([len(d) for d in docs], np.int64)
+        if not sizes.sum():
+            return [np.zeros(0, np.int64) for _ in docs]
+        flat, first = np.concatenate(docs), (np.cumsum(sizes) - sizes)[sizes > 0]
+        key, depth = beginnings(flat, self.begins, first)
+        missing = np.flatnonzero(depth <= DEPTH)
+        missing = missing[self.counted(key[missing]) < 0]
+        doc = np.repeat(np.arange(len(docs)), sizes)[missing]
+        return [np.unique(k) for k in np.split(key[missing], np.searchsorted(doc, np.arange(1, len(docs))))]
+
+class Model(Table):
     """p(subword | before): a mixture of four ways to go on.
 
     1. Attention: p(class | before) x p(subword | class). 2. Counts: how the words of the corpus go on that begin like
@@ -155,21 +251,20 @@ class Model:
     says how it goes on. The weights of the mixture depend on how often the present beginning was counted in the corpus
     and in the document so far.
 
-    Classes are ranges of about equal mass of the subwords in order of topic (a cluster of the sample's documents),
+    Classes are ranges of about equal mass of the subwords in order of topic (a cluster of documents),
     whether they begin a word, and frequency. One causal attention head over position
     and subword vectors gives the class; the share inside a class is that of the whole corpus, plus one.
     """
 
-    def __init__(self, counts: np.ndarray, size: int, ends: int, docs: list[np.ndarray], begins: np.ndarray, table: np.ndarray, words: int):
-        """``table``: rows of key, words with that beginning, words that end there; ``words``: all counted words."""
+    def __init__(self, counts: np.ndarray, size: int, ends: int, docs: list[np.ndarray], begins: np.ndarray, table: np.ndarray, words: int,
+                 topic: np.ndarray | None = None):
+        """``table``: rows of key, words with that beginning, words that end there; ``words``: all counted words; ``topic``: of
+        each subword, if it is known, else that of ``docs``."""
         self.end = size  # the id that starts and ends a document
         begins = np.asarray(begins, bool).copy()
         begins[size] = True
-        self.begins, self.ends, self.words = begins, ends, words
-        table = table[np.argsort(table[:, 0].copy().view(np.uint64))]
-        self.keys, self.n, self.ended = table[:, 0].copy().view(np.uint64), table[:, 1].copy(), table[:, 2].copy()
-        self.slot = np.searchsorted(self.keys, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
-        self.slot = np.append(self.slot, len(self.keys)).astype(np.int32)
+        super().__init__(table, begins)
+        self.ends, self.words = ends, words
         # By the beginning's count in the corpus (none, or its power of two) and in the document. Ways that know nothing have no weight.
         self.prior = np.full((65, LEVELS, 4), 1 / 4)
         self.prior[0, 0], self.prior[0, 1:] = (1, 0, 0, 0), (0.5, 0, 0, 0.5)
@@ -179,7 +274,7 @@ class Model:
         n[: len(counts)] = counts
         n[size] = ends
         n += 1
-        order = np.lexsort((-n, begins, topics(docs, size + 1)))
+        order = np.lexsort((-n, begins, topics(docs, size + 1) if topic is None else topic))
         mass = np.cumsum(n[order]) / n.sum()
         self.of = np.empty(size + 1, np.int64)
         self.of[order] = np.minimum((mass - n[order] / n.sum() / 2) * CLASSES, CLASSES - 1).astype(np.int64)
@@ -236,39 +331,6 @@ class Model:
         own = np.take(z, np.arange(len(z)) * CLASSES + np.take(self.of, targets)) / total
         return own * np.take(self.share, targets), (begin / total).astype(np.float64)
 
-    def counted(self, key: np.ndarray) -> np.ndarray:
-        """Row of the corpus's table per beginning, -1 where it has none."""
-        key = key.view(np.uint64)
-        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        at, stop = self.slot[slot].astype(np.int64), self.slot[slot + 1]
-        out = np.full(len(key), -1)
-        open_ = np.flatnonzero(at < stop)
-        while len(open_):
-            same = self.keys[at[open_]] == key[open_]
-            out[open_[same]] = at[open_[same]]
-            open_ = open_[~same]
-            at[open_] += 1
-            open_ = open_[at[open_] < stop[open_]]
-        return out
-
-    def counts_of(self, key: np.ndarray, depth: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of the corpus that begin so, and those that end there too; ``rare`` as the table, for keys it does not have."""
-        at = np.where(depth <= DEPTH, self.counted(key), -1)
-        n, ended = (np.where(at >= 0, c[at], 0) if len(c) else at * 0 for c in (self.n, self.ended))
-        if len(rare):
-            rare = rare[np.argsort(rare[:, 0])]
-            open_ = np.flatnonzero((at < 0) & (depth <= DEPTH))
-            spot = np.minimum(np.searchsorted(rare[:, 0], key[open_]), len(rare) - 1)
-            same = rare[spot, 0] == key[open_]
-            n[open_[same]], ended[open_[same]] = rare[spot[same], 1], rare[spot[same], 2]
-        return n, ended
-
-    def unknown(self, ids: np.ndarray) -> np.ndarray:
-        """The word beginnings of one document that the table does not have."""
-        key, depth = beginnings(ids, self.begins)
-        key = np.unique(key[depth <= DEPTH])
-        return key[self.counted(key) < 0]
-
     def ways(self, docs: list[np.ndarray], counted_too: bool = False, rare: np.ndarray = NO_ROWS) -> tuple[np.ndarray, np.ndarray]:
         """``(probabilities, bucket)`` per subword of ``docs``, each followed by its end: one column per part of the
         mixture, and the row of its weights. ``counted_too``: the documents were counted, so each one's own counts
@@ -312,15 +374,18 @@ class Model:
         here[first] = counted[first]  # no word before: the corpus says what words begin with
         return np.stack([attention, counted, mixed, np.minimum(1, here)], axis=1), bucket
 
-    def tune(self, docs: list[np.ndarray], rounds: int = 25, rare: np.ndarray = NO_ROWS) -> None:
-        """Weights of the mixture by expectation maximisation on ``docs``, which were counted but not trained on. Each
-        bucket starts with a few doubtful rows, so a rare one keeps some weight on each way that may know something."""
-        if not docs:
-            return
-        p, bucket = self.ways(docs, True, rare)
+    def tune(self, docs: list[np.ndarray], rare: np.ndarray = NO_ROWS) -> None:
+        """Weights of the mixture from ``docs``, which were counted."""
+        if docs:
+            p, bucket = self.ways(docs, True, rare)
+            self.weigh(p, bucket, np.ones(len(p)))
+
+    def weigh(self, p: np.ndarray, bucket: np.ndarray, times: np.ndarray, rounds: int = 25) -> None:
+        """Weights of the mixture by expectation maximisation; each row counts ``times``. Each bucket starts with a few
+        doubtful rows, so a rare one keeps some weight on each way that may know something."""
         for _ in range(rounds):
             share = p * self.weights[bucket]
-            share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+            share *= (times / np.maximum(share.sum(axis=1), 1e-300))[:, None]
             total = np.stack([np.bincount(bucket, share[:, k], len(self.prior)) for k in range(4)], axis=1) + 4 * self.prior
             self.weights = total / total.sum(axis=1, keepdims=True)
 
@@ -359,39 +424,60 @@ class Model:
         if not docs:
             return
         ids, targets, counts = (np.concatenate(x) for x in zip(*[self.windows(d) for d in docs]))
-        rng, p = np.random.default_rng(5), self.p
-        first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        rng, state = np.random.default_rng(5), self.moments()
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(ids), BATCH)
-            b, kind, live = ids[pick], self.of[targets[pick]], counts[pick]
-            x, q, k, v, a, mixed, h = self._forward(b)
-            z = h @ p["out"] + p["bias"]
-            g = np.exp(z - z.max(axis=2, keepdims=True))
-            g /= g.sum(axis=2, keepdims=True)
-            np.put_along_axis(g, kind[:, :, None], np.take_along_axis(g, kind[:, :, None], 2) - 1, 2)
-            g *= (live / max(1, live.sum()))[:, :, None].astype(np.float32)
-            flat = lambda m: m.reshape(-1, m.shape[-1])
-            d = {"out": flat(h).T @ flat(g), "bias": flat(g).sum(axis=0)}
-            dh = g @ p["out"].T
-            d["o"] = flat(mixed).T @ flat(dh)
-            dm = dh @ p["o"].T
-            da = dm @ v.transpose(0, 2, 1)
-            da = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
-            dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
-            d |= {n: flat(x).T @ flat(m) for n, m in (("q", dq), ("k", dk), ("v", dv))}
-            dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-            d["place"] = dx.sum(axis=0)
-            d["class"] = np.zeros_like(p["class"])
-            np.add.at(d["class"], self.of[b].reshape(-1), flat(dx))
-            rows, inverse = np.unique(b.reshape(-1), return_inverse=True)
-            seen = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(seen, inverse, flat(dx))
-            rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            for n, grad in [*d.items(), ("token", seen)]:
-                at = rows if n == "token" else slice(None)
-                first[n][at] = 0.9 * first[n][at] + 0.1 * grad
-                second[n][at] = 0.99 * second[n][at] + 0.01 * grad * grad
-                p[n][at] -= rate * (first[n][at] / (1 - 0.9**step)) / (np.sqrt(second[n][at] / (1 - 0.99**step)) + 1e-8)
+            self.step(ids[pick], targets[pick], counts[pick], state, RATE * min(1.0, 2 * (1 - step / (steps + 1))))
+        self.freeze()
+
+    def moments(self) -> dict:
+        return {"step": 0, "first": {k: np.zeros_like(v) for k, v in self.p.items()}, "second": {k: np.zeros_like(v) for k, v in self.p.items()}}
+
+    def step(self, b: np.ndarray, targets: np.ndarray, live: np.ndarray, state: dict, rate: float) -> None:
+        """One step of Adam on a batch of windows."""
+        p, first, second = self.p, state["first"], state["second"]
+        state["step"] += 1
+        x, q, k, v, a, mixed, h = self._forward(b)
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        g = flat(h) @ p["out"] + p["bias"]
+        np.clip(g, -80, 80, out=g)
+        np.exp(g, out=g)
+        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
+        g[np.arange(len(g)), self.of[targets].reshape(-1)] -= 1
+        g *= (live.reshape(-1, 1) / np.float32(max(1, live.sum()))).astype(np.float32)
+        d = {"out": flat(h).T @ g, "bias": g.sum(axis=0)}
+        dh = (g @ p["out"].T).reshape(x.shape)
+        d["o"] = flat(mixed).T @ flat(dh)
+        dm = (flat(dh) @ p["o"].T).reshape(x.shape)
+        da = dm @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+        da *= a
+        da *= np.float32(DIM**-0.5)
+        dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
+        d |= {n: flat(x).T @ flat(m) for n, m in (("q", dq), ("k", dk), ("v", dv))}
+        dx = flat(dh) + flat(dq) @ p["q"].T + flat(dk) @ p["k"].T + flat(dv) @ p["v"].T
+        d["place"] = dx.reshape(x.shape).sum(axis=0)
+        order = np.argsort(b.reshape(-1), kind="stable")
+        rows = b.reshape(-1)[order]
+        start = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows, seen = rows[start], np.add.reduceat(dx[order], start, axis=0)
+        d["class"] = (np.arange(CLASSES)[:, None] == self.of[rows]).astype(np.float32) @ seen
+        one, two = 1 - 0.9 ** state["step"], 1 - 0.99 ** state["step"]
+        for n, grad in [*d.items(), ("token", seen)]:
+            at = rows if n == "token" else slice(None)
+            m, s = 0.9 * first[n][at] + 0.1 * grad, 0.99 * second[n][at] + 0.01 * grad * grad
+            first[n][at], second[n][at] = m, s
+            p[n][at] -= np.float32(rate) * (m / np.float32(one)) / (np.sqrt(s / np.float32(two)) + np.float32(1e-8))
+
+    def parameters(self) -> np.ndarray:
+        """All trained weights as rows of ``DIM``, those of the subwords first."""
+        return np.concatenate([v.reshape(-1, DIM) for v in self.p.values()])
+
+    def put(self, rows: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = rows[at : at + v.size // DIM].astype(np.float32).reshape(v.shape)
+            at += v.size // DIM
         self.freeze()
 
 
@@ -416,34 +502,207 @@ def _rows(table: DataFrame) -> np.ndarray:
     return np.stack([c.to_numpy() for c in table.select("key", "n", "ended").toArrow().columns], axis=1).astype(np.int64).reshape(-1, 3)
 
 
-def _with_rare(rows: DataFrame, begun: DataFrame, shipped) -> DataFrame:
-    """``rows`` with their score, where the tasks' table lacks beginnings: each document's missing ones are joined to the
+def _topics(learned: DataFrame, size: int) -> np.ndarray:
+    """As :func:`topics`, over all rows of ``learned(ids, sketch)``: each turn adds up the sketches by cluster in the tasks."""
+    small = kept(learned.select("sketch"))
+    points = lambda batch: np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<f4").reshape(-1, SKETCH).astype(np.float64)
+
+    def sums(centre: np.ndarray | None, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = np.zeros(TOPICS, np.int64), np.zeros((TOPICS, SKETCH), np.int64)
+            for batch in batches:
+                x = points(batch) - mean
+                near = np.zeros(len(x), np.int64) if centre is None else nearest(x, centre)
+                np.add.at(n, near, 1)
+                np.add.at(total, near, np.rint(x * FIXED).astype(np.int64))
+            yield pa.record_batch([pa.array(np.repeat(np.arange(TOPICS), SKETCH)), pa.array(np.tile(np.arange(SKETCH), TOPICS)),
+                                   pa.array(np.repeat(n, SKETCH)), pa.array(total.reshape(-1))], names=["k", "d", "n", "x"])
+
+        found = small.mapInArrow(run, "k long, d long, n long, x long").groupBy("k", "d").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toArrow()
+        n, total = np.zeros((TOPICS, SKETCH), np.int64), np.zeros((TOPICS, SKETCH))
+        at = found["k"].to_numpy(), found["d"].to_numpy()
+        n[at], total[at] = found["n"].to_numpy(), found["x"].to_numpy() / FIXED
+        return n[:, 0], total
+
+    n, total = sums(None, np.zeros(SKETCH))
+    if n.sum() < 2 * TOPICS:
+        return np.full(size, TOPICS)
+    mean, centre = total.sum(axis=0) / n.sum(), first_centres()
+    for _ in range(TURNS):
+        n, total = sums(centre, mean)
+        centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centre)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, held, some = np.zeros(TOPICS * size, np.int64), [], 0
+        for batch in batches:
+            for data, k in zip(batch.column("ids"), nearest(points(batch) - mean, centre).tolist()):
+                held.append(_unpacked(data.as_py()) + k * size)
+                some += len(held[-1])
+                if some > len(use):
+                    use += np.bincount(np.concatenate(held), minlength=len(use))
+                    held, some = [], 0
+        if held:
+            use += np.bincount(np.concatenate(held), minlength=len(use))
+        at = np.flatnonzero(use)
+        yield pa.record_batch([pa.array(at), pa.array(use[at])], names=["at", "n"])
+
+    wide = learned.select("ids", "sketch").coalesce(learned.sparkSession.sparkContext.defaultParallelism)
+    found = wide.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row per subword and topic
+    use = np.zeros(TOPICS * size, np.int64)
+    use[found["at"].to_numpy()] = found["n"].to_numpy()
+    return topics_of(use.reshape(TOPICS, size))
+
+
+def _train(model: Model, learned: DataFrame, windows: float) -> None:
+    """Train the attention on all windows of all rows of ``learned(row, ids)``. In each round every task goes on from the
+    same weights over its own documents; the results are averaged, a subword's by how often the tasks met it, the others by
+    their windows. A large corpus is passed over once, a part in each round; a small one once a round."""
+    spark = learned.sparkSession
+    tasks = int(min(spark.sparkContext.defaultParallelism, max(1, windows // (STEPS * BATCH))))
+    parts = ROUNDS if windows >= ROUNDS * STEPS * BATCH else 1
+    names = [f"v{k}" for k in range(DIM)]
+    for turn in range(ROUNDS):
+        shipped = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = copy.copy(shipped.value)
+            model.p = {k: v.copy() for k, v in model.p.items()}
+            rng, state, size = np.random.default_rng((turn, TaskContext.get().partitionId())), model.moments(), model.end + 1
+            met, all_, held = np.zeros(size, np.int64), 0, []
+
+            def fit(held: list, last: bool) -> list:
+                ids, targets, live = (np.concatenate(x) for x in zip(*held))
+                mixed = rng.permutation(len(ids))
+                stop = len(ids) if last else len(ids) // BATCH * BATCH
+                for at in range(0, stop, BATCH):
+                    pick = mixed[at : min(at + BATCH, stop)]
+                    model.step(ids[pick], targets[pick], live[pick], state, RATE / 2**turn)
+                    met[:] += np.bincount(ids[pick].reshape(-1), minlength=size)
+                rest = mixed[stop:]
+                return [(ids[rest], targets[rest], live[rest])] if len(rest) else []
+
+            for batch in batches:
+                for data in batch.column(0):
+                    found = model.windows(_unpacked(data.as_py()))
+                    all_ += len(found[0])
+                    for at in range(0, len(found[0]), BUFFER):
+                        held.append(tuple(x[at : at + BUFFER] for x in found))
+                        if sum(len(x) for x, _, _ in held) >= BUFFER:
+                            held = fit(held, False)
+            if held:
+                fit(held, True)
+            rows = model.parameters().astype(np.float64)
+            weight = np.full(len(rows), all_)
+            weight[:size] = met
+            at = np.flatnonzero(weight)
+            rows = np.rint(rows[at] * weight[at][:, None] * FIXED).astype(np.int64)
+            yield pa.record_batch([pa.array(at), pa.array(weight[at]), *(pa.array(rows[:, k]) for k in range(DIM))], names=["at", "w", *names])
+
+        part = learned.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == turn % parts).select("ids").coalesce(tasks)
+        schema = ", ".join(f"{c} long" for c in ("at", "w", *names))
+        found = part.mapInArrow(run, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in ("w", *names)]).toArrow()  # a row per subword
+        rows = model.parameters().astype(np.float64)
+        rows[found["at"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1) / FIXED / found["w"].to_numpy()[:, None]
+        model.put(rows)
+        shipped.unpersist()
+
+
+def _cells(p: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place, a number that says in steps of a factor of two how its ways compare, in its bucket, and how they do exactly."""
+    ratio = p / np.maximum(p.max(axis=1, keepdims=True), 1e-300)
+    level = np.minimum(0.5 - np.log2(np.maximum(ratio, 1e-9)), RATIOS - 1).astype(np.int64)
+    cell = bucket
+    for k in range(4):
+        cell = cell * RATIOS + level[:, k]
+    return cell, np.rint(ratio * FIXED).astype(np.int64)
+
+
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[start], np.add.reduceat(values[order], start, axis=0)
+
+
+def _tune(model: Model, learned: DataFrame) -> None:
+    """Fit the mixture to every place of all rows of ``learned(ids, rare)``. A place counts by its bucket and by how its ways
+    compare, to a factor of two; the means of the exact ratios stand for the places that are alike."""
+    spark = learned.sparkSession
+    shipped = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, keys, sums = shipped.value, np.zeros(0, np.int64), np.zeros((0, 5), np.int64)
+        for batch in batches:
+            for docs, rare in _portions(batch):
+                cell, ratio = _cells(*model.ways(docs, True, rare))
+                key, total = _summed(cell, np.concatenate((np.ones((len(cell), 1), np.int64), ratio), axis=1))
+                keys, sums = _summed(np.append(keys, key), np.concatenate((sums, total)))
+        yield pa.record_batch([pa.array(keys), *(pa.array(sums[:, k]) for k in range(5))], names=["cell", "n", "a", "b", "c", "d"])
+
+    parts = learned.select("ids", "rare").mapInArrow(run, "cell long, n long, a long, b long, c long, d long")
+    found = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "nabcd"]).orderBy("cell").toArrow()  # at most RATIOS**4 rows a bucket
+    if len(found):
+        n = found["n"].to_numpy()
+        p = np.stack([found[c].to_numpy() for c in "abcd"], axis=1) / FIXED / n[:, None]
+        model.weigh(p, found["cell"].to_numpy() // RATIOS**4, n)
+    shipped.unpersist()
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Some documents at a time, with the rows for the beginnings that the table does not have."""
+    docs, rare, size = [], [], 0
+    for ids, found in zip(batch.column("ids"), batch.column("rare")):
+        docs.append(_unpacked(ids.as_py()))
+        if found.is_valid:
+            rare.append(np.frombuffer(zs.ZstdDecompressor().decompress(found.as_py()), "<i8").reshape(-1, 3))
+        size += len(docs[-1]) + 1
+        if size >= BATCH_BYTES // 4:
+            yield docs, _distinct(rare)
+            docs, rare, size = [], [], 0
+    if docs:
+        yield docs, _distinct(rare)
+
+
+def _distinct(rare: list[np.ndarray]) -> np.ndarray:
+    if not rare:
+        return NO_ROWS
+    rows = np.concatenate(rare)
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
+
+
+def _with_rare(rows: DataFrame, begun: DataFrame) -> DataFrame:
+    """``rows`` with ``rare``, where the tasks' table lacks beginnings: each document's missing ones are joined to the
     counts of the whole corpus, so the score does not depend on how many the table holds. A document gets at most as many
     rows as it has subwords. Its ids were kept, so nothing is split again."""
     asked = rows.select("row", F.explode("keys").alias("key"))
     known = asked.join(begun, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n", "ended")).alias("found"))
-    kept = [c for c in rows.columns if c not in ("score", "ids", "keys", "rest", "times")]
-    joined = rows.select(*kept, "ids").join(known, "row", "left")
+    columns = ["row", "doc_id", "n_tokens", "known", "base", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value[0]
         for batch in batches:
-            docs = [_unpacked(x) for x in batch.column("ids").to_pylist()]
-            found, sizes = batch.column("found"), np.array([len(d) for d in docs])
-            scores, at = [], 0
-            while at < len(docs):
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES // 4, side="right")))
-                table = found.slice(at, to - at).flatten()
-                rare = np.stack([table.field(k).to_numpy() for k in range(3)], axis=1) if len(table) else NO_ROWS
-                rare = rare[np.unique(rare[:, 0], return_index=True)[1]]
-                scores.append(model.scores(docs[at:to], rare))
-                at = to
-            out = [*[batch.column(c) for c in kept], pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*kept, "score"])
-
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*kept, "score"])
-    return joined.select(*kept, "ids", "found").mapInArrow(run, schema)
+            packed = []
+            for found in batch.column("found"):
+                table = found.values if found.is_valid else None
+                if table is not None and len(table):
+                    data = np.stack([table.field(k).to_numpy() for k in range(3)], axis=1).astype("<i8").tobytes()
+                packed.append(None if table is None or not len(table) else zs.ZstdCompressor(level=1).compress(data))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(packed, pa.binary())], names=[*columns, "rare"])
+
+    joined = rows.select(*columns).join(known, "row", "left").select(*columns, "found")
+    return kept(joined.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, ids binary, rare binary"))
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with their score in place of ids and counts."""
+    shipped, columns = rows.sparkSession.sparkContext.broadcast(model), ["row", "doc_id", "n_tokens", "known", "base"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shipped.value.scores(docs, rare) for docs, rare in _portions(batch)]
+            out = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], out], names=[*columns, "score"])
+
+    return rows.select(*columns, "ids", "rare").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double")
 
 
 def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame:
@@ -451,22 +710,20 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
 
     Tokens are words and one end. All documents but the held-out ones are counted; subword shares come from the same
     counts, and so do all word beginnings: the commonest ``BEGINNINGS`` go to every task, a document's others are joined to
-    it, so how many are sent changes no score. Only the attention weights and those of the mixture
-    are fitted on a sample: ``FIT_DOCS`` whole documents of at most ``FIT_BYTES`` with the smallest hashes. Frequent words are looked up in the task; how often the others occur in a document is
+    it, so how many are sent changes no score. The classes, the attention weights and the weights of the mixture are fitted
+    on every place of the same documents. Frequent words are looked up in the task; how often the others occur in a document is
     joined to the counts by word. Null and empty texts have the end alone; null ids are not held out; repeated rows
     each come back.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     learned = docs.filter(~held_out())
-    counts = settle(word_counts(learned))
+    counts = kept(word_counts(learned))
     n_docs = learned.count()
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = n + n_docs, v + (n_docs > 0)
     top = commonest(counts, "c", FREQUENT)
     frequent = {} if top is None else {r["word"]: r["c"] for r in top.collect()}
-    sample = learned.filter(F.octet_length("text") <= FIT_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    fitted = [x for _, x in _ids([(r["text"] or "").encode() for r in sample.select("text").collect()], tokenizer)]
     name = encoder(tokenizer).tokenizer.id_to_token
     begins = np.array([(name(i) or "")[:1] in ("Ġ", "▁") for i in range(vocabulary)] + [True])  # Ġ and ▁ stand for a blank
     pieces = subword_counts(counts, tokenizer, begins)
@@ -477,22 +734,15 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
     table = commonest(begun, "n", BEGINNINGS)
     rows_of = _rows(table) if table is not None else NO_ROWS
     whole = begun.count() == len(rows_of)  # the table holds every beginning, so no task asks for one
-    model = Model(total_of, vocabulary, n_docs, fitted, begins, rows_of, n - n_docs)
-    tuned = min(TUNE_DOCS, len(fitted) // 4)
-    model.train(fitted[tuned:])
-    rare = NO_ROWS
-    if not whole and tuned:  # at most as many keys as the tuning documents, which are bounded, have subwords
-        asked = pa.table({"key": np.unique(np.concatenate([model.unknown(d) for d in fitted[:tuned]]))})
-        rare = _rows(begun.join(F.broadcast(spark.createDataFrame(asked)), "key", "left_semi"))
-    model.tune(fitted[:tuned], rare=rare)
-    shipped = spark.sparkContext.broadcast((model, frequent))
+    place, rays = commonest_places(total_of)
+    shipped = spark.sparkContext.broadcast((Table(rows_of, begins), frequent, place, rays))
     total = n + v + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = shipped.value
+        table, frequent, place, rays = shipped.value
         row = TaskContext.get().partitionId() << 33
         end_base = np.log10(((n_docs or 0) + 1) / total)
-        for batch in batches:
+        for batch in _slices(batches):
             texts, doc_ids = utf8(batch.column(1)), batch.column(0).to_pylist()
             at = 0
             while at < len(texts):
@@ -502,8 +752,7 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
                     to += 1
                 found = _ids(texts[at:to], tokenizer)
                 ids = [x for _, x in found]
-                scores = pa.array(model.scores(ids)) if whole else pa.nulls(len(ids), pa.float64())
-                later = [] if whole else [model.unknown(x) for x in ids]
+                later = None if whole else table.unknown_of(ids)
                 tokens, known, base, rest, times = [], [], [], [], []
                 for words, _ in found:
                     c = np.array(list(map(frequent.get, words, [0] * len(words))), np.int64)
@@ -517,15 +766,22 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array(np.arange(row, row + to - at)), "doc_id": pa.array(doc_ids[at:to], pa.int64()),
                     "n_tokens": pa.array(tokens, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()),
-                    "score": scores, "rest": pa.array(rest, pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64())),
-                    "ids": pa.array(list(map(_packed, ids)), pa.binary()) if not whole else pa.nulls(len(ids), pa.binary()),
+                    "rest": pa.array(rest, pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64())),
+                    "ids": pa.array(list(map(_packed, ids)), pa.binary()),
+                    "sketch": pa.array([x.tobytes() for x in sketch(ids, place, rays).astype("<f4")], pa.binary()),
                     "keys": pa.array(later, pa.list_(pa.int64())) if not whole else pa.nulls(len(ids), pa.list_(pa.int64())),
                 })
                 row, at = row + to - at, to
 
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rest array<string>, times array<long>, ids binary, keys array<long>"
+    schema = "row long, doc_id long, n_tokens long, known long, base double, rest array<string>, times array<long>, ids binary, sketch binary, keys array<long>"
     rows = settle(docs.mapInArrow(run, schema))
-    scored = rows if whole else _with_rare(rows, begun, shipped)
+    fitted = rows.filter(~held_out())
+    topic = np.append(_topics(fitted, vocabulary), TOPICS)
+    model = Model(total_of, vocabulary, n_docs, [], begins, rows_of, n - n_docs, topic)
+    _train(model, fitted, n_docs + total_of.sum() / STRIDE)
+    ready = rows.withColumn("rare", F.lit(None).cast("binary")) if whole else _with_rare(rows, begun)
+    _tune(model, ready.filter(~held_out()))
+    scored = _scored(ready, model)
     apart = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("k"))
     joined = apart.join(counts.withColumnRenamed("c", "seen"), "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("seen") > 0, F.col("k")).otherwise(0)).alias("more"),

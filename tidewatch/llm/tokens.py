@@ -34,7 +34,7 @@ class Encoder:
     """
 
     BLANK_LED = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-    WHOLE = re.compile("[\x1c-\x1f]|<\\|").search
+    WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
@@ -57,10 +57,12 @@ class Encoder:
 
     def _encode_pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
         """Many short pieces cost least as one text, with a mark between them that always is one id of its own."""
-        mark = self._encode([self.mark])[0]
-        odd = [p for p in pieces if self.mark.strip(" ") in p or p.isspace()]
+        mark, sign, text = self._encode([self.mark])[0], self.mark.strip(" "), self.mark.join(pieces)
+        odd = list(filter(str.isspace, pieces))
+        if text.count(sign) >= len(pieces):
+            odd = [p for p in pieces if sign in p or p.isspace()]
         plain = list(set(pieces).difference(odd)) if odd else pieces
-        data = self._encode([self.mark.join(plain)])[0]
+        data = self._encode([self.mark.join(plain) if odd else text])[0]
         cuts = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(mark, "<u4")[0])
         if len(mark) != 4 or len(cuts) != len(plain) - 1:
             return list(zip(pieces, self._encode(pieces)))
@@ -71,7 +73,8 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
             return self._encode(texts)
-        pieces = [None if self.WHOLE(t) else self.cut(t) for t in texts]
+        first, *others = self.WHOLE
+        pieces = [None if first in t or any(w in t for w in others) else self.cut(t) for t in texts]
         found = self.encode_pieces([p or [] for p in pieces])
         return [self._encode([t])[0] if p is None else x for t, p, x in zip(texts, pieces, found)]
 
@@ -86,6 +89,13 @@ class Encoder:
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
+    def encode_once(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some different pieces, which are not remembered."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(pieces), 20_000):
+            found.update(self._encode_pieces(pieces[at : at + 20_000]))
+        return [found[p] for p in pieces]
+
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file. It lives on between tasks, so it is kept outside this module, whose
