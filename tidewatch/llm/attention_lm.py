@@ -4,6 +4,7 @@ beginnings in the corpus and earlier in the document."""
 from __future__ import annotations
 
 import copy
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +14,6 @@ import zstandard as zs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settle
 from .common import LOWER, shared_path, utf8
 from .tokens import encoder
 
@@ -49,6 +49,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_by(df: DataFrame, key: str) -> DataFrame:
+    """As :func:`kept`, in buckets by ``key``: a join on it moves the other side only."""
+    spark, name = df.sparkSession, f"tidewatch_{uuid.uuid4().hex}"
+    buckets = 4 * spark.sparkContext.defaultParallelism
+    df.write.format("parquet").bucketBy(buckets, key).option("path", shared_path(spark, "attention-lm")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are in the shared folder
+    return table
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -582,7 +592,7 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
                 return [(ids[rest], targets[rest], live[rest])] if len(rest) else []
 
             for batch in batches:
-                for data in batch.column(0):
+                for data in batch.column("ids"):
                     found = model.windows(_unpacked(data.as_py()))
                     all_ += len(found[0])
                     for at in range(0, len(found[0]), BUFFER):
@@ -598,7 +608,8 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
             rows = np.rint(rows[at] * weight[at][:, None] * FIXED).astype(np.int64)
             yield pa.record_batch([pa.array(at), pa.array(weight[at]), *(pa.array(rows[:, k]) for k in range(DIM))], names=["at", "w", *names])
 
-        part = learned.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == turn % parts).select("ids").coalesce(tasks)
+        part = learned.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == turn % parts).select("row", "ids").coalesce(tasks)
+        part = part.sortWithinPartitions("row") if tasks == 1 else part  # a small corpus
         schema = ", ".join(f"{c} long" for c in ("at", "w", *names))
         found = part.mapInArrow(run, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in ("w", *names)]).toArrow()  # a row per subword
         rows = model.parameters().astype(np.float64)
@@ -671,25 +682,22 @@ def _distinct(rare: list[np.ndarray]) -> np.ndarray:
 
 
 def _with_rare(rows: DataFrame, begun: DataFrame) -> DataFrame:
-    """``rows`` with ``rare``, where the tasks' table lacks beginnings: each document's missing ones are joined to the
-    counts of the whole corpus, so the score does not depend on how many the table holds. A document gets at most as many
-    rows as it has subwords. Its ids were kept, so nothing is split again."""
+    """``rows``, which are in buckets by row, with ``rare``, where the tasks' table lacks beginnings: each document's missing
+    ones are joined to the counts of the whole corpus, so the score does not depend on how many the table holds. A document
+    gets at most as many rows as it has subwords. Its ids stay where they are, and nothing is split again."""
     asked = rows.select("row", F.explode("keys").alias("key"))
     known = asked.join(begun, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n", "ended")).alias("found"))
-    columns = ["row", "doc_id", "n_tokens", "known", "base", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
             for found in batch.column("found"):
-                table = found.values if found.is_valid else None
-                if table is not None and len(table):
-                    data = np.stack([table.field(k).to_numpy() for k in range(3)], axis=1).astype("<i8").tobytes()
-                packed.append(None if table is None or not len(table) else zs.ZstdCompressor(level=1).compress(data))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(packed, pa.binary())], names=[*columns, "rare"])
+                data = np.stack([found.values.field(k).to_numpy() for k in range(3)], axis=1).astype("<i8").tobytes()
+                packed.append(zs.ZstdCompressor(level=1).compress(data))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(packed, pa.binary())], names=["row", "rare"])
 
-    joined = rows.select(*columns).join(known, "row", "left").select(*columns, "found")
-    return kept(joined.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, ids binary, rare binary"))
+    packed = kept(known.select("row", "found").mapInArrow(run, "row long, rare binary"))
+    return rows.select("row", "doc_id", "n_tokens", "known", "base", "ids").join(packed, "row", "left")
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
@@ -774,7 +782,8 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
                 row, at = row + to - at, to
 
     schema = "row long, doc_id long, n_tokens long, known long, base double, rest array<string>, times array<long>, ids binary, sketch binary, keys array<long>"
-    rows = settle(docs.mapInArrow(run, schema))
+    rows = docs.mapInArrow(run, schema)
+    rows = kept(rows) if whole else kept_by(rows, "row")
     fitted = rows.filter(~held_out())
     topic = np.append(_topics(fitted, vocabulary), TOPICS)
     model = Model(total_of, vocabulary, n_docs, [], begins, rows_of, n - n_docs, topic)
