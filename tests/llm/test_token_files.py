@@ -22,6 +22,32 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
 
 
+LETTERED = ["a", "Z", "é", "ß", "ʼn", "İ", "ı", "Д", "ҁ", "҂", "Ω", "ﬁ", "́", "̧", "中", "½", "²", "0", "7", ".", ",", "(", "[", "`", "{", "~", "--", "'", "’", "'s",
+            "'LL", " ", "  ", "\n", "\xa0", "word", "Über"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_apart_from_signs_give_the_ids_of_the_whole_text(name):
+    encoder, rng = Encoder(public_path(name)), random.Random(6)
+    texts = ["".join(rng.choice(LETTERED) for _ in range(rng.randrange(1, 40))) for _ in range(5000)]
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, ids, want in zip(texts, encoder.encode_all(texts), whole):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+    words = sorted({w for t in texts for w in t.split(" ") if w})
+    alone = encoder.tokenizer.encode_batch([" " + w for w in words], add_special_tokens=False)
+    assert np.frombuffer(encoder.encode_words([words])[0], "<u4").tolist() == [i for x in alone for i in x.ids]
+
+
+def test_signs_do_not_make_a_word_new(monkeypatch):
+    encoder = Encoder(public_path("byte_bpe_50k.json"))
+    texts = [f"Ein Übermaß{a} und ({b}wort{a}" for a in (".", ",", "!", " ***", ": 12") for b in ("", "--", '"')]
+    encoder.encode_all(texts)
+    assert sum(p.strip().isalpha() for p in encoder) == 4  # every word is encoded once, whatever signs are next to it
+    monkeypatch.setattr("tidewatch.llm.tokens.CACHE_PIECES", 8)
+    for _ in range(5):
+        assert encoder.encode_all(texts) == Encoder(public_path("byte_bpe_50k.json")).encode_all(texts)
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
     for width in range(1, 33):

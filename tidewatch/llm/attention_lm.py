@@ -125,7 +125,7 @@ def subword_counts(counts: DataFrame, tokenizer: str, begins: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            found = coder.encode_once([" " + w for w in batch.column(0).to_pylist()])
+            found = coder.encode_words([[w] for w in batch.column(0).to_pylist()])
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             ids = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
             n = np.repeat(batch.column(1).to_numpy(), sizes)
@@ -493,7 +493,7 @@ class Model(Table):
 
 def _ids(texts: list[bytes], tokenizer: str) -> list[tuple[list[str], np.ndarray]]:
     words = [words_of(t) for t in texts]
-    found = encoder(tokenizer).encode_pieces([[" " + w for w in ws] for ws in words])
+    found = encoder(tokenizer).encode_words(words)
     return [(w, np.frombuffer(x, "<u4").astype(np.int64)) for w, x in zip(words, found)]
 
 

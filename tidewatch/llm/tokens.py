@@ -24,17 +24,35 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
+# Letters of every Unicode version that compose, lower and class alike everywhere: Latin (without the dotted capital I) and Cyrillic.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u02af\u0400-\u0481"
+# Runs of such letters and of ASCII signs and digits, where nothing follows that the tokenizer may join to them; else all up to the blank.
+RUNS = rf"[{LETTERS}]++(?![^\x00-\x7f]|')|{{0}}[!-&(-@\[-`{{{{-~]++(?![^{LETTERS}\s])|{{0}}\S+"
+CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
+
+
+class Encoder(dict):
     """``encode_all(texts)``: per text its ids as little-endian unsigned 32-bit integers.
 
     A text may be cut wherever the tokenizer itself always cuts: byte-level tokenizers with the usual pattern cut
     before a blank followed by non-blanks and around other white space; tokenizers that collapse white space cut
-    at it. The pieces are encoded by the tokenizer and remembered. Texts with special tokens or with the separators
-    that libraries class differently, and all texts of other kinds of tokenizers, are encoded as a whole.
+    at it; both cut between letters and signs, unless an apostrophe or a letter of another script is near. The pieces are
+    encoded by the tokenizer and remembered, in this dictionary; one run of letters needs no more cutting, so it goes to the
+    tokenizer's model at once. Texts with special tokens or with the separators that libraries class differently, and all
+    texts of other kinds of tokenizers, are encoded as a whole.
     """
 
-    BLANK_LED = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+    BLANK_LED = re.compile(r" ?" + RUNS.format(" ?") + r"|\s+(?!\S)|\s+").findall
+    BLANK_FREE = re.compile(RUNS.format("")).findall
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    RUN = re.compile(f" ?[{LETTERS}]+").fullmatch
+    BYTES = byte_letters()
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
@@ -43,58 +61,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
-        before, normalizer = about.get("pre_tokenizer") or {}, json.dumps(about.get("normalizer"))
-        self.cut = self.mark = None
-        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and normalizer == "null":
-            self.cut, self.mark = None if before.get("add_prefix_space") else self.BLANK_LED, "\n"
-        elif '"\\\\s+"' in normalizer and before.get("type") == "Sequence":
-            self.cut, self.mark = str.split, " | "
-        self.known: dict[str, bytes] = {}
+        before, normalizer = about.get("pre_tokenizer") or {}, about.get("normalizer")
+        self.cut = self.run = None
+        self.lower = False
+        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and normalizer is None:
+            self.cut = None if before.get("add_prefix_space") else self.BLANK_LED
+        elif '"\\\\s+"' in json.dumps(normalizer) and before.get("type") == "Sequence":
+            steps = before.get("pretokenizers") or []
+            same = [x.get("type") for x in normalizer.get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
+            same &= [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space")
+            self.lower = same and (steps[0].get("pattern"), steps[0].get("invert")) == ({"Regex": CONTRACTED}, True)
+            self.cut = self.BLANK_FREE if self.lower else str.split
+        model = about.get("model") or {}
+        if self.cut not in (None, str.split) and model.get("type") == "BPE" and not model.get("dropout"):
+            self.run = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
-        """Many short pieces cost least as one text, with a mark between them that always is one id of its own."""
-        mark, sign, text = self._encode([self.mark])[0], self.mark.strip(" "), self.mark.join(pieces)
-        odd = list(filter(str.isspace, pieces))
-        if text.count(sign) >= len(pieces):
-            odd = [p for p in pieces if sign in p or p.isspace()]
-        plain = list(set(pieces).difference(odd)) if odd else pieces
-        data = self._encode([self.mark.join(plain) if odd else text])[0]
-        cuts = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(mark, "<u4")[0])
-        if len(mark) != 4 or len(cuts) != len(plain) - 1:
-            return list(zip(pieces, self._encode(pieces)))
-        starts, ends = (4 * np.append(0, cuts + 1)).tolist(), (4 * np.append(cuts, len(data) // 4)).tolist()
-        found = list(zip(plain, [data[s:e] for s, e in zip(starts, ends)]))
-        return found + (list(zip(odd, self._encode(odd))) if odd else [])
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if self.run is None or not self.RUN(piece):
+                ids = self._encode([piece])[0]
+            else:
+                letters = piece.lstrip(" ").lower() if self.lower else piece
+                letters = letters.replace(" ", "\u0120") if letters.isascii() else letters.encode().decode("latin-1").translate(self.BYTES)
+                ids = array("I", [x.id for x in self.run(letters)]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def _forget(self) -> None:
+        """Pieces that have not come again since the last time are dropped when half the room is full."""
+        if len(self) > CACHE_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        self._forget()
+        return b"".join(map(self.__getitem__, pieces))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
             return self._encode(texts)
         first, *others = self.WHOLE
-        pieces = [None if first in t or any(w in t for w in others) else self.cut(t) for t in texts]
-        found = self.encode_pieces([p or [] for p in pieces])
-        return [self._encode([t])[0] if p is None else x for t, p, x in zip(texts, pieces, found)]
-
-    def encode_pieces(self, pieces: list[list[str]]) -> list[bytes]:
-        """The ids of each list of pieces, end to end."""
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {}
-            new = list(set().union(*pieces))
-        for at in range(0, len(new), 20_000):
-            self.known.update(self._encode_pieces(new[at : at + 20_000]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    def encode_once(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of some different pieces, which are not remembered."""
-        found: dict[str, bytes] = {}
-        for at in range(0, len(pieces), 20_000):
-            found.update(self._encode_pieces(pieces[at : at + 20_000]))
-        return [found[p] for p in pieces]
+        whole = lambda t: first in t or any(w in t for w in others)
+        return [self._encode([t])[0] if whole(t) else self._joined(self.cut(t)) for t in texts]
+
+    def encode_words(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words, a blank before each word, end to end as if each were encoded by itself."""
+        return [self._words(" " + " ".join(words), words) if words else b"" for words in texts]
+
+    def _words(self, text: str, words: list[str]) -> bytes:
+        if self.run is None or text.split() != words or any(w in text for w in self.WHOLE):  # white space inside words
+            return self._joined([" " + w for w in words])
+        return self._joined(self.cut(text))
 
 
 def encoder(path: str) -> Encoder:
