@@ -303,7 +303,9 @@ class Model(Table):
 
     def _forward(self, ids: np.ndarray):
         p = self.p
-        x = p["token"][ids] + p["class"][self.of[ids]] + p["place"]
+        x = np.take(p["token"], ids, axis=0)
+        x += np.take(p["class"], np.take(self.of, ids), axis=0)
+        x += p["place"]
         rows = x.reshape(-1, DIM)
         q, v = ((rows @ p[n]).reshape(x.shape) for n in "qv")
         across = np.ascontiguousarray((rows @ p["k"]).reshape(x.shape).transpose(0, 2, 1))
@@ -318,10 +320,13 @@ class Model(Table):
     def _last_layer(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """As :meth:`_forward`, at the places that count. The sums of the weights come from a column of ones in the values,
         so the weights themselves are passed over as seldom as can be."""
-        x = np.take(self.embedded, ids, axis=0) + self.p["place"]
+        x = np.take(self.embedded, ids, axis=0)
+        x += self.p["place"]
         rows = x.reshape(-1, DIM)
         q, k = ((rows @ w).reshape(x.shape) for w in (self.query, self.p["k"]))
-        v = (rows @ self.value + self.ones).reshape(*ids.shape, DIM + 1)
+        v = rows @ self.value
+        v[:, DIM] = 1  # the value's last column is zero
+        v = v.reshape(*ids.shape, DIM + 1)
         a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
@@ -404,7 +409,6 @@ class Model(Table):
         self.embedded = self.p["token"] + self.p["class"][self.of]
         self.query = self.p["q"] * np.float32(DIM**-0.5)
         self.value = np.concatenate((self.p["v"], np.zeros((DIM, 1), np.float32)), axis=1)
-        self.ones = (np.arange(DIM + 1) == DIM).astype(np.float32)
         self.outward = np.concatenate((self.p["out"], self.p["bias"][None]))
         self.share = np.exp(self.inside)
         self.sums = np.stack([np.ones(CLASSES, np.float32), self.starts], axis=1)
@@ -449,7 +453,8 @@ class Model(Table):
         state["step"] += 1
         x, q, k, v, a, mixed, h = self._forward(b)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = flat(h) @ p["out"] + p["bias"]
+        g = flat(h) @ p["out"]
+        g += p["bias"]
         np.clip(g, -80, 80, out=g)
         np.exp(g, out=g)
         g /= (g @ np.ones(CLASSES, np.float32))[:, None]
@@ -465,19 +470,26 @@ class Model(Table):
         da *= np.float32(DIM**-0.5)
         dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
         d |= {n: flat(x).T @ flat(m) for n, m in (("q", dq), ("k", dk), ("v", dv))}
-        dx = flat(dh) + flat(dq) @ p["q"].T + flat(dk) @ p["k"].T + flat(dv) @ p["v"].T
+        dx = flat(dh)
+        for n, m in (("q", dq), ("k", dk), ("v", dv)):
+            dx += flat(m) @ p[n].T
         d["place"] = dx.reshape(x.shape).sum(axis=0)
-        order = np.argsort(b.reshape(-1), kind="stable")
+        order = np.argsort(b.reshape(-1).astype(np.uint16 if self.end < 1 << 16 else np.int64), kind="stable")  # short keys are sorted by radix
         rows = b.reshape(-1)[order]
         start = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        rows, seen = rows[start], np.add.reduceat(dx[order], start, axis=0)
+        rows, seen = rows[start], np.add.reduceat(np.take(dx, order, axis=0), start, axis=0)
         d["class"] = (np.arange(CLASSES)[:, None] == self.of[rows]).astype(np.float32) @ seen
         one, two = 1 - 0.9 ** state["step"], 1 - 0.99 ** state["step"]
         for n, grad in [*d.items(), ("token", seen)]:
             at = rows if n == "token" else slice(None)
-            m, s = 0.9 * first[n][at] + 0.1 * grad, 0.99 * second[n][at] + 0.01 * grad * grad
-            first[n][at], second[n][at] = m, s
-            p[n][at] -= np.float32(rate) * (m / np.float32(one)) / (np.sqrt(s / np.float32(two)) + np.float32(1e-8))
+            held = (lambda x: np.take(x, at, axis=0)) if n == "token" else np.copy  # noqa: B023
+            m, s, now = held(first[n]), held(second[n]), held(p[n])
+            m *= np.float32(0.9)
+            m += 0.1 * grad
+            s *= np.float32(0.99)
+            s += 0.01 * grad * grad
+            now -= np.float32(rate) * (m / np.float32(one)) / (np.sqrt(s / np.float32(two)) + np.float32(1e-8))
+            first[n][at], second[n][at], p[n][at] = m, s, now
 
     def parameters(self) -> np.ndarray:
         """All trained weights as rows of ``DIM``, those of the subwords first."""
@@ -514,7 +526,7 @@ def _rows(table: DataFrame) -> np.ndarray:
 
 def _topics(learned: DataFrame, size: int) -> np.ndarray:
     """As :func:`topics`, over all rows of ``learned(ids, sketch)``: each turn adds up the sketches by cluster in the tasks."""
-    small = kept(learned.select("sketch"))
+    small = kept(learned.select("sketch")).coalesce(learned.sparkSession.sparkContext.defaultParallelism)
     points = lambda batch: np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<f4").reshape(-1, SKETCH).astype(np.float64)
 
     def sums(centre: np.ndarray | None, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -731,13 +743,14 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = n + n_docs, v + (n_docs > 0)
     top = commonest(counts, "c", FREQUENT)
-    frequent = {} if top is None else {r["word"]: r["c"] for r in top.collect()}
+    words = None if top is None else top.select("word", "c").toArrow()
+    frequent = {} if words is None else dict(zip(words["word"].to_pylist(), words["c"].to_pylist()))
     name = encoder(tokenizer).tokenizer.id_to_token
     begins = np.array([(name(i) or "")[:1] in ("Ġ", "▁") for i in range(vocabulary)] + [True])  # Ġ and ▁ stand for a blank
     pieces = subword_counts(counts, tokenizer, begins)
-    seen = pieces.filter("kind = 0").select("key", "n").collect()  # at most one row per subword of the tokenizer
+    seen = pieces.filter("kind = 0").select("key", "n").toArrow()  # at most one row per subword of the tokenizer
     total_of = np.zeros(vocabulary)
-    total_of[[r["key"] for r in seen]] = [r["n"] for r in seen]
+    total_of[seen["key"].to_numpy()] = seen["n"].to_numpy()
     begun = pieces.filter("kind = 1").select("key", "n", "ended")
     table = commonest(begun, "n", BEGINNINGS)
     rows_of = _rows(table) if table is not None else NO_ROWS
