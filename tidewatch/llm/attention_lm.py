@@ -7,6 +7,7 @@ import copy
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ RATIOS = 8  # steps of a factor of two, by which places are told apart when the
 FIXED = 1 << 20  # sums over tasks are of whole numbers, so that they do not depend on the order of the tasks
 FREQUENT = 300_000  # words whose counts go to every task; the others are joined
 DEPTH, BEGINNINGS = 8, 400_000  # subwords of a word beginning; how many of the commonest go to every task, others are joined
-CHUNK, BATCH_BYTES = 256, 500_000  # windows, and bytes of text, that are worked on at once
+CHUNK, PLACES, BATCH_BYTES = 64, 30_000, 500_000  # windows and places (few enough for a core's cache), and bytes of text, that are worked on at once
 SLOT_BITS, LEVELS = 20, 5  # bits that find a beginning in its table; steps of its count in the document
 NO_ROWS = np.zeros((0, 3), np.int64)
 
@@ -458,7 +459,7 @@ class Model(Table):
         np.clip(g, -80, 80, out=g)
         np.exp(g, out=g)
         g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g[np.arange(len(g)), self.of[targets].reshape(-1)] -= 1
+        g.reshape(-1)[np.arange(len(g)) * CLASSES + np.take(self.of, targets).reshape(-1)] -= 1
         g *= (live.reshape(-1, 1) / np.float32(max(1, live.sum()))).astype(np.float32)
         d = {"out": flat(h).T @ g, "bias": g.sum(axis=0)}
         dh = (g @ p["out"].T).reshape(x.shape)
@@ -679,7 +680,7 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndar
         if found.is_valid:
             rare.append(np.frombuffer(zs.ZstdDecompressor().decompress(found.as_py()), "<i8").reshape(-1, 3))
         size += len(docs[-1]) + 1
-        if size >= BATCH_BYTES // 4:
+        if size >= PLACES:
             yield docs, _distinct(rare)
             docs, rare, size = [], [], 0
     if docs:
@@ -778,7 +779,7 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
                 for words, _ in found:
                     c = np.array(list(map(frequent.get, words, [0] * len(words))), np.int64)
                     have = c > 0
-                    others = Counter(w for w, h in zip(words, have.tolist()) if not h)
+                    others = Counter(compress(words, (~have).tolist()))
                     tokens.append(len(words) + 1)
                     known.append(int(have.sum()) + (n_docs > 0))
                     base.append(float(np.log10((c[have] + 1) / total).sum() + end_base))
