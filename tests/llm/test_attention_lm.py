@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from tidewatch.llm import attention_lm as L
-from tidewatch.llm.tokens import public_path
+from tidewatch.llm.tokens import encoder, public_path
 
 
 NO_TABLE = np.zeros((0, 3), np.int64)
@@ -163,3 +163,64 @@ def test_the_mixture_fits_all_places(spark):
     L._tune(model, rows.repartition(3))
     assert not np.allclose(exact.weights, exact.prior)
     assert abs(model.scores(docs).sum() - exact.scores(docs).sum()) < 0.01 * abs(exact.scores(docs).sum())
+
+
+def test_frequent_words_are_not_cut_again(monkeypatch):
+    path = public_path("byte_bpe_50k.json")
+    coder = encoder(path)
+    odd = ["a\xa0b", "\xa0", "x\u2028y", "don't", "<|endoftext|>", "q\x1cr", "--", "a--b", "na\xefve", "\u65e5\u672c", "'s", "...'ll", "\u0120x", "12,5%"]
+    text = [f"{a}{b}" for a in ("tide", "rock,", "(dune", "lake-") for b in range(300)] + odd + ["the", "cat."] * 900
+    one_by_one = [x for w in text for x in coder.encode_words([[w]])]
+    assert coder.encode_each(text) == one_by_one
+    known = sorted(set(text[:1200:2]) | {"the", "a\xa0b"})
+    frequent = L.Frequent(known, np.arange(1, len(known) + 1), coder.encode_each(known))
+    cut: list[str] = []
+    monkeypatch.setattr(coder, "cut", lambda t, plain=coder.cut: cut.append(t) or plain(t))
+    monkeypatch.setattr(coder, "BLANK_LED", coder.cut, raising=False)
+    place, sizes, ids = frequent.encode(text, path)
+    assert ids.astype("<u4").tobytes() == b"".join(one_by_one)
+    assert sizes.tolist() == [len(x) // 4 for x in one_by_one]
+    assert [known[k] if k >= 0 else None for k in place] == [w if w in known else None for w in text]
+    assert not set(" ".join(cut).split(" ")) & (set(known) - {"a\xa0b"})
+    assert [len(x) for x in frequent.encode([], path)] == [0, 0, 0]
+
+
+def test_a_step_follows_the_slope_of_the_loss():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 12, n) for n in (50, 3, 70)]
+    model = L.Model(np.ones(12), 12, 3, [], np.zeros(13), NO_TABLE, 0)
+    model.p["token"] = rng.normal(size=model.p["token"].shape).astype(np.float32)
+    ids, targets, live = (np.concatenate(x) for x in zip(*map(model.windows, docs)))
+
+    def loss() -> float:
+        model.freeze()
+        own, _ = model.attend(ids, targets, live)
+        return -np.mean(np.log(own) - np.log(model.share[targets[live]]))
+
+    state = model.moments()
+    held = {k: v.copy() for k, v in model.p.items()}
+    model.step(ids, targets, live, state, 0.0)
+    assert all((model.p[k] == v).all() for k, v in held.items())
+    for name in held:
+        slope = state["first"][name] / np.float32(0.1)
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        ends = []
+        for by in (0.01, -0.01):
+            model.p[name][at] = held[name][at] + np.float32(by)
+            ends.append(loss())
+            model.p[name][at] = held[name][at]
+        assert abs((ends[0] - ends[1]) / 0.02 - slope[at]) < 0.02 * abs(slope[at]) + 1e-4, name
+    assert state["met"].tolist() == np.bincount(ids.reshape(-1), minlength=13).tolist()
+
+
+def test_sums_of_cells_are_exact_in_any_order():
+    rng = np.random.default_rng(7)
+    key = rng.integers(0, 65 * L.LEVELS * L.RATIOS**4, 5000)[rng.integers(0, 900, 20_000)]
+    values = [rng.integers(0, L.FIXED, len(key)) for _ in range(2)]
+    keys, sums = L._summed(key, values)
+    again = L._summed(*map(lambda x: x, L._summed(np.append(keys, keys[::-1]), [np.append(x, x[::-1]) for x in sums])))
+    for got, times in (((keys, sums), 1), (again, 2)):
+        assert got[0].tolist() == np.unique(key).tolist()
+        for x, y in zip(values, got[1]):
+            assert [times * int(x[key == k].sum()) for k in got[0][:50]] == y[:50].tolist()
+    assert [len(x) for x in L._summed(key[:0], [v[:0] for v in values])[1]] == [0, 0]

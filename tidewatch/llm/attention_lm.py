@@ -7,7 +7,7 @@ import copy
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,9 +99,9 @@ def beginnings(ids: np.ndarray, begins: np.ndarray, first: np.ndarray | None = N
     return out.view(np.int64), depth
 
 
-def earlier(doc: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per place: how many earlier places of its document have its key, how many of those are flagged, and both numbers
-    over the whole document."""
+def earlier(doc: np.ndarray, key: np.ndarray, flag: np.ndarray, over_all: bool = True) -> tuple[np.ndarray, ...]:
+    """Per place: how many earlier places of its document have its key, how many of those are flagged, and, if ``over_all``, both
+    numbers over the whole document."""
     n = len(key)
     bits = np.uint64(max(1, int(n).bit_length()))
     mixed = (key.view(np.uint64) ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
@@ -109,16 +109,30 @@ def earlier(doc: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[np.ndar
     place, group = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64), packed >> bits
     new = np.append(True, group[1:] != group[:-1])
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, n))
-    flagged = np.cumsum(flag[place]) - flag[place]  # before the place, in sorted order
-    marks = np.add.reduceat(flag[place].astype(np.int64), first)
-    out = np.empty((4, n), np.int64)
-    out[0, place] = np.arange(n) - np.repeat(first, size)
-    out[1, place] = flagged - np.repeat(flagged[first], size)
-    out[2, place], out[3, place] = np.repeat(size, size), np.repeat(marks, size)
+    group = np.cumsum(new) - 1
+    marked = flag[place].astype(np.int64)
+    flagged = np.cumsum(marked) - marked  # before the place, in sorted order
+    out = np.empty((4 if over_all else 2, n), np.int64)
+    out[0, place] = np.arange(n) - np.take(first, group)
+    out[1, place] = flagged - np.take(flagged[first], group)
+    if over_all:
+        out[2, place], out[3, place] = np.take(np.diff(np.append(first, n)), group), np.take(np.add.reduceat(marked, first), group)
     return tuple(out)
 
 
+def shifted(x: np.ndarray, first: np.ndarray, at_first: int) -> np.ndarray:
+    """Per place, what the place before it has; ``at_first`` where a document begins."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = at_first
+    return out
+
+
+def doublings(x: np.ndarray) -> np.ndarray:
+    """0 for 0, else one more than the whole part of the number's logarithm to the base 2."""
+    return np.maximum((x.astype(np.float64).view(np.int64) >> 52) - 1022, 0)
+
+
 def subword_counts(counts: DataFrame, tokenizer: str, begins: np.ndarray) -> DataFrame:
     """``(kind, key, n, ended)`` over the counted words. Kind 0: how often the subword id ``key`` occurs. Kind 1: words that
     begin with the subwords hashed in ``key``, and those that consist of them. Summed up inside each batch first."""
@@ -126,7 +140,7 @@ def subword_counts(counts: DataFrame, tokenizer: str, begins: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            found = coder.encode_words([[w] for w in batch.column(0).to_pylist()])
+            found = coder.encode_each(batch.column(0).to_pylist())
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             ids = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
             n = np.repeat(batch.column(1).to_numpy(), sizes)
@@ -206,9 +220,12 @@ class Table:
     def __init__(self, table: np.ndarray, begins: np.ndarray):
         self.begins = begins
         table = table[np.argsort(table[:, 0].copy().view(np.uint64))]
-        self.keys, self.n, self.ended = table[:, 0].copy().view(np.uint64), table[:, 1].copy(), table[:, 2].copy()
+        self.keys = table[:, 0].copy().view(np.uint64)
+        self.n, self.ended = (np.append(table[:, k], 0) for k in (1, 2))  # the last row is for beginnings that are not there
         self.slot = np.searchsorted(self.keys, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
         self.slot = np.append(self.slot, len(self.keys)).astype(np.int32)
+        alone = np.arange(len(begins))
+        self.single = self.counted(beginnings(alone, begins, alone)[0])  # rows of the beginnings of one subword
 
     def counted(self, key: np.ndarray) -> np.ndarray:
         """Row of the corpus's table per beginning, -1 where it has none."""
@@ -225,10 +242,19 @@ class Table:
             open_ = open_[at[open_] < stop[open_]]
         return out
 
-    def counts_of(self, key: np.ndarray, depth: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rows_of(self, ids: np.ndarray, key: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """As :meth:`counted`, for beginnings with that last subword and depth; -1 for those that are too deep, too."""
+        at = np.take(self.single, ids)
+        deep = np.flatnonzero(depth > 1)
+        at[deep] = -1
+        deep = deep[np.take(depth, deep) <= DEPTH]
+        at[deep] = self.counted(np.take(key, deep))
+        return at
+
+    def counts_of(self, ids: np.ndarray, key: np.ndarray, depth: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of the corpus that begin so, and those that end there too; ``rare`` as the table, for keys it does not have."""
-        at = np.where(depth <= DEPTH, self.counted(key), -1)
-        n, ended = (np.where(at >= 0, c[at], 0) if len(c) else at * 0 for c in (self.n, self.ended))
+        at = self.rows_of(ids, key, depth)
+        n, ended = np.take(self.n, at), np.take(self.ended, at)
         if len(rare):
             rare = rare[np.argsort(rare[:, 0])]
             open_ = np.flatnonzero((at < 0) & (depth <= DEPTH))
@@ -248,8 +274,7 @@ class Table:
             return [np.zeros(0, np.int64) for _ in docs]
         flat, first = np.concatenate(docs), (np.cumsum(sizes) - sizes)[sizes > 0]
         key, depth = beginnings(flat, self.begins, first)
-        missing = np.flatnonzero(depth <= DEPTH)
-        missing = missing[self.counted(key[missing]) < 0]
+        missing = np.flatnonzero((self.rows_of(flat, key, depth) < 0) & (depth <= DEPTH))
         doc = np.repeat(np.arange(len(docs)), sizes)[missing]
         return [np.unique(k) for k in np.split(key[missing], np.searchsorted(doc, np.arange(1, len(docs))))]
 
@@ -276,6 +301,7 @@ class Model(Table):
         begins[size] = True
         super().__init__(table, begins)
         self.ends, self.words = ends, words
+        self.level = np.minimum(doublings(np.arange(1, 1 << LEVELS)) - 1, LEVELS - 1)  # by the count in the document so far
         # By the beginning's count in the corpus (none, or its power of two) and in the document. Ways that know nothing have no weight.
         self.prior = np.full((65, LEVELS, 4), 1 / 4)
         self.prior[0, 0], self.prior[0, 1:] = (1, 0, 0, 0), (0.5, 0, 0, 0.5)
@@ -302,24 +328,8 @@ class Model(Table):
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         self.freeze()
 
-    def _forward(self, ids: np.ndarray):
-        p = self.p
-        x = np.take(p["token"], ids, axis=0)
-        x += np.take(p["class"], np.take(self.of, ids), axis=0)
-        x += p["place"]
-        rows = x.reshape(-1, DIM)
-        q, v = ((rows @ p[n]).reshape(x.shape) for n in "qv")
-        across = np.ascontiguousarray((rows @ p["k"]).reshape(x.shape).transpose(0, 2, 1))
-        a = (q * np.float32(DIM**-0.5)) @ across
-        np.clip(a, -60, 60, out=a)  # so that no row needs its maximum taken off
-        np.exp(a, out=a)
-        a *= self.mask
-        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(*ids.shape, 1)
-        mixed = a @ v
-        return x, q, across.transpose(0, 2, 1), v, a, mixed, x + (mixed.reshape(-1, DIM) @ p["o"]).reshape(x.shape)
-
     def _last_layer(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """As :meth:`_forward`, at the places that count. The sums of the weights come from a column of ones in the values,
+        """The attention's outcome at the places that count. The sums of the weights come from a column of ones in the values,
         so the weights themselves are passed over as seldom as can be."""
         x = np.take(self.embedded, ids, axis=0)
         x += self.p["place"]
@@ -356,39 +366,47 @@ class Model(Table):
         found = [self.attend(ids[k : k + CHUNK], targets[k : k + CHUNK], counts[k : k + CHUNK]) for k in range(0, len(ids), CHUNK)]
         attention, begin = (np.concatenate(x) for x in zip(*found))
         sizes = np.array([len(d) + 1 for d in docs])
-        flat = np.concatenate([np.append(d, self.end) for d in docs])
+        flat = np.concatenate([x for d in docs for x in (d, [self.end])])
         doc, first = np.repeat(np.arange(len(docs)), sizes), np.cumsum(sizes) - sizes
         key, depth = beginnings(flat, self.begins)
         starts = self.begins[flat]
         last = np.append(starts[1:], True)  # the word ends here
-        n, ended = self.counts_of(key, depth, rare)
-        before, before_ended, whole, whole_ended = earlier(doc, key + (depth > DEPTH), last)
-        words = self.words + self.ends
+        n, ended = self.counts_of(flat, key, depth, rare)
+        before, before_ended, *whole = earlier(doc, key + (depth > DEPTH), last, counted_too)
+        words = np.float64(max(1, self.words + self.ends))
         if counted_too:
-            n, ended = np.maximum(n - whole, 0), np.maximum(ended - whole_ended, 0)
-            words = words - np.add.reduceat(starts.astype(np.int64), first)[doc]
-        is_end = flat == self.end
+            n, ended = np.maximum(n - whole[0], 0), np.maximum(ended - whole[1], 0)
+            words = np.maximum(1, self.words + self.ends - np.add.reduceat(starts.astype(np.int64), first))[doc]
+        is_end = first + sizes - 1
         n[is_end] = ended[is_end] = self.ends - counted_too
-        shift = lambda x, at_first: np.where(np.arange(len(x)) == np.repeat(first, sizes), at_first, np.append(at_first, x[:-1]))
-        n_before, ended_before = shift(n, self.ends), shift(ended, self.ends)
-        deep = shift(depth, 1) >= DEPTH
+        n_before, ended_before = shifted(n, first, self.ends), shifted(ended, first, self.ends)
+        deep = np.flatnonzero(shifted(depth, first, 1) >= DEPTH)
         n_before[deep] = ended_before[deep] = 0
-        doc_before, doc_ended = shift(before, 0), shift(before_ended, 0)
+        doc_before, doc_ended = shifted(before, first, 0), shifted(before_ended, first, 0)
         doc_before[deep] = 0
-        level = np.minimum(np.log2(doc_before + 1).astype(np.int64), LEVELS - 1)
-        bucket = np.where(n_before > 0, 1 + np.log2(np.maximum(n_before, 1)).astype(np.int64), 0) * LEVELS + level
+        bucket = doublings(n_before) * LEVELS + np.take(self.level, np.minimum(doc_before, len(self.level) - 1))
+        out = np.empty((4, len(flat)))  # a row per part; the transpose is returned
         over = np.maximum(n_before, 1)
-        within, stop = np.minimum(1, n / over), np.minimum(1, ended_before / over)
-        counted = np.where(starts, stop * n / np.maximum(1, words), within)
-        mixed = np.where(starts, np.minimum(1, stop * attention / np.maximum(begin, 1e-9)), within)
-        seen = doc_before > 0
-        over = np.maximum(doc_before, 1)
+        within = np.minimum(1, n / over)
+        out[0] = attention
+        out[1:] = within
+        new = np.flatnonzero(starts)
+        stop, first_n = np.minimum(1, ended_before[new] / over[new]), n[new]
+        out[1, new] = stop * first_n / (words if np.ndim(words) == 0 else words[new])
+        out[2, new] = np.minimum(1, stop * attention[new] / np.maximum(begin[new], 1e-9))
         words_before = np.cumsum(starts) - starts
-        words_before = np.maximum(1, words_before - np.repeat(words_before[first], sizes))
-        here = np.where(starts, np.where(seen, doc_ended / over, stop) * before / words_before, np.where(seen, before / over, within))
-        here[is_end] = 0
-        here[first] = counted[first]  # no word before: the corpus says what words begin with
-        return np.stack([attention, counted, mixed, np.minimum(1, here)], axis=1), bucket
+        words_before = np.maximum(1, words_before - words_before[first][doc])[new]
+        inside = np.flatnonzero(doc_before)
+        seen = np.take(doc_before, inside)
+        out[3, inside] = before[inside] / seen
+        here = stop
+        of_seen = np.flatnonzero(np.take(doc_before, new))
+        here[of_seen] = doc_ended[new[of_seen]] / doc_before[new[of_seen]]
+        out[3, new] = here * before[new] / words_before
+        out[3, is_end] = 0
+        out[3, first] = out[1, first]  # no word before: the corpus says what words begin with
+        np.minimum(out[3], 1, out=out[3])
+        return out.T, bucket
 
     def tune(self, docs: list[np.ndarray], rare: np.ndarray = NO_ROWS) -> None:
         """Weights of the mixture from ``docs``, which were counted."""
@@ -430,7 +448,7 @@ class Model(Table):
         if not docs:
             return np.zeros(0)
         p, bucket = self.ways(docs, rare=rare)
-        whole = (p * self.weights[bucket]).sum(axis=1)
+        whole = sum(np.take(self.weights[:, k], bucket) * p[:, k] for k in range(4))
         first = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])[:-1]))
         return np.add.reduceat(np.log10(np.maximum(whole, 1e-300)), first)
 
@@ -446,40 +464,61 @@ class Model(Table):
         self.freeze()
 
     def moments(self) -> dict:
-        return {"step": 0, "first": {k: np.zeros_like(v) for k, v in self.p.items()}, "second": {k: np.zeros_like(v) for k, v in self.p.items()}}
+        return {"step": 0, "met": np.zeros(self.end + 1, np.int64), "first": {k: np.zeros_like(v) for k, v in self.p.items()}, "second": {k: np.zeros_like(v) for k, v in self.p.items()}}
 
     def step(self, b: np.ndarray, targets: np.ndarray, live: np.ndarray, state: dict, rate: float) -> None:
         """One step of Adam on a batch of windows."""
         p, first, second = self.p, state["first"], state["second"]
         state["step"] += 1
-        x, q, k, v, a, mixed, h = self._forward(b)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = flat(h) @ p["out"]
-        g += p["bias"]
+        scale, flat = np.float32(DIM**-0.5), lambda m: m.reshape(-1, m.shape[-1])
+        x = np.take(p["token"], b, axis=0)
+        x += np.take(p["class"], np.take(self.of, b), axis=0)
+        x += p["place"]
+        rows = flat(x)
+        # A column of ones in the values sums up the weights of a place, which are never divided themselves.
+        q, k, v = (rows @ (p["q"] * scale)).reshape(x.shape), (rows @ p["k"]).reshape(x.shape), np.ones((*b.shape, DIM + 1), np.float32)
+        v[..., :DIM] = (rows @ p["v"]).reshape(x.shape)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        np.clip(a, -60, 60, out=a)  # so that no row needs its maximum taken off
+        np.exp(a, out=a)
+        a *= self.mask
+        mixed = flat(a @ v)
+        over = 1 / mixed[:, DIM:]
+        mixed = mixed[:, :DIM] * over
+        at = np.flatnonzero(live)  # the others have no loss
+        own = np.arange(len(at)) * CLASSES + np.take(self.of, targets.reshape(-1)[at])
+        h = np.ones((len(at), DIM + 1), np.float32)
+        h[:, :DIM] = np.take(rows + mixed @ p["o"], at, axis=0)
+        g = h @ np.concatenate((p["out"], p["bias"][None]))
         np.clip(g, -80, 80, out=g)
         np.exp(g, out=g)
-        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g.reshape(-1)[np.arange(len(g)) * CLASSES + np.take(self.of, targets).reshape(-1)] -= 1
-        g *= (live.reshape(-1, 1) / np.float32(max(1, live.sum()))).astype(np.float32)
-        d = {"out": flat(h).T @ g, "bias": g.sum(axis=0)}
-        dh = (g @ p["out"].T).reshape(x.shape)
-        d["o"] = flat(mixed).T @ flat(dh)
-        dm = (flat(dh) @ p["o"].T).reshape(x.shape)
-        da = dm @ np.ascontiguousarray(v.transpose(0, 2, 1))
-        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+        share = np.float32(1 / max(1, len(at)))
+        g *= (share / (g @ np.ones(CLASSES, np.float32)))[:, None]
+        g.reshape(-1)[own] -= share
+        out = h.T @ g
+        d = {"out": out[:DIM], "bias": out[DIM]}
+        dx = np.zeros_like(rows)
+        dx[at] = g @ p["out"].T
+        d["o"] = mixed.T @ dx
+        dm = dx @ p["o"].T
+        # By the weights' logarithms: the weight times (its value's gain less the place's mean gain).
+        gain = np.empty_like(v)
+        np.multiply(dm, over, out=flat(gain)[:, :DIM])
+        flat(gain)[:, DIM] = -np.einsum("ij,ij->i", dm, mixed) * over[:, 0]
+        da = gain @ np.ascontiguousarray(v.transpose(0, 2, 1))
         da *= a
-        da *= np.float32(DIM**-0.5)
-        dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
-        d |= {n: flat(x).T @ flat(m) for n, m in (("q", dq), ("k", dk), ("v", dv))}
-        dx = flat(dh)
-        for n, m in (("q", dq), ("k", dk), ("v", dv)):
-            dx += flat(m) @ p[n].T
+        dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ np.ascontiguousarray(gain[..., :DIM])
+        dq *= scale
+        inner = np.concatenate((flat(dq), flat(dk), flat(dv)), axis=1)
+        d |= zip("qkv", np.split(rows.T @ inner, 3, axis=1))
+        dx += inner @ np.concatenate([p[n] for n in "qkv"], axis=1).T
         d["place"] = dx.reshape(x.shape).sum(axis=0)
         order = np.argsort(b.reshape(-1).astype(np.uint16 if self.end < 1 << 16 else np.int64), kind="stable")  # short keys are sorted by radix
         rows = b.reshape(-1)[order]
         start = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         rows, seen = rows[start], np.add.reduceat(np.take(dx, order, axis=0), start, axis=0)
-        d["class"] = (np.arange(CLASSES)[:, None] == self.of[rows]).astype(np.float32) @ seen
+        d["class"] = np.take(np.eye(CLASSES, dtype=np.float32), self.of[rows], axis=0).T @ seen
+        state["met"][rows] += np.diff(np.append(start, b.size))
         one, two = 1 - 0.9 ** state["step"], 1 - 0.99 ** state["step"]
         for n, grad in [*d.items(), ("token", seen)]:
             at = rows if n == "token" else slice(None)
@@ -504,10 +543,43 @@ class Model(Table):
         self.freeze()
 
 
-def _ids(texts: list[bytes], tokenizer: str) -> list[tuple[list[str], np.ndarray]]:
-    words = [words_of(t) for t in texts]
-    found = encoder(tokenizer).encode_words(words)
-    return [(w, np.frombuffer(x, "<u4").astype(np.int64)) for w, x in zip(words, found)]
+def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """``words(word, c)`` with the ids of each word, a blank before it, as little-endian unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer)
+        for batch in batches:
+            found = coder.encode_each(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["word", "c", "ids"])
+
+    return words.select("word", "c").mapInArrow(run, "word string, c long, ids binary")
+
+
+class Frequent:
+    """The words that go to every task, with their counts and ids; the others are encoded where they are met."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, ids: list[bytes]):
+        self.place = dict(zip(words, range(len(words))))
+        self.counts = counts
+        self.sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.frombuffer(b"".join(ids), "<u4")
+
+    def encode(self, words: list[str], tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word its place here, or -1, and how many ids it has; and all ids, end to end."""
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        known = place >= 0
+        others = list(compress(words, (~known).tolist()))
+        found = encoder(tokenizer).encode_each(others)
+        sizes = np.empty(len(words), np.int64)
+        sizes[known] = self.sizes[place[known]]
+        sizes[~known] = [len(x) // 4 for x in found]
+        source = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
+        first = np.empty(len(words), np.int64)
+        first[known] = self.first[place[known]]
+        first[~known] = len(self.ids) + np.cumsum(sizes[~known]) - sizes[~known]
+        at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        return place, sizes, np.take(source, at)
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -591,7 +663,7 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
             model = copy.copy(shipped.value)
             model.p = {k: v.copy() for k, v in model.p.items()}
             rng, state, size = np.random.default_rng((turn, TaskContext.get().partitionId())), model.moments(), model.end + 1
-            met, all_, held = np.zeros(size, np.int64), 0, []
+            met, all_, held, waiting = state["met"], 0, [], 0
 
             def fit(held: list, last: bool) -> list:
                 ids, targets, live = (np.concatenate(x) for x in zip(*held))
@@ -600,7 +672,6 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
                 for at in range(0, stop, BATCH):
                     pick = mixed[at : min(at + BATCH, stop)]
                     model.step(ids[pick], targets[pick], live[pick], state, RATE / 2**turn)
-                    met[:] += np.bincount(ids[pick].reshape(-1), minlength=size)
                 rest = mixed[stop:]
                 return [(ids[rest], targets[rest], live[rest])] if len(rest) else []
 
@@ -610,8 +681,10 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
                     all_ += len(found[0])
                     for at in range(0, len(found[0]), BUFFER):
                         held.append(tuple(x[at : at + BUFFER] for x in found))
-                        if sum(len(x) for x, _, _ in held) >= BUFFER:
+                        waiting += len(held[-1][0])
+                        if waiting >= BUFFER:
                             held = fit(held, False)
+                            waiting = sum(len(x) for x, _, _ in held)
             if held:
                 fit(held, True)
             rows = model.parameters().astype(np.float64)
@@ -632,20 +705,22 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
 
 
 def _cells(p: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per place, a number that says in steps of a factor of two how its ways compare, in its bucket, and how they do exactly."""
-    ratio = p / np.maximum(p.max(axis=1, keepdims=True), 1e-300)
-    level = np.minimum(0.5 - np.log2(np.maximum(ratio, 1e-9)), RATIOS - 1).astype(np.int64)
+    """Per place, a number that says in steps of a factor of two how its ways compare, in its bucket; and a row for each way of
+    how they do exactly."""
+    ratio = p.T / np.maximum(p.max(axis=1), 1e-300)
+    level = np.minimum(1022 - ((ratio * 0.5**0.5).view(np.int64) >> 52), RATIOS - 1)  # the nearest power of two, from the exponent
     cell = bucket
     for k in range(4):
-        cell = cell * RATIOS + level[:, k]
+        cell = cell * RATIOS + level[k]
     return cell, np.rint(ratio * FIXED).astype(np.int64)
 
 
-def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[start], np.add.reduceat(values[order], start, axis=0)
+def _summed(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of the values by key, which is below 2**31."""
+    packed = np.sort(key << 32 | np.arange(len(key)))
+    key, order = packed >> 32, packed & (1 << 32) - 1
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+    return key[start], [np.add.reduceat(np.take(x, order), start) for x in values]
 
 
 def _tune(model: Model, learned: DataFrame) -> None:
@@ -655,13 +730,22 @@ def _tune(model: Model, learned: DataFrame) -> None:
     shipped = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, sums = shipped.value, np.zeros(0, np.int64), np.zeros((0, 5), np.int64)
+        model, held, some, least = shipped.value, [], 0, 0
+
+        def merged() -> tuple[np.ndarray, list[np.ndarray]]:
+            return _summed(np.concatenate([k for k, _ in held]), [np.concatenate(x) for x in zip(*(v for _, v in held))])
+
         for batch in batches:
             for docs, rare in _portions(batch):
                 cell, ratio = _cells(*model.ways(docs, True, rare))
-                key, total = _summed(cell, np.concatenate((np.ones((len(cell), 1), np.int64), ratio), axis=1))
-                keys, sums = _summed(np.append(keys, key), np.concatenate((sums, total)))
-        yield pa.record_batch([pa.array(keys), *(pa.array(sums[:, k]) for k in range(5))], names=["cell", "n", "a", "b", "c", "d"])
+                held.append(_summed(cell, [np.ones(len(cell), np.int64), *ratio]))
+                some += len(held[-1][0])
+                if some > 2 * least + 8 * PLACES:  # merged when there are many more than the last time
+                    held = [merged()]
+                    some = least = len(held[0][0])
+        if held:
+            keys, sums = merged()
+            yield pa.record_batch([pa.array(keys), *map(pa.array, sums)], names=["cell", "n", "a", "b", "c", "d"])
 
     parts = learned.select("ids", "rare").mapInArrow(run, "cell long, n long, a long, b long, c long, d long")
     found = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "nabcd"]).orderBy("cell").toArrow()  # at most RATIOS**4 rows a bucket
@@ -744,8 +828,8 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = n + n_docs, v + (n_docs > 0)
     top = commonest(counts, "c", FREQUENT)
-    words = None if top is None else top.select("word", "c").toArrow()
-    frequent = {} if words is None else dict(zip(words["word"].to_pylist(), words["c"].to_pylist()))
+    found = None if top is None else encoded_words(top, tokenizer).toArrow()
+    frequent = Frequent([], np.zeros(0, np.int64), []) if found is None else Frequent(found["word"].to_pylist(), found["c"].to_numpy(), found["ids"].to_pylist())
     name = encoder(tokenizer).tokenizer.id_to_token
     begins = np.array([(name(i) or "")[:1] in ("Ġ", "▁") for i in range(vocabulary)] + [True])  # Ġ and ▁ stand for a blank
     pieces = subword_counts(counts, tokenizer, begins)
@@ -761,7 +845,8 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
     total = n + v + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, frequent, place, rays = shipped.value
+        table, frequent, column, rays = shipped.value
+        logs = np.log10((frequent.counts + 1) / total)
         row = TaskContext.get().partitionId() << 33
         end_base = np.log10(((n_docs or 0) + 1) / total)
         for batch in _slices(batches):
@@ -772,17 +857,18 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
                 while to < len(texts) and (to == at or size + len(texts[to]) < BATCH_BYTES):
                     size += len(texts[to])
                     to += 1
-                found = _ids(texts[at:to], tokenizer)
-                ids = [x for _, x in found]
+                words = [words_of(t) for t in texts[at:to]]
+                place, sizes, flat = frequent.encode(list(chain.from_iterable(words)), tokenizer)
+                ends = np.cumsum([len(x) for x in words])
+                ids = np.split(flat.astype(np.int64), np.append(0, np.cumsum(sizes))[ends[:-1]])
                 later = None if whole else table.unknown_of(ids)
                 tokens, known, base, rest, times = [], [], [], [], []
-                for words, _ in found:
-                    c = np.array(list(map(frequent.get, words, [0] * len(words))), np.int64)
-                    have = c > 0
-                    others = Counter(compress(words, (~have).tolist()))
-                    tokens.append(len(words) + 1)
+                for here, spot in zip(words, np.split(place, ends[:-1])):
+                    have = spot >= 0
+                    others = Counter(compress(here, (~have).tolist()))
+                    tokens.append(len(here) + 1)
                     known.append(int(have.sum()) + (n_docs > 0))
-                    base.append(float(np.log10((c[have] + 1) / total).sum() + end_base))
+                    base.append(float(logs[spot[have]].sum() + end_base))
                     rest.append(list(others.keys()))
                     times.append(list(others.values()))
                 yield pa.RecordBatch.from_pydict({
@@ -790,7 +876,7 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
                     "n_tokens": pa.array(tokens, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()),
                     "rest": pa.array(rest, pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64())),
                     "ids": pa.array(list(map(_packed, ids)), pa.binary()),
-                    "sketch": pa.array([x.tobytes() for x in sketch(ids, place, rays).astype("<f4")], pa.binary()),
+                    "sketch": pa.array([x.tobytes() for x in sketch(ids, column, rays).astype("<f4")], pa.binary()),
                     "keys": pa.array(later, pa.list_(pa.int64())) if not whole else pa.nulls(len(ids), pa.list_(pa.int64())),
                 })
                 row, at = row + to - at, to

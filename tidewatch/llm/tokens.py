@@ -9,6 +9,7 @@ import sys
 import types
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ class Encoder(dict):
     BLANK_LED = re.compile(r" ?" + RUNS.format(" ?") + r"|\s+(?!\S)|\s+").findall
     BLANK_FREE = re.compile(RUNS.format("")).findall
     WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    ODD = re.compile(r"\s|<\||[\x1c-\x1f]").search
     RUN = re.compile(f" ?[{LETTERS}]+").fullmatch
     BYTES = byte_letters()
 
@@ -114,6 +116,28 @@ class Encoder(dict):
         """The ids of each list of words, a blank before each word, end to end as if each were encoded by itself."""
         return [self._words(" " + " ".join(words), words) if words else b"" for words in texts]
 
+    def encode_each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by itself, a blank before it."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            text = " " + " ".join(part)
+            if self.run is None or self.cut is not self.BLANK_LED:
+                out += self.encode_words([[w] for w in part])
+            elif text.split() != part or any(w in text for w in self.WHOLE):  # words with white space inside, or to be left whole
+                plain = [self.ODD(w) is None for w in part]
+                found = iter(self.encode_each(list(compress(part, plain))))
+                out += [next(found) if same else self.encode_words([[w]])[0] for w, same in zip(part, plain)]
+            else:
+                self._forget()
+                pieces = self.cut(text)
+                found = list(map(self.__getitem__, pieces))
+                if len(found) > len(part):  # a word's first piece holds the blank
+                    first = [k for k, piece in enumerate(pieces) if piece[0] == " "]
+                    found = [found[a] if b == a + 1 else b"".join(found[a:b]) for a, b in zip(first, [*first[1:], len(found)])]
+                out += found
+        return out
+
     def _words(self, text: str, words: list[str]) -> bytes:
         if self.run is None or text.split() != words or any(w in text for w in self.WHOLE):  # white space inside words
             return self._joined([" " + w for w in words])
