@@ -531,6 +531,12 @@ class Model(Table):
             now -= np.float32(rate) * (m / np.float32(one)) / (np.sqrt(s / np.float32(two)) + np.float32(1e-8))
             first[n][at], second[n][at], p[n][at] = m, s, now
 
+    def trainee(self) -> Model:
+        """What training needs of the model: without the counts of beginnings and what only scoring reads."""
+        light, none = copy.copy(self), np.zeros(0, np.int64)
+        light.keys = light.n = light.ended = light.slot = light.single = light.embedded = light.share = light.inside = none
+        return light
+
     def parameters(self) -> np.ndarray:
         """All trained weights as rows of ``DIM``, those of the subwords first."""
         return np.concatenate([v.reshape(-1, DIM) for v in self.p.values()])
@@ -657,7 +663,7 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
     parts = ROUNDS if windows >= ROUNDS * STEPS * BATCH else 1
     names = [f"v{k}" for k in range(DIM)]
     for turn in range(ROUNDS):
-        shipped = spark.sparkContext.broadcast(model)
+        shipped = spark.sparkContext.broadcast(model.trainee())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = copy.copy(shipped.value)
@@ -701,7 +707,7 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
         rows = model.parameters().astype(np.float64)
         rows[found["at"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1) / FIXED / found["w"].to_numpy()[:, None]
         model.put(rows)
-        shipped.unpersist()
+        shipped.destroy()  # its files, too
 
 
 def _cells(p: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -753,7 +759,7 @@ def _tune(model: Model, learned: DataFrame) -> None:
         n = found["n"].to_numpy()
         p = np.stack([found[c].to_numpy() for c in "abcd"], axis=1) / FIXED / n[:, None]
         model.weigh(p, found["cell"].to_numpy() // RATIOS**4, n)
-    shipped.unpersist()
+    shipped.destroy()
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -884,6 +890,7 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
     schema = "row long, doc_id long, n_tokens long, known long, base double, rest array<string>, times array<long>, ids binary, sketch binary, keys array<long>"
     rows = docs.mapInArrow(run, schema)
     rows = kept(rows) if whole else kept_by(rows, "row")
+    shipped.destroy()
     fitted = rows.filter(~held_out())
     topic = np.append(_topics(fitted, vocabulary), TOPICS)
     model = Model(total_of, vocabulary, n_docs, [], begins, rows_of, n - n_docs, topic)
