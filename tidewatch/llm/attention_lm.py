@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import LOWER, shared_path, utf8
-from .tokens import encoder
+from .tokens import encoder, release
 
 DIM, CLASSES, WINDOW, STRIDE, TOPICS = 16, 64, 32, 28, 6
 STEPS, BATCH, RATE = 500, 96, 0.02  # a task trains on at least so many batches of windows, if the corpus has them
@@ -666,6 +666,7 @@ def _train(model: Model, learned: DataFrame, windows: float) -> None:
         shipped = spark.sparkContext.broadcast(model.trainee())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()  # all is encoded by now
             model = copy.copy(shipped.value)
             model.p = {k: v.copy() for k, v in model.p.items()}
             rng, state, size = np.random.default_rng((turn, TaskContext.get().partitionId())), model.moments(), model.end + 1
@@ -746,7 +747,7 @@ def _tune(model: Model, learned: DataFrame) -> None:
                 cell, ratio = _cells(*model.ways(docs, True, rare))
                 held.append(_summed(cell, [np.ones(len(cell), np.int64), *ratio]))
                 some += len(held[-1][0])
-                if some > 2 * least + 8 * PLACES:  # merged when there are many more than the last time
+                if some > 2 * least + 4 * PLACES:  # merged when there are many more than the last time
                     held = [merged()]
                     some = least = len(held[0][0])
         if held:
@@ -834,7 +835,7 @@ def score_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFra
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = n + n_docs, v + (n_docs > 0)
     top = commonest(counts, "c", FREQUENT)
-    found = None if top is None else encoded_words(top, tokenizer).toArrow()
+    found = None if top is None else encoded_words(top, tokenizer).toArrow().sort_by([("c", "descending")])  # the commonest lie close together
     frequent = Frequent([], np.zeros(0, np.int64), []) if found is None else Frequent(found["word"].to_pylist(), found["c"].to_numpy(), found["ids"].to_pylist())
     name = encoder(tokenizer).tokenizer.id_to_token
     begins = np.array([(name(i) or "")[:1] in ("Ġ", "▁") for i in range(vocabulary)] + [True])  # Ġ and ▁ stand for a blank

@@ -154,6 +154,12 @@ def encoder(path: str) -> Encoder:
     return encoders[path]
 
 
+def release() -> None:
+    """Drop this worker's encoders, with the pieces they remember."""
+    if "tidewatch_worker" in sys.modules:
+        sys.modules["tidewatch_worker"].__dict__.pop("encoders", None)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[object, bytes]]:
     """``(id, ids)`` of batches with an id and a text column, in order; a null text is empty."""
     encode = encoder(path).encode_all
