@@ -164,6 +164,90 @@ def test_folds_from_one_count_equal_folds_one_by_one(spark):
         assert quality[fold + 1].f1_macro == pytest.approx(row.f1_macro, abs=1e-4)
 
 
+def noisy(spark, n=150):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))), int(rng.random() < 0.4)) for i in range(n)]
+    return spark.createDataFrame([*rows, ("none", "zzz", 1)], "doc string, text string, label int")
+
+
+def test_vocabularies_of_cases_without_counts_by_fold_and_step(spark, monkeypatch):
+    import numpy as np
+
+    from tidewatch.operators import cases as K
+
+    docs = P.assign_folds(noisy(spark), "label", "doc", 3).withColumn("step", (F.col("doc") > "5").cast("int")).cache()
+    cases = [K.Case(fold, step) for step in (0, 1) for fold in range(3)]
+    sizes = K.case_sizes(docs, "label", cases)
+    counted = K.count_terms
+    grouped = []
+    monkeypatch.setattr(K, "count_terms", lambda d, c, by=(): grouped.append(by) or counted(d, c, by))
+    for most, margin, passes in ((30, 0.8, [()]), (10_000, 0.8, [()]), (30, 500.0, [(), ["fold", "step"]])):
+        wanted = [{} for _ in cases]
+        for r in K.case_vocabularies(docs, "doc", "text", cases, 2, most).collect():
+            wanted[r.case][r.term] = np.log((sizes[r.case].sum() + 1.0) / (r.df + 1.0)) + 1.0
+        union = {t for w in wanted for t in w}
+        grouped.clear()
+        monkeypatch.setattr(K, "MARGIN", margin)  # too large a margin leaves terms out, which is noticed
+        blocks, idf = K.blocks_of_cases(docs, "doc", "text", "label", cases, sizes, 2, most)
+        assert grouped == passes
+        assert idf.shape == (len(cases), len(union))
+        assert [sorted(x[x > 0]) for x in idf] == [pytest.approx(sorted(w.values())) for w in wanted]
+        bound = len(union)
+        found = list(K.blocks_of(blocks.toArrow().to_batches()))
+        assert sum(b.n for b in found) == docs.count() and all(b.term.max(initial=0) < bound for b in found)
+
+
+def test_a_block_takes_few_bytes_and_scores_two_sets_of_weights_at_once(spark):
+    import numpy as np
+
+    from tidewatch.operators import cases as K
+
+    docs = noisy(spark).withColumns({"fold": F.lit(0), "step": F.lit(0)}).coalesce(1)
+    terms = [f"word{i}" for i in range(40)]
+    idf = np.linspace(1, 2, 40).reshape(1, -1)
+    table = K.number_terms(docs, "text", "label", terms, idf).toArrow()
+    rng = np.random.default_rng(1)
+    one, two = rng.normal(size=(2, 40))
+    entries = 0
+    for b in K.blocks_of(table.to_batches()):
+        entries += len(b.term)
+        dense = np.zeros((b.n, 40))
+        np.add.at(dense, (np.repeat(np.arange(b.n), b.size), b.term), 1 + np.log(b.tf.astype(float)))
+        dense *= idf
+        length = np.linalg.norm(dense, axis=1, keepdims=True)
+        dense = dense / np.where(length > 0, length, 1)
+        assert (length == 0).any()  # a row without entries
+        assert b.scores(0, one * idf[0]) == pytest.approx(dense @ one)
+        both = b.scores(0, (one + 1j * two) * idf[0])
+        assert both.real == pytest.approx(dense @ one) and both.imag == pytest.approx(dense @ two)
+        pull = rng.normal(size=b.n)
+        assert b.pulled(0, pull, 40) * idf[0] == pytest.approx(pull @ dense)
+    assert K.weights_of(np.array([3, 5000], np.uint16)) == pytest.approx(1 + np.log([3.0, 5000.0]), rel=1e-15)
+    by_entry = sum(len(x.as_py()) for c in table.column_names[2:-3] for x in table.column(c))
+    assert by_entry <= 2 * entries + 4 * 151  # 16 bytes an entry before
+
+
+def test_training_rows_are_cleaned_once(spark, tmp_path):
+    from tidewatch.plans.tables import Tables
+
+    docs = [(1, "One @two #three", "s"), (2, "...", "s"), (3, None, "s"), (4, "mail me@home http://x.y now", "s"), (5, "@", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = Tables(spark, str(tmp_path)).training
+    assert sorted(tuple(r) for r in rows.select("doc_id", "label", "text").collect()) == [(1, 1, "one three"), (4, 0, "mail me now")]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("regexp_replace(replace(") == 1
+
+
+def test_words_are_counted_alike_in_cleaned_and_raw_texts(spark):
+    texts = ["", None, "a", "a b", "go a home", "go  home", "Ünï code", "help!me now", " lead trail ", "ab", "ab cd ef ab cd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    for some in (docs, docs.filter("doc in (2, 4, 9, 10)")):
+        wanted = Q.build_vocabulary(Q.document_terms(some.na.fill(""), "doc"), 1).collect()
+        got = Q.top_vocabulary(Q.count_terms(some.coalesce(1)), 1).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, wanted)) and got
+
+
 def test_the_trained_weights_are_the_minimum(spark):
     import numpy as np
 

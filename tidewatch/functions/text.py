@@ -56,10 +56,10 @@ def clean_text(c) -> Column:
     punctuation and runs of blanks.
     """
     out = F.lower(_col(c))
-    # Most posts hold no link; looking for the two prefixes is far cheaper than the pattern.
+    # Most posts hold no link and no mention; looking for how they begin is far cheaper than the patterns.
     linked = F.contains(out, F.lit("http")) | F.contains(out, F.lit("www"))
     out = F.when(linked, F.regexp_replace(out, f"http{NOT_BLANK}+|www{NOT_BLANK}+", "")).otherwise(out)
-    out = F.regexp_replace(out, f"@[{WORD}]+", "")
+    out = F.when(F.contains(out, F.lit("@")), F.regexp_replace(out, f"@[{WORD}]+", "")).otherwise(out)
     for seen, put in (("#", ""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         out = F.replace(out, F.lit(seen), F.lit(put))
     return F.coalesce(F.trim(F.regexp_replace(out, f"[^{WORD}]+", " ")), F.lit(""))

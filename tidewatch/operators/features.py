@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ MAX_TERMS = 2_000_000  # what the dictionary of a task may hold, whatever a voca
 GATE = 0.3
 TOKENS = re.compile(r"[^ \n]{2,}|\n").findall  # words of two letters and more, and the mark between texts
 WORDS = re.compile(r"\w{2,}|\n").findall  # the same for texts that need not be cleaned
+ODD = re.compile(r"[^\w\n]").search
+MARK = " \n "  # between texts
 COUNT_CHARS, COUNT_ROWS = 8_000_000, 100_000  # characters that terms are counted in at once; rows of a batch of counts
 
 
@@ -70,14 +72,21 @@ def count_terms(docs: DataFrame, clean: str = "text", by: Sequence[str] = ()) ->
 
 def _partial_counts(texts: list, keys: list[np.ndarray], accents: dict[str, str], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort(keys[::-1]) if keys else np.arange(len(texts))  # the documents of a group lie together
-    whole = "\n".join([(texts[i] or "").replace("\n", " ") for i in order])
+    whole = MARK.join([(texts[i] or "").replace("\n", " ") for i in order])
     if not whole.isascii():
         for accented in accents.keys() & set(whole):
             whole = whole.replace(accented, accents[accented])
-    tokens = WORDS(whole)
-    numbers = {"\n": 0}
-    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
-    words, n = pa.array(list(numbers), pa.large_string()), len(numbers)
+    spoken, ids = distinct_words(whole)
+    if any(map(ODD, spoken)):  # not cleaned
+        spoken, ids = numbered_words(WORDS(whole))
+    # The mark gets 0, words of two letters and more the numbers from 1; the others are no words.
+    long = np.array([len(w) > 1 for w in spoken], bool)
+    place = np.where(long, np.cumsum(long), -1)
+    place[[k for k, w in enumerate(spoken) if w == "\n"]] = 0
+    ids = np.take(place, ids)
+    ids = ids[ids >= 0]
+    words = pa.array(["\n", *compress(spoken, long)], pa.large_string())
+    n = len(words)
     row = np.cumsum(ids == 0)
     group = np.zeros(len(order), np.int64)
     for key in keys:
@@ -108,6 +117,19 @@ def _partial_counts(texts: list, keys: list[np.ndarray], accents: dict[str, str]
             yield part.set_column(len(by), "term", part.column(len(by)).cast(pa.string()))
 
 
+def distinct_words(whole: str) -> tuple[list[str], np.ndarray]:
+    """The distinct strings between blanks, and the number of each in the order of the text."""
+    coded = pc.split_pattern(pa.array([whole], pa.large_string()), " ").values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def numbered_words(tokens: list[str]) -> tuple[list[str], np.ndarray]:
+    """As :func:`distinct_words`, of tokens that were found already."""
+    numbers: dict[str, int] = {}
+    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
+    return list(numbers), ids
+
+
 def idf(vocab: DataFrame, n_docs) -> DataFrame:
     """Smoothed inverse document frequency. ``n_docs`` is a number or a column."""
     n_docs = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
@@ -198,13 +220,26 @@ class TermArrays:
         for start, stop, part in text_parts(texts, self.CHARS):
             yield start, stop, *self._weigh(part)
 
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, term, count)`` of the known terms of ``texts``, by row and term."""
+        parts = [(row + start, term, n) for start, _, part in text_parts(texts, self.CHARS) for row, term, n in [self._counted(part)]]
+        return tuple(np.concatenate(x) for x in zip(*(parts or [(np.zeros(0, np.int64),) * 3])))
+
     def _weigh(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        whole = "\n".join([t or "" for t in texts])
+        row, term, count = self._counted(texts)
+        raw = (np.log(count) + 1.0) * self.values[term, 0] if len(term) else np.zeros(0)
+        norm = np.sqrt(np.bincount(row, raw * raw, len(texts)))
+        return row, term, raw / norm[row]
+
+    def _counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = MARK.join([t or "" for t in texts])
         if not whole.isascii():
             for accented in self.accents.keys() & set(whole):
                 whole = whole.replace(accented, self.accents[accented])
-        tokens = TOKENS(whole)
-        ids = np.fromiter(map(self.words.get, tokens, repeat(-1)), np.int64, len(tokens))
+        found = distinct_words(whole) if whole.count("\n") == len(texts) - 1 else numbered_words(TOKENS(whole))
+        spoken, ids = found
+        ids = np.take(np.fromiter(map(self.words.get, spoken, repeat(-1)), np.int64, len(spoken)), ids)
+        ids = ids[np.take(np.array([len(w) > 1 or w == "\n" for w in spoken], bool), found[1])]
         row = np.cumsum(ids == self.mark)
         known = (ids >= 0) & (ids != self.mark)
         one = np.flatnonzero(known)
@@ -220,10 +255,7 @@ class TermArrays:
         n = max(1, len(self.terms))
         found = np.concatenate([row[one] * n + self.single[ids[one]], row[two] * n + self.pair[at]])
         found, count = np.unique(found, return_counts=True)
-        row, term = found // n, found % n
-        raw = (np.log(count) + 1.0) * self.values[term, 0] if len(term) else np.zeros(0)
-        norm = np.sqrt(np.bincount(row, raw * raw, len(texts)))
-        return row, term, raw / norm[row]
+        return found // n, found % n, count
 
 
 def weighted_terms(clean: str, vocab: DataFrame) -> Column:
