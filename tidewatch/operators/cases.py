@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import accent_map
-from ..session import settle, shuffle_width
+from ..session import settle, shuffle_width, stored
 from .features import MAX_FEATURES, MAX_TERMS, TermArrays, count_terms
 
 BLOCK_ROWS = 512
@@ -135,7 +135,7 @@ def frequent_terms(
     is likely to reach in a set of ``smallest`` rows; none where they are too many."""
     parts, rows = _parts(docs, clean)
     counts = count_terms(docs, clean).repartition(parts, "term").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    counts = settle(counts.filter(F.col("df") >= min_df).select("term", "cf"))
+    counts = stored(counts.filter(F.col("df") >= min_df).select("term", "cf"))
     n, last = counts.orderBy(F.desc("cf")).limit(max_features).agg(F.count(F.lit(1)), F.min("cf")).first()
     least = max(min_df, int(MARGIN * last * smallest / rows)) if n == max_features else min_df
     found = counts.filter(F.col("cf") >= least).select("term").limit(MAX_CANDIDATES + 1).toArrow()
@@ -200,6 +200,7 @@ def blocks_of_cases(
         if whole:
             kept = np.flatnonzero(idf.any(axis=0))
             return cut_blocks(blocks, kept, idf[:, kept]), idf[:, kept]
+    docs = stored(docs)
     vocabulary = Vocabulary.of(case_vocabularies(docs, doc, clean, cases, min_df, max_features), rows)
     return number_terms(docs, clean, label, vocabulary.terms, vocabulary.idf), vocabulary.idf
 
@@ -450,8 +451,8 @@ def balance_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def resample(docs: DataFrame, doc: str, clean: str, label: str, cases: Sequence[Case], **options) -> DataFrame:
-    """Train every case and count its hits, see :func:`judge_cases`; ``docs`` holds ``fold`` and ``step``. Cases
-    with one class have no rows."""
+    """Train every case and count its hits, see :func:`judge_cases`; ``docs`` holds ``fold`` and ``step``, and its texts are read
+    twice at most, so it need not be written. Cases with one class have no rows."""
     sizes = case_sizes(docs, label, cases)
     balance = balance_of(sizes)
     blocks, idf = blocks_of_cases(docs.filter(F.col(label).isNotNull()), doc, clean, label, cases, sizes)

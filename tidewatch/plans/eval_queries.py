@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curves as C, metrics as M, summary as D, training as T
 from ..operators.prep import dedupe_labelled, stratified_split
-from ..session import settle
+from ..session import stored
 from . import sql as S
 from .registry import query
 
@@ -291,7 +291,7 @@ def metrics_document(t):
 
 def deduped(t):
     """Cleaned and compared once: every later pass reads what was written."""
-    return settle(dedupe_labelled(t.training).withColumn("doc", F.md5("text")))
+    return stored(dedupe_labelled(t.training).withColumn("doc", F.md5("text")))
 
 
 @query()
